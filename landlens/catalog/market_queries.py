@@ -10,6 +10,7 @@ from landlens.catalog.inputs import LISTINGS, SMALL_TOWNS
 from landlens.functions.numeric import half_up
 from landlens.functions.text import normalize_town
 from landlens.operators import market
+from landlens.session import cut_lineage
 
 GATES_SQL = f"""(SELECT *, CASE WHEN area > 0 THEN total / area END AS per_sqm,
    CASE WHEN total IS NULL THEN 'unknown' WHEN total <= 170000 THEN 'pass' ELSE 'fail' END AS gate_total,
@@ -129,9 +130,11 @@ def with_text(spark, sf_dir):
 
 
 def towns_with_order(spark, sf_dir):
-    towns = market.town_market(keyed_listings(spark, sf_dir))
-    # A total order over towns without a single-partition window: towns rank by key, and keys are unique.
-    return towns.withColumn("town_order", F.lit(0))
+    """Town table, computed once and written out because the match and the context read it several times.
+
+    Keys are unique, so no order among towns is needed beyond their length.
+    """
+    return cut_lineage(market.town_market(keyed_listings(spark, sf_dir))).withColumn("town_order", F.lit(0))
 
 
 @query("town_match", MATCH_SQL + " SELECT text_key, town_key FROM m")
@@ -169,11 +172,11 @@ def market_context(spark, sf_dir):
 ACTIONS_SQL = (
     MATCH_SQL
     + f""", g AS (SELECT * FROM {GATES_SQL}),
-s AS (SELECT g.listing_id, 'fail' IN (gate_total, gate_area, gate_floor) AS any_fail,
+s AS (SELECT listing_id, 'fail' IN (gate_total, gate_area, gate_floor) AS any_fail,
         'unknown' IN (gate_total, gate_area, gate_floor) AS any_unknown, g.total, g.currentness, g.identity_state,
         l.text_key <> '' AS has_key, m.town_key IS NOT NULL AS has_market, coalesce(t.sample_quality, '') AS quality,
         nullif(trim(g.address), '') IS NOT NULL AS has_address, {STATE_SQL} AS decision_state
-      FROM g JOIN l ON g.listing_id = l.listing_id LEFT JOIN m ON l.text_key = m.text_key LEFT JOIN t ON t.town_key = m.town_key)
+      FROM g JOIN (SELECT listing_id, text_key FROM l) l USING (listing_id) LEFT JOIN m ON l.text_key = m.text_key LEFT JOIN t ON t.town_key = m.town_key)
 SELECT listing_id, decision_state, concat_ws('|',
   CASE WHEN any_unknown THEN '{market.ACTION_INPUT}' END,
   CASE WHEN total IS NOT NULL AND NOT has_key THEN '{market.ACTION_ADDRESS}' END,

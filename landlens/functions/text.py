@@ -47,19 +47,31 @@ def kanji_number(value: Column) -> Column:
     )
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value evaluated once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _chome_to_kanji(value: Column) -> Column:
     """Rewrite each run of digits directly before 丁目; the text is cut at every 丁目 and glued again."""
-    pieces = F.split(value, CHOME)
-    last = F.size(pieces) - 1
 
-    def piece(text: Column, index: Column) -> Column:
-        digits = F.regexp_extract(text, "([0-9]+)$", 1)
-        plain = F.regexp_replace(digits, "^0+(?=[0-9])", "")
-        numeral = F.when(F.length(plain) <= 2, kanji_number(plain.try_cast("int"))).otherwise(plain)
+    def numeral(digits: Column) -> Column:
+        return F.when(F.length(digits) <= 2, let(digits.try_cast("int"), kanji_number)).otherwise(digits)
+
+    def piece(text: Column, index: Column, last: Column) -> Column:
         head = F.regexp_replace(text, "[0-9]+$", "")
-        return F.when((index < last) & (digits != ""), F.concat(head, numeral)).otherwise(text)
+        digits = F.regexp_replace(F.substring(text, F.length(head) + 1, F.length(text)), "^0+(?=[0-9])", "")
+        changed = F.concat(head, let(digits, numeral))
+        return F.when((index < last) & text.rlike("[0-9]$"), changed).otherwise(text)
+
+    def rewrite(text: Column) -> Column:
+        glued = let(
+            F.split(text, CHOME),
+            lambda parts: F.array_join(F.transform(parts, lambda t, i: piece(t, i, F.size(parts) - 1)), CHOME),
+        )
+        return F.when(text.rlike("[0-9]" + CHOME), glued).otherwise(text)
 
-    return F.array_join(F.transform(pieces, piece), CHOME)
+    return let(value, rewrite)
 
 
 def normalize_town(raw: Column, full_nfkc: bool = False) -> Column:

@@ -122,30 +122,32 @@ def histogram_maps(histograms: DataFrame) -> DataFrame:
     return histograms.groupBy("stratum", "lens").agg(F.map_from_entries(F.collect_list(entry)).alias("counts"))
 
 
-def pearson(df: DataFrame, x: str, y: str, keys: list[str] | None = None) -> DataFrame:
-    """Pearson correlation over rows where both are known; NULL for fewer than three rows or no variance.
+def pearson(df: DataFrame, pairs: list[tuple[str, str]], keys: list[str] | None = None) -> DataFrame:
+    """Pearson correlation of column pairs over rows where both are known: (keys, x, y, n, pearson).
 
-    Centred on the group means for accuracy; the means come from an earlier aggregate of the same rows.
+    NULL for fewer than three rows or no variance. All pairs and groups come out of one pass of mergeable central
+    moments, so the input is read once and a large group is combined before the shuffle.
     """
     keys = keys or []
-    known = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(
-        *keys, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")
-    )
-    means = known.groupBy(*keys).agg(F.avg("_x").alias("_mx"), F.avg("_y").alias("_my"))
-    if keys:
-        centred = known.join(means, keys)
-    else:
-        centred = known.withColumn("_mx", means.select("_mx").scalar()).withColumn("_my", means.select("_my").scalar())
-    dx, dy = F.col("_x") - F.col("_mx"), F.col("_y") - F.col("_my")
-    sums = centred.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum(dx * dy).alias("_xy"),
-        F.sum(dx * dx).alias("_xx"),
-        F.sum(dy * dy).alias("_yy"),
-    )
-    spread = F.sqrt(F.col("_xx") * F.col("_yy"))
-    value = F.when((F.col("n") >= 3) & (spread != 0), F.try_divide(F.col("_xy"), spread))
-    return sums.select(*keys, "n", value.alias("pearson"))
+    moments, rows = [], []
+    for i, (x, y) in enumerate(pairs):
+        both = F.col(x).isNotNull() & F.col(y).isNotNull()
+        vx, vy = F.when(both, F.col(x).cast("double")), F.when(both, F.col(y).cast("double"))
+        moments += [
+            F.count(vx).alias(f"_n{i}"),
+            F.covar_pop(vx, vy).alias(f"_c{i}"),
+            F.sqrt(F.var_pop(vx) * F.var_pop(vy)).alias(f"_s{i}"),
+        ]
+        known = (F.col(f"_n{i}") >= 3) & (F.col(f"_s{i}") != 0)
+        rows.append(
+            F.struct(
+                F.lit(x).alias("x"),
+                F.lit(y).alias("y"),
+                F.col(f"_n{i}").alias("n"),
+                F.when(known, F.try_divide(F.col(f"_c{i}"), F.col(f"_s{i}"))).alias("pearson"),
+            )
+        )
+    return df.groupBy(*keys).agg(*moments).select(*keys, F.explode(F.array(*rows)).alias("_r")).select(*keys, "_r.*")
 
 
 def frame_counts(lensed: DataFrame) -> DataFrame:

@@ -7,9 +7,9 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from landlens.functions.geo import local_offsets, offset_coordinates
+from landlens.functions.geo import local_offsets, offset_coordinates, rough_scope
 from landlens.functions.labels import CANDIDATE, grid_label_code
-from landlens.functions.numeric import clamp, half_even
+from landlens.functions.numeric import clamp, half_even, half_up
 from landlens.operators import raster as rs
 from landlens.session import cut_lineage, spread
 
@@ -364,6 +364,34 @@ def suppress(
     return ranked.withColumn("hotspot_index", F.col("_n") - 1).drop("_n")
 
 
+def viewport_grid(views: DataFrame, columns: Column, rows: Column) -> DataFrame:
+    """Equal cells of each viewport (west, south, east, north) with their centres, those in rough scope only.
+
+    Asked-for counts are limited to 2..5 columns and 2..4 rows; 0 means the default 4 by 3. The result feeds the
+    diagnosis as points.
+    """
+    whole = lambda v, default, top: half_up(
+        clamp(F.coalesce(F.nullif(v.cast("double"), F.lit(0.0)), F.lit(float(default))), 2.0, float(top))
+    ).cast("int")
+    sized = views.withColumn("_nc", whole(columns, 4, 5)).withColumn("_nr", whole(rows, 3, 4))
+    cells = sized.withColumn("cell", F.explode(F.sequence(F.lit(0), F.col("_nc") * F.col("_nr") - 1)))
+    width = (F.col("east") - F.col("west")) / F.col("_nc")
+    height = (F.col("north") - F.col("south")) / F.col("_nr")
+    left = F.col("west") + F.pmod("cell", "_nc") * width
+    bottom = F.col("south") + F.floor(F.col("cell") / F.col("_nc")) * height
+    out = cells.select(
+        *[c for c in views.columns if c not in {"west", "south", "east", "north"}],
+        "cell",
+        (bottom + height / 2.0).alias("lat"),
+        (left + width / 2.0).alias("lng"),
+        left.alias("cell_west"),
+        bottom.alias("cell_south"),
+        (left + width).alias("cell_east"),
+        (bottom + height).alias("cell_north"),
+    )
+    return out.filter(rough_scope(F.col("lat"), F.col("lng")))
+
+
 def cell_bounds(cells: DataFrame, centre: tuple[float, float], step_m: float = STEP_M) -> DataFrame:
     """South, west, north, east of each cell around its local (east, north) position, 6 decimals."""
     half = F.lit(step_m / 2.0)
@@ -379,6 +407,15 @@ def cell_bounds(cells: DataFrame, centre: tuple[float, float], step_m: float = S
     )
 
 
+def run_report(cells: DataFrame) -> DataFrame:
+    """Cells per label with the range of each score."""
+    ranges = (("original_score", "original"), ("detail_score", "detail"), ("confidence", "confidence"))
+    return cells.groupBy("label_code").agg(
+        F.count(F.lit(1)).alias("n"),
+        *[f(c).alias(f"{name}_{end}") for c, name in ranges for f, end in ((F.min, "min"), (F.max, "max"))],
+    )
+
+
 def with_local_offsets(df: DataFrame, centre: tuple[float, float]) -> DataFrame:
     east, north = local_offsets(F.col("lat"), F.col("lng"), centre)
     return df.withColumn("east", east).withColumn("north", north)

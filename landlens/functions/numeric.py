@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value evaluated once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def clamp(value: Column, low: float, high: float) -> Column:
     """Limit to [low, high]; unknown stays unknown (plain ``greatest`` would turn NULL into the bound)."""
     limited = F.least(F.lit(high), F.greatest(F.lit(low), value))
@@ -39,17 +46,19 @@ def array_mean(values: Column, empty: float | None = 0.0) -> Column:
 
 def array_median(values: Column) -> Column:
     """Middle value, or the mean of the two middle values; 0 for an empty array."""
-    ordered = F.array_sort(values)
-    n = F.size(values)
-    upper = F.get(ordered, F.floor(n / 2).cast("int"))
-    lower = F.get(ordered, F.floor((n - 1) / 2).cast("int"))
-    return F.when(n > 0, (lower + upper) / 2).otherwise(F.lit(0.0))
+
+    def middle(ordered: Column) -> Column:
+        n = F.size(ordered)
+        upper = F.get(ordered, F.shiftright(n, 1))
+        lower = F.get(ordered, F.shiftright(n - 1, 1))
+        return F.when(n > 0, (lower + upper) / 2).otherwise(F.lit(0.0))
+
+    return let(F.sort_array(values), middle)
 
 
 def array_mad(values: Column) -> Column:
     """Median absolute deviation from the median."""
-    centre = array_median(values)
-    return array_median(F.transform(values, lambda v: F.abs(v - centre)))
+    return let(array_median(values), lambda centre: array_median(F.transform(values, lambda v: F.abs(v - centre))))
 
 
 def axis_angle(a: Column, b: Column) -> Column:

@@ -9,6 +9,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from landlens.functions.numeric import let
+
 # Kanji digits 0-9, and the compatibility characters that addresses use.
 KANJI_DIGITS = "零一二三四五六七八九"
 WIDE_ASCII = "".join(chr(c) for c in range(0xFF01, 0xFF5F)) + "\u3000"
@@ -47,11 +49,6 @@ def kanji_number(value: Column) -> Column:
     )
 
 
-def let(value: Column, body) -> Column:
-    """``body(value)`` with the value evaluated once, however often the body uses it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _chome_to_kanji(value: Column) -> Column:
     """Rewrite each run of digits directly before 丁目; the text is cut at every 丁目 and glued again."""
 

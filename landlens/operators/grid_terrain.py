@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from landlens.functions.geo import local_offsets, offset_coordinates, rough_scope
 from landlens.functions.labels import CANDIDATE, grid_label_code
-from landlens.functions.numeric import clamp, half_even, half_up
+from landlens.functions.numeric import clamp, half_even, half_up, let
 from landlens.operators import raster as rs
 from landlens.session import cut_lineage, spread
 
@@ -132,15 +132,17 @@ def _pair_quality(pairs: list[tuple[int, int]]) -> list[tuple[int, int, float]]:
 
 
 def _top_two(strengths: Column, second_share: float) -> Column:
-    ordered = F.reverse(F.array_sort(strengths))
-    first, second = F.get(ordered, F.lit(0)), F.get(ordered, F.lit(1))
-    return clamp(F.lit(1.0) - (F.lit(1.0) - first) * (F.lit(1.0) - second * second_share), 0.0, 1.0)
+    def blend(ordered: Column) -> Column:
+        first, second = F.get(ordered, F.lit(0)), F.get(ordered, F.lit(1))
+        return F.lit(1.0) - (F.lit(1.0) - first) * (F.lit(1.0) - second * second_share)
+
+    return let(let(F.sort_array(strengths, asc=False), blend), lambda v: clamp(v, 0.0, 1.0))
 
 
 def axis_crossings(axes: DataFrame) -> DataFrame:
     """High x high, low x low and high x low crossing per site and scale; unknown anywhere counts as 0."""
     by_axis = axes.groupBy("site_id", "scale").agg(
-        F.array_sort(F.collect_list(F.struct("axis", "high", "low"))).alias("a")
+        F.sort_array(F.collect_list(F.struct("axis", "high", "low"))).alias("a")
     )
     n = len(AXES)
     same = _pair_quality([(i, j) for i in range(n) for j in range(i + 1, n)])

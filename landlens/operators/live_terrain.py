@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from landlens.functions.geo import point_at, tile_pixel
 from landlens.functions.labels import INSUFFICIENT, live_label_code
-from landlens.functions.numeric import array_mad, axis_angle, clamp, half_up, union_prob
+from landlens.functions.numeric import array_mad, axis_angle, clamp, half_up, let, union_prob
 from landlens.session import lookup_join, spread
 
 # Calibration of the per-point analysis.
@@ -175,7 +175,7 @@ def merge_lines(lines: Column) -> Column:
 
     ``lines``: array of (angle, quality), at most one per axis.
     """
-    ranked = F.array_sort(
+    ranked = F.sort_array(
         F.transform(lines, lambda x: F.struct((-x["quality"]).alias("rank"), x["angle"].alias("angle")))
     )
     empty = F.slice(ranked, 1, 0)
@@ -189,13 +189,15 @@ def merge_lines(lines: Column) -> Column:
 
 
 def _evidence(pairs: Column) -> Column:
-    top = F.slice(F.reverse(F.array_sort(F.filter(pairs, lambda p: p.isNotNull()))), 1, 3)
-    return clamp(union_prob(top), 0.0, 1.0)
+    top = F.slice(F.sort_array(F.filter(pairs, lambda p: p.isNotNull()), asc=False), 1, 3)
+    return let(union_prob(top), lambda u: clamp(u, 0.0, 1.0))
 
 
 def _pair(angle_a: Column, quality_a: Column, angle_b: Column, quality_b: Column) -> Column:
-    angle = axis_angle(angle_a, angle_b)
-    return F.when(angle >= MIN_ANGLE, F.sqrt(quality_a * quality_b) * F.sin(F.radians(angle)))
+    return let(
+        axis_angle(angle_a, angle_b),
+        lambda angle: F.when(angle >= MIN_ANGLE, F.sqrt(quality_a * quality_b) * F.sin(F.radians(angle))),
+    )
 
 
 def crossing(merged: Column) -> Column:

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from landlens.functions.numeric import clamp, half_even, union_prob
+from landlens.functions.numeric import clamp, half_even, let, union_prob
 from landlens.operators import raster as rs
 
 # Calibration of the overview.
@@ -80,8 +80,7 @@ def _crossing(m: int, threshold: float) -> list[Column]:
     lows = [level(ok, F.least(a - centre, b - centre)) for ok, (a, b) in zip(valid, ends)]
 
     def second(axes: list[Column]) -> Column:
-        ordered = F.array_sort(F.array(*axes))
-        return F.sqrt(F.get(ordered, F.lit(3)) * F.get(ordered, F.lit(2)))
+        return let(F.sort_array(F.array(*axes)), lambda x: F.sqrt(F.get(x, F.lit(3)) * F.get(x, F.lit(2))))
 
     relief = clamp((F.greatest(*v[1:]) - F.least(*v[1:])) / F.lit(threshold * 8.0), 0.0, 1.0)
     coverage = sum((F.when(ok, 1.0).otherwise(0.0) for ok in valid), F.lit(0.0)) / F.lit(4.0)

@@ -513,7 +513,7 @@ def compose_profile(points: DataFrame, layers: DataFrame, place: DataFrame) -> D
     bucket = lambda b: F.count(F.when(finding == b, 1))
     not_scanned = bucket("not_scanned") + F.count(F.when(F.col("coverage_status") == "not_scanned", 1))
     per_point = layers.groupBy("point_id").agg(
-        F.array_sort(F.collect_list(F.struct(*LAYER_COLUMNS))).alias("layers"),
+        F.sort_array(F.collect_list(F.struct(*LAYER_COLUMNS))).alias("layers"),
         *[(not_scanned if b == "not_scanned" else bucket(b)).alias(b) for b in FACT_BUCKETS],
     )
     coverage = place.select("point_id", "cell_closure_status", "absence_claim_allowed", "hidden_count", "finding_count")

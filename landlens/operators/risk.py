@@ -244,7 +244,7 @@ def land_risk(df: DataFrame) -> DataFrame:
 
 def top_reasons(items: Column, k: int = 3) -> Column:
     """``label: detail`` of the k highest known items (report order among equals), then a note on unknown ones."""
-    ranked = F.array_sort(
+    ranked = F.sort_array(
         F.transform(
             F.filter(items, lambda i: i["score"].isNotNull()),
             lambda i: F.struct(

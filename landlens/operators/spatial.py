@@ -196,7 +196,7 @@ def polygon_mask(
     )
     by_cell = (
         filed.groupBy("_r", "_c", "polygon_id")
-        .agg(F.array_sort(F.collect_list("e")).alias("edges"))
+        .agg(F.sort_array(F.collect_list("e")).alias("edges"))
         .groupBy("_r", "_c")
         .agg(F.collect_set("edges").alias("_polygons"))
     )

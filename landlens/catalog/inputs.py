@@ -227,3 +227,21 @@ REGIONS = View(
        139.43e0 + (max(floor(o_orderkey / 125e0)) + 0.5e0) * 0.00110424522183e0 AS east
 FROM {orders} GROUP BY 1, 2, 3"""
 )
+
+#: Points a little off the centres of the sample cells; every third one came from an address.
+PROFILE_POINTS = View(
+    """SELECT c_custkey AS point_id,
+       35.8396478620176e0 - (floor(2 * c_custkey / 462e0) + 0.2e0) * 0.00089831117499e0 AS lat,
+       139.43e0 + ((2 * c_custkey) % 462 + 0.3e0) * 0.00110424522183e0 AS lng,
+       CASE WHEN c_custkey % 3 = 0 THEN c_name END AS matched_address
+FROM {customer}"""
+)
+
+FEATURES = View(
+    """SELECT CAST(p_partkey AS STRING) AS feature_id, p_name AS canonical_name, p_type AS feature_type FROM {part}"""
+)
+
+GEOMETRIES = View(
+    """SELECT CAST(o_custkey AS STRING) AS feature_id, o_orderkey AS seq, o_orderpriority AS geometry_role,
+       o_orderstatus AS location_precision FROM {orders}"""
+)

@@ -1 +1,309 @@
-"""Pending."""
+"""Links, findings, layers and the composed location profile."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from landlens.catalog.base import View, query
+from landlens.catalog.cell_queries import (
+    CATALOG_SQL, ENVIRONMENT_SQL, MOISTURE_SQL, SPARSE_SQL, catalog, environment, moisture, sparse_index,
+)
+from landlens.catalog.geo_queries import CELL_SQL
+from landlens.catalog.inputs import FEATURES, GEOMETRIES, LINKS, PROFILE_POINTS
+from landlens.operators import filters, lookups, profile, quality
+from landlens.plans.profile import build_profile
+
+VISIBLE = "lower(trim(public_eligible)) IN ('true', 'yes', '1')"
+
+
+@query(
+    "visible_links",
+    f"""SELECT cell_id, count(*) AS raw_link_count, count(*) FILTER (NOT coalesce({VISIBLE}, false)) AS hidden_count FROM {LINKS.sql} GROUP BY 1""",
+)
+def visible_links(spark, sf_dir):
+    return filters.hidden_counts(LINKS.frame(spark, sf_dir), "public")
+
+
+@query(
+    "feature_join",
+    f"""SELECT l.intake_id, l.link_order, f.canonical_name, f.feature_type, g.geometry_role, g.location_precision FROM {LINKS.sql} l
+LEFT JOIN {FEATURES.sql} f ON l.global_feature_id = f.feature_id LEFT JOIN (
+  SELECT feature_id, arg_min(geometry_role, seq) AS geometry_role, arg_min(location_precision, seq) AS location_precision FROM {GEOMETRIES.sql} GROUP BY 1) g
+ON f.feature_id = g.feature_id""",
+)
+def feature_join(spark, sf_dir):
+    links = LINKS.frame(spark, sf_dir).select("intake_id", "link_order", "global_feature_id")
+    out = lookups.feature_join(links, FEATURES.frame(spark, sf_dir), GEOMETRIES.frame(spark, sf_dir))
+    return out.select("intake_id", "link_order", "canonical_name", "feature_type", "geometry.*")
+
+
+CLASSES = """CASE WHEN contains(lower(coalesce(identity_decision, '')), 'conflict') THEN 'conflict'
+    WHEN lower(coalesce(evidence_status, '')) IN ('confirmed', 'confirmed_positive') THEN 'confirmed'
+    WHEN contains(lower(coalesce(evidence_status, '')), 'review') THEN 'source_backed_review'
+    WHEN contains(lower(coalesce(evidence_status, '')), 'context') OR contains(lower(coalesce(evidence_status, '')), 'crosscheck') THEN 'context'
+    WHEN index_lane = 'REFERENCE_CONTEXT' THEN 'context' WHEN index_lane = 'DUPLICATE_SUPPRESSION' THEN 'excluded' ELSE 'candidate' END AS status,
+  CASE """ + " ".join(
+    f"WHEN contains(upper(concat_ws(' ', geometry_stage, query_status, final_disposition)), '{s}') THEN '{s}'" for s in profile.MATURITIES
+) + """ WHEN index_lane = 'CURRENT_ANCHOR' THEN 'current_only'
+    WHEN index_lane IN ('REFERENCE_CONTEXT', 'SOURCE_OBSERVATION', 'PARENT_SITE_COMPONENT') THEN 'context_only' ELSE 'unknown' END AS maturity,
+  CASE WHEN lower(trim(intersects)) IN ('true', 'yes', '1') THEN 'intersects' WHEN contains(lower(relation_type), 'buffer') THEN 'buffer_intersects'
+    WHEN index_lane = 'REFERENCE_CONTEXT' THEN 'reference_context' WHEN index_lane IN ('PARENT_SITE_COMPONENT', 'SOURCE_OBSERVATION') THEN 'area_context'
+    WHEN distance_m <= 100 THEN 'within_100m' WHEN distance_m <= 300 THEN 'within_300m' WHEN distance_m <= 500 THEN 'within_500m' ELSE 'cell_context' END AS relation"""
+
+
+@query("link_classes", f"SELECT intake_id, {CLASSES} FROM {LINKS.sql}")
+def link_classes(spark, sf_dir):
+    return LINKS.frame(spark, sf_dir).select(
+        "intake_id", profile.map_evidence().alias("status"), profile.map_maturity().alias("maturity"),
+        profile.map_relation().alias("relation"),
+    )
+
+
+KEY = "coalesce(nullif(global_feature_id, ''), nullif(independence_group, ''), nullif(canonical_source_identity, ''), nullif(intake_id, ''))"
+FINDINGS_SQL = f"""(SELECT cell_id, finding_key, distance_m, status, maturity, relation, source_title AS title, merged_links FROM (
+  SELECT *, row_number() OVER (PARTITION BY cell_id, finding_key ORDER BY coalesce(distance_m, 'inf'::DOUBLE), link_order) AS k,
+         count(*) OVER (PARTITION BY cell_id, finding_key) AS merged_links
+  FROM (SELECT *, {KEY} AS finding_key, {CLASSES} FROM {LINKS.sql} WHERE coalesce({VISIBLE}, false))) WHERE k = 1)"""
+
+
+def findings(spark, sf_dir):
+    out = profile.place_findings(LINKS.frame(spark, sf_dir), "public", ["source_title"])
+    return out.withColumnRenamed("source_title", "title")
+
+
+@query("merge_findings", f"SELECT * FROM {FINDINGS_SQL}")
+def merge_findings(spark, sf_dir):
+    return findings(spark, sf_dir)
+
+
+@query(
+    "rank_findings",
+    f"""SELECT cell_id, finding_key, CAST(row_number() OVER (PARTITION BY cell_id ORDER BY distance_m NULLS LAST, title, finding_key) AS INTEGER) AS position
+FROM {FINDINGS_SQL}""",
+)
+def rank_findings(spark, sf_dir):
+    return profile.rank_findings(findings(spark, sf_dir)).select("cell_id", "finding_key", "position")
+
+
+@query(
+    "finding_sources",
+    f"""SELECT cell_id, {KEY} AS finding_key, source_project, source_pointer, arg_max(source_title, link_order) AS source_title
+FROM {LINKS.sql} WHERE coalesce(source_pointer, '') <> '' GROUP BY 1, 2, 3, 4""",
+)
+def finding_sources(spark, sf_dir):
+    return profile.finding_sources(LINKS.frame(spark, sf_dir))
+
+
+SCANS_SQL = f"(SELECT cell_id, CASE WHEN total_links % 3 = 0 THEN 'not_scanned' ELSE 'partial_known_sources' END AS coverage_status FROM {SPARSE_SQL})"
+
+
+@query(
+    "fact_summary",
+    f"""WITH b AS (SELECT cell_id, CASE WHEN status IN ('confirmed', 'conflict', 'not_scanned') THEN status WHEN status IN ('source_backed_review', 'candidate') THEN 'review'
+    WHEN status IN ('context', 'excluded') THEN 'context' ELSE 'unknown' END AS bucket FROM {FINDINGS_SQL}
+  UNION ALL SELECT cell_id, CASE WHEN coverage_status = 'not_scanned' THEN 'not_scanned' END FROM {SCANS_SQL})
+SELECT cell_id, {", ".join(f"count(*) FILTER (bucket = '{b}') AS {b}" for b in profile.FACT_BUCKETS)} FROM b GROUP BY 1""",
+)
+def fact_summary(spark, sf_dir):
+    scans = sparse_index(spark, sf_dir).select(
+        "cell_id",
+        F.when(F.col("total_links") % 3 == 0, "not_scanned").otherwise("partial_known_sources").alias("coverage_status"),
+    )
+    return profile.fact_summary(findings(spark, sf_dir), scans, key="cell_id")
+
+
+SOURCE_COLUMNS = "cell_id, source_project AS project, source_pointer AS pointer, CASE WHEN l % 2 = 0 THEN 'v1' END AS version, source_title AS title, link_order AS ord"
+SOURCES = f"SELECT {SOURCE_COLUMNS} FROM (SELECT *, length(intake_id) AS l FROM {{links}})"
+
+
+@query(
+    "dedupe_sources",
+    f"""WITH e AS (SELECT * EXCLUDE (title), concat('explicit ', title) AS title, 0 AS side FROM ({SOURCES.replace("{links}", LINKS.sql)}) WHERE version IS NULL),
+f AS (SELECT *, 1 AS side FROM ({SOURCES.replace("{links}", LINKS.sql)}) WHERE title LIKE '%7%')
+SELECT cell_id, project, pointer, version, title, concat_ws('::', project, pointer, coalesce(version, '')) AS source_key FROM (
+  SELECT *, row_number() OVER (PARTITION BY cell_id, project, pointer, version ORDER BY side DESC, ord DESC) AS k FROM (SELECT * FROM e UNION ALL BY NAME SELECT * FROM f)) WHERE k = 1""",
+)
+def dedupe_sources(spark, sf_dir):
+    rows = spark.sql(SOURCES, links=LINKS.frame(spark, sf_dir))
+    explicit = rows.filter("version IS NULL").withColumn("title", F.concat(F.lit("explicit "), "title"))
+    return profile.dedupe_sources(explicit, rows.filter("title LIKE '%7%'"), key="cell_id")
+
+
+def text_case(table: dict[str, str], column: str) -> str:
+    return f"CASE {column} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in table.items()) + f" ELSE {column} END"
+
+
+POINTS_SQL = f"""(SELECT *, concat('g', grid_row, '-', grid_col) AS cell_id FROM (SELECT *, {CELL_SQL[0]} AS grid_row, {CELL_SQL[1]} AS grid_col FROM {PROFILE_POINTS.sql}))"""
+
+
+def points(spark, sf_dir):
+    return profile.with_cell(PROFILE_POINTS.frame(spark, sf_dir))
+
+
+def pct(c: str) -> str:
+    return f"concat(CAST(floor({c} * 100e0 + 0.5e0) AS BIGINT), '%')"
+
+
+ENV_LAYER_SQL = f"""(SELECT p.point_id, CASE WHEN e.cell_id IS NULL THEN 'not_applicable' WHEN plateau_status = 'UNKNOWN_SOURCE_TILE_404' THEN 'partial' ELSE 'available' END AS availability,
+  CASE WHEN e.cell_id IS NULL THEN 'unknown' WHEN plateau_status = 'UNKNOWN_SOURCE_TILE_404' THEN 'partial_known_sources' ELSE 'complete_for_defined_sources' END AS coverage_status,
+  CASE WHEN e.cell_id IS NOT NULL THEN concat('ENVIRONMENT-CELL-', substr(e.cell_id, 2)) END AS finding_id,
+  CASE WHEN e.cell_id IS NOT NULL THEN CASE WHEN robust_residential OR robust_candidate THEN 'candidate' ELSE 'context' END END AS finding_status,
+  CASE WHEN e.cell_id IS NOT NULL THEN concat('P25判定は「', {text_case(profile.STATE_TEXT, "aggregate_state")}, '」。好条件', favorable_pillars, '、注意', caution_pillars, '、判明', known_pillars, '/4柱。 ',
+    CASE WHEN robust_residential AND core_zone THEN trim(concat('{profile.CORE_CANDIDATE} ', coalesce(zone_id, ''))) WHEN robust_residential THEN trim(concat('{profile.SPOT_CANDIDATE} ', coalesce(zone_id, '')))
+         WHEN robust_candidate THEN '{profile.ENVIRONMENT_ONLY}' ELSE '{profile.NOT_ROBUST}' END, '。 周囲の頑健候補比率は300m ', {pct("share_300m")}, '、500m ', {pct("share_500m")}, '。 住宅文脈は「',
+    {text_case(profile.TIER_TEXT, "residential_tier")}, '」。 ', CASE plateau_status WHEN 'UNKNOWN_SOURCE_TILE_404' THEN '{profile.PLATEAU_HOLE}' WHEN 'EXPLICIT_NO_BUILDINGS' THEN '{profile.PLATEAU_EMPTY}' ELSE '{profile.PLATEAU_CONNECTED}' END) END AS explanation
+ FROM {POINTS_SQL} p LEFT JOIN {ENVIRONMENT_SQL} e ON p.cell_id = e.cell_id)"""
+LAYER = ("point_id", "availability", "coverage_status", "finding_id", "finding_status", "explanation")
+
+
+@query("environment_layer", f"SELECT * FROM {ENV_LAYER_SQL}")
+def environment_layer(spark, sf_dir):
+    return profile.environment_layer(points(spark, sf_dir), environment(spark, sf_dir)).select(*LAYER)
+
+
+MOISTURE_LAYER_SQL = f"""(SELECT p.point_id, CASE WHEN m.cell_id IS NULL THEN 'not_applicable' WHEN m.coverage_status = 'outside_jurisdiction_adapter_coverage' THEN 'partial' ELSE 'available' END AS availability,
+  CASE WHEN m.cell_id IS NULL THEN 'unknown' WHEN m.coverage_status = 'full_single_class' THEN 'complete_for_defined_sources' WHEN m.coverage_status = 'outside_jurisdiction_adapter_coverage' THEN 'source_limited' ELSE 'partial_known_sources' END AS coverage_status,
+  CASE WHEN m.cell_id IS NOT NULL THEN concat('MOISTURE-CELL-', substr(m.cell_id, 2)) END AS finding_id, CASE WHEN m.cell_id IS NOT NULL THEN 'context' END AS finding_status,
+  CASE WHEN m.cell_id IS NOT NULL THEN concat('水・湿気の確認目安は「', {text_case(profile.ATTENTION_TEXT, "attention_class")}, '」。地域地下水は「', {text_case(profile.GROUNDWATER_TEXT, "groundwater_band")},
+    '」、歴史水・地形の文脈は「', {text_case(profile.WATER_TEXT, "historical_water_context")}, '」。これは100mセルの居住確認用contextで、地下水モデル値を敷地直下の実測水位とは扱いません。') END AS explanation,
+  CASE WHEN public_evidence_status <> 'materialized' THEN '{profile.PENDING_NOTE}' END AS warning
+ FROM {POINTS_SQL} p LEFT JOIN {MOISTURE_SQL} m ON p.cell_id = m.cell_id)"""
+
+
+@query("moisture_layer", f"SELECT * FROM {MOISTURE_LAYER_SQL}")
+def moisture_layer(spark, sf_dir):
+    return profile.moisture_layer(points(spark, sf_dir), moisture(spark, sf_dir)).select(*LAYER, "warning")
+
+
+GRID_ROWS_SQL = f"(SELECT max(grid_row) + 1 FROM {CATALOG_SQL})"
+LABELS = "['判定材料不足', 'イヤシロチ候補', 'ケガレチ候補', '普通地', '高低混在', '通常・弱い傾向']"
+CATALOG_LAYER_SQL = f"""(SELECT point_id, CASE WHEN NOT inside THEN 'not_applicable' WHEN known THEN 'available' ELSE 'partial' END AS availability,
+  CASE WHEN NOT inside THEN 'unknown' WHEN known THEN 'complete_for_defined_sources' ELSE 'source_limited' END AS coverage_status,
+  CASE WHEN known THEN concat('CATALOG-CELL-', substr(cell_id, 2)) END AS finding_id, CASE WHEN known THEN 'context' END AS finding_status,
+  CASE WHEN known THEN concat('CATALOG凍結セル判定: ', {LABELS}[label_code + 1]) END AS title,
+  CASE WHEN known THEN concat('原典判定 ', coalesce(CAST(original_score AS VARCHAR), '—'), '、原典適合 —、補助地形 —、詳細 ', coalesce(CAST(detail_score AS VARCHAR), '—'),
+    '、周辺 —、信頼度 —。CATALOGは独立レンズとして表示し、他ProjectのFactと平均・加算しません。') END AS explanation
+ FROM (SELECT p.*, v.label_code, v.detail_score, v.original_score, p.grid_row < {GRID_ROWS_SQL} AS inside,
+    p.grid_row < {GRID_ROWS_SQL} AND v.label_code IS NOT NULL AS known FROM {POINTS_SQL} p LEFT JOIN {CATALOG_SQL} v ON p.cell_id = v.cell_id))"""
+
+
+def catalog_rows(spark, sf_dir):
+    cells = catalog(spark, sf_dir)
+    rows = cells.agg(F.max("grid_row") + 1).scalar()
+    return profile.catalog_layer(points(spark, sf_dir), cells, rows, 462)
+
+
+@query("catalog_layer", f"SELECT * FROM {CATALOG_LAYER_SQL}")
+def catalog_layer(spark, sf_dir):
+    return catalog_rows(spark, sf_dir).select(*LAYER, "title")
+
+
+PLACE_SQL = f"""(SELECT p.point_id, coalesce(i.index_status, 'NO_INDEXED_CANDIDATE_SOURCE_LIMITED') AS cell_closure_status, false AS absence_claim_allowed,
+  coalesce(c.raw_link_count, 0) AS raw_link_count, coalesce(c.hidden_count, 0) AS hidden_count, coalesce(f.finding_count, 0) AS finding_count,
+  coalesce(i.total_links, 0) AS indexed_links FROM {POINTS_SQL} p LEFT JOIN {SPARSE_SQL} i ON p.cell_id = i.cell_id
+ LEFT JOIN (SELECT cell_id, count(*) AS raw_link_count, count(*) FILTER (NOT coalesce({VISIBLE}, false)) AS hidden_count FROM {LINKS.sql} GROUP BY 1) c ON p.cell_id = c.cell_id
+ LEFT JOIN (SELECT cell_id, count(*) AS finding_count FROM {FINDINGS_SQL} GROUP BY 1) f ON p.cell_id = f.cell_id)"""
+
+
+def place_rows(spark, sf_dir):
+    return profile.place_layer(points(spark, sf_dir), sparse_index(spark, sf_dir), LINKS.frame(spark, sf_dir), "public")
+
+
+@query("place_layer", f"SELECT * FROM {PLACE_SQL}")
+def place_layer(spark, sf_dir):
+    return place_rows(spark, sf_dir).select(
+        "point_id", "cell_closure_status", "absence_claim_allowed", "raw_link_count", "hidden_count", "finding_count",
+        "indexed_links",
+    )
+
+
+STAGED = [
+    ("terrain_history", "TERRAIN", "partial", "Contracts are staged; missing evidence remains unknown."),
+    ("folklore", "FOLKLORE", "partial", "Partial, cohort-backed."),
+    ("boundary", "BOUNDARY", "not_available", "Release pending."),
+]
+STAGED_VALUES = ", ".join(
+    f"('{a}', '{b}', '{s}', '{n}', '{'source_limited' if s == 'partial' else 'unknown'}', '{'ADAPTER_STAGED' if s == 'partial' else 'FORMAL_RELEASE_PENDING'}')"
+    for a, b, s, n in STAGED
+)
+
+
+@query(
+    "staged_layers",
+    f"""SELECT point_id, s.*, 'none' AS scoring_effect FROM {PROFILE_POINTS.sql},
+(VALUES {STAGED_VALUES}) s(layer_id, project, availability, warning, coverage_status, integration_state)""",
+)
+def staged_layers(spark, sf_dir):
+    return profile.staged_layers(points(spark, sf_dir), STAGED).drop("dataset_version")
+
+
+@query(
+    "query_anchor",
+    f"""SELECT point_id, printf('query:%.6f,%.6f', lat, lng) AS anchor_id, CASE WHEN m THEN 'address_point' ELSE 'representative_point' END AS anchor_type,
+  CASE WHEN m THEN 'GSI_ADDRESS_POINT' ELSE 'COORDINATE_INPUT' END AS precision_class, CASE WHEN m THEN 100 END AS uncertainty_m,
+  CASE WHEN m THEN 'GSI_ADDRESS_SEARCH' ELSE 'USER_COORDINATE' END AS anchor_source, matched_address, cell_id FROM (SELECT *, matched_address IS NOT NULL AS m FROM {POINTS_SQL})""",
+)
+def query_anchor(spark, sf_dir):
+    return profile.query_anchor(PROFILE_POINTS.frame(spark, sf_dir)).drop("lat", "lng")
+
+
+@query(
+    "location_profile",
+    f"""WITH l AS (
+  SELECT point_id, 'environment' AS layer_id, availability, coverage_status, finding_status FROM {ENV_LAYER_SQL}
+  UNION ALL SELECT point_id, 'moisture', availability, coverage_status, finding_status FROM {MOISTURE_LAYER_SQL}
+  UNION ALL SELECT point_id, 'catalog', availability, coverage_status, finding_status FROM {CATALOG_LAYER_SQL}
+  UNION ALL SELECT point_id, 'places', 'partial', 'partial_known_sources', NULL FROM {PLACE_SQL}
+  UNION ALL SELECT point_id, s.layer_id, s.availability, s.coverage_status, NULL FROM {PROFILE_POINTS.sql}, (VALUES {STAGED_VALUES}) s(layer_id, project, availability, warning, coverage_status, integration_state)),
+a AS (SELECT point_id, string_agg(concat(layer_id, '=', availability, '/', coverage_status), '|' ORDER BY layer_id) AS layers,
+  count(*) FILTER (finding_status IN ('source_backed_review', 'candidate')) AS review, count(*) FILTER (finding_status IN ('context', 'excluded')) AS context FROM l GROUP BY 1)
+SELECT p.point_id, p.cell_id, a.layers, a.review, a.context, k.cell_closure_status, k.finding_count, 'PARTIAL_KNOWN_SOURCES' AS source_coverage_ceiling
+FROM {POINTS_SQL} p JOIN a USING (point_id) JOIN {PLACE_SQL} k USING (point_id)""",
+)
+def location_profile(spark, sf_dir):
+    """Whole profile plan: cell, four connected layers, staged layers, facts and coverage per point."""
+    cells = catalog(spark, sf_dir)
+    out = build_profile(
+        PROFILE_POINTS.frame(spark, sf_dir),
+        environment=environment(spark, sf_dir),
+        moisture=moisture(spark, sf_dir),
+        catalog=cells,
+        catalog_rows=cells.agg(F.max("grid_row") + 1).scalar(),
+        index=sparse_index(spark, sf_dir),
+        links=LINKS.frame(spark, sf_dir),
+        staged=STAGED,
+        audience="public",
+    )
+    brief = F.transform(
+        "layers", lambda x: F.concat(x["layer_id"], F.lit("="), x["availability"], F.lit("/"), x["coverage_status"])
+    )
+    return out.select(
+        "point_id", "cell_id", F.array_join(brief, "|").alias("layers"), "review", "context", "cell_closure_status",
+        "finding_count", "source_coverage_ceiling",
+    )
+
+
+#: Layers and findings with deliberate breaks of the contract.
+BROKEN_LAYERS = "SELECT o_custkey AS point_id, CONCAT('L', CAST(o_orderkey % 40 AS STRING)) AS layer_id, CASE WHEN o_orderkey % 101 = 0 THEN 'score' ELSE 'none' END AS scoring_effect FROM {orders}"
+BROKEN_FINDINGS = "SELECT o_custkey AS point_id, 'L1' AS layer_id, CASE WHEN o_orderkey % 89 = 0 THEN '' ELSE CONCAT('F', CAST(o_orderkey % 60 AS STRING)) END AS finding_id FROM {orders}"
+BROKEN_POINTS = "SELECT c_custkey AS point_id, c_acctbal / 50e0 AS lat, 139e0 AS lng, CONCAT('g', CAST(c_custkey % 9 AS STRING)) AS anchor_cell_id, CONCAT('g', CAST(c_custkey % 7 AS STRING)) AS cell_id FROM {customer}"
+
+
+def duck(text: str) -> str:
+    return "(" + text.replace("{", "").replace("}", "").replace("STRING", "VARCHAR") + ")"
+
+
+@query(
+    "profile_violations",
+    f"""SELECT 'duplicate_layer' AS rule, concat_ws('::', point_id, layer_id) AS subject, count(*) AS n FROM {duck(BROKEN_LAYERS)} GROUP BY 2 HAVING count(*) > 1
+UNION ALL SELECT 'duplicate_finding', concat_ws('::', point_id, layer_id, finding_id), count(*) FROM {duck(BROKEN_FINDINGS)} WHERE finding_id <> '' GROUP BY 2 HAVING count(*) > 1
+UNION ALL SELECT 'empty_finding_id', concat_ws('::', point_id, layer_id), 1 FROM {duck(BROKEN_FINDINGS)} WHERE finding_id = ''
+UNION ALL SELECT 'scoring_layer', concat_ws('::', point_id, layer_id), 1 FROM {duck(BROKEN_LAYERS)} WHERE scoring_effect <> 'none'
+UNION ALL SELECT 'cell_mismatch', CAST(point_id AS VARCHAR), 1 FROM {duck(BROKEN_POINTS)} WHERE anchor_cell_id <> cell_id
+UNION ALL SELECT 'bad_coordinate', CAST(point_id AS VARCHAR), 1 FROM {duck(BROKEN_POINTS)} WHERE lat NOT BETWEEN -90 AND 90""",
+)
+def profile_violations(spark, sf_dir):
+    frame = lambda text: View(text).frame(spark, sf_dir)
+    return quality.profile_violations(frame(BROKEN_POINTS), frame(BROKEN_LAYERS), frame(BROKEN_FINDINGS))
+
+

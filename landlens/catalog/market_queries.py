@@ -10,7 +10,7 @@ from landlens.catalog.inputs import LISTINGS, SMALL_TOWNS
 from landlens.functions.numeric import half_up
 from landlens.functions.text import normalize_town
 from landlens.operators import market
-from landlens.session import cut_lineage
+from landlens.session import cut_lineage, widen
 
 GATES_SQL = f"""(SELECT *, CASE WHEN area > 0 THEN total / area END AS per_sqm,
    CASE WHEN total IS NULL THEN 'unknown' WHEN total <= 170000 THEN 'pass' ELSE 'fail' END AS gate_total,
@@ -83,7 +83,7 @@ KEYED_SQL = f"(SELECT *, {town_sql('town')} AS town_key FROM {LISTINGS.sql})"
 
 
 def keyed_listings(spark, sf_dir):
-    return LISTINGS.frame(spark, sf_dir).withColumn("town_key", normalize_town(F.col("town")))
+    return widen(LISTINGS.frame(spark, sf_dir)).withColumn("town_key", normalize_town(F.col("town")))
 
 
 def _town_select(source: str) -> str:
@@ -125,7 +125,7 @@ m AS (SELECT text_key, town_key FROM (
 
 
 def with_text(spark, sf_dir):
-    rows = LISTINGS.frame(spark, sf_dir).withColumn("raw", F.expr(TEXT))
+    rows = widen(LISTINGS.frame(spark, sf_dir)).withColumn("raw", F.expr(TEXT))
     return rows.withColumn("text_key", normalize_town(F.col("raw")))
 
 

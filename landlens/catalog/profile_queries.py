@@ -116,17 +116,21 @@ SOURCE_COLUMNS = "cell_id, source_project AS project, source_pointer AS pointer,
 SOURCES = f"SELECT {SOURCE_COLUMNS} FROM (SELECT *, length(intake_id) AS l FROM {{links}})"
 
 
+#: Explicit sources name documents by the title's length, which meets some of the links' pointers.
+EXPLICIT = "cell_id, project, concat('src:', CAST(length(title) AS STRING)) AS pointer, version, concat('explicit ', title) AS title, ord"
+
+
 @query(
     "dedupe_sources",
-    f"""WITH e AS (SELECT * EXCLUDE (title), concat('explicit ', title) AS title, 0 AS side FROM ({SOURCES.replace("{links}", LINKS.sql)}) WHERE version IS NULL),
-f AS (SELECT *, 1 AS side FROM ({SOURCES.replace("{links}", LINKS.sql)}) WHERE title LIKE '%7%')
+    f"""WITH f AS ({SOURCES.replace("{links}", LINKS.sql)}), e AS (SELECT {EXPLICIT.replace("STRING", "VARCHAR")} FROM f)
 SELECT cell_id, project, pointer, version, title, concat_ws('::', project, pointer, coalesce(version, '')) AS source_key FROM (
-  SELECT *, row_number() OVER (PARTITION BY cell_id, project, pointer, version ORDER BY side DESC, ord DESC) AS k FROM (SELECT * FROM e UNION ALL BY NAME SELECT * FROM f)) WHERE k = 1""",
+  SELECT *, row_number() OVER (PARTITION BY cell_id, project, pointer, version ORDER BY side DESC, ord DESC) AS k
+  FROM (SELECT *, 0 AS side FROM e UNION ALL BY NAME SELECT *, 1 AS side FROM f)) WHERE k = 1""",
 )
 def dedupe_sources(spark, sf_dir):
     rows = spark.sql(SOURCES, links=LINKS.frame(spark, sf_dir))
-    explicit = rows.filter("version IS NULL").withColumn("title", F.concat(F.lit("explicit "), "title"))
-    return profile.dedupe_sources(explicit, rows.filter("title LIKE '%7%'"), key="cell_id")
+    explicit = spark.sql(f"SELECT {EXPLICIT} FROM {{rows}}", rows=rows)
+    return profile.dedupe_sources(explicit, rows, key="cell_id")
 
 
 def text_case(table: dict[str, str], column: str) -> str:

@@ -7,10 +7,12 @@ Spark can broadcast the elevation table the groupings reuse the first partitioni
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from landlens.functions.geo import point_at, tile_pixel
+from landlens.functions.geo import METERS_PER_DEGREE, offset_point, world_pixel
 from landlens.functions.labels import INSUFFICIENT, live_label_code
 from landlens.functions.numeric import array_mad, axis_angle, clamp, half_up, let, union_prob
 from landlens.session import lookup_join, spread
@@ -28,29 +30,53 @@ MIN_ANGLE = 25.0
 PLACE = ["lat", "lng"]
 
 
+def _units(bearing: float) -> tuple[float, float]:
+    """East and north share of one metre along a bearing."""
+    return math.sin(math.radians(bearing)), math.cos(math.radians(bearing))
+
+
+#: Sample slots around a position: centre (0), eight inner (1-8) and eight outer (9-16), as constants of the plan.
+SLOTS = [(0, 0, 0.0, 0.0)] + [
+    (base + i, ring, *_units(a)) for base, ring in ((1, 1), (9, 2)) for i, a in enumerate(RING)
+]
+
+
 def ring_samples(positions: DataFrame) -> DataFrame:
-    """Centre (slot 0), eight inner (1-8) and eight outer (9-16) sample points around each position.
+    """Centre (slot 0), inner (1-8) and outer (9-16) sample points around each position.
 
-    ``positions`` carries ``at_lat``, ``at_lng`` and ``scale``; the samples replace the first two.
+    ``positions`` carries ``at_lat``, ``at_lng`` and ``scale``; the samples replace the first two. What depends on the
+    position only is computed before its row is multiplied.
     """
     scale = F.col("scale").cast("double")
-    inner, outer = F.greatest(F.lit(35.0), scale / 6.0), scale / 2.0
-    slots = [F.struct(F.lit(0).alias("slot"), F.lit(0.0).alias("bearing"), F.lit(0.0).alias("distance"))]
-    for base, distance in ((1, inner), (9, outer)):
-        slots += [
-            F.struct(F.lit(base + i).alias("slot"), F.lit(a).alias("bearing"), distance.alias("distance"))
-            for i, a in enumerate(RING)
+    slots = F.array(
+        *[
+            F.struct(F.lit(s).alias("slot"), F.lit(r).alias("ring"), F.lit(e).alias("east"), F.lit(n).alias("north"))
+            for s, r, e, n in SLOTS
         ]
-    rows = positions.withColumn("_s", F.explode(F.array(*slots)))
-    at = point_at(F.col("at_lat"), F.col("at_lng"), F.col("_s.distance"), F.col("_s.bearing"))
+    )
     keys = [c for c in positions.columns if c not in {"at_lat", "at_lng"}]
-    return rows.select(*keys, F.col("_s.slot").alias("slot"), at.lat.alias("s_lat"), at.lng.alias("s_lng"))
+    rows = positions.select(
+        *keys,
+        "at_lat",
+        "at_lng",
+        F.greatest(F.lit(35.0), scale / 6.0).alias("_inner"),
+        (scale / 2.0).alias("_outer"),
+        (F.lit(METERS_PER_DEGREE) * F.greatest(F.lit(0.2), F.cos(F.radians("at_lat")))).alias("_lng_m"),
+        F.explode(slots).alias("_s"),
+    )
+    distance = F.when(F.col("_s.ring") == 2, F.col("_outer")).otherwise(F.col("_inner"))
+    return rows.select(
+        *keys,
+        F.col("_s.slot").alias("slot"),
+        (F.col("at_lat") + F.col("_s.north") * distance / F.lit(METERS_PER_DEGREE)).alias("s_lat"),
+        (F.col("at_lng") + F.col("_s.east") * distance / F.col("_lng_m")).alias("s_lng"),
+    )
 
 
 def global_pixel(lat: Column, lng: Column, zoom: int) -> tuple[Column, Column]:
-    """Whole global pixel (row, col): one compact key for tile and pixel together."""
-    p = tile_pixel(lat, lng, zoom)
-    return p.y * 256 + p.py, p.x * 256 + p.px
+    """Whole global pixel (row, col): one compact key for tile and pixel together (tile * 256 + pixel)."""
+    x, y = world_pixel(lat, lng, zoom)
+    return F.floor(y).cast("int"), F.floor(x).cast("int")
 
 
 def sample_elevations(samples: DataFrame, dem: DataFrame, zoom: int) -> DataFrame:
@@ -112,24 +138,29 @@ def scale_gate() -> Column:
 
 
 def anchors(places: DataFrame) -> DataFrame:
-    """Four anchors along each of twelve axes, for rows (lat, lng, scale)."""
+    """Four anchors along each of twelve axes, for rows (lat, lng, scale); ``anchor`` = 4 * axis + offset position."""
     slots = F.array(
         *[
             F.struct(
-                F.lit(a).alias("angle"),
-                F.lit(o).alias("offset"),
-                F.lit(a + 180.0 if o < 0 else a).alias("bearing"),
+                F.lit(len(OFFSETS) * i + k).alias("anchor"),
+                F.lit(_units(a)[0] * o).alias("east"),
+                F.lit(_units(a)[1] * o).alias("north"),
             )
-            for a in AXES
-            for o in OFFSETS
+            for i, a in enumerate(AXES)
+            for k, o in enumerate(OFFSETS)
         ]
     )
     rows = places.select(*PLACE, "scale", F.explode(slots).alias("o"))
-    at = point_at(F.col("lat"), F.col("lng"), F.abs(F.col("o.offset")) * F.col("scale"), F.col("o.bearing"))
+    at = offset_point(F.col("lat"), F.col("lng"), F.col("o.east") * F.col("scale"), F.col("o.north") * F.col("scale"))
     return rows.select(
-        *PLACE, "scale", F.col("o.angle").alias("angle"), F.col("o.offset").alias("offset"),
-        at.lat.alias("at_lat"), at.lng.alias("at_lng"),
-    )
+        *PLACE, "scale", F.col("o.anchor").alias("anchor"), at.lat.alias("at_lat"), at.lng.alias("at_lng")
+    )
+
+
+def anchor_axis(anchor: Column) -> tuple[Column, Column]:
+    """(axis angle in degrees, offset position 0..3)."""
+    n = len(OFFSETS)
+    return F.floor(anchor / F.lit(n)) * F.lit(AXES[1] - AXES[0]), F.pmod(anchor, F.lit(n))
 
 
 def line_quality(anchor_terrain: DataFrame, scales=SCALES) -> DataFrame:
@@ -139,8 +170,9 @@ def line_quality(anchor_terrain: DataFrame, scales=SCALES) -> DataFrame:
         floor = floor.when(F.col("scale") == scale, threshold * 0.35)
     threshold = F.greatest(floor, F.greatest(F.lit(0.5), F.col("mad")) * 0.15)
     good = F.col("tpi").isNotNull() & (F.col("relief") >= 3.0) & (F.col("coverage") >= 0.65)
+    angle, offset = anchor_axis(F.col("anchor"))
     rows = anchor_terrain.withColumn("_t", threshold).select(
-        *PLACE, "scale", "angle", "offset",
+        *PLACE, "scale", angle.alias("angle"), offset.alias("offset"),
         (good & (F.col("tpi") >= F.col("_t"))).alias("high"),
         (good & (F.col("tpi") <= -F.col("_t"))).alias("low"),
         clamp(F.abs("tpi") / (F.col("_t") * 2.0), 0.0, 1.0).alias("prominence"),
@@ -151,8 +183,8 @@ def line_quality(anchor_terrain: DataFrame, scales=SCALES) -> DataFrame:
         aggregates += [
             F.count(F.when(F.col(kind), 1)).alias(f"{kind}_n"),
             F.sum(F.when(F.col(kind), F.col("prominence"))).alias(f"{kind}_p"),
-            (at(F.col("offset") < 0) * at(F.col("offset") > 0)).alias(f"{kind}_both"),
-            (at(F.col("offset") == -1.5) * at(F.col("offset") == 1.5)).alias(f"{kind}_full"),
+            (at(F.col("offset") < 2) * at(F.col("offset") >= 2)).alias(f"{kind}_both"),
+            (at(F.col("offset") == 0) * at(F.col("offset") == 3)).alias(f"{kind}_full"),
         ]
     grouped = rows.groupBy(*PLACE, "scale", "angle").agg(*aggregates)
 
@@ -257,7 +289,7 @@ def scale_evidence(points: DataFrame, dem: DataFrame, zoom: int = 13, scales=SCA
     centre = centre_terrain(places, dem, zoom, scales)
     good = centre.filter(scale_gate()).select(*PLACE, "scale")
     terrain = local_terrain(
-        sample_elevations(ring_samples(anchors(good)), dem, zoom), [*PLACE, "scale", "angle", "offset"]
+        sample_elevations(ring_samples(anchors(good)), dem, zoom), [*PLACE, "scale", "anchor"]
     )
     crossings = scale_crossings(line_quality(terrain, scales))
     names = ("high_cross", "low_cross", "ordinary_cross")

@@ -10,7 +10,7 @@ from landlens.functions.labels import INSUFFICIENT, combined_label, risk_label,
 from landlens.functions.numeric import clamp, half_up
 from landlens.operators.live_terrain import global_pixel
 from landlens.operators.lookups import ground_lookup
-from landlens.session import lookup_join
+from landlens.session import lookup_join, widen
 from landlens.sources.pixels import color_distance
 
 # Flood depth colours (rgb, score, label), alpha and distance limits.
@@ -155,7 +155,7 @@ def hazard_pixels(points: DataFrame, hazards: DataFrame, zoom: int = 15) -> Data
     pixels that some point needs are folded.
     """
     gy, gx = global_pixel(F.col("lat"), F.col("lng"), zoom)
-    placed = points.withColumn("gy", gy).withColumn("gx", gx)
+    placed = widen(points).withColumn("gy", gy).withColumn("gx", gx)
     needed = placed.select("gy", "gx").distinct()
     layers = [*WATER_KEYS, "landslide", "wetland"]
     pixel = F.struct("r", "g", "b", "a")

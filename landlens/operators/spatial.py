@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from landlens.functions.geo import METERS_PER_DEGREE, planar_distance
 from landlens.functions.numeric import half_even
-from landlens.session import lookup_join
+from landlens.session import lookup_join, widen
 
 #: Latitude up to which bucket widths are exact; the cosine floor of the distance makes 0.2 always safe.
 MAX_LATITUDE = 78.0
@@ -69,7 +69,7 @@ def nearest_cell(
         .groupBy("_br", "_bc")
         .agg(F.collect_list(entry).alias("_near"))
     )
-    placed = points.withColumn("_br", row).withColumn("_bc", col)
+    placed = widen(points).withColumn("_br", row).withColumn("_bc", col)
     joined = lookup_join(placed, by_bucket, ["_br", "_bc"]).drop("_br", "_bc")
     lat, lng = F.col("lat"), F.col("lng")
     inside = F.filter(
@@ -114,7 +114,7 @@ def nearby_best(cells: DataFrame, hotspots: DataFrame, radius_m: float = 1000.0)
     by_bucket = spots.groupBy("region_id", "_br", "_bc").agg(
         F.collect_list(F.struct("detail_score", "hotspot_index", "east", "north")).alias("_near")
     )
-    placed = cells.withColumn("_br", bucket("north")).withColumn("_bc", bucket("east"))
+    placed = widen(cells).withColumn("_br", bucket("north")).withColumn("_bc", bucket("east"))
     joined = lookup_join(placed, by_bucket, ["region_id", "_br", "_bc"]).drop("_br", "_bc")
     candidates = F.transform(
         F.col("_near"),

@@ -52,6 +52,19 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(parallelism(df.sparkSession), *keys)
 
 
+def widen(df: DataFrame) -> DataFrame:
+    """Deal rows over all cores when the input is too small to give each core a split of its own.
+
+    For steps with costly expressions per row. Large inputs already come in enough splits and are left alone, as is
+    anything whose size the session cannot tell.
+    """
+    size = input_bytes(df)
+    spark = df.sparkSession
+    split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()) if size is not None else 0
+    cores = spark.sparkContext.defaultParallelism if size is not None else 0
+    return df.repartition(cores) if size is not None and size < split * cores else df
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Checkpoint to the shared folder named in ``spark.checkpoint.dir``; set a folder only when none is set."""
     sc = df.sparkSession.sparkContext

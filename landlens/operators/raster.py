@@ -56,7 +56,7 @@ def _pass(df: DataFrame, along: str, across: str, size: Column, pairs: list[tupl
     inputs = sorted({source for source, _, _ in pairs})
     outputs = [name for _, name, _ in pairs]
 
-    def smooth(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def smooth(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         band, part, size_ = int(key[0]), int(key[1]), int(pdf["_size"].iat[0])
         first = part * segment
         length = min(segment, size_ - first)

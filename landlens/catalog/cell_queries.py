@@ -9,6 +9,7 @@ from landlens.catalog.inputs import CATALOG_RAW, ENVIRONMENT_RAW, GRID_CELLS, LI
 from landlens.functions.numeric import half_up
 from landlens.operators import discovery, filters, lookups, quality
 from landlens.operators.profile import NO_INDEX
+from landlens.session import cut_lineage
 from landlens.sources import packed
 
 
@@ -272,7 +273,7 @@ WHERE position <= CASE queue WHEN 'uncertainty' THEN 60 ELSE 30 END""",
 )
 def queue_items(spark, sf_dir):
     queued = discovery.research_queues(lensed(spark, sf_dir)).select("queue", "sample_id")
-    return discovery.queue_items(queued)
+    return discovery.queue_items(cut_lineage(queued))
 
 
 @query(

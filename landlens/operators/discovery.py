@@ -51,23 +51,26 @@ def lens_join(
 ) -> DataFrame:
     """Samples with four per-cell lenses; a sample is never dropped, absent lenses read UNKNOWN or default.
 
-    The lenses are first folded into one row per cell, so the samples are shuffled once instead of four times.
-    Each lens has one row per cell.
+    Each lens has one row per cell. The lenses are stacked and folded into one row per cell with a single shuffle, and
+    the samples meet that table in one join.
     """
-    lenses = (
-        catalog.select("cell_id", F.col("label_code").alias("catalog_label"), F.col("detail_score").alias("catalog_detail"))
-        .join(
-            moisture.select("cell_id", "attention_class", F.col("confidence").alias("moisture_confidence")),
-            "cell_id",
-            "full",
-        )
-        .join(
-            environment.select("cell_id", "aggregate_state", "robust_candidate", "share_300m", "share_500m"),
-            "cell_id",
-            "full",
-        )
-        .join(places.select("cell_id", "total_links", "index_status"), "cell_id", "full")
-    )
+    columns = {
+        "catalog_label": (catalog, "label_code"),
+        "catalog_detail": (catalog, "detail_score"),
+        "attention_class": (moisture, "attention_class"),
+        "moisture_confidence": (moisture, "confidence"),
+        "aggregate_state": (environment, "aggregate_state"),
+        "robust_candidate": (environment, "robust_candidate"),
+        "share_300m": (environment, "share_300m"),
+        "share_500m": (environment, "share_500m"),
+        "total_links": (places, "total_links"),
+        "index_status": (places, "index_status"),
+    }
+    stacked = None
+    for lens in (catalog, moisture, environment, places):
+        part = lens.select("cell_id", *[F.col(c).alias(n) for n, (owner, c) in columns.items() if owner is lens])
+        stacked = part if stacked is None else stacked.unionByName(part, allowMissingColumns=True)
+    lenses = stacked.groupBy("cell_id").agg(*[F.max(n).alias(n) for n in columns])
     joined = lookup_join(samples, lenses, ["cell_id"])
     return joined.select(
         *samples.columns,

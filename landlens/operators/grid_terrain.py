@@ -267,8 +267,11 @@ def score_sites(
     scales=SCALES,
     **extent,
 ) -> DataFrame:
-    """Whole grid scoring for sites (site_id, east, north) over one elevation raster (row, col, value)."""
-    surfaces = terrain_surfaces(dem, mpp, scales, **extent)
+    """Whole grid scoring for sites (site_id, east, north) over one elevation raster (row, col, value).
+
+    The smoothed surfaces feed the slope, the axes and the sites, so they are written out once.
+    """
+    surfaces = cut_lineage(terrain_surfaces(dem, mpp, scales, **extent))
     slope = rs.gradient_slope(surfaces.select("row", "col", F.col("smooth").alias("value")), mpp, **extent)
     axes = line_axes(surfaces, axis_samples(sites, centre, zoom, origin, scales), scales)
     combined = combine_scales(axis_crossings(axes), scales)

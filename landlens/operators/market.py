@@ -143,26 +143,54 @@ def sample_quality(units: Column, buildings: Column) -> Column:
     )
 
 
-def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float]) -> DataFrame:
-    """Linear-interpolated quantiles per group, safe for a group that holds much of the data.
+def value_counts(df: DataFrame, keys: list[str], numbers: list[str], identities: list[str]) -> DataFrame:
+    """Distinct values per group of several columns at once: (keys, metric, number, identity, n).
 
-    Equal values are counted first; the ordered pass then sees one row per distinct value and keeps only running
-    counts, so no group is ever held in memory.
+    One scan and one shuffle of already counted values serve every quantile and distinct count of a group.
+    """
+    entries = [
+        F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("number"), F.lit(None).cast("string").alias("identity"))
+        for c in numbers
+    ] + [
+        F.struct(F.lit(c).alias("metric"), F.lit(None).cast("double").alias("number"), F.col(c).cast("string").alias("identity"))
+        for c in identities
+    ]
+    rows = df.select(*keys, F.explode(F.array(*entries)).alias("_e")).select(*keys, "_e.*")
+    known = rows.filter(F.col("number").isNotNull() | F.col("identity").isNotNull())
+    return known.groupBy(*keys, "metric", "number", "identity").agg(F.count(F.lit(1)).alias("n"))
+
+
+def quantiles_of(counted: DataFrame, keys: list[str], probs: dict[str, tuple[str, float]]) -> DataFrame:
+    """Linear-interpolated quantiles from :func:`value_counts`; ``probs``: output name to (metric, probability).
+
+    The ordered pass sees one row per distinct value and keeps running counts only, so a group that holds much of the
+    data is never gathered in memory.
     """
-    counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
-    ordered = Window.partitionBy(*keys).orderBy(value)
-    running = counted.withColumn("_end", F.sum("_n").over(ordered)).withColumn("_start", F.col("_end") - F.col("_n"))
-    totals = counted.groupBy(*keys).agg(F.sum("_n").alias("_total"))
-    ranked = running.join(totals, keys)
-    out, final = [], []
-    for name, p in probs.items():
+    numeric = counted.filter(F.col("number").isNotNull())
+    ordered = Window.partitionBy(*keys, "metric").orderBy("number")
+    running = numeric.withColumn("_end", F.sum("n").over(ordered)).withColumn("_start", F.col("_end") - F.col("n"))
+    totals = numeric.groupBy(*keys, "metric").agg(F.sum("n").alias("_total"))
+    ranked = running.join(totals, [*keys, "metric"])
+    picks, out = [], []
+    for name, (metric, p) in probs.items():
         position = (F.col("_total") - 1) * F.lit(p)
-        at = lambda i: F.max(F.when((F.col("_start") <= i) & (i < F.col("_end")), F.col(value)))
-        out += [at(F.floor(position)).alias(f"_lo_{name}"), at(F.ceil(position)).alias(f"_hi_{name}")]
-        share = (F.col("_total") - 1) * F.lit(p) - F.floor((F.col("_total") - 1) * F.lit(p))
+        at = lambda i: F.max(
+            F.when((F.col("metric") == metric) & (F.col("_start") <= i) & (i < F.col("_end")), F.col("number"))  # noqa: B023
+        )
+        share = F.max(F.when(F.col("metric") == metric, position - F.floor(position)))
+        picks += [
+            at(F.floor(position)).alias(f"_lo_{name}"),
+            at(F.ceil(position)).alias(f"_hi_{name}"),
+            share.alias(f"_s_{name}"),
+        ]
         low, high = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
-        final.append((low + (high - low) * share).alias(name))
-    return ranked.groupBy(*keys, "_total").agg(*out).select(*keys, *final)
+        out.append((low + (high - low) * F.col(f"_s_{name}")).alias(name))
+    return ranked.groupBy(*keys).agg(*picks).select(*keys, *out)
+
+
+def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float]) -> DataFrame:
+    """Linear-interpolated quantiles of one column per group."""
+    return quantiles_of(value_counts(df, keys, [value], []), keys, {n: (value, p) for n, p in probs.items()})
 
 
 def town_market(listings: DataFrame) -> DataFrame:
@@ -171,30 +199,39 @@ def town_market(listings: DataFrame) -> DataFrame:
     ``listings``: town_key, building_id, total, area.
     """
     known = listings.filter(finite(F.col("total")).isNotNull() & (F.col("town_key") != ""))
-    counts = known.groupBy("town_key").agg(
-        F.count(F.lit(1)).alias("n"), F.count_distinct("building_id").alias("unique_buildings")
+    priced = known.withColumn("per_sqm", F.when(F.col("area") > 0, F.try_divide(F.col("total"), F.col("area"))))
+    counted = value_counts(priced, ["town_key"], ["total", "per_sqm"], ["building_id"])
+    counts = counted.groupBy("town_key").agg(
+        F.sum(F.when(F.col("metric") == "total", F.col("n"))).alias("n"),
+        F.count(F.when(F.col("metric") == "building_id", 1)).alias("unique_buildings"),
     )
-    totals = exact_quantiles(
-        known, ["town_key"], "total", {"p25_total": 0.25, "median_total": 0.5, "p75_total": 0.75}
+    quantiles = quantiles_of(
+        counted,
+        ["town_key"],
+        {
+            "p25_total": ("total", 0.25),
+            "median_total": ("total", 0.5),
+            "p75_total": ("total", 0.75),
+            "median_per_sqm": ("per_sqm", 0.5),
+        },
     )
-    priced = known.withColumn("per_sqm", F.when(F.col("area") > 0, F.try_divide(F.col("total"), F.col("area"))))
-    per_sqm = exact_quantiles(priced, ["town_key"], "per_sqm", {"median_per_sqm": 0.5})
-    return (
-        counts.join(totals, "town_key", "left")
-        .join(per_sqm, "town_key", "left")
-        .withColumn("sample_quality", sample_quality(F.col("n"), F.col("unique_buildings")))
+    return counts.join(quantiles, "town_key", "left").withColumn(
+        "sample_quality", sample_quality(F.col("n"), F.col("unique_buildings"))
     )
 
 
 def market_coverage(towns: DataFrame) -> DataFrame:
-    """One row over all towns: towns, units, median units per town and towns with fewer than five units."""
-    base = towns.agg(
-        F.count(F.lit(1)).alias("towns"),
-        F.sum("n").cast("bigint").alias("units"),
-        F.count(F.when(F.col("n") < 5, 1)).alias("towns_below_five"),
+    """One row over all towns: towns, units, median units per town and towns with fewer than five units.
+
+    Towns are counted by size first; the last step sees one row per distinct size.
+    """
+    sizes = towns.groupBy("n").agg(F.count(F.lit(1)).alias("_towns"))
+    return sizes.agg(
+        F.sum("_towns").alias("towns"),
+        F.sum(F.col("n") * F.col("_towns")).alias("units"),
+        F.coalesce(F.sum(F.when(F.col("n") < 5, F.col("_towns"))), F.lit(0)).alias("towns_below_five"),
+        F.percentile(F.col("n"), F.lit(0.5), F.col("_towns")).alias("median_units"),
     )
-    median = exact_quantiles(towns.withColumn("_all", F.lit(1)), ["_all"], "n", {"median_units": 0.5})
-    return base.withColumn("median_units", median.select("median_units").scalar())
 
 
 def town_match(texts: DataFrame, towns: DataFrame) -> DataFrame:

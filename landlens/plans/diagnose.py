@@ -13,7 +13,7 @@ from landlens.operators.live_terrain import analyze_theory
 from landlens.operators.lookups import municipality_of, theory_from_cell
 from landlens.operators.risk import combine_scores, modern_risk
 from landlens.operators.spatial import MAX_LATITUDE, nearest_cell
-from landlens.session import lookup_join
+from landlens.session import cut_lineage, lookup_join
 
 THEORY_COLUMNS = (
     "score", "label_code", "original_score", "original_fit", "auxiliary_score", "detail_score", "neighborhood_score",
@@ -35,6 +35,7 @@ def resolve_theory(points: DataFrame, dem: DataFrame, precomputed: Precomputed |
     """Theory of each point: from a precomputed cell where one is near, else from live analysis.
 
     Only the points without a cell reach the live chain, whose rows multiply; the split keeps the others out of it.
+    Both halves read the nearest-cell result, so it is written out once.
     """
     if precomputed is None:
         return analyze_theory(points, dem, zoom)
@@ -42,6 +43,7 @@ def resolve_theory(points: DataFrame, dem: DataFrame, precomputed: Precomputed |
         points, precomputed.cells.select("region_id", "cell_index", "lat", "lng"), precomputed.regions,
         max_step_m=precomputed.max_step_m, max_lat=precomputed.max_lat,
     )
+    near = cut_lineage(near)
     hits = near.filter(F.col("cell_index").isNotNull())
     misses = near.filter(F.col("cell_index").isNull()).select(*points.columns)
     known = theory_from_cell(hits, precomputed.cells, precomputed.hotspots, precomputed.regions)

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Input below this many bytes cannot hold a key heavy enough to need explicit salting; AQE splits it.
@@ -65,13 +66,30 @@ def widen(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if size is not None and size < split * cores else df
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """Folder that every executor can reach: the one named in ``spark.checkpoint.dir``, else the context's own.
+
+    Only a local session without any setting (as in tests) gets a temporary folder.
+    """
+    sc = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if folder is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
+        folder = tempfile.mkdtemp(prefix="landlens-")
+        sc.setCheckpointDir(folder)
+    return folder.rstrip("/")
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint to the shared folder named in ``spark.checkpoint.dir``; set a folder only when none is set."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="landlens-checkpoint-"))
-    return df.checkpoint()
+    """Compute once, write to the shared folder and read back.
+
+    A written table survives the loss of executors, and unlike a cached or checkpointed plan it gives later steps real
+    sizes to choose joins by and lets them read only the columns they use.
+    """
+    path = f"{shared_folder(df.sparkSession)}/landlens-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def lookup_join(
@@ -106,8 +124,3 @@ def lookup_join(
         "_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1))
     )
     return dealt.drop("_salts").join(copies.drop("_salts"), [*on, "_salt"], "left").drop("_salt")
-
-
-def first_of(agg: DataFrame) -> Column:
-    """A one-row, one-column aggregate as a scalar subquery (no join, no driver round trip)."""
-    return agg.scalar()

@@ -8,9 +8,8 @@ from landlens.catalog.base import query, six
 from landlens.catalog.geo_queries import AREAS_SQL, areas, town_sql
 from landlens.catalog.inputs import LISTINGS, SMALL_TOWNS
 from landlens.functions.numeric import half_up
-from landlens.functions.text import normalize_town
 from landlens.operators import market
-from landlens.session import cut_lineage, widen
+from landlens.session import cut_lineage
 
 GATES_SQL = f"""(SELECT *, CASE WHEN area > 0 THEN total / area END AS per_sqm,
    CASE WHEN total IS NULL THEN 'unknown' WHEN total <= 170000 THEN 'pass' ELSE 'fail' END AS gate_total,
@@ -83,7 +82,7 @@ KEYED_SQL = f"(SELECT *, {town_sql('town')} AS town_key FROM {LISTINGS.sql})"
 
 
 def keyed_listings(spark, sf_dir):
-    return widen(LISTINGS.frame(spark, sf_dir)).withColumn("town_key", normalize_town(F.col("town")))
+    return market.with_town_key(LISTINGS.frame(spark, sf_dir))
 
 
 def _town_select(source: str) -> str:
@@ -125,8 +124,7 @@ m AS (SELECT text_key, town_key FROM (
 
 
 def with_text(spark, sf_dir):
-    rows = widen(LISTINGS.frame(spark, sf_dir)).withColumn("raw", F.expr(TEXT))
-    return rows.withColumn("text_key", normalize_town(F.col("raw")))
+    return LISTINGS.frame(spark, sf_dir).withColumn("market_text", F.expr(TEXT))
 
 
 def towns_with_order(spark, sf_dir):
@@ -139,7 +137,8 @@ def towns_with_order(spark, sf_dir):
 
 @query("town_match", MATCH_SQL + " SELECT text_key, town_key FROM m")
 def town_match(spark, sf_dir):
-    texts = with_text(spark, sf_dir).filter("text_key <> ''").select("text_key").distinct()
+    texts = market.key_texts(with_text(spark, sf_dir), "market_text").filter("text_key <> ''")
+    texts = texts.select("text_key").distinct()
     return market.town_match(texts, towns_with_order(spark, sf_dir).select("town_key", "town_order"))
 
 

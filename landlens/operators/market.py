@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from landlens.functions.labels import comparison_label
 from landlens.functions.text import normalize_town, trimmed
-from landlens.session import lookup_join
+from landlens.session import cut_lineage, lookup_join, spread
 
 # Policy limits and sample-quality limits.
 MAX_TOTAL = 170_000.0
@@ -264,19 +264,36 @@ def town_match(texts: DataFrame, towns: DataFrame) -> DataFrame:
     return exact.unionByName(contained)
 
 
-def market_context(listings: DataFrame, towns: DataFrame) -> DataFrame:
+def key_texts(df: DataFrame, text: str) -> DataFrame:
+    """Distinct raw texts of a column with their town key (``text_key``), written once.
+
+    Texts repeat far more often than they differ, so the costly normalisation runs per distinct text. Writing the result
+    also keeps later filters on the key from being pushed down and evaluated again for every input row.
+    """
+    distinct = df.select(text).filter(F.col(text).isNotNull()).distinct()
+    return cut_lineage(spread(distinct, text).withColumn("text_key", normalize_town(F.col(text))))
+
+
+def with_town_key(listings: DataFrame, text: str = "town") -> DataFrame:
+    """Listings with ``town_key`` of a text column; no text gives an empty key."""
+    keys = key_texts(listings, text).withColumnRenamed("text_key", "town_key")
+    joined = lookup_join(listings, keys, [text])
+    return joined.withColumn("town_key", F.coalesce("town_key", F.lit("")))
+
+
+def market_context(listings: DataFrame, towns: DataFrame, text: str = "market_text") -> DataFrame:
     """Listings with their town's aggregate, difference from the median and comparison label.
 
-    ``listings``: text_key (normalised town or address), total; ``towns``: output of :func:`town_market` plus
-    ``town_order``. Listings without a town stay, with NULLs.
+    ``text`` names the column with the town or address; ``towns``: output of :func:`town_market` plus ``town_order``.
+    Matching happens once per distinct text. Listings without a town stay, with NULLs; ``text_key`` is empty without text.
     """
-    texts = listings.select("text_key").filter(F.col("text_key") != "").distinct()
-    matched = town_match(texts, towns.select("town_key", "town_order")).join(towns.drop("town_order"), "town_key")
-    joined = lookup_join(listings, matched, ["text_key"])
+    texts = key_texts(listings, text)
+    keys = texts.select("text_key").filter(F.col("text_key") != "").distinct()
+    matched = town_match(keys, towns.select("town_key", "town_order")).join(towns.drop("town_order"), "town_key")
+    joined = lookup_join(listings, texts.join(matched, "text_key", "left"), [text])
     difference = finite(F.col("total")) - F.col("median_total")
-    out = joined.withColumn("difference", difference).withColumn(
-        "difference_pct", F.try_divide(F.col("difference"), F.col("median_total"))
-    )
+    out = joined.withColumn("text_key", F.coalesce("text_key", F.lit(""))).withColumn("difference", difference)
+    out = out.withColumn("difference_pct", F.try_divide(F.col("difference"), F.col("median_total")))
     return out.withColumn("comparison", comparison_label(F.col("difference_pct"))).withColumn(
         "market_note",
         F.when(F.col("sample_quality") == "THIN", NOTE_THIN).when(F.col("sample_quality") == "REVIEW", NOTE_REVIEW),
@@ -321,7 +338,3 @@ def area_shortfall(areas: DataFrame) -> DataFrame:
         gap(TARGET_UNITS, "known_rent_units").alias("units_missing"),
         gap(TARGET_BUILDINGS, "distinct_buildings").alias("buildings_missing"),
     )
-
-
-def town_key(raw: Column, full_nfkc: bool = False) -> Column:
-    return normalize_town(raw, full_nfkc)

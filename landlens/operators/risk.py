@@ -152,19 +152,31 @@ def hazard_pixels(points: DataFrame, hazards: DataFrame, zoom: int = 15) -> Data
     """One pixel struct column per layer. ``hazards``: layer, gy, gx, r, g, b, a.
 
     The layers are folded into one row per pixel first, so points meet the rasters in a single join, and only the
-    pixels that some point needs are folded.
+    pixels that some point needs are folded. Colours travel as one number, which keeps the folding a plain hash
+    aggregate.
     """
     gy, gx = global_pixel(F.col("lat"), F.col("lng"), zoom)
     placed = widen(points).withColumn("gy", gy).withColumn("gx", gx)
     needed = placed.select("gy", "gx").distinct()
     layers = [*WATER_KEYS, "landslide", "wetland"]
-    pixel = F.struct("r", "g", "b", "a")
+    code = F.lit(0).cast("bigint")
+    for band in "rgba":
+        code = code * 256 + F.col(band)
     wide = (
         hazards.join(needed, ["gy", "gx"], "left_semi")
+        .select("gy", "gx", "layer", code.alias("_code"))
         .groupBy("gy", "gx")
-        .agg(*[F.max(F.when(F.col("layer") == k, pixel)).alias(k) for k in layers])
+        .agg(*[F.max(F.when(F.col("layer") == k, F.col("_code"))).alias(k) for k in layers])
     )
-    return lookup_join(placed, wide, ["gy", "gx"]).drop("gy", "gx")
+    joined = lookup_join(placed, wide, ["gy", "gx"])
+    return joined.select(*points.columns, *[_unpacked(F.col(k)).alias(k) for k in layers])
+
+
+def _unpacked(code: Column) -> Column:
+    """Pixel struct of a colour code."""
+    band = lambda shift: F.shiftright(code, shift).bitwiseAND(F.lit(255)).cast("int")
+    pixel = F.struct(*[band(s).alias(n) for n, s in zip("rgba", (24, 16, 8, 0))])
+    return F.when(code.isNotNull(), pixel)
 
 
 def risk_items(

@@ -95,12 +95,15 @@ def nearest_cell(
     )
 
 
-def nearby_best(cells: DataFrame, hotspots: DataFrame, radius_m: float = 1000.0) -> DataFrame:
+def nearby_best(
+    cells: DataFrame, hotspots: DataFrame, radius_m: float = 1000.0, key: tuple[str, ...] = ("region_id", "cell_index")
+) -> DataFrame:
     """Per cell the best hotspot of its region within a radius: highest score, then nearest, then highest index.
 
-    Both sides carry region_id and local metres ``east``/``north``. Cells with no hotspot get index -1 and a NULL
-    distance. Copies at one place are reduced to their best first and hotspots are spaced apart, so a bucket's array
-    stays small whatever the number of cells.
+    Both sides carry region_id and local metres ``east``/``north``; ``key`` identifies a cell. Cells with no hotspot get
+    index -1 and a NULL distance. Copies at one place are reduced to their best first and hotspots are spaced apart, so
+    a bucket's array stays small whatever the number of cells. A cell's candidates are compared inside the task that
+    holds the cell: only its best one is shuffled.
     """
     bucket = lambda c: F.floor(F.col(c) / F.lit(radius_m)).cast("bigint")
     distinct = (
@@ -114,24 +117,19 @@ def nearby_best(cells: DataFrame, hotspots: DataFrame, radius_m: float = 1000.0)
     by_bucket = spots.groupBy("region_id", "_br", "_bc").agg(
         F.collect_list(F.struct("detail_score", "hotspot_index", "east", "north")).alias("_near")
     )
-    placed = widen(cells).withColumn("_br", bucket("north")).withColumn("_bc", bucket("east"))
-    joined = lookup_join(placed, by_bucket, ["region_id", "_br", "_bc"]).drop("_br", "_bc")
-    candidates = F.transform(
-        F.col("_near"),
-        lambda h: F.struct(
-            h["detail_score"].alias("score"),
-            (-F.hypot(F.col("east") - h["east"], F.col("north") - h["north"])).alias("closeness"),
-            h["hotspot_index"].alias("hotspot_index"),
-        ),
+    placed = widen(cells.select(*{*key, "region_id", "east", "north"}))
+    placed = placed.withColumn("_br", bucket("north")).withColumn("_bc", bucket("east"))
+    joined = lookup_join(placed, by_bucket, ["region_id", "_br", "_bc"])
+    de, dn = F.col("east") - F.col("h.east"), F.col("north") - F.col("h.north")
+    inside = joined.select(*key, "east", "north", F.explode("_near").alias("h")).select(
+        *key, "h.detail_score", "h.hotspot_index", (de * de + dn * dn).alias("_d2")
     )
-    best = F.array_max(F.filter(candidates, lambda c: c["closeness"] >= F.lit(-radius_m)))
-    return (
-        joined.withColumn("_best", best)
-        .select(
-            *cells.columns,
-            F.coalesce(F.col("_best.hotspot_index"), F.lit(-1)).alias("nearby_best_index"),
-            half_even(-F.col("_best.closeness")).cast("int").alias("nearby_best_distance"),
-        )
+    rank = F.struct("detail_score", (-F.sqrt("_d2")).alias("closeness"), "hotspot_index")
+    best = inside.filter(F.col("_d2") <= radius_m * radius_m).groupBy(*key).agg(F.max(rank).alias("_best"))
+    return lookup_join(cells, best, list(key)).select(
+        *cells.columns,
+        F.coalesce(F.col("_best.hotspot_index"), F.lit(-1)).alias("nearby_best_index"),
+        half_even(-F.col("_best.closeness")).cast("int").alias("nearby_best_distance"),
     )
 
 

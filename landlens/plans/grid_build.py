@@ -94,7 +94,7 @@ def build_cells(
         "confidence",
     )
     around = gt.neighborhood_score(scored)
-    cells = nearby_best(around, hotspots.select("region_id", "hotspot_index", "detail_score", "east", "north"))
+    cells = nearby_best(around, hotspots.select("region_id", "hotspot_index", "detail_score", "east", "north"), key=("site_id",))
     return (
         cells.withColumn("label", terrain_label(F.col("label_code")))
         .withColumn("lat", half_even(at.lat, 6))

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from landlens.functions.text import clean_text, normalize_enum, normalize_town, parse_optional_number, trimmed
+from landlens.functions.text import clean_text, normalize_enum, parse_optional_number, trimmed
 from landlens.operators import market
 from landlens.operators.filters import split_errors
-from landlens.session import cut_lineage, widen
+from landlens.session import cut_lineage
 
 #: Longest accepted text per field.
 TEXT_LIMITS = {"property_name": 120, "address": 160, "town": 80, "source_url": 500}
@@ -36,8 +36,7 @@ def clean_listings(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def town_table(listings: DataFrame) -> DataFrame:
     """Town aggregates of listings (town, building_id, total, area), computed once and written out."""
-    keyed = widen(listings).withColumn("town_key", normalize_town(F.col("town")))
-    return cut_lineage(market.town_market(keyed))
+    return cut_lineage(market.town_market(market.with_town_key(listings)))
 
 
 def assess_listings(listings: DataFrame, towns: DataFrame) -> DataFrame:
@@ -46,8 +45,9 @@ def assess_listings(listings: DataFrame, towns: DataFrame) -> DataFrame:
     ``towns``: output of :func:`town_table`; town keys are unique, so only their length decides between matches.
     """
     key = market.market_key(F.col("town"), F.lit(None).cast("string"), F.col("address"))
-    keyed = widen(listings).withColumn("text_key", normalize_town(key))
-    placed = market.market_context(keyed, towns.withColumn("town_order", F.lit(0)))
+    placed = market.market_context(
+        listings.withColumn("market_text", key), towns.withColumn("town_order", F.lit(0))
+    )
     assessed = market.policy_gates(placed)
     actions = market.next_actions(
         F.col("text_key") != "",

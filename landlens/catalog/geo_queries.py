@@ -7,7 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from landlens.catalog.base import query, six, table, up
-from landlens.catalog.inputs import LISTINGS, NEAR_POINTS, POINTS
+from landlens.catalog.inputs import LISTINGS, POINTS
 from landlens.functions import geo, labels, numeric, text
 from landlens.operators import filters
 
@@ -364,7 +364,7 @@ SELECT c_custkey, CASE WHEN length(trim(name)) <= 40 THEN nullif(trim(name), '')
        coalesce(lower(trim(flag)) IN ('true', 'yes', '1'), false) AS flag FROM r""",
 )
 def clean_fields(spark, sf_dir):
-    r = table(spark, sf_dir, "customer").selectExpr("c_custkey", *[e.strip() for e in _split_fields(RAW_FIELDS)])
+    r = table(spark, sf_dir, "customer").selectExpr("c_custkey", *[e.strip() for e in RAW_FIELDS.split(",\n")])
     name, name_error = text.clean_text(F.col("name"), 40)
     amount, amount_error = text.parse_optional_number(F.col("amount"))
     return r.select(
@@ -375,10 +375,6 @@ def clean_fields(spark, sf_dir):
     )
 
 
-def _split_fields(fields: str) -> list[str]:
-    return fields.split(",\n")
-
-
 AREAS = """SELECT s_suppkey AS area_id, CASE s_suppkey % 3 WHEN 0 THEN 'P0' WHEN 1 THEN 'P1' ELSE 'P2' END AS priority,
        CASE s_suppkey % 4 WHEN 0 THEN 'A' WHEN 1 THEN 'B' WHEN 2 THEN 'C' ELSE 'D' END AS readiness,
        n_name AS ward, s_name AS town, concat('Unknown ', CAST(s_suppkey % 10 AS STRING)) AS primary_unknown,
@@ -408,5 +404,3 @@ def area_filter(spark, sf_dir):
     found = filters.area_filter(areas(spark, sf_dir), priority="P1", needle=" Signal A ")
     return found.select("area_id", "priority", "readiness")
 
-
-NEAR = NEAR_POINTS

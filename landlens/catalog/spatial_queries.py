@@ -37,6 +37,31 @@ def cells_in_bounds(spark, sf_dir):
     return filters.cells_in_bounds(cells, 139.44, 35.75, 139.5, 35.8)
 
 
+@query(
+    "read_cells",
+    f"""SELECT CAST(grid_col AS VARCHAR) AS region_id, CAST(grid_row AS INTEGER) AS cell_index, lat, lng, label_code, original_score, confidence, lat - 0.0005e0 AS south
+FROM {GRID_CELLS.sql}""",
+)
+def read_cells(spark, sf_dir):
+    """Nested grid documents (one per lattice column, 125 cells each) to flat cells."""
+    rows = GRID_CELLS.frame(spark, sf_dir)
+    value = lambda c: F.col(c) if c in rows.columns else F.lit(None)
+    types = {f.name: f.dataType for f in grids.GRID_SCHEMA["cells"].dataType.elementType}
+    corner = F.array(F.array(F.col("lat") - 0.0005, F.col("lng")), F.array(F.col("lat"), F.col("lng")))
+    cell = F.struct(
+        "grid_row",
+        F.struct(
+            *[value(new).cast(types[old]).alias(old) for old, new in grids.CELL_NAMES], corner.alias("bounds")
+        ).alias("cell"),
+    )
+    docs = rows.groupBy(F.col("grid_col").cast("string").alias("region_id")).agg(
+        F.transform(F.sort_array(F.collect_list(cell)), lambda x: x["cell"]).alias("cells")
+    )
+    return grids.grid_cells(docs).select(
+        "region_id", "cell_index", "lat", "lng", "label_code", "original_score", "confidence", "south"
+    )
+
+
 @query(
     "region_meta",
     f"""SELECT r.region_id, r.region_name, r.step_m, {six("r.south")} AS south, {six("r.east")} AS east, count(cell_index) AS cell_count

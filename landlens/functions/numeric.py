@@ -1,4 +1,4 @@
-"""Rounding, clamping and small array statistics with the reference's exact conventions."""
+"""Rounding, clamping and small array statistics with fixed conventions for ties and unknown values."""
 
 from __future__ import annotations
 

@@ -323,7 +323,7 @@ def suppress(
 ) -> DataFrame:
     """Greedy non-maximum suppression on the lattice, best score first, at most ``keep`` per region.
 
-    The order is total: score, then row, then column, all descending (the reference leaves ties open). Each round
+    The order is total: score, then row, then column, all descending (equal scores need a rule). Each round
     keeps every candidate that no remaining better one lies near, then removes what lies near the kept ones; that
     gives the greedy result. Rounds are cut by checkpoints. Neighbours are found by lattice offsets, a fixed number
     per candidate, and reduced before the shuffle. Output has ``hotspot_index`` from 0 in that order.

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from landlens.functions.geo import METERS_PER_DEGREE, offset_point, world_pixel
-from landlens.functions.labels import INSUFFICIENT, live_label_code
+from landlens.functions.labels import live_label_code
 from landlens.functions.numeric import array_mad, axis_angle, clamp, half_up, let, union_prob
 from landlens.session import lookup_join, spread
 
@@ -382,5 +382,3 @@ def analyze_theory(points: DataFrame, dem: DataFrame, zoom: int = 13) -> DataFra
     """Points with their live terrain analysis; places shared by many points are analysed once."""
     return lookup_join(points, theory_score(scale_evidence(points, dem, zoom)), PLACE)
 
-
-UNUSABLE_LABEL = INSUFFICIENT

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from landlens.functions.geo import format_coordinate
 from landlens.operators.filters import coordinate_error, split_errors
+from landlens.operators.grid_terrain import viewport_grid
 from landlens.operators.live_terrain import analyze_theory
 from landlens.operators.lookups import municipality_of, theory_from_cell
 from landlens.operators.risk import combine_scores, modern_risk
@@ -79,6 +80,15 @@ def diagnose(
     return combine_scores(both).withColumn("coordinate", format_coordinate(F.col("lat"), F.col("lng")))
 
 
+def diagnose_viewports(views: DataFrame, columns: Column, rows: Column, view_key: str, *tables: DataFrame, **options) -> DataFrame:
+    """Diagnosis of the equal cells of each viewport; ``tables`` and ``options`` go to :func:`diagnose`.
+
+    Cells outside the rough scope are left out.
+    """
+    cells = viewport_grid(views, columns, rows).withColumn("point_id", F.concat_ws("-", view_key, "cell"))
+    return diagnose(cells, *tables, **options)
+
+
 def split_requests(points: DataFrame, cell_codes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(supported points with their scope, rejected points with an error code)."""
     checked = points.withColumn("error_code", coordinate_error(F.col("lat"), F.col("lng")))

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 SALT_INPUT_BYTES = 16 * 1024**3
 #: A key with more rows than this is hot and is spread over several tasks.
 HOT_ROWS = 5_000_000
+#: Salts for rows whose key is NULL.
+UNMATCHED_SALTS = 1_024
 
 
 def build_session(app: str = "landlens", master: str | None = None, **conf: str) -> SparkSession:
@@ -105,7 +107,7 @@ def lookup_join(
     Spark broadcasts the lookup itself when its measured size allows, and AQE splits skewed partitions.
     For large inputs the hot keys are also salted: keys over ``hot_rows`` are found by a pre-aggregated count
     (at most rows/hot_rows of them exist), their left rows are dealt over ``n`` salts and only their lookup
-    rows are repeated ``n`` times.
+    rows are repeated ``n`` times. Rows with a NULL key match nothing and are dealt out too.
     """
     size = input_bytes(left)
     if size is None or size < salt_input_bytes:
@@ -117,9 +119,11 @@ def lookup_join(
         .select(*on, F.ceil(F.col("_n") / F.lit(float(hot_rows))).cast("int").alias("_salts"))
     )
     row_hash = F.xxhash64(*[F.col(c) for c in left.columns])
-    dealt = left.join(salts, on, "left").withColumn(
-        "_salt", F.coalesce(F.pmod(row_hash, F.col("_salts")).cast("int"), F.lit(0))
-    )
+    unknown = F.lit(False)
+    for c in on:
+        unknown = unknown | F.col(c).isNull()
+    parts = F.when(unknown, UNMATCHED_SALTS).otherwise(F.coalesce(F.col("_salts"), F.lit(1)))
+    dealt = left.join(salts, on, "left").withColumn("_salt", F.pmod(row_hash, parts).cast("int"))
     copies = lookup.join(salts, on, "left").withColumn(
         "_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1))
     )

@@ -41,7 +41,7 @@ def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
 
 def _value(v):
     if isinstance(v, float):
-        return None if math.isnan(v) else round(v, 6) + 0.0
+        return None if math.isnan(v) else v + 0.0
     return v
 
 

@@ -125,3 +125,42 @@ def test_assert_counts(spark):
     quality.assert_counts(df, {"even": F.col("id") % 2 == 0}, {"even": 5})
     with pytest.raises(quality.ContractError):
         quality.assert_counts(df, {"even": F.col("id") % 2 == 0}, {"even": 4})
+
+
+def test_split_requests(spark):
+    from landlens.plans.diagnose import split_requests
+
+    points = spark.createDataFrame(
+        [(1, 35.681236, 139.767125), (2, 95.0, 139.7), (3, 43.0, 141.3), (4, 35.6, 139.7), (5, 35.5, 139.6)],
+        "point_id int, lat double, lng double",
+    )
+    cell = lambda lat, lng: geo.canonical_cell(F.lit(lat), F.lit(lng)).cell_id
+    codes = spark.range(1).select(F.explode(F.array(
+        F.struct(cell(35.681236, 139.767125).alias("cell_id"), F.lit("131010").alias("admin_code"), F.lit("丸の内").alias("address"), F.lit(False).alias("failed")),
+        F.struct(cell(35.5, 139.6).alias("cell_id"), F.lit("271000").alias("admin_code"), F.lit("x").alias("address"), F.lit(False).alias("failed")),
+    )).alias("c")).select("c.*")
+    good, bad = split_requests(points, codes)
+    assert {r.point_id: (r.scope_name, r.address) for r in good.collect()} == {
+        1: ("東京23区", "丸の内"), 4: ("対象範囲（境界照合は暫定）", None),
+    }
+    assert {r.point_id: r.error_code for r in bad.collect()} == {2: "invalid_coordinate", 3: "out_of_scope", 5: "out_of_scope"}
+
+
+def test_viewport_diagnosis(spark):
+    from landlens.catalog.inputs import DEM_PIXELS, HAZARDS, MESH, ZOOM
+    from landlens.operators.grid_terrain import viewport_grid
+    from landlens.plans.diagnose import diagnose_viewports
+
+    sf_dir = "/root/testdata/sf0.001"
+    views = spark.createDataFrame(
+        [("in", 139.55, 35.80, 139.58, 35.83, 3.0, 0.0), ("out", 141.0, 43.0, 141.1, 43.1, 4.0, 3.0)],
+        "view_id string, west double, south double, east double, north double, cols double, rows_asked double",
+    )
+    asked = views, F.col("cols"), F.col("rows_asked")
+    assert viewport_grid(*asked).groupBy("view_id").count().collect() == [("in", 9)]
+    out = diagnose_viewports(
+        *asked, "view_id", DEM_PIXELS.frame(spark, sf_dir), HAZARDS.frame(spark, sf_dir), MESH.frame(spark, sf_dir),
+        dem_zoom=ZOOM, slope_zoom=ZOOM, hazard_zoom=ZOOM,
+    ).collect()
+    assert sorted(r.point_id for r in out) == [f"in-{i}" for i in range(9)]
+    assert all(r.combined_score == r.modern_score or r.capped for r in out)

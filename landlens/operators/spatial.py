@@ -2,7 +2,8 @@
 
 All distance joins work on square buckets whose side is at least the search radius, so every partner lies in the
 3 x 3 neighbourhood. The side that does not grow per bucket (lattice cells, hotspots) is copied to its nine
-buckets; the other side is never multiplied.
+buckets and kept as one array per bucket; the other side is shuffled as it is, and candidates are only unfolded inside
+the task that compares them.
 """
 
 from __future__ import annotations

@@ -50,12 +50,12 @@ def source_targets(sizes: DataFrame, weights: Sequence[float], share: float, cap
 
 
 def thresholds(sized: DataFrame, budgets: DataFrame) -> DataFrame:
-    """Per source the largest hash threshold below which the sizes add up to no more than the budget.
+    """Per source the hash threshold below which the sizes add up nearest to the budget.
 
     ``sized``: source, size, hash; ``budgets``: source, budget. One pass per level over the rows of the boundary buckets;
     each histogram has at most 4096 rows per source.
     """
-    state = budgets.withColumn("prefix", F.lit(0).cast("long"))
+    state = budgets.withColumn("prefix", F.lit(0).cast("long")).withColumn("next", F.lit(None).cast("long"))
     for level in range(HASH_BITS // LEVEL_BITS):
         above = HASH_BITS - LEVEL_BITS * level
         here = state.select(F.col("source").alias("_source"), "prefix")
@@ -74,18 +74,22 @@ def thresholds(sized: DataFrame, budgets: DataFrame) -> DataFrame:
             .agg(
                 F.min(F.when(F.col("upto") > F.col("budget"), F.col("bucket"))).alias("bucket"),
                 F.min(F.when(F.col("upto") > F.col("budget"), F.col("upto") - F.col("size"))).alias("below"),
+                F.min_by("size", F.when(F.col("upto") > F.col("budget"), F.col("bucket"))).alias("next"),
             )
-            .select(F.col("source").alias("_source"), "bucket", "below")
+            .select(F.col("source").alias("_source"), "bucket", "below", F.when(F.col("bucket").isNotNull(), F.col("next")).alias("next"))
         )
         fits = F.lit(FAN) if level == 0 else F.lit(0)
         state = cut_lineage(
-            state.join(over, F.col("source").eqNullSafe(F.col("_source")), "left").select(
+            state.drop("next").join(over, F.col("source").eqNullSafe(F.col("_source")), "left").select(
                 "source",
                 (F.col("budget") - F.coalesce("below", F.lit(0))).alias("budget"),
                 (F.col("prefix") * FAN + F.coalesce(F.col("bucket"), fits)).alias("prefix"),
+                "next",
             )
         )
-    return state.select("source", F.col("prefix").alias("threshold"))
+    # the boundary hash itself goes in where that comes nearer to the budget
+    nearer = F.coalesce(F.col("next") < 2 * F.col("budget"), F.lit(False))
+    return state.select("source", (F.col("prefix") + nearer.cast("long")).alias("threshold"))
 
 
 def decide(sized: DataFrame, weights: Sequence[float], share: float, cap: float) -> DataFrame:
@@ -121,7 +125,7 @@ def mix(
     Columns used: doc_id, source and, unless ``size`` is given, text (its words are the tokens). Sources are taken in order
     of their code points, null last, and get the ``weights`` in turn. A source whose target exceeds its size is taken whole
     as often as it fits; the rest goes to documents under the hash threshold, so no document exceeds ``cap`` rounded up
-    times its size and a source misses its target by less than one document (or group of rows with one doc_id).
+    times its size and a source misses its target by at most half a document (or group of rows with one doc_id).
     Null text: size 0. Null doc_id: one more hash. Repeated rows are taken or left together. Empty input: no rows.
     Other columns are ignored. Returns doc_id, source, size, source_size, target, taken.
     """
@@ -173,7 +177,10 @@ planned AS (
   SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS times FROM targets),
 running AS (
   SELECT s.doc_id, s.size, p.source_size, p.target, p.times, p.target - p.times * p.source_size AS budget,
-         sum(s.size) OVER (PARTITION BY s.source ORDER BY s.hash RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto
+         sum(s.size) OVER (PARTITION BY s.source ORDER BY s.hash RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto,
+         sum(s.size) OVER (PARTITION BY s.source, s.hash) AS together
   FROM sized s JOIN planned p ON s.source IS NOT DISTINCT FROM p.source)
-SELECT doc_id, size, source_size, target, (size * (times + CASE WHEN upto <= budget THEN 1 ELSE 0 END))::BIGINT AS taken FROM running
+SELECT doc_id, size, source_size, target,
+       (size * (times + CASE WHEN upto <= budget OR upto - together <= budget AND together < 2 * (budget - (upto - together)) THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM running
 """

@@ -23,8 +23,10 @@ from landlens.session import cut_lineage
 BITS = 64
 RADIUS = 2
 SEED = 42
-#: Fingerprint pairs compared at a time.
+#: Fingerprint pairs compared at a time; rows up to which a tile is compared side by side with others; rows per part.
 SLAB = 1 << 20
+SMALL = 64
+PART = 1 << 15
 
 xxh64 = partial(xxhash.xxh64_intdigest, seed=SEED)
 
@@ -106,25 +108,45 @@ class Forest:
             up = new
 
 
-def compare_tiles(key: tuple, table: pa.Table, radius: int) -> pa.Table:
-    """Links within one tile and between it and its visitors, as a forest: at most one link per fingerprint."""
-    prints = table.column("fp").to_numpy().view(np.uint64)
-    visit = table.column("visit").to_numpy()
-    order = np.lexsort((prints, visit))
-    prints, visit = prints[order], visit[order]
-    home = int(np.searchsorted(visit, 1))
+def compare_tiles(table: pa.Table, radius: int) -> pa.Table:
+    """Links within the tiles of one part and between them and their visitors, as a forest: at most one per fingerprint.
+
+    Rows of one (block, value, tile) stand together. Small tiles are compared side by side, row i with row i + d for growing
+    d; a tile of more than ``SMALL`` rows is compared slab by slab.
+    """
+    prints, of = np.unique(table.column("fp").to_numpy().view(np.uint64), return_inverse=True)
+    names = [table.column(c).to_numpy() for c in ("visit", "tile", "value", "block")]
+    order = np.lexsort(names)
+    of, names = of[order], [x[order] for x in names]
+    head = np.ones(len(of), bool)
+    head[1:] = False
+    for x in names[1:]:
+        head[1:] |= x[1:] != x[:-1]
+    starts = np.flatnonzero(head)
+    sizes = np.diff(np.append(starts, len(of)))
+    group = np.repeat(np.arange(len(starts)), sizes)
     forest = Forest(len(prints))
-    for i, j in near(prints[:home], prints[:home], radius):
-        forest.add(i[i < j], j[i < j])
-    for i, j in near(prints[home:], prints[:home], radius):
-        forest.add(i + home, j)
+    small = sizes <= SMALL
+    for d in range(1, int(sizes[small].max(initial=1))):
+        i = np.flatnonzero((group[d:] == group[:-d]) & small[group[d:]])
+        i = i[np.bitwise_count(prints[of[i]] ^ prints[of[i + d]]) <= radius]
+        forest.add(of[i], of[i + d])
+    for g in np.flatnonzero(~small):
+        mine = slice(starts[g], starts[g] + sizes[g])
+        home = int(np.searchsorted(names[0][mine], 1))
+        members = of[mine]
+        for i, j in near(prints[members], prints[members[:home]], radius):
+            forest.add(members[i], members[j])
     roots = forest.roots()
     linked = np.flatnonzero(roots != np.arange(len(roots)))
     return pa.table({"a": prints[linked].view(np.int64), "b": prints[roots[linked]].view(np.int64)})
 
 
 def near_links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Links (a, b) that connect all fingerprints (column fp, distinct) within the radius of each other."""
+    """Links (a, b) that connect all fingerprints (column fp, distinct) within the radius of each other.
+
+    Tiles are dealt over parts of about ``PART`` rows by their hash, so that a task compares many tiles at a time.
+    """
     blocks = radius + 1
     edges = [round(i * BITS / blocks) for i in range(blocks + 1)]
     value = F.array(*[
@@ -135,9 +157,13 @@ def near_links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     tiles = each.select(
         "fp", "k.block", "k.value", F.explode(F.sequence(F.lit(0), F.lit(radius))).alias("visit"), "ones"
     ).withColumn("tile", F.col("ones") - F.col("visit"))
-    return tiles.groupBy("block", "value", "tile").applyInArrow(
-        lambda key, table: compare_tiles(key, table, radius), "a long, b long"
-    )
+    parts = max(1, prints.count() * blocks * (radius + 1) // PART)
+
+    def compare(key: tuple, table: pa.Table) -> pa.Table:
+        return compare_tiles(table, radius)
+
+    dealt = tiles.select("fp", "block", "value", "visit", "tile", F.pmod(F.xxhash64("block", "value", "tile"), F.lit(parts)).alias("part"))
+    return dealt.groupBy("part").applyInArrow(compare, "a long, b long")
 
 
 def simhash_dedup(docs: DataFrame, radius: int = RADIUS) -> DataFrame:

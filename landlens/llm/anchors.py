@@ -28,7 +28,7 @@ from landlens.session import cut_lineage
 
 MASK24 = np.uint64((1 << 24) - 1)
 #: Symbols per block of hashing; a longer document is hashed in overlapping blocks.
-BLOCK = 1 << 20
+BLOCK = 1 << 17
 #: Windows per group where an anchor is split.
 GROUP = 4
 NO_DOC = np.iinfo(np.int64).max
@@ -57,7 +57,9 @@ def mixed(x: np.ndarray) -> np.ndarray:
 def prefix(symbols: np.ndarray) -> np.ndarray:
     """Running polynomial sums, from which the hash of any stretch follows."""
     up, _ = powers(len(symbols) + 1)
-    return np.concatenate([[np.uint64(0)], np.cumsum(symbols * up[: len(symbols)], dtype=np.uint64)])
+    sums = np.zeros(len(symbols) + 1, np.uint64)
+    np.cumsum(symbols * up[: len(symbols)], out=sums[1:])
+    return sums
 
 
 def stretch(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -65,6 +67,16 @@ def stretch(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return mixed((sums[end] - sums[start]) * down[start])
 
 
+def gram_hashes(sums: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of all stretches of one size, in one reused array."""
+    x = sums[size:] - sums[:-size]
+    x *= powers(len(sums))[1][: len(x)]
+    x ^= x >> np.uint64(32)
+    x *= np.uint64(0xD6E8FEB86659FD93)
+    x ^= x >> np.uint64(32)
+    return x
+
+
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     done = 1
     while done * 2 <= width:
@@ -135,21 +147,25 @@ def find_runs(block: Block, how: Windows) -> Block:
     n = len(block.sums) - 1
     if n < how.window:
         return block
-    with np.errstate(over="ignore"):
-        grams = stretch(block.sums, np.arange(n - how.gram + 1), np.arange(how.gram, n + 1))
-    least = sliding_min((grams & ~MASK24) | np.arange(len(grams), dtype=np.uint64), how.width)
+    grams = gram_hashes(block.sums, how.gram)
+    ranked = grams & ~MASK24
+    ranked |= np.arange(len(grams), dtype=np.uint64)
+    least = sliding_min(ranked, how.width)
     anchor = (least & MASK24).astype(np.int64)
     ends = np.cumsum(block.size)
-    broken = np.zeros(n + 1, np.int32)
-    np.add.at(broken, np.maximum(ends - how.window + 1, ends - block.size), 1)
-    np.add.at(broken, ends, -1)
-    good = np.cumsum(broken)[: len(anchor)] == 0
-    first = good.copy()
-    first[1:] &= (anchor[1:] != anchor[:-1]) | ~good[:-1]
-    last = good.copy()
-    last[:-1] &= (anchor[1:] != anchor[:-1]) | ~good[1:]
-    start = np.flatnonzero(first)
-    block.start, block.count = start, np.flatnonzero(last) - start + 1
+    # windows that cross the end of a document belong to none; a run ends before them
+    low = np.maximum(ends - how.window + 1, ends - block.size)
+    bad = ranges(low, ends - low)
+    good = np.ones(len(anchor) + how.window, bool)
+    good[bad] = False
+    good = good[: len(anchor)]
+    turn = np.ones(len(anchor) + 1, bool)
+    np.not_equal(anchor[1:], anchor[:-1], out=turn[1:-1])
+    turn[1:-1] |= good[1:] != good[:-1]
+    edge = np.flatnonzero(turn)
+    start, count = edge[:-1], np.diff(edge)
+    start, count = start[good[start]], count[good[start]]
+    block.start, block.count = start, count
     block.anchor = anchor[start]
     block.key = grams[block.anchor]
     return block

@@ -73,10 +73,12 @@ def collection_bwt(flat: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.n
         old[target] = False
         at = last[string] - t - 1
         ahead = np.where(size[string] > t + 1, flat[np.maximum(at, 0)], 0).astype(flat.dtype)
+        # everything between two insertions moves by as many places as came before it
+        moved = np.flatnonzero(old)
         rewritten = []
         for now, fresh in ((before, ahead), (common, own), (marks, marks[here] + 1)):
             file = np.empty(len(old), now.dtype)
-            file[old], file[target] = now, fresh
+            file[moved], file[target] = now, fresh
             rewritten.append(file)
         before, common, marks = rewritten
         inner = ~end

@@ -80,8 +80,15 @@ def build_shard(table: pa.Table) -> list[tuple[bytes, bytes]]:
         owner.append(mine)
     del numbers
     result: list[np.ndarray] = [np.zeros(0, np.int64)] * len(strings)
-    lead, doc = np.array(left, np.int64), np.array(docs, np.int64)
-    order = np.argsort(np.array(keys, np.uint64), kind="stable").tolist()
+    lead, doc, name = np.array(left, np.int64), np.array(docs, np.int64), np.array(keys, np.uint64)
+    order = np.argsort(name, kind="stable")
+    # a string that has its key to itself shares no window: all its windows are its own
+    single = np.ones(len(order), bool)
+    single[1:] &= name[order][1:] != name[order][:-1]
+    single[:-1] &= name[order][1:] != name[order][:-1]
+    for i in order[single].tolist():
+        result[i] = np.full(len(strings[i]) - WINDOW + 1, docs[i])
+    order = order[~single].tolist()
     batch: list[int] = []
     names: dict[bytes, int] = {}
     symbols = 0

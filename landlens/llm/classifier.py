@@ -13,20 +13,21 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from landlens.llm.anchors import BYTE_HASH, mixed, prefix, stretch
 
 #: Bounds of the samples (rows by smallest hash of doc_id): labelled and unlabelled documents that the models are fitted on.
-LABELLED = 6_000
-POOL = 3_000
+LABELLED = 8_000
+POOL = 2_000
 #: Words kept as features per question; documents that must have one.
-FEATURES = 3_000
+FEATURES = 400
 MIN_DOCS = 4
 ROUNDS = 3
 CONFIDENT = 0.97
-THRESHOLD = 0.5
+THRESHOLD = 0.7
 #: Words hashed at a time.
 BLOCK = 1 << 20
 
@@ -88,14 +89,17 @@ def describe(texts: list[bytes], sources: list, langs: list, base: int, content:
     kept = np.concatenate([[0], np.cumsum(letter)])
     low = BYTE_HASH[np.where(upper, b + 32, b)[letter]]
     word = stretch(prefix(low), kept[start], kept[end]) if len(low) else np.zeros(len(start), np.uint64)
+    # and the marks alone
+    noted = np.concatenate([[0], np.cumsum(~letter)])
+    signs = stretch(prefix(BYTE_HASH[b[~letter]]), noted[start], noted[end])
     again = np.zeros(len(start), bool)
     again[1:] = (raw[1:] == raw[:-1]) & (row[1:] == row[:-1])
     words = np.bincount(row, minlength=n)
     repeats = np.bincount(row[again], minlength=n)
     share = lambda part, whole: np.floor(20 * part / np.maximum(whole, 1)).astype(np.uint64)
     rows = np.arange(n)
-    content[0].extend([row + base, row + base, rows + base])
-    content[1].extend([salted(raw, 1), salted(word, 2), salted(share(repeats, words), 3)])
+    content[0].extend([row + base, row + base, row + base, rows + base])
+    content[1].extend([salted(raw, 1), salted(word, 2), salted(signs, 3), salted(share(repeats, words), 4)])
 
     size = np.array([len(t) for t in texts])
     per = lambda mask: np.add.reduceat(mask.astype(np.int64), ends - size - 1) if n else np.zeros(0, np.int64)
@@ -237,9 +241,20 @@ def text_columns(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", "source", "lang")
 
 
-def view_rows(table: pa.Table | pa.RecordBatch) -> tuple[Rows, Rows]:
-    texts = [t or b"" for t in table.column("text").cast(pa.large_binary()).to_pylist()]
-    return views(texts, table.column("source").to_pylist(), table.column("lang").to_pylist())
+def view_rows(batch: pa.RecordBatch) -> tuple[Rows, Rows]:
+    texts = [t or b"" for t in batch.column("text").cast(pa.large_binary()).to_pylist()]
+    return views(texts, batch.column("source").to_pylist(), batch.column("lang").to_pylist())
+
+
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in slices of about ``BLOCK`` bytes of text, which bounds the memory of their features."""
+    ends = np.cumsum(pa.compute.binary_length(batch.column("text").cast(pa.large_binary())).fill_null(0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(batch):
+        before = ends[at - 1] if at else 0
+        end = max(at + 1, int(np.searchsorted(ends, before + BLOCK, side="right")))
+        yield batch.slice(at, end - at)
+        at = end
 
 
 def sample(docs: DataFrame, labels: DataFrame, labelled: int, pool: int) -> pa.Table:
@@ -253,7 +268,7 @@ def sample(docs: DataFrame, labels: DataFrame, labelled: int, pool: int) -> pa.T
     chosen = chosen.union(rest.select("doc_id", F.lit(None).cast("int"), F.lit(None).cast("int")).orderBy(order, "doc_id").limit(pool))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             both = view_rows(batch)
             lists = [
                 pa.ListArray.from_arrays(
@@ -299,7 +314,7 @@ def classify(docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHOLD
     good, toxic = train(docs, labels, labelled, pool)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             both = view_rows(batch)
             p, t = good.score(both), toxic.score(both)
             score = p * (1 - t)
@@ -317,7 +332,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHOL
     good, toxic = train(docs, labels, labelled, pool)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             both = view_rows(batch)
             keep = good.score(both) * (1 - toxic.score(both)) >= threshold
             yield batch.filter(pa.array(keep))

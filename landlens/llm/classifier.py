@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from landlens.llm.anchors import BYTE_HASH, mixed, prefix, stretch
 
 #: Bounds of the samples (rows by smallest hash of doc_id): labelled and unlabelled documents that the models are fitted on.
-LABELLED = 8_000
-POOL = 2_000
+LABELLED = 5_000
+POOL = 1_500
 #: Words kept as features per question; documents that must have one.
 FEATURES = 400
 MIN_DOCS = 4

@@ -116,8 +116,8 @@ def bool_like(value: Column) -> Column:
 
 
 def contains_text(needle: str, *columns: Column) -> Column:
-    """Case-insensitive search over several columns glued together; array columns are joined by a space."""
+    """Case-insensitive search over several columns glued together; a NULL column counts as empty."""
     wanted = needle.strip().lower()
     if not wanted:
         return F.lit(True)
-    return F.contains(F.lower(F.concat(*columns)), F.lit(wanted))
+    return F.contains(F.lower(F.concat_ws("", *columns)), F.lit(wanted))

@@ -1,4 +1,4 @@
-"""Session helpers: settings, plan-size checks and lineage cuts that survive executor loss."""
+"""Session helpers: settings, parallelism and lineage cuts that survive executor loss."""
 
 from __future__ import annotations
 
@@ -6,14 +6,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-#: Input below this many bytes cannot hold a key heavy enough to need explicit salting; AQE splits it.
-SALT_INPUT_BYTES = 16 * 1024**3
-#: A key with more rows than this is hot and is spread over several tasks.
-HOT_ROWS = 5_000_000
-#: Salts for rows whose key is NULL.
-UNMATCHED_SALTS = 1_024
 
 
 def build_session(app: str = "landlens", master: str | None = None, **conf: str) -> SparkSession:
@@ -34,15 +26,6 @@ def build_session(app: str = "landlens", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
-def input_bytes(df: DataFrame) -> int | None:
-    """Bytes at the leaves of the optimized plan, or None where the session cannot tell (e.g. Connect)."""
-    try:
-        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-        return sum(int(leaves.apply(i).stats().sizeInBytes().toString()) for i in range(leaves.size()))
-    except Exception:
-        return None
-
-
 def parallelism(spark: SparkSession) -> int:
     return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
@@ -56,16 +39,8 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
 
 
 def widen(df: DataFrame) -> DataFrame:
-    """Deal rows over all cores when the input is too small to give each core a split of its own.
-
-    For steps with costly expressions per row. Large inputs already come in enough splits and are left alone, as is
-    anything whose size the session cannot tell.
-    """
-    size = input_bytes(df)
-    spark = df.sparkSession
-    split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()) if size is not None else 0
-    cores = spark.sparkContext.defaultParallelism if size is not None else 0
-    return df.repartition(cores) if size is not None and size < split * cores else df
+    """Deal rows over all tasks before costly expressions per row, whatever the number of input splits."""
+    return df.repartition(parallelism(df.sparkSession))
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -94,37 +69,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def lookup_join(
-    left: DataFrame,
-    lookup: DataFrame,
-    on: list[str],
-    *,
-    hot_rows: int = HOT_ROWS,
-    salt_input_bytes: int = SALT_INPUT_BYTES,
-) -> DataFrame:
-    """LEFT join to a lookup table with one row per key, safe when one key holds much of ``left``.
-
-    Spark broadcasts the lookup itself when its measured size allows, and AQE splits skewed partitions.
-    For large inputs the hot keys are also salted: keys over ``hot_rows`` are found by a pre-aggregated count
-    (at most rows/hot_rows of them exist), their left rows are dealt over ``n`` salts and only their lookup
-    rows are repeated ``n`` times. Rows with a NULL key match nothing and are dealt out too.
+def lookup_join(left: DataFrame, lookup: DataFrame, on: list[str]) -> DataFrame:
+    """LEFT join to a lookup table with one row per key, one plan at every size.
+
+    Spark broadcasts the lookup where its measured size allows. Otherwise both sides are shuffled by the key, and adaptive
+    execution splits the left side's partitions that hold a hot key, or the rows without a key, over several tasks.
     """
-    size = input_bytes(left)
-    if size is None or size < salt_input_bytes:
-        return left.join(lookup, on, "left")
-    salts = (
-        left.groupBy(*on)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .filter(F.col("_n") > hot_rows)
-        .select(*on, F.ceil(F.col("_n") / F.lit(float(hot_rows))).cast("int").alias("_salts"))
-    )
-    row_hash = F.xxhash64(*[F.col(c) for c in left.columns])
-    unknown = F.lit(False)
-    for c in on:
-        unknown = unknown | F.col(c).isNull()
-    parts = F.when(unknown, UNMATCHED_SALTS).otherwise(F.coalesce(F.col("_salts"), F.lit(1)))
-    dealt = left.join(salts, on, "left").withColumn("_salt", F.pmod(row_hash, parts).cast("int"))
-    copies = lookup.join(salts, on, "left").withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1))
-    )
-    return dealt.drop("_salts").join(copies.drop("_salts"), [*on, "_salt"], "left").drop("_salt")
+    return left.join(lookup, on, "left")

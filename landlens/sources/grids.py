@@ -70,8 +70,8 @@ def _corner(bounds, i: int, j: int):
 
 
 def read_grids(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """One row per grid document, plus ``region_order`` (file order) and ``region_id``."""
-    docs = spark.read.schema(GRID_SCHEMA).json(path, multiLine=True)
+    """One row per grid document, plus ``region_id``; a document that is not valid JSON fails the read."""
+    docs = spark.read.schema(GRID_SCHEMA).json(path, multiLine=True, mode="FAILFAST")
     return docs.withColumn("region_id", F.coalesce("region.id", "center.name"))
 
 

@@ -213,14 +213,14 @@ def unknown_byte(value: Column) -> Column:
 
 
 def read_sparse_index(spark: SparkSession, path: str) -> DataFrame:
-    """JSON file(s) of 12-tuples, one array of tuples per line, to named columns."""
+    """JSON file(s) of 12-tuples, one array of tuples per line, to named columns; a malformed line fails the read."""
     lines = spark.read.text(path)
     return parse_sparse_tuples(lines, "value")
 
 
 def parse_sparse_tuples(df: DataFrame, column: str) -> DataFrame:
     """Column of JSON text ``[[cell, n1..n10, status], ...]`` to one row per tuple."""
-    tuples = F.from_json(F.col(column), T.ArrayType(T.ArrayType(T.StringType())))
+    tuples = F.from_json(F.col(column), T.ArrayType(T.ArrayType(T.StringType())), {"mode": "FAILFAST"})
     rows = df.select(F.explode(tuples).alias("t"))
     return rows.select(
         F.get("t", F.lit(0)).alias("cell_id"),
@@ -251,9 +251,16 @@ ENVIRONMENT_CSV = T.StructType(
 
 
 def read_environment_csv(spark: SparkSession, path: str, schema: T.StructType = ENVIRONMENT_CSV) -> DataFrame:
-    """(gzip) CSV with header and optional byte-order mark; explicit schema, columns matched by position."""
-    raw = spark.read.csv(path, header=True, schema=schema, enforceSchema=True, encoding="UTF-8", mode="FAILFAST")
-    return environment_columns(raw)
+    """(gzip) CSV with header and optional byte-order mark; columns are found by their name in the header.
+
+    Further columns and any order are fine, a missing one is an error, and so is a value that its type cannot hold.
+    """
+    raw = spark.read.csv(path, header=True, encoding="UTF-8", mode="FAILFAST")
+    raw = raw.toDF(*[c.lstrip("\ufeff") for c in raw.columns])
+    missing = [f.name for f in schema if f.name not in raw.columns]
+    if missing:
+        raise ValueError(f"columns missing in the header: {', '.join(missing)}")
+    return environment_columns(raw.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema]))
 
 
 def true_text(value: Column) -> Column:

@@ -3,6 +3,7 @@
 import gzip
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from landlens.plans.grid_build import ENGINE, Region, region_lattice
@@ -92,3 +93,27 @@ def test_stream_matches_batch(spark, tmp_path):
     write_assessments(assess_stream(stream, towns), str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
     key = lambda df: sorted((r.listing_id, r.decision_state, r.comparison) for r in df.collect())
     assert key(spark.read.parquet(str(tmp_path / "out"))) == key(assess_stream(listings, towns))
+
+
+def test_broken_documents_fail(spark, tmp_path):
+    (tmp_path / "grids").mkdir()
+    (tmp_path / "grids" / "a.json").write_text('{"cells": [')
+    with pytest.raises(Exception, match="(?i)malformed|corrupt|parse"):
+        grids.read_grids(spark, str(tmp_path / "grids")).collect()
+    (tmp_path / "index.json").write_text('[["C1", 1,\n 2]]')
+    with pytest.raises(Exception, match="(?i)malformed|parse"):
+        packed.read_sparse_index(spark, str(tmp_path / "index.json")).collect()
+
+
+def test_environment_csv_goes_by_name(spark, tmp_path):
+    names = [f.name for f in packed.ENVIRONMENT_CSV]
+    values = {f.name: "1" if f.dataType.simpleString() in ("int", "double") else "x" for f in packed.ENVIRONMENT_CSV}
+    values |= {"robustCandidate": "true", "thresholdStable": "false"}
+    shuffled = ["extra", *reversed(names)]
+    path = tmp_path / "cells.csv"
+    path.write_text("\ufeff" + ",".join(shuffled) + "\n" + ",".join(values.get(n, "z") for n in shuffled) + "\n")
+    row = packed.read_environment_csv(spark, str(path)).first()
+    assert row.robust_candidate is True and row.threshold_stable is False and row.grid_row == 1
+    path.write_text(",".join(names[1:]) + "\n")
+    with pytest.raises(ValueError, match=names[0]):
+        packed.read_environment_csv(spark, str(path))

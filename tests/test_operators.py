@@ -8,27 +8,30 @@ import pytest
 from pyspark.sql import functions as F
 
 from landlens import session
+from landlens.functions import text
 from landlens.operators import discovery, grid_terrain, lookups, market, raster, risk, spatial
 from landlens.sources import packed
 
 
-def test_lookup_join_salts_hot_keys(spark):
-    left = spark.range(1000).select(F.when(F.col("id") < 700, 1).otherwise(F.col("id")).alias("k"), F.col("id").alias("v"))
-    right = spark.createDataFrame([(1, "hot"), (800, "cold"), (5000, "none")], "k bigint, t string")
-    plain = left.join(right, ["k"], "left")
-    salted = session.lookup_join(left, right, ["k"], hot_rows=50, salt_input_bytes=0)
-    key = lambda df: sorted((r.k, r.v, r.t or "") for r in df.select("k", "v", "t").collect())
-    assert key(salted) == key(plain)
-    assert salted.count() == 1000
+def test_lookup_join_with_a_hot_key(spark):
+    left = spark.range(1000).select(F.when(F.col("id") < 900, 1).otherwise(F.col("id")).alias("k"), F.col("id").alias("v"))
+    right = spark.createDataFrame([(1, "hot"), (950, "cold"), (5000, "none")], "k bigint, t string")
+    got = {r.v: r.t for r in session.lookup_join(left, right, ["k"]).collect()}
+    assert got == {v: "hot" if v < 900 else "cold" if v == 950 else None for v in range(1000)}
 
 
 def test_lookup_join_keeps_null_keys(spark):
     left = spark.createDataFrame([(None, 1), (1, 2)], "k int, v int")
     right = spark.createDataFrame([(1, "x")], "k int, t string")
-    out = session.lookup_join(left, right, ["k"], hot_rows=1, salt_input_bytes=0)
+    out = session.lookup_join(left, right, ["k"])
     assert sorted((r.v, r.t) for r in out.collect()) == [(1, None), (2, "x")]
 
 
+def test_contains_text_with_a_null_column(spark):
+    df = spark.createDataFrame([("Harbour", None), (None, "x"), (None, None)], "a string, b string")
+    assert [r.a for r in df.filter(text.contains_text("harb", F.col("a"), F.col("b"))).collect()] == ["Harbour"]
+
+
 def test_exact_quantiles(spark):
     rng = random.Random(1)
     rows = [(rng.choice("ab"), float(rng.randint(0, 40))) for _ in range(501)] + [("c", 5.0), ("d", None)]

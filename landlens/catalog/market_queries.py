@@ -8,6 +8,7 @@ from landlens.catalog.base import query, six
 from landlens.catalog.geo_queries import AREAS_SQL, areas, town_sql
 from landlens.catalog.inputs import LISTINGS, SMALL_TOWNS
 from landlens.functions.numeric import half_up
+from landlens.functions.text import trimmed
 from landlens.operators import market
 from landlens.session import cut_lineage
 
@@ -109,12 +110,12 @@ def market_coverage(spark, sf_dir):
     return market.market_coverage(market.town_market(SMALL_TOWNS.frame(spark, sf_dir)))
 
 
-#: Texts to match: bare town keys, full addresses that contain one, and some that match nothing.
+#: Texts to match: bare town keys, full addresses that contain one, some that match nothing, a bare prefecture and blanks.
 TEXT = (
-    "CASE WHEN listing_id % 5 = 0 THEN concat(town, '18-20') WHEN listing_id % 5 = 1 THEN concat('建物', town) "
+    "CASE WHEN listing_id % 23 = 0 THEN '東京都' WHEN listing_id % 29 = 0 THEN '  ' WHEN listing_id % 5 = 0 THEN concat(town, '18-20') WHEN listing_id % 5 = 1 THEN concat('建物', town) "
     "WHEN listing_id % 5 = 2 THEN address ELSE town END"
 )
-MATCH_SQL = f"""WITH l AS (SELECT *, coalesce({town_sql(TEXT)}, '') AS text_key FROM {LISTINGS.sql}),
+MATCH_SQL = f"""WITH l AS (SELECT *, {TEXT} AS market_text, coalesce({town_sql(TEXT)}, '') AS text_key FROM {LISTINGS.sql}),
 t AS (SELECT *, row_number() OVER (ORDER BY town_key) AS town_order FROM {TOWN_SQL.format(source=KEYED_SQL)}),
 d AS (SELECT DISTINCT text_key FROM l WHERE text_key <> ''),
 m AS (SELECT text_key, town_key FROM (
@@ -173,9 +174,9 @@ ACTIONS_SQL = (
     + f""", g AS (SELECT * FROM {GATES_SQL}),
 s AS (SELECT listing_id, 'fail' IN (gate_total, gate_area, gate_floor) AS any_fail,
         'unknown' IN (gate_total, gate_area, gate_floor) AS any_unknown, g.total, g.currentness, g.identity_state,
-        l.text_key <> '' AS has_key, m.town_key IS NOT NULL AS has_market, coalesce(t.sample_quality, '') AS quality,
+        coalesce(trim(l.market_text), '') <> '' AS has_key, m.town_key IS NOT NULL AS has_market, coalesce(t.sample_quality, '') AS quality,
         nullif(trim(g.address), '') IS NOT NULL AS has_address, {STATE_SQL} AS decision_state
-      FROM g JOIN (SELECT listing_id, text_key FROM l) l USING (listing_id) LEFT JOIN m ON l.text_key = m.text_key LEFT JOIN t ON t.town_key = m.town_key)
+      FROM g JOIN (SELECT listing_id, text_key, market_text FROM l) l USING (listing_id) LEFT JOIN m ON l.text_key = m.text_key LEFT JOIN t ON t.town_key = m.town_key)
 SELECT listing_id, decision_state, concat_ws('|',
   CASE WHEN any_unknown THEN '{market.ACTION_INPUT}' END,
   CASE WHEN total IS NOT NULL AND NOT has_key THEN '{market.ACTION_ADDRESS}' END,
@@ -195,7 +196,7 @@ def listing_market(spark, sf_dir):
     out = market.policy_gates(context(spark, sf_dir))
     has_address = F.coalesce(F.trim("address"), F.lit("")) != ""
     actions = market.next_actions(
-        F.col("text_key") != "", F.col("town_key").isNotNull(), F.col("sample_quality"), has_address
+        trimmed(F.col("market_text")).isNotNull(), F.col("town_key").isNotNull(), F.col("sample_quality"), has_address
     )
     return out.select("listing_id", "decision_state", F.array_join(actions, "|").alias("next_actions"))
 

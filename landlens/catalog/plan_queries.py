@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from landlens.catalog.base import View, query
 from landlens.catalog.inputs import DEM_PIXELS, HOTSPOTS, LIVE_POINTS, NEAR_POINTS, ORIGIN, REGIONS, ZOOM
-from landlens.catalog.raster_queries import dem
+from landlens.catalog.raster_queries import dem, extent
 from landlens.catalog.risk_queries import inputs
 from landlens.catalog.spatial_queries import LATITUDE, NEAREST_SQL, theory_cells, theory_sql
 from landlens.catalog.terrain_queries import CENTRE, MPP, THEORY
@@ -72,9 +72,11 @@ FROM {customer}"""
 @query("grid_build")
 def grid_build(spark, sf_dir):
     """Scores, neighbourhood, hotspots and nearby best of a lattice; greedy suppression has no plain SQL form."""
+    lattice, pixels = LATTICE.frame(spark, sf_dir), dem(spark, sf_dir)
     cells, _ = build_cells(
-        LATTICE.frame(spark, sf_dir), dem(spark, sf_dir), centre=CENTRE, zoom=ZOOM, origin=ORIGIN, mpp=MPP
-    )
+        lattice, pixels, centre=CENTRE, zoom=ZOOM, origin=ORIGIN, mpp=MPP, **extent(pixels),
+        grid_rows=40, grid_cols=lattice.agg(F.max("grid_col") + 1).scalar(),
+    )
     return cells.select(
         "site_id", "label_code", "original_score", "detail_score", "neighborhood_score", "confidence",
         "nearby_best_index", "nearby_best_distance",

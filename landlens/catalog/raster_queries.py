@@ -22,6 +22,11 @@ def dem(spark, sf_dir):
     return DEM.frame(spark, sf_dir).selectExpr("grid_row AS row", "grid_col AS col", "elevation AS value")
 
 
+def extent(pixels):
+    """Rows and columns of the given raster."""
+    return {"rows": pixels.agg(F.max("row") + 1).scalar(), "cols": pixels.agg(F.max("col") + 1).scalar()}
+
+
 def rounded(df, *names):
     return df.select(*[half_up(F.col(c), 6).alias(c) if c in names else c for c in df.columns])
 
@@ -295,18 +300,28 @@ def sample_report(spark, sf_dir):
     return overview.sample_report(grid, LIVE_POINTS.frame(spark, sf_dir), ZOOM, ORIGIN).drop("lat", "lng")
 
 
-CELL_VALUE_SQL = f'(SELECT grid_row AS "row", grid_col AS col, CAST(detail_score AS DOUBLE) AS value FROM {GRID_CELLS.sql})'
+#: Both regions of the lattice with rows of their own: they overlap in row and column, and each has its own extent.
+REGION_ROW = "CASE WHEN region_id = 1 THEN grid_row - 62 ELSE grid_row END"
+
+
+def region_sql(region: int) -> str:
+    return f'(SELECT {REGION_ROW} AS "row", grid_col AS col, CAST(detail_score AS DOUBLE) AS value FROM {GRID_CELLS.sql} WHERE region_id = {region})'
 
 
 @query(
     "neighborhood_score",
-    f"""WITH d AS {CELL_VALUE_SQL}, {rq.gauss("g", "d", grid_terrain.NEIGHBORHOOD_SIGMA_CELLS)}
-SELECT cell_index, CAST(round_even(g.v / g.w, 0) AS INTEGER) AS neighborhood_score
-FROM {GRID_CELLS.sql} c JOIN g ON c.grid_row = g."row" AND c.grid_col = g.col AND g.w > 0.02e0""",
+    f"""WITH d0 AS {region_sql(0)}, d1 AS {region_sql(1)}, {rq.gauss("g", "d0", 2.5, rows="max(62)", cols=f"max((SELECT max(grid_col) + 3 FROM {GRID_CELLS.sql}))")},
+{rq.gauss("h", "d1", 2.5, rows="max(66)", cols=f"max((SELECT max(grid_col) + 3 FROM {GRID_CELLS.sql}))")},
+b AS (SELECT 0 AS region_id, * FROM g UNION ALL SELECT 1, * FROM h)
+SELECT cell_index, CAST(round_even(b.v / b.w, 0) AS INTEGER) AS neighborhood_score
+FROM {GRID_CELLS.sql} c JOIN b ON c.region_id = b.region_id AND {REGION_ROW.replace("region_id", "c.region_id")} = b."row" AND c.grid_col = b.col AND b.w > 0.02e0""",
 )
 def neighborhood_score(spark, sf_dir):
     cells = GRID_CELLS.frame(spark, sf_dir).select("cell_index", "region_id", "grid_row", "grid_col", "detail_score")
-    return grid_terrain.neighborhood_score(cells).select("cell_index", "neighborhood_score")
+    last = cells.agg(F.max("grid_col")).scalar()
+    rows = F.when(F.col("region_id") == 0, 62).otherwise(66)
+    apart = cells.withColumn("grid_row", F.expr(REGION_ROW))
+    return grid_terrain.neighborhood_score(apart, rows=rows, cols=last + 3).select("cell_index", "neighborhood_score")
 
 
 MAXIMA_SQL = f"""(WITH k AS (SELECT cell_index, region_id, grid_row, grid_col, detail_score FROM {GRID_CELLS.sql} WHERE label_code = 1 AND confidence >= 48)
@@ -319,9 +334,21 @@ def local_maxima(spark, sf_dir):
     return grid_terrain.local_maxima(GRID_CELLS.frame(spark, sf_dir)).select("cell_index", "region_id", "detail_score")
 
 
-@query("hotspots")
+HOTSPOTS_SQL = f"""WITH RECURSIVE ranked AS (SELECT region_id, grid_row, grid_col, detail_score,
+   row_number() OVER (PARTITION BY region_id ORDER BY detail_score DESC, grid_row DESC, grid_col DESC) AS k FROM {{source}}),
+walk AS (
+  SELECT region_id, k, [{{{{'r': grid_row, 'c': grid_col, 's': detail_score}}}}] AS kept FROM ranked WHERE k = 1
+  UNION ALL
+  SELECT r.region_id, r.k, CASE WHEN len(list_filter(w.kept, lambda q: (q.r - r.grid_row) * (q.r - r.grid_row) + (q.c - r.grid_col) * (q.c - r.grid_col) < 12.25e0)) = 0
+    THEN list_append(w.kept, {{{{'r': r.grid_row, 'c': r.grid_col, 's': r.detail_score}}}}) ELSE w.kept END
+  FROM walk w JOIN ranked r ON r.region_id = w.region_id AND r.k = w.k + 1 WHERE len(w.kept) < 60),
+spots AS (SELECT region_id, q.r AS grid_row, q.c AS grid_col, q.s AS detail_score, CAST(i - 1 AS INTEGER) AS hotspot_index FROM (
+  SELECT region_id, unnest(kept) AS q, generate_subscripts(kept, 1) AS i FROM (SELECT region_id, arg_max(kept, k) AS kept FROM walk GROUP BY 1)))"""
+
+
+@query("hotspots", HOTSPOTS_SQL.format(source=MAXIMA_SQL) + " SELECT * FROM spots")
 def hotspots(spark, sf_dir):
-    """Greedy suppression is a sequential choice that plain SQL cannot state; tested against brute force."""
+    """Greedy suppression of the best cells, at most sixty a region."""
     return grid_terrain.suppress(grid_terrain.local_maxima(GRID_CELLS.frame(spark, sf_dir)))
 
 

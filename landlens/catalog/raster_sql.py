@@ -12,13 +12,13 @@ def _number(x: float) -> str:
     return text if "e" in text else text + "e0"
 
 
-def gauss(name: str, source: str, sigma: float, value: str = "value") -> str:
+def gauss(name: str, source: str, sigma: float, value: str = "value", rows: str = 'max("row") + 1', cols: str = "max(col) + 1") -> str:
     """CTEs ending in ``name`` (row, col, v, w): smoothed known values and smoothed known share."""
     taps = kernel(sigma)
     radius = len(taps) // 2
     values = ", ".join(f"({i - radius}, {_number(w)})" for i, w in enumerate(taps))
     return f"""{name}_k(k, f) AS (VALUES {values}),
-{name}_s AS (SELECT max("row") AS mr, max(col) AS mc FROM {source}),
+{name}_s AS (SELECT {rows} - 1 AS mr, {cols} - 1 AS mc FROM {source}),
 {name}_r AS (SELECT unnest(range(0, mr + 1)) AS "row" FROM {name}_s),
 {name}_c AS (SELECT unnest(range(0, mc + 1)) AS col FROM {name}_s),
 {name}_x AS (SELECT c.col, least(mc, greatest(0, c.col + k)) AS src, f FROM {name}_c c, {name}_k, {name}_s),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from landlens.catalog import raster_sql as rq
 from landlens.catalog.base import query, six, up
 from landlens.catalog.inputs import DEM_PIXELS, LAT0, LIVE_POINTS, LNG0, ORIGIN, ZOOM
-from landlens.catalog.raster_queries import DEM_SQL, dem, rounded
+from landlens.catalog.raster_queries import DEM_SQL, dem, extent, rounded
 from landlens.operators import grid_terrain, live_terrain, raster
 
 PLACE = "lat, lng"
@@ -280,8 +280,9 @@ def grid_crossings(spark, sf_dir):
     WHEN high >= 0.15e0 AND low >= 0.15e0 AND abs(high - low) < 0.055e0 THEN 4 ELSE 5 END AS label_code FROM raw""",
 )
 def grid_scores(spark, sf_dir):
+    pixels = dem(spark, sf_dir)
     out = grid_terrain.score_sites(
-        dem(spark, sf_dir), sites(spark, sf_dir), centre=CENTRE, zoom=ZOOM, origin=ORIGIN, mpp=MPP
+        pixels, sites(spark, sf_dir), centre=CENTRE, zoom=ZOOM, origin=ORIGIN, mpp=MPP, **extent(pixels)
     )
     return rounded(out, "high", "low", "ordinary")
 

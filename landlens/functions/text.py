@@ -11,10 +11,8 @@ from pyspark.sql import types as T
 
 from landlens.functions.numeric import let
 
-# Kanji digits 0-9, and the compatibility characters that addresses use.
+# Kanji digits 0-9, and white space beyond ASCII.
 KANJI_DIGITS = "零一二三四五六七八九"
-WIDE_ASCII = "".join(chr(c) for c in range(0xFF01, 0xFF5F)) + "\u3000"
-PLAIN_ASCII = "".join(chr(c) for c in range(0x21, 0x7F)) + " "
 _WIDE_SPACES = (0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF)
 ANY_SPACE = "[\\s" + "".join(chr(c) for c in _WIDE_SPACES) + "]"
 CHOME = "丁目"
@@ -26,11 +24,6 @@ def nfkc(values: pd.Series) -> pd.Series:
     return values.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v))
 
 
-def narrow_ascii(value: Column) -> Column:
-    """Full-width ASCII to plain ASCII inside the JVM (the part of NFKC that addresses need)."""
-    return F.translate(value, WIDE_ASCII, PLAIN_ASCII)
-
-
 def kanji_number(value: Column) -> Column:
     """0..99 as a kanji numeral, larger numbers as decimal text."""
     number = value.cast("int")
@@ -71,13 +64,12 @@ def _chome_to_kanji(value: Column) -> Column:
     return let(value, rewrite)
 
 
-def normalize_town(raw: Column, full_nfkc: bool = False) -> Column:
-    """Comparable town key: narrow characters, no spaces, no prefecture or ward, numerals in kanji.
+def normalize_town(raw: Column) -> Column:
+    """Comparable town key: compatibility forms resolved, no spaces, no prefecture or ward, numerals in kanji.
 
-    ``full_nfkc`` switches from the in-JVM translation of full-width ASCII to complete NFKC by Arrow batches.
+    Spark has no NFKC, so that step is an Arrow function: apply it to distinct texts where texts repeat.
     """
-    value = nfkc(raw) if full_nfkc else narrow_ascii(raw)
-    value = F.regexp_replace(value, ANY_SPACE, "")
+    value = F.regexp_replace(nfkc(raw), ANY_SPACE, "")
     value = F.regexp_replace(value, "^東京都", "")
     value = F.regexp_replace(value, "^.+?[区市](?=.)", "")
     return F.coalesce(_chome_to_kanji(value), F.lit(""))

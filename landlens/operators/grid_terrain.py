@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from landlens.functions.geo import local_offsets, offset_coordinates, rough_scope
@@ -264,35 +264,42 @@ def score_sites(
     zoom: int,
     origin: tuple[int, int],
     mpp: float,
+    rows: int | Column,
+    cols: int | Column,
     scales=SCALES,
-    **extent,
 ) -> DataFrame:
     """Whole grid scoring for sites (site_id, east, north) over one elevation raster (row, col, value).
 
+    ``rows`` and ``cols`` are the extent of the raster: missing pixels inside it count as unknown, wherever they lie.
     The smoothed surfaces feed the slope, the axes and the sites, so they are written out once.
     """
-    surfaces = cut_lineage(terrain_surfaces(dem, mpp, scales, **extent))
-    slope = rs.gradient_slope(surfaces.select("row", "col", F.col("smooth").alias("value")), mpp, **extent)
+    surfaces = cut_lineage(terrain_surfaces(dem, mpp, scales, rows=rows, cols=cols))
+    slope = rs.gradient_slope(surfaces.select("row", "col", F.col("smooth").alias("value")), mpp, rows=rows, cols=cols)
     axes = line_axes(surfaces, axis_samples(sites, centre, zoom, origin, scales), scales)
     combined = combine_scales(axis_crossings(axes), scales)
     return grid_scores(combined, centre_samples(surfaces, slope, sites, centre, zoom, origin, scales), scales)
 
 
-def neighborhood_score(cells: DataFrame, key: list[str] = ["region_id"], **extent) -> DataFrame:
-    """Smoothed detail score of the cells around each cell of one region (row, col, detail_score), 0..100.
+def neighborhood_score(cells: DataFrame, *, rows: int | Column, cols: int | Column) -> DataFrame:
+    """Smoothed detail score of the cells around each cell within its region (grid_row, grid_col, detail_score), 0..100.
 
-    The blur runs per region: give one region at a time, or a lattice that holds all regions side by side.
+    ``rows`` and ``cols`` are the lattice's whole extent, numbers or columns of ``cells`` that are constant within a
+    region: lattice positions without a cell are unknown.
     """
     raster = cells.select(
-        F.col("grid_row").alias("row"), F.col("grid_col").alias("col"), F.col("detail_score").cast("double").alias("value")
+        "region_id", F.lit(rows).alias("_r"), F.lit(cols).alias("_c"),
+        F.col("grid_row").alias("row"), F.col("grid_col").alias("col"), F.col("detail_score").cast("double").alias("value"),
+    )
+    smooth = rs.normalized_gaussian(
+        raster, NEIGHBORHOOD_SIGMA_CELLS, 0.02, rows=F.col("_r"), cols=F.col("_c"), within=("region_id",)
     )
-    smooth = rs.normalized_gaussian(raster, NEIGHBORHOOD_SIGMA_CELLS, 0.02, **extent)
     values = smooth.select(
+        "region_id",
         F.col("row").alias("grid_row"),
         F.col("col").alias("grid_col"),
         half_even(F.col("value")).cast("int").alias("neighborhood_score"),
     )
-    return cells.join(values, ["grid_row", "grid_col"], "left")
+    return cells.join(values, ["region_id", "grid_row", "grid_col"], "left")
 
 
 def local_maxima(cells: DataFrame, min_confidence: int = 48) -> DataFrame:
@@ -319,24 +326,54 @@ def local_maxima(cells: DataFrame, min_confidence: int = 48) -> DataFrame:
 
 
 def suppress(
-    candidates: DataFrame, radius_m: float = SUPPRESSION_M, keep: int = MAX_HOTSPOTS, step_m: float = STEP_M
+    candidates: DataFrame, radius_m: float = SUPPRESSION_M, keep: int | None = MAX_HOTSPOTS, step_m: float = STEP_M
 ) -> DataFrame:
-    """Greedy non-maximum suppression on the lattice, best score first, at most ``keep`` per region.
+    """Greedy non-maximum suppression on the lattice, best score first, at most ``keep`` per region (None: all).
 
-    The order is total: score, then row, then column, all descending (equal scores need a rule). Each round
-    keeps every candidate that no remaining better one lies near, then removes what lies near the kept ones; that
-    gives the greedy result. Rounds are cut by checkpoints. Neighbours are found by lattice offsets, a fixed number
-    per candidate, and reduced before the shuffle. Output has ``hotspot_index`` from 0 in that order.
+    The order is total: score, then row, then column, all descending (equal scores need a rule). A kept cell removes
+    at most the lattice positions within the radius, so the first ``keep`` survivors lie among the first
+    keep x positions candidates of their region: only those are gathered, a number that the parameters bound, and are
+    walked through in order. With ``keep=None`` rounds settle all candidates, see :func:`suppress_all`.
+    Output: region_id, grid_row, grid_col, detail_score and ``hotspot_index`` from 0 in that order.
     """
-    from pyspark.sql import Window
-
+    near = _within(radius_m, step_m)
+    place = ["region_id", "grid_row", "grid_col"]
+    distinct = candidates.groupBy(*place).agg(F.max("detail_score").alias("detail_score"))
+    order = Window.partitionBy("region_id").orderBy(F.desc("detail_score"), F.desc("grid_row"), F.desc("grid_col"))
+    if keep is None:
+        kept = suppress_all(distinct, near)
+        return kept.withColumn("hotspot_index", F.row_number().over(order) - 1)
+    first = distinct.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= keep * len(near)).drop("_n")
+    cell = F.struct("detail_score", "grid_row", "grid_col")
+    ranked = first.groupBy("region_id").agg(F.sort_array(F.collect_list(cell), asc=False).alias("_all"))
+
+    def close(a: Column, b: Column) -> Column:
+        down, right = a["grid_row"] - b["grid_row"], a["grid_col"] - b["grid_col"]
+        return F.sqrt((down * down + right * right).cast("double")) * step_m < radius_m
+
+    def walk(kept: Column, x: Column) -> Column:
+        free = (F.size(kept) < keep) & ~F.exists(kept, lambda k: close(k, x))
+        return F.when(free, F.concat(kept, F.array(x))).otherwise(kept)
+
+    kind = ranked.schema["_all"].dataType
+    chosen = ranked.select("region_id", F.posexplode(F.aggregate("_all", F.array().cast(kind), walk)).alias("hotspot_index", "_c"))
+    return chosen.select("region_id", "_c.grid_row", "_c.grid_col", "_c.detail_score", "hotspot_index")
+
+
+def _within(radius_m: float, step_m: float) -> list[tuple[int, int]]:
+    """Lattice offsets nearer than the radius, the cell itself included."""
     reach = int(math.ceil(radius_m / step_m))
-    near = [
-        (i, j)
-        for i in range(-reach, reach + 1)
-        for j in range(-reach, reach + 1)
-        if math.hypot(i, j) * step_m < radius_m
-    ]
+    steps = range(-reach, reach + 1)
+    return [(i, j) for i in steps for j in steps if math.hypot(i, j) * step_m < radius_m]
+
+
+def suppress_all(candidates: DataFrame, near: list[tuple[int, int]]) -> DataFrame:
+    """All survivors of the greedy suppression, in rounds.
+
+    Each round keeps every candidate that no remaining better one lies near, then removes what lies near the kept ones;
+    that gives the greedy result. Rounds grow with the longest chain of ever worse neighbours and are written out.
+    Neighbours are found by lattice offsets, a fixed number per candidate, and reduced before the shuffle.
+    """
     place = ["region_id", "grid_row", "grid_col"]
     shifts = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in near])
     rank = F.struct("detail_score", "grid_row", "grid_col")
@@ -353,7 +390,7 @@ def suppress(
             .agg(F.max("_rank").alias("_near"))
         )
 
-    remaining = cut_lineage(candidates.groupBy(*place).agg(F.max("detail_score").alias("detail_score")))
+    remaining = cut_lineage(candidates)
     kept: DataFrame | None = None
     while not remaining.isEmpty():
         best = cut_lineage(
@@ -361,12 +398,7 @@ def suppress(
         )
         kept = best if kept is None else kept.unionByName(best)
         remaining = cut_lineage(remaining.join(around(best).select(*place), place, "left_anti"))
-    kept = remaining if kept is None else kept
-    order = Window.partitionBy("region_id").orderBy(
-        F.desc("detail_score"), F.desc("grid_row"), F.desc("grid_col")
-    )
-    ranked = kept.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= keep)
-    return ranked.withColumn("hotspot_index", F.col("_n") - 1).drop("_n")
+    return remaining if kept is None else kept
 
 
 def viewport_grid(views: DataFrame, columns: Column, rows: Column) -> DataFrame:

@@ -113,7 +113,10 @@ def gate_rows(assessed: DataFrame, key: str = "listing_id") -> DataFrame:
 
 
 def next_actions(has_key: Column, has_market: Column, quality: Column, has_address: Column) -> Column:
-    """Ordered to-do texts of an assessed listing (columns of :func:`policy_gates`)."""
+    """Ordered to-do texts of an assessed listing (columns of :func:`policy_gates`).
+
+    ``has_key``: a town or address was entered, whether or not anything of it is left as a key.
+    """
     passed, identity = F.col("policy_pass"), F.coalesce("identity_state", F.lit("unknown")) == "exact"
     current = F.coalesce("currentness", F.lit("unknown")) == "confirmed"
     steps = (

@@ -48,8 +48,11 @@ def _smooth_lines(block: np.ndarray, taps: np.ndarray, margin: int, length: int)
     return out
 
 
-def _pass(df: DataFrame, along: str, across: str, size: Column, pairs: list[tuple[str, str, float]]) -> DataFrame:
-    """Smooth columns along one axis. ``pairs``: (input column, output column, sigma)."""
+def _pass(df: DataFrame, along: str, across: str, size: str, keys: list[str], pairs: list[tuple[str, str, float]]) -> DataFrame:
+    """Smooth columns along one axis of ``size`` pixels. ``pairs``: (input column, output column, sigma).
+
+    ``keys`` (region, extent) are handed on; blocks never reach from one key to another.
+    """
     taps = [kernel(sigma) for _, _, sigma in pairs]
     margin = max(len(t) // 2 for t in taps)
     segment = max(512, 4 * margin)
@@ -57,7 +60,7 @@ def _pass(df: DataFrame, along: str, across: str, size: Column, pairs: list[tupl
     outputs = [name for _, name, _ in pairs]
 
     def smooth(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        band, part, size_ = int(key[0]), int(key[1]), int(pdf["_size"].iat[0])
+        part, size_ = int(key[-1]), int(pdf[size].iat[0])
         first = part * segment
         length = min(segment, size_ - first)
         lines = np.unique(pdf[across].to_numpy())
@@ -71,6 +74,7 @@ def _pass(df: DataFrame, along: str, across: str, size: Column, pairs: list[tupl
             block[at] = pdf[name].to_numpy()
             padded[name] = block[:, spread]
         data = {
+            **dict(zip(keys, key)),
             across: np.repeat(lines, length),
             along: np.tile(np.arange(first, first + length, dtype="int64"), len(lines)),
         }
@@ -78,21 +82,22 @@ def _pass(df: DataFrame, along: str, across: str, size: Column, pairs: list[tupl
             data[name] = _smooth_lines(padded[source], t, margin, length).ravel()
         return pd.DataFrame(data)
 
-    last = F.floor((F.col("_size") - 1) / F.lit(segment))
+    last = F.floor((F.col(size) - 1) / F.lit(segment))
     parts = F.sequence(
         F.greatest(F.lit(0), F.floor((F.col(along) - margin) / F.lit(segment))),
         F.least(last, F.floor((F.col(along) + margin) / F.lit(segment))),
     )
-    blocks = df.withColumn("_size", size).select(
+    blocks = df.select(
+        *keys,
         F.floor(F.col(across) / F.lit(BAND)).alias("_band"),
         F.explode(parts).alias("_part"),
         across,
         along,
-        "_size",
         *inputs,
     )
-    schema = f"{across} bigint, {along} bigint, " + ", ".join(f"{n} double" for n in outputs)
-    return blocks.groupBy("_band", "_part").applyInPandas(smooth, schema)
+    kinds = dict(df.dtypes)
+    schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), f"{across} bigint, {along} bigint", *(f"{n} double" for n in outputs)])
+    return blocks.groupBy(*keys, "_band", "_part").applyInPandas(smooth, schema)
 
 
 def gaussian_surfaces(
@@ -102,20 +107,22 @@ def gaussian_surfaces(
     rows: int | Column | None = None,
     cols: int | Column | None = None,
     min_sigma: float = 0.6,
+    within: tuple[str, ...] = (),
 ) -> DataFrame:
     """Smooth a raster with several kernels at once: ``row, col`` and one column per surface.
 
     Value = smoothed known values / smoothed known share where that share exceeds ``min_weight``. Edges repeat
-    the border pixel. All kernels share the two shuffles. Without ``rows``/``cols`` the extent is the largest index
-    in the data. Copies of a pixel must be removed beforehand.
+    the border pixel. All kernels share the two shuffles. ``within`` names columns (a region) that keep rasters apart
+    and come out again; they are never NULL. ``rows``/``cols`` give the extent, as numbers or columns that are constant
+    within a region; without them it is the largest index in the whole data. Copies of a pixel must be removed beforehand.
     """
-    size = {
-        axis: F.lit(given) if isinstance(given, int) else given if given is not None
-        else raster.agg(F.max(axis) + 1).scalar()
-        for axis, given in (("row", rows), ("col", cols))
-    }
+    whole = lambda given, axis: raster.agg(F.max(axis) + 1).scalar() if given is None else F.lit(given)
+    keys = [*within, "_rows", "_cols"]
     sources = sorted({s.source for s in surfaces})
     base = raster.select(
+        *within,
+        whole(rows, "row").cast("bigint").alias("_rows"),
+        whole(cols, "col").cast("bigint").alias("_cols"),
         F.col("row").cast("bigint").alias("row"),
         F.col("col").cast("bigint").alias("col"),
         *[F.coalesce(F.col(n).cast("double"), F.lit(0.0)).alias(f"v_{n}") for n in sources],
@@ -127,8 +134,8 @@ def gaussian_surfaces(
         if not s.weight_only:
             pairs.append((f"v_{s.source}", f"_v_{s.name}", sigma))
         pairs.append((f"w_{s.source}", f"_w_{s.name}", sigma))
-    across = _pass(base, "col", "row", size["col"], pairs)
-    both = _pass(across, "row", "col", size["row"], [(name, name, sigma) for _, name, sigma in pairs])
+    across = _pass(base, "col", "row", "_cols", keys, pairs)
+    both = _pass(across, "row", "col", "_rows", keys, [(name, name, sigma) for _, name, sigma in pairs])
     outputs = []
     for s in surfaces:
         weight = F.col(f"_w_{s.name}")
@@ -136,7 +143,7 @@ def gaussian_surfaces(
             outputs.append(weight.alias(s.name))
         else:
             outputs.append(F.when(weight > s.min_weight, F.col(f"_v_{s.name}") / weight).alias(s.name))
-    return both.select("row", "col", *outputs)
+    return both.select(*within, "row", "col", *outputs)
 
 
 def normalized_gaussian(raster: DataFrame, sigma: float, min_weight: float = 0.35, **extent) -> DataFrame:
@@ -192,8 +199,8 @@ def gradient_slope(raster: DataFrame, mpp: float, *, rows=None, cols=None) -> Da
     Every pixel is handed to its four neighbours and collected by position: five short rows per pixel, combined
     before the shuffle, with no ordering of whole raster lines.
     """
-    last_row = F.lit(rows - 1) if isinstance(rows, int) else raster.agg(F.max("row")).scalar()
-    last_col = F.lit(cols - 1) if isinstance(cols, int) else raster.agg(F.max("col")).scalar()
+    last_row = raster.agg(F.max("row")).scalar() if rows is None else F.lit(rows) - 1
+    last_col = raster.agg(F.max("col")).scalar() if cols is None else F.lit(cols) - 1
     known = raster.filter(F.col("value").isNotNull())
     sides = [("mid", 0, 0), ("up", 1, 0), ("down", -1, 0), ("left", 0, 1), ("right", 0, -1)]
     slots = F.array(

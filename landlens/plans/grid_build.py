@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from landlens.functions.geo import METERS_PER_DEGREE, meters_per_pixel, offset_coordinates
@@ -54,6 +54,11 @@ def route_metres(region: Region) -> list[tuple[float, float]]:
     ]
 
 
+def lattice_side(region: Region) -> int:
+    """Rows, and columns, of the whole lattice before masking."""
+    return int(region.extent_m * 2 / gt.STEP_M) + 1
+
+
 def region_lattice(spark, region: Region) -> DataFrame:
     """Masked lattice positions of one region (region_id, grid_row, grid_col, east, north, site_id)."""
     header = spark.range(1).select(F.lit(region.region_id).alias("region_id"), F.lit(region.extent_m).alias("extent_m"))
@@ -63,20 +68,34 @@ def region_lattice(spark, region: Region) -> DataFrame:
         lattice = lattice.filter(corridor_mask(east, north, route_metres(region), region.buffer_m))
     elif region.radius_m is not None:
         lattice = lattice.filter(circle_mask(east, north, region.radius_m))
-    width = int(region.extent_m * 2 / gt.STEP_M) + 1
-    site = F.col("grid_row").cast("bigint") * width + F.col("grid_col")
+    site = F.col("grid_row").cast("bigint") * lattice_side(region) + F.col("grid_col")
     return lattice.drop("extent_m").withColumn("site_id", site)
 
 
 def build_cells(
-    lattice: DataFrame, dem: DataFrame, *, centre: tuple[float, float], zoom: int, origin: tuple[int, int], mpp: float
+    lattice: DataFrame,
+    dem: DataFrame,
+    *,
+    centre: tuple[float, float],
+    zoom: int,
+    origin: tuple[int, int],
+    mpp: float,
+    rows: int | Column,
+    cols: int | Column,
+    grid_rows: int | Column,
+    grid_cols: int | Column,
 ) -> tuple[DataFrame, DataFrame]:
     """(cells, hotspots) of a lattice (region_id, grid_row, grid_col, east, north, site_id) over one raster.
 
-    The scored lattice is read by three later steps and by the suppression rounds, so it is written out once.
+    ``rows`` and ``cols`` are the extent of the raster, ``grid_rows`` and ``grid_cols`` that of the lattice. All regions of
+    the lattice share the raster and the local metres around ``centre``; a site is known by its region and site_id.
+    The scored lattice is read by four later steps, so it is written out once.
     """
-    scores = gt.score_sites(dem, lattice, centre=centre, zoom=zoom, origin=origin, mpp=mpp)
-    scored = cut_lineage(lattice.join(scores, "site_id"))
+    site = F.concat_ws(":", "region_id", "site_id")
+    scores = gt.score_sites(
+        dem, lattice.select(site.alias("site_id"), "east", "north"), centre=centre, zoom=zoom, origin=origin, mpp=mpp, rows=rows, cols=cols
+    ).withColumnRenamed("site_id", "_site")
+    scored = cut_lineage(lattice.withColumn("_site", site).join(scores, "_site").drop("_site"))
     best = gt.suppress(gt.local_maxima(scored))
     at = offset_coordinates(F.col("east"), F.col("north"), centre)
     place = ["region_id", "grid_row", "grid_col"]
@@ -93,8 +112,8 @@ def build_cells(
         "original_score",
         "confidence",
     )
-    around = gt.neighborhood_score(scored)
-    cells = nearby_best(around, hotspots.select("region_id", "hotspot_index", "detail_score", "east", "north"), key=("site_id",))
+    around = gt.neighborhood_score(scored, rows=grid_rows, cols=grid_cols)
+    cells = nearby_best(around, hotspots.select("region_id", "hotspot_index", "detail_score", "east", "north"), key=("region_id", "site_id"))
     return (
         cells.withColumn("label", terrain_label(F.col("label_code")))
         .withColumn("lat", half_even(at.lat, 6))
@@ -120,9 +139,10 @@ def build_grid(spark, dem_pixels: DataFrame, region: Region, zoom: int = 14) ->
     dem = dem_pixels.filter(
         F.col("gy").between(row0, row1 + 255) & F.col("gx").between(col0, col1 + 255)
     ).select((F.col("gy") - row0).alias("row"), (F.col("gx") - col0).alias("col"), F.col("elevation").alias("value"))
+    side = lattice_side(region)
     cells, hotspots = build_cells(
         region_lattice(spark, region), dem, centre=region.centre, zoom=zoom, origin=(row0, col0),
-        mpp=meters_per_pixel(lat, zoom),
+        mpp=meters_per_pixel(lat, zoom), rows=row1 + 256 - row0, cols=col1 + 256 - col0, grid_rows=side, grid_cols=side,
     )
     if region.stations:
         hotspots = nearest_station(hotspots, list(region.stations))

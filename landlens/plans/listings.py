@@ -50,7 +50,7 @@ def assess_listings(listings: DataFrame, towns: DataFrame) -> DataFrame:
     )
     assessed = market.policy_gates(placed)
     actions = market.next_actions(
-        F.col("text_key") != "",
+        trimmed(F.col("market_text")).isNotNull(),
         F.col("town_key").isNotNull(),
         F.col("sample_quality"),
         trimmed(F.col("address")).isNotNull(),

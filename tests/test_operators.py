@@ -66,6 +66,33 @@ def test_suppress_is_greedy(spark):
     few = grid_terrain.suppress(df, keep=5)
     assert few.count() == 5
     assert grid_terrain.suppress(df.limit(0)).count() == 0
+    every = [(r.detail_score, r.grid_row, r.grid_col) for r in grid_terrain.suppress(df, keep=None).orderBy("hotspot_index").collect()]
+    assert every == nms_brute([(s, r, c) for _, r, c, s in rows], 350.0, 100.0)
+
+
+def test_suppress_ramp_and_regions(spark):
+    """A long descending chain, in two regions, with repeated cells."""
+    rows = [(g, 0, c, 1000 - c - g) for g in (1, 2) for c in range(90)] * 2
+    df = spark.createDataFrame(rows, "region_id int, grid_row int, grid_col int, detail_score int")
+    for region in (1, 2):
+        got = grid_terrain.suppress(df, keep=7).filter(F.col("region_id") == region).orderBy("hotspot_index").collect()
+        assert [r.grid_col for r in got] == [4 * i for i in range(7)]
+        assert [r.hotspot_index for r in got] == list(range(7))
+
+
+def test_neighborhood_keeps_regions_apart(spark):
+    """Constant scores of two regions on the same positions stay what they are; the stated extent counts as unknown."""
+    rows = [(g, r, c, 10 if g == "a" else 90) for g in "ab" for r in range(12) for c in range(9)]
+    df = spark.createDataFrame(rows, "region_id string, grid_row int, grid_col int, detail_score int")
+    out = grid_terrain.neighborhood_score(df, rows=20, cols=F.when(F.col("region_id") == "a", 9).otherwise(15))
+    assert {(r.region_id, r.neighborhood_score) for r in out.collect()} == {("a", 10), ("b", 90)}
+    assert out.count() == len(rows)
+    step = spark.createDataFrame([("a", r, 0, 0 if r < 5 else 100) for r in range(6)], "region_id string, grid_row int, grid_col int, detail_score int")
+    at = lambda n: grid_terrain.neighborhood_score(step, rows=n, cols=1).filter("grid_row = 5").first().neighborhood_score
+    taps = raster.kernel(2.5)
+    near, far = sum(taps[5:10]), taps[10]
+    assert at(40) == round(100 * far / (near + far))
+    assert at(6) == round(100 * (far + sum(taps[11:])))
 
 
 def blur_brute(values, sigma, threshold):

@@ -251,6 +251,12 @@ def query_anchor(spark, sf_dir):
     return profile.query_anchor(PROFILE_POINTS.frame(spark, sf_dir)).drop("lat", "lng")
 
 
+COUNTED = ("confirmed", "review", "context", "conflict", "unknown")
+BUCKETS_SQL = """count(*) FILTER ({status} = 'confirmed') AS confirmed, count(*) FILTER ({status} IN ('source_backed_review', 'candidate')) AS review,
+  count(*) FILTER ({status} IN ('context', 'excluded')) AS context, count(*) FILTER ({status} = 'conflict') AS conflict,
+  count(*) FILTER ({status} NOT IN ('confirmed', 'source_backed_review', 'candidate', 'context', 'excluded', 'conflict', 'not_scanned')) AS unknown"""
+
+
 @query(
     "location_profile",
     f"""WITH l AS (
@@ -260,9 +266,10 @@ def query_anchor(spark, sf_dir):
   UNION ALL SELECT point_id, 'places', 'partial', 'partial_known_sources', NULL FROM {PLACE_SQL}
   UNION ALL SELECT point_id, s.layer_id, s.availability, s.coverage_status, NULL FROM {PROFILE_POINTS.sql}, (VALUES {STAGED_VALUES}) s(layer_id, project, availability, warning, coverage_status, integration_state)),
 a AS (SELECT point_id, string_agg(concat(layer_id, '=', availability, '/', coverage_status), '|' ORDER BY layer_id) AS layers,
-  count(*) FILTER (finding_status IN ('source_backed_review', 'candidate')) AS review, count(*) FILTER (finding_status IN ('context', 'excluded')) AS context FROM l GROUP BY 1)
-SELECT p.point_id, p.cell_id, a.layers, a.review, a.context, k.cell_closure_status, k.finding_count, 'PARTIAL_KNOWN_SOURCES' AS source_coverage_ceiling
-FROM {POINTS_SQL} p JOIN a USING (point_id) JOIN {PLACE_SQL} k USING (point_id)""",
+  {BUCKETS_SQL.format(status="finding_status")} FROM l GROUP BY 1),
+f AS (SELECT cell_id, {BUCKETS_SQL.format(status="status")} FROM {FINDINGS_SQL} GROUP BY 1)
+SELECT p.point_id, p.cell_id, a.layers, {", ".join(f"a.{b} + coalesce(f.{b}, 0) AS {b}" for b in COUNTED)}, k.cell_closure_status, k.finding_count, 'PARTIAL_KNOWN_SOURCES' AS source_coverage_ceiling
+FROM {POINTS_SQL} p JOIN a USING (point_id) JOIN {PLACE_SQL} k USING (point_id) LEFT JOIN f ON f.cell_id = p.cell_id""",
 )
 def location_profile(spark, sf_dir):
     """Whole profile plan: cell, four connected layers, staged layers, facts and coverage per point."""
@@ -282,7 +289,7 @@ def location_profile(spark, sf_dir):
         "layers", lambda x: F.concat(x["layer_id"], F.lit("="), x["availability"], F.lit("/"), x["coverage_status"])
     )
     return out.select(
-        "point_id", "cell_id", F.array_join(brief, "|").alias("layers"), "review", "context", "cell_closure_status",
+        "point_id", "cell_id", F.array_join(brief, "|").alias("layers"), *COUNTED, "cell_closure_status",
         "finding_count", "source_coverage_ceiling",
     )
 

@@ -360,21 +360,20 @@ def place_layer(
 ) -> DataFrame:
     """Place record per point (point_id, cell_id): link and finding counts, withheld count, closure status.
 
-    Cells absent from the sparse index keep a row with the default status; nothing there proves absence.
+    Findings are counted in all and by fact bucket (``place_<bucket>``), each by the status of its nearest link. Cells
+    absent from the sparse index keep a row with the default status; nothing there proves absence.
     """
     counts = hidden_counts(links, audience)
-    merged = (
-        visible_links(links, audience)
-        .withColumn("finding_key", finding_key())
-        .groupBy("cell_id")
-        .agg(F.count_distinct("finding_key").alias("finding_count"))
+    bucket = fact_bucket(F.col("status"))
+    merged = place_findings(links, audience, []).groupBy("cell_id").agg(
+        F.count(F.lit(1)).alias("finding_count"), *[F.count(F.when(bucket == b, 1)).alias(f"place_{b}") for b in FACT_BUCKETS]
     )
     per_cell = (
         points.select("cell_id").distinct()
         .join(index.select("cell_id", "index_status", "total_links"), "cell_id", "left")
         .join(counts, "cell_id", "left")
         .join(merged, "cell_id", "left")
-        .fillna(0, ["raw_link_count", "hidden_count", "finding_count"])
+        .fillna(0, ["raw_link_count", "hidden_count", "finding_count", *PLACE_BUCKETS])
     )
     joined = lookup_join(points.select("point_id", "cell_id"), per_cell, ["cell_id"])
     missing = F.col("index_status").isNull()
@@ -402,6 +401,7 @@ def place_layer(
         "raw_link_count",
         "hidden_count",
         "finding_count",
+        *[F.coalesce(b, F.lit(0)).alias(b) for b in PLACE_BUCKETS],
         F.coalesce("total_links", F.lit(0)).alias("indexed_links"),
         F.array_join(notes, " ").alias("warning"),
     )
@@ -448,6 +448,7 @@ def query_anchor(points: DataFrame) -> DataFrame:
 
 
 FACT_BUCKETS = ("confirmed", "review", "context", "conflict", "unknown", "not_scanned")
+PLACE_BUCKETS = tuple(f"place_{b}" for b in FACT_BUCKETS)
 
 
 def fact_bucket(status: Column) -> Column:
@@ -507,7 +508,8 @@ def layer_rows(*layers: DataFrame) -> DataFrame:
 def compose_profile(points: DataFrame, layers: DataFrame, place: DataFrame) -> DataFrame:
     """One row per point: anchor, cell, an array of its layers (a fixed handful), coverage and fact counts.
 
-    ``points`` come from :func:`with_cell`; ``layers`` from :func:`layer_rows`.
+    ``points`` come from :func:`with_cell`; ``layers`` from :func:`layer_rows`; ``place`` from :func:`place_layer`, whose
+    findings count as facts like those of the other layers.
     """
     finding = F.when(F.col("finding_status").isNotNull(), fact_bucket(F.col("finding_status")))
     bucket = lambda b: F.count(F.when(finding == b, 1))
@@ -516,9 +518,9 @@ def compose_profile(points: DataFrame, layers: DataFrame, place: DataFrame) -> D
         F.sort_array(F.collect_list(F.struct(*LAYER_COLUMNS))).alias("layers"),
         *[(not_scanned if b == "not_scanned" else bucket(b)).alias(b) for b in FACT_BUCKETS],
     )
-    coverage = place.select("point_id", "cell_closure_status", "absence_claim_allowed", "hidden_count", "finding_count")
-    return (
-        points.join(per_point, "point_id", "left")
-        .join(coverage, "point_id", "left")
-        .withColumn("source_coverage_ceiling", F.lit("PARTIAL_KNOWN_SOURCES"))
+    coverage = place.select(
+        "point_id", "cell_closure_status", "absence_claim_allowed", "hidden_count", "finding_count", *PLACE_BUCKETS
     )
+    both = points.join(per_point, "point_id", "left").join(coverage, "point_id", "left")
+    facts = {b: F.coalesce(b, F.lit(0)) + F.coalesce(f"place_{b}", F.lit(0)) for b in FACT_BUCKETS}
+    return both.withColumns(facts).drop(*PLACE_BUCKETS).withColumn("source_coverage_ceiling", F.lit("PARTIAL_KNOWN_SOURCES"))

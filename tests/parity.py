@@ -58,7 +58,7 @@ def compare(spark, con, name: str, sf_dir: str) -> tuple[bool, str]:
     took = time.time() - start
     sql = registry.oracle_sql().get(name)
     if sql is None:
-        return True, f"{name}: rows only, {len(found)} rows, {took:.1f}s"
+        return bool(found), f"{name}: rows only, {len(found)} rows, {took:.1f}s"
     start = time.time()
     cur = con.execute(sql)
     wanted_names = [d[0] for d in cur.description]

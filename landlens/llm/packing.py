@@ -9,8 +9,8 @@ piece finds its place by its rank among the pieces of its length.
 
 from __future__ import annotations
 
-import base64
 import math
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -18,9 +18,9 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from landlens.session import cut_lineage
 
@@ -103,27 +103,48 @@ def plan(counts: dict[int, int], limits: Limits) -> np.ndarray:
     return np.array(steps, dtype=np.int64).reshape(-1, 6)
 
 
-@lru_cache(maxsize=4)
-def tokenizer(path: str) -> tiktoken.Encoding:
-    """A byte-level BPE by the vocabulary that a tokenizer file holds; ids are those of the file."""
-    import public_tokenizers
+#: Distinct units a task remembers the ids of; beyond that it starts anew, which costs time, not results.
+UNITS = 500_000
+#: No pre-token spans a single space between two other characters, except as its first character: there a text may be cut.
+UNIT = re.compile(r"(?<=\S)(?= \S)")
+
+
+class Encoder:
+    """Ids of texts by a tokenizers file; each distinct unit of a batch (about a word with its space) is encoded once.
+
+    The strings of special tokens are ordinary text, as nothing in a document is a special token.
+    """
 
-    ranks = {}
-    with open(path, "rb") as lines:
-        for token, rank in map(bytes.split, lines):
-            ranks[base64.b64decode(token)] = int(rank)
-    return tiktoken.Encoding("corpus", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    def __init__(self, path: str) -> None:
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True
+        self.known: dict[str, bytes] = {}
+
+    def encode(self, text: str) -> np.ndarray:
+        units = UNIT.split(text)
+        if len(self.known) > UNITS:
+            self.known.clear()
+        new = [u for u in dict.fromkeys(units) if u not in self.known]
+        if new:
+            found = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
+            self.known.update(zip(new, (np.array(x.ids, "<u4").tobytes() for x in found), strict=True))
+        return np.frombuffer(b"".join(map(self.known.__getitem__, units)), "<u4")
+
+
+@lru_cache(maxsize=4)
+def encoder(path: str) -> Encoder:
+    return Encoder(path)
 
 
 def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every piece; a null text is an empty one and has the end id alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tokenizer(vocabulary).encode_ordinary
+        encode = encoder(vocabulary).encode
         for batch in batches:
             rows, out = [], ([], [], [], [])
             for row, text in enumerate(batch.column(1).cast(pa.large_string()).to_pylist()):
-                ids = np.array(encode(text or "") + [END], dtype="<u4")
+                ids = np.append(encode(text or ""), np.array([END], "<u4"))
                 first = len(ids) % capacity or capacity
                 for piece, at in enumerate([0, *range(first, len(ids), capacity)]):
                     part = ids[at : first if piece == 0 else at + capacity]

@@ -12,7 +12,7 @@ from landlens.llm import (
 )
 from landlens.llm.common import table
 
-VOCABULARY = "byte_bpe_50k.tiktoken"
+VOCABULARY = "byte_bpe_50k.json"
 
 
 def vocabulary() -> str:

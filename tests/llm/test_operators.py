@@ -187,6 +187,20 @@ def test_packing_ids(docs):
         assert r.length <= 64 and (r.piece == 0 or r.length == 64)
 
 
+def test_packing_ids_at_unit_edges():
+    import numpy as np
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(vocabulary())
+    tok.encode_special_tokens = True
+    encoder = packing.Encoder(vocabulary())
+    rng = random.Random(3)
+    parts = [" ", "  ", "\n", "\t", "a", "Bc", "'s", "'", "1", "23", ".", "!?", "é", "\u3000", "\xa0", "\x1c", "\x85", "漢字", "😀", "<|endoftext|>"]
+    for _ in range(5000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randrange(14)))
+        assert np.array_equal(encoder.encode(text), np.array(tok.encode(text, add_special_tokens=False).ids, dtype="<u4")), text
+
+
 def test_near_vectors(spark):
     rng = random.Random(1)
     gauss = lambda n: [rng.gauss(0, 1) for _ in range(n)]

@@ -10,6 +10,7 @@ piece finds its place by its rank among the pieces of its length.
 from __future__ import annotations
 
 import math
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -116,6 +117,8 @@ class Encoder:
     """
 
     def __init__(self, path: str) -> None:
+        # Spark already gives every core a task: threads of the library's own would only wait for each other
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.known: dict[str, bytes] = {}

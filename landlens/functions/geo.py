@@ -31,9 +31,9 @@ TOKYO, YOKOHAMA, KAWASAKI = "東京23区", "横浜市", "川崎市"
 OUT_OF_SCOPE = "対象範囲外"
 PROVISIONAL_SCOPE = "対象範囲（境界照合は暫定）"
 WARDS = (
-    "千代田区 中央区 港区 新宿区 文京区 台東区 墨田区 江東区 品川区 目黒区 大田区 世田谷区 "
-    "渋谷区 中野区 杉並区 豊島区 北区 荒川区 板橋区 練馬区 足立区 葛飾区 江戸川区"
-).split()
+    "千代田区", "中央区", "港区", "新宿区", "文京区", "台東区", "墨田区", "江東区", "品川区", "目黒区", "大田区", "世田谷区",
+    "渋谷区", "中野区", "杉並区", "豊島区", "北区", "荒川区", "板橋区", "練馬区", "足立区", "葛飾区", "江戸川区",
+)
 
 
 class LatLng(NamedTuple):

@@ -17,8 +17,9 @@ COMBINED_LOWEST = "優先度低め"
 SLOPE_LADDER = ((40.0, 80), (30.0, 60), (15.0, 35), (5.0, 10))
 AMPLIFICATION_LADDER = ((1.0, 0), (1.4, 20), (1.6, 40), (2.0, 65))
 AMPLIFICATION_HIGHEST = 85
-COMPARISON_BELOW = ((-0.15, "かなり低い"), (-0.05, "やや低い"))
-COMPARISON_UNDER = ((0.05, "付近"), (0.15, "やや高い"))
+COMPARISON_BELOW = ((-0.15, "内部サンプル中央値よりかなり低い"), (-0.05, "内部サンプル中央値よりやや低い"))
+COMPARISON_UNDER = ((0.05, "内部サンプル中央値付近"), (0.15, "内部サンプル中央値よりやや高い"))
+COMPARISON_HIGHEST = "内部サンプル中央値よりかなり高い"
 
 
 def _at_least(value: Column, ladder, lowest) -> Column:
@@ -79,10 +80,9 @@ def amplification_score(arv: Column) -> Column:
 
 def comparison_label(pct: Column) -> Column:
     """Where a price stands against the town median; the first two bounds are inclusive, the last two not."""
-    text = lambda tail: f"内部サンプル中央値{tail}" if tail == "付近" else f"内部サンプル中央値より{tail}"
     rungs = F
-    for bound, tail in COMPARISON_BELOW:
-        rungs = rungs.when(pct <= bound, text(tail))
-    for bound, tail in COMPARISON_UNDER:
-        rungs = rungs.when(pct < bound, text(tail))
-    return F.when(pct.isNotNull(), rungs.otherwise(text("かなり高い")))
+    for bound, label in COMPARISON_BELOW:
+        rungs = rungs.when(pct <= bound, label)
+    for bound, label in COMPARISON_UNDER:
+        rungs = rungs.when(pct < bound, label)
+    return F.when(pct.isNotNull(), rungs.otherwise(COMPARISON_HIGHEST))

@@ -51,26 +51,27 @@ def lens_join(
 ) -> DataFrame:
     """Samples with four per-cell lenses; a sample is never dropped, absent lenses read UNKNOWN or default.
 
-    Each lens has one row per cell. The lenses are stacked and folded into one row per cell with a single shuffle, and
-    the samples meet that table in one join.
+    Each lens has one row per cell; of several, the largest by its columns in order counts, whole. The lenses are stacked
+    and folded into one row per cell with a single shuffle, and the samples meet that table in one join.
     """
-    columns = {
-        "catalog_label": (catalog, "label_code"),
-        "catalog_detail": (catalog, "detail_score"),
-        "attention_class": (moisture, "attention_class"),
-        "moisture_confidence": (moisture, "confidence"),
-        "aggregate_state": (environment, "aggregate_state"),
-        "robust_candidate": (environment, "robust_candidate"),
-        "share_300m": (environment, "share_300m"),
-        "share_500m": (environment, "share_500m"),
-        "total_links": (places, "total_links"),
-        "index_status": (places, "index_status"),
-    }
+    parts = {
+        "catalog": (catalog, {"catalog_label": "label_code", "catalog_detail": "detail_score"}),
+        "moisture": (moisture, {"attention_class": "attention_class", "moisture_confidence": "confidence"}),
+        "environment": (
+            environment,
+            {
+                "aggregate_state": "aggregate_state", "robust_candidate": "robust_candidate",
+                "share_300m": "share_300m", "share_500m": "share_500m",
+            },
+        ),
+        "places": (places, {"total_links": "total_links", "index_status": "index_status"}),
+    }
     stacked = None
-    for lens in (catalog, moisture, environment, places):
-        part = lens.select("cell_id", *[F.col(c).alias(n) for n, (owner, c) in columns.items() if owner is lens])
+    for name, (lens, columns) in parts.items():
+        part = lens.select("cell_id", F.struct(*[F.col(c).alias(n) for n, c in columns.items()]).alias(name))
         stacked = part if stacked is None else stacked.unionByName(part, allowMissingColumns=True)
-    lenses = stacked.groupBy("cell_id").agg(*[F.max(n).alias(n) for n in columns])
+    folded = stacked.groupBy("cell_id").agg(*[F.max(name).alias(name) for name in parts])
+    lenses = folded.select("cell_id", *[F.col(f"{name}.{n}") for name, (_, columns) in parts.items() for n in columns])
     joined = lookup_join(samples, lenses, ["cell_id"])
     return joined.select(
         *samples.columns,
@@ -193,12 +194,17 @@ def research_queues(lensed: DataFrame) -> DataFrame:
     return lensed.withColumn("queue", F.explode(entries))
 
 
-def queue_items(queued: DataFrame, order: str = "sample_id", limits: dict[str, int] = QUEUE_LIMITS) -> DataFrame:
-    """First items of each queue in sample order, with the queue's full count.
+def queue_items(queued: DataFrame, order: str = "sample_id", limits: dict[str, int] | None = QUEUE_LIMITS) -> DataFrame:
+    """First items of each queue in sample order, with the queue's full count; a queue without a limit is an error.
 
+    ``limits=None`` gives all items of all queues, without positions.
     The rank filter limits every input partition before the shuffle, so a long queue never gathers in one task;
     counts are aggregated separately.
     """
+    if limits is None:
+        return lookup_join(queued, queued.groupBy("queue").agg(F.count(F.lit(1)).alias("queue_count")), ["queue"])
+    unknown = F.raise_error(F.concat(F.lit("no limit for the queue "), F.coalesce("queue", F.lit("NULL"))))
+    queued = queued.withColumn("queue", F.when(F.col("queue").isin(*limits), F.col("queue")).otherwise(unknown))
     counts = queued.groupBy("queue").agg(F.count(F.lit(1)).alias("queue_count"))
     top = max(limits.values())
     ranked = queued.withColumn("position", F.row_number().over(Window.partitionBy("queue").orderBy(order))).filter(

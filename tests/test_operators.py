@@ -252,3 +252,11 @@ def test_dem_mosaic_takes_first_known_source(spark):
     df = spark.createDataFrame(rows, "x int, y int, px int, py int, priority int, r int, g int, b int, a int")
     got = {r.px: r.elevation for r in lookups.dem_mosaic(df).collect()}
     assert got == {1: pytest.approx(1.0), 3: pytest.approx(-0.01)}
+
+
+def test_queue_without_a_limit_is_an_error(spark):
+    queued = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3)], "queue string, sample_id int")
+    assert [r.sample_id for r in discovery.queue_items(queued, limits={"a": 1, "b": 5}).orderBy("sample_id").collect()] == [1, 3]
+    assert {(r.sample_id, r.queue_count) for r in discovery.queue_items(queued, limits=None).collect()} == {(1, 2), (2, 2), (3, 1)}
+    with pytest.raises(Exception, match="no limit for the queue b"):
+        discovery.queue_items(queued, limits={"a": 1}).collect()

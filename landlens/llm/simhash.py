@@ -8,7 +8,7 @@ are compared exactly, by exclusive or and bit counts in numpy, in slabs of bound
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
 
 import numpy as np
@@ -16,6 +16,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 from landlens.llm.components import components
 from landlens.session import cut_lineage
@@ -184,16 +186,122 @@ def simhash_dedup(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     return rows.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+#: The stage on documents: words per shingle, and the Jaccard similarity from which sets of shingles are near, in tenths.
+STAGE_WORDS = 5
+STAGE_TENTHS = 8
+#: Documents whose shingles are counted to find common ones, and how many common ones are set behind the others.
+SAMPLE_DOCS = 20_000
+COMMON = 200_000
+
+
+def shingle_set(text: bytes, width: int = STAGE_WORDS) -> np.ndarray:
+    """Distinct hashes of the word shingles, sorted; a text of fewer words is one shingle, one without words has none."""
+    words = text.lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    if len(words) < width:
+        return np.array([xxh64(b" ".join(words))], np.uint64)
+    return np.unique(np.fromiter(map(xxh64, map(b" ".join, zip(*[words[i:] for i in range(width)], strict=False))), np.uint64))
+
+
+def prefix_of(hashes: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """The shingles of which sets of the stage's similarity share one at least: the first n - ceil(J n) + 1 in one order of all.
+
+    Any order does; with common shingles at its end few sets meet by what is in many documents.
+    """
+    late = np.isin(hashes, common, kind="sort") if len(common) else np.zeros(len(hashes), bool)
+    n = len(hashes)
+    return np.concatenate([hashes[~late], hashes[late]])[: n + (-STAGE_TENTHS * n // 10) + 1]
+
+
+def mapped(rows: DataFrame, columns: list[str], make: Callable[[np.ndarray], tuple], schema: str) -> DataFrame:
+    """``columns`` of each row and what ``make`` returns for the shingle set of its text."""
+    kinds = "".join(f"`{c}` {rows.schema[c].dataType.simpleString()}, " for c in columns)
+    target = to_arrow_schema(_parse_datatype_string(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                made = [make(shingle_set(t or b"")) for t in part.column(len(columns)).cast(pa.large_binary()).to_pylist()]
+                more = [pa.array([m[i] for m in made], f.type) for i, f in enumerate(target)]
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(columns)], *more], [*columns, *target.names])
+
+    return rows.select(*columns, "text").mapInArrow(run, kinds + schema)
+
+
+def set_key(hashes: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(hashes.tobytes(), seed=SEED) - (1 << 63)
+
+
+def common_shingles(texts: DataFrame) -> np.ndarray:
+    """Shingles that a bounded sample of documents holds again and again; they only affect the order of shingles."""
+    share = max(1, texts.count() // SAMPLE_DOCS)
+    sample = texts.filter(F.pmod(F.xxhash64("text"), F.lit(share)) == 0)
+    held = mapped(sample, [], lambda h: (h.view(np.int64),), "h array<long>").select(F.explode("h").alias("h"))
+    often = held.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 2").orderBy(F.desc("n"), "h").limit(COMMON)
+    return np.sort(np.array([r.h for r in often.collect()], np.int64).view(np.uint64))
+
+
+def jaccard_links(texts: DataFrame) -> DataFrame:
+    """Links (a, b) between all set keys whose shingle sets have a Jaccard similarity of 0.8 or more, each once.
+
+    ``texts``: key and text, one row per key. Candidates share a shingle of their prefixes and can still reach the similarity
+    by their sizes and by what follows that shingle; each is then compared by its whole sets.
+    """
+    common = common_shingles(texts)
+
+    def posting(hashes: np.ndarray) -> tuple:
+        return len(hashes), prefix_of(hashes, common).view(np.int64)
+
+    each = mapped(texts, ["key"], posting, "n long, prefix array<long>").select("key", "n", F.posexplode("prefix").alias("at", "h"))
+    each = cut_lineage(each)
+    again = cut_lineage(each.groupBy("h").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("h"))
+    met = cut_lineage(each.join(again, "h"))
+    a, b = (met.select("h", *[F.col(c).alias(f"{c}_{x}") for c in ("key", "n", "at")]) for x in "ab")
+    shared = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
+    both = F.col("n_a") + F.col("n_b")
+    # J >= t/10 where the sets share s of their n_a + n_b hashes: 10 s >= t (n_a + n_b - s)
+    pairs = cut_lineage(
+        a.join(b, "h")
+        .filter((F.col("key_a") < F.col("key_b")) & ((10 + STAGE_TENTHS) * shared >= STAGE_TENTHS * both))
+        .select("key_a", "key_b")
+        .distinct()
+    )
+    ends = pairs.select(F.col("key_a").alias("key")).union(pairs.select(F.col("key_b").alias("key"))).distinct()
+    sets = cut_lineage(mapped(texts.join(ends, "key", "left_semi"), ["key"], lambda h: (h.view(np.int64),), "h array<long>"))
+    left, right = (sets.select(*[F.col(c).alias(f"{c}_{x}") for c in ("key", "h")]) for x in "ab")
+    same = F.size(F.array_intersect("h_a", "h_b"))
+    return (
+        pairs.join(left, "key_a")
+        .join(right, "key_b")
+        .filter((10 + STAGE_TENTHS) * same >= STAGE_TENTHS * (F.size("h_a") + F.size("h_b")))
+        .select(F.col("key_a").alias("a"), F.col("key_b").alias("b"))
+    )
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, of one document of each group of near copies: the smallest doc_id.
 
-    Rows that repeat a doc_id of their group stay once. Rows without doc_id stay only where their whole group has none; of
-    those, equal texts stay once.
+    Near copies: sets of five-word shingles (ASCII letters in lower case) with a Jaccard similarity of 0.8 or more, chains
+    included. Texts without words are copies of each other. A document is a doc_id with a text: of texts under one doc_id that
+    are not near copies each stays, rows that agree in both stay once. A row without doc_id stays only where no document of
+    its group has one, and then one of them. Unlike op9 no fingerprint is compared: no radius covers this similarity.
     """
-    classes = simhash_dedup(docs, radius).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    unnamed = F.when(F.col("doc_id").isNull(), F.xxhash64("text"))
-    kept = docs.join(cut_lineage(classes), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    return kept.withColumn("_unnamed", unnamed).dropDuplicates(["doc_id", "_unnamed"]).drop("_unnamed")
+    hashed = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), "text")
+    keyed = mapped(hashed, ["doc_id", "text_key"], lambda h: (set_key(h),), "key long")
+    rows = cut_lineage(keyed.distinct())
+    firsts = rows.groupBy("key").agg(F.min("text_key").alias("text_key"))
+    texts = hashed.select("text_key", "text").join(firsts, "text_key").dropDuplicates(["key"]).select("key", "text")
+    member = components(cut_lineage(jaccard_links(cut_lineage(texts))))
+    grouped = rows.join(member.select(F.col("node").alias("key"), "root"), "key", "left")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_key")).alias("least")
+    chosen = cut_lineage(grouped.groupBy(F.coalesce("root", "key").alias("group")).agg(least)).select(
+        F.col("least.doc_id").alias("_id"), F.col("least.text_key").alias("_chosen")
+    )
+    mine = docs.withColumn("_text_key", F.xxhash64(F.coalesce("text", F.lit(""))))
+    kept = mine.join(chosen, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_chosen")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "_text_key"]).drop("_text_key")
 
 
 QUERY_COLUMNS = ("doc_id", "fingerprint", "component_id")

@@ -257,3 +257,44 @@ def test_classifier_edges(docs, nothing, spark):
     assert classifier.keep_good(docs, labels).columns == docs.columns
     assert classifier.classify(nothing, labels).count() == 0
     assert classifier.classify(docs, labels.limit(0)).count() == docs.count()
+
+
+def test_keep_one_against_brute_jaccard(spark):
+    rng = random.Random(11)
+    texts = []
+    for size in (4, 12, 40, 150, 600):
+        for _ in range(6):
+            base = words(rng, size).split(" ")
+            texts.append(" ".join(base))
+            for edits in range(1, 1 + size // 20):
+                copy = list(base)
+                for at in rng.sample(range(size), max(1, edits * size // 150)):
+                    copy[at] = "changed" + str(rng.randrange(10**6))
+                texts.append(" ".join(copy))
+            texts += [" ".join(base[: size - size // 10]), " ".join(base).upper().replace(" ", "\n")]
+    texts += ["", None, " \n"]
+    ids = list(range(len(texts)))
+    rng.shuffle(ids)
+    sets = []
+    for t in texts:
+        w = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "").split()
+        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set()))
+    near = [
+        (i, j) for i in range(len(sets)) for j in range(i)
+        if sets[i] == sets[j] or 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j]) > 0
+    ]
+    assert sum(sets[i] != sets[j] for i, j in near) > 50
+    groups = {}
+    for i, root in brute.find(near, range(len(texts))).items():
+        groups.setdefault(root, []).append(ids[i])
+    docs = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == sorted(map(min, groups.values()))
+
+
+def test_keep_one_tells_documents_apart(spark):
+    rng = random.Random(12)
+    a, b, c, d = (words(rng, 200) for _ in range(4))
+    rows = [(1, a), (1, b), (1, b), (2, b + " x"), (None, c), (None, c + " x"), (None, d), (5, d + " y")]
+    got = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 4 and {(1, a), (1, b), (5, d + " y")} < {tuple(r) for r in got}
+    assert [r.text in (c, c + " x") for r in got if r.doc_id is None] == [True]

@@ -5,8 +5,9 @@ by what the whole corpus says: with n(t) uses of a word and n(t, e) of them besi
 
     PMI(t, e) = log2( n(t, e) / n(t) / p(e) ),   IC(e) = -log2 p(e),   disclosure = PMI / IC <= 1
 
-where p(e) is the share of all word places that lie beside e. A word whose disclosure exceeds ``generalise`` is replaced by a
-general label, above ``remove`` it is removed. Words seen beside the entity fewer than ``support`` times are no evidence.
+where p(e) is the share of all word places that lie beside e. All pairs are judged, however rare: the share n(t, e) / n(t) is
+shrunk towards p(e) by ``prior`` uses, so that one use beside an entity says less than many. A word whose disclosure reaches
+``generalise`` is replaced by a general label, from ``remove`` on it is removed.
 """
 
 from __future__ import annotations
@@ -28,7 +29,8 @@ PATTERNS = {
 KINDS = tuple(PATTERNS)
 #: Words on each side of an entity that count as beside it.
 CONTEXT = 5
-SUPPORT = 5
+#: Uses of a word by which its share beside an entity is drawn towards the entity's share of all words.
+PRIOR = 1.0
 GENERALISE = 0.8
 REMOVE = 0.95
 
@@ -151,7 +153,7 @@ def contexts(found: DataFrame, width: int) -> DataFrame:
 
 
 def disclosures(
-    docs: DataFrame, beside: DataFrame, *, support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE
+    docs: DataFrame, beside: DataFrame, *, prior: float = PRIOR, generalise: float = GENERALISE, remove: float = REMOVE
 ) -> DataFrame:
     """entity, term, disclosure, action of every pair beyond the thresholds.
 
@@ -159,7 +161,7 @@ def disclosures(
     """
     pairs = beside.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("together"))
     entities = beside.groupBy("entity").agg(F.count(F.lit(1)).alias("places"))
-    candidates = cut_lineage(pairs.filter(F.col("together") >= support).join(entities, "entity"))
+    candidates = cut_lineage(pairs.join(entities, "entity"))
     # a word that belongs to no candidate still counts into the total, under the empty term
     counted = (
         docs.select(F.explode(words_of(F.col("text"))).alias("word"))
@@ -176,7 +178,8 @@ def disclosures(
     total = uses.agg(F.sum("uses")).first()[0] or 1
     share = F.col("places") / F.lit(float(total))
     information = -F.log2(share)
-    pmi = F.log2(F.col("together") / F.greatest("uses", "together") / share)
+    shrunk = (F.col("together") + F.lit(prior) * share) / (F.greatest("uses", "together") + F.lit(prior))
+    pmi = F.log2(shrunk / share)
     return (
         candidates.join(uses, "term")
         .withColumn("disclosure", F.when(information > 0, pmi / information).otherwise(0.0))

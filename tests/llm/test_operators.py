@@ -298,3 +298,18 @@ def test_keep_one_tells_documents_apart(spark):
     got = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert len(got) == 4 and {(1, a), (1, b), (5, d + " y")} < {tuple(r) for r in got}
     assert [r.text in (c, c + " x") for r in got if r.doc_id is None] == [True]
+
+
+def test_pii_terms_of_rare_entities(spark):
+    rng = random.Random(4)
+    rows, n = [], 0
+    for times in (1, 2, 3, 4):
+        for _ in range(times):
+            rows.append((n, f"{words(rng, 30)} common zebra{times} writes boss{times}@corp.example.com about common {words(rng, 30)}"))
+            n += 1
+    rows += [(100 + i, words(rng, 50) + " common writes about") for i in range(300)]
+    found = {r.doc_id: r.spans for r in pii.pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, text in rows[:n]:
+        named = [s.split(":") for s in found[i].split(",")]
+        gone = {text[int(a) : int(b)] for kind, a, b in named if kind in ("removed", "general")}
+        assert any(w.startswith("zebra") for w in gone) and not gone & {"common", "writes", "about"}

@@ -7,15 +7,16 @@ by what the whole corpus says: with n(t) uses of a word and n(t, e) of them besi
 
 where p(e) is the share of all word places that lie beside e. All pairs are judged, however rare: the share n(t, e) / n(t) is
 shrunk towards p(e) by ``prior`` uses, so that one use beside an entity says less than many. A word whose disclosure reaches
-``generalise`` is replaced by a general label, from ``remove`` on it is removed.
+``generalise`` is replaced by a general label, from ``remove`` on it is removed, at all its places in the documents that hold
+the entity.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from landlens.llm.common import SPACE, WORD, words_of
+from landlens.llm.common import SPACE, SPACES, WORD, words_of
 from landlens.session import cut_lineage
 
 #: Patterns of the base spans, in the order that breaks ties. Each is written so that a search that fails in a run of
@@ -67,7 +68,7 @@ SPAN = "struct<start:int,ord:int,kind:string,end:int,value:string,before:string,
 
 
 def kind_spans(kind: str, text: Column, may: Column) -> Column:
-    """All matches of one kind, validated, with their code point offsets and the text up to the neighbouring matches."""
+    """All matches of one kind, validated, with their code point offsets and the text up to the neighbouring valid ones."""
     pattern, order = PATTERNS[kind], KINDS.index(kind)
     empty = F.array().cast(f"array<{SPAN}>")
     found = F.regexp_extract_all(text, F.lit(pattern), 0)
@@ -90,8 +91,8 @@ def kind_spans(kind: str, text: Column, may: Column) -> Column:
                     F.lit(kind).alias("kind"),
                     (acc["at"] + F.length(p["gap"]["before"]) + F.length(p["value"])).alias("end"),
                     p["value"].alias("value"),
-                    p["gap"]["before"].alias("before"),
-                    p["gap"]["after"].alias("after"),
+                    F.lit("").alias("before"),
+                    F.lit("").alias("after"),
                 ).cast(SPAN),
             ).alias("spans"),
         ),
@@ -99,20 +100,64 @@ def kind_spans(kind: str, text: Column, may: Column) -> Column:
     return F.when(may & text.rlike(pattern), F.filter(walk, lambda s: valid(kind, s["value"]))).otherwise(empty)
 
 
+def with_gaps(spans: Column, text: Column) -> Column:
+    """Spans of one kind with the text between them filled in."""
+    gap = lambda a, b: F.substring(text, a + 1, b - a)
+    return F.transform(
+        spans,
+        lambda s, i: F.struct(
+            *[s[c].alias(c) for c in ("start", "ord", "kind", "end", "value")],
+            gap(F.coalesce(F.get(spans, i - 1)["end"], F.lit(0)), s["start"]).alias("before"),
+            gap(s["end"], F.coalesce(F.get(spans, i + 1)["start"], F.length(text))).alias("after"),
+        ).cast(SPAN),
+    )
+
+
 def row_key(text: Column) -> Column:
     """With doc_id: tells rows apart; rows that agree in both have the same spans."""
     return F.xxhash64(text, F.length(text))
 
 
 def find_spans(docs: DataFrame) -> DataFrame:
-    """doc_id, key, spans (sorted by start, then kind): one row per input row."""
+    """doc_id, key, spans (sorted by start, then kind) and, where there are any, body (the text): one row per input row."""
     text, digit = F.col("_text"), F.col("_digit")
     may = {"email": text.contains("@"), "ip": digit & text.contains("."), "card": digit, "phone": digit & text.contains("+")}
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("_text")).withColumn("_digit", F.col("_text").rlike("[0-9]"))
     for kind in KINDS:
-        rows = rows.withColumn(f"_{kind}", kind_spans(kind, text, may[kind]))
+        rows = rows.withColumn(f"_{kind}", kind_spans(kind, text, may[kind])).withColumn(f"_{kind}", with_gaps(F.col(f"_{kind}"), text))
     return rows.select(
-        "doc_id", row_key(text).alias("key"), F.array_sort(F.concat(*[F.col(f"_{k}") for k in KINDS])).alias("spans")
+        "doc_id", row_key(text).alias("key"), F.array_sort(F.concat(*[F.col(f"_{k}") for k in KINDS])).alias("spans"), text.alias("_body")
+    ).select("doc_id", "key", "spans", F.when(F.size("spans") > 0, F.col("_body")).alias("body"))
+
+
+def masked(found: DataFrame) -> Column:
+    """The text of a row of ``found`` with blanks for its spans, so that what is glued to a span is a word of its own."""
+    return F.aggregate(
+        "spans", F.col("body"), lambda acc, s: F.overlay(acc, F.repeat(F.lit(" "), s["end"] - s["start"]), s["start"] + 1, s["end"] - s["start"])
+    )
+
+
+def places_of(found: DataFrame, pairs: DataFrame) -> DataFrame:
+    """doc_id, key, start, end, action: every place of a flagged term in the documents that hold its entity."""
+    rows = (
+        found.filter("body IS NOT NULL")
+        .dropDuplicates(["doc_id", "key"])
+        .select(
+            "doc_id", "key",
+            F.array_distinct(F.transform("spans", lambda s: F.concat_ws(":", s["kind"], s["value"]))).alias("entities"),
+            F.posexplode(F.regexp_extract_all(masked(found), F.lit(SPACE + "*" + WORD), 0)).alias("at", "chunk"),
+        )
+    )
+    so_far = Window.partitionBy("doc_id", "key").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    word = F.btrim("chunk", F.lit(SPACES))
+    terms = pairs.select("term").distinct()
+    return (
+        rows.withColumn("end", F.sum(F.length("chunk")).over(so_far).cast("int"))
+        .select("doc_id", "key", "entities", (F.col("end") - F.length(word)).alias("start"), "end", plain(word).alias("term"))
+        .join(terms, "term")
+        .withColumn("entity", F.explode("entities"))
+        .join(pairs.select("entity", "term", "action"), ["entity", "term"])
+        .select("doc_id", "key", "start", "end", "action")
     )
 
 
@@ -127,7 +172,7 @@ def contexts(found: DataFrame, width: int) -> DataFrame:
     word = "struct<start:int,end:int,word:string>"
     before = F.slice(F.reverse(F.regexp_extract_all(F.col("s.before"), F.lit(WORD + SPACE + "*"), 0)), 1, width)
     after = F.slice(F.regexp_extract_all(F.col("s.after"), F.lit(SPACE + "*" + WORD), 0), 1, width)
-    bare = lambda chunk: F.btrim(chunk, F.lit(" \t\n\x0b\x0c\r"))
+    bare = lambda chunk: F.btrim(chunk, F.lit(SPACES))
 
     def place(chunks: Column, at: Column, sign: int) -> Column:
         def step(acc: Column, chunk: Column) -> Column:
@@ -153,20 +198,28 @@ def contexts(found: DataFrame, width: int) -> DataFrame:
 
 
 def disclosures(
-    docs: DataFrame, beside: DataFrame, *, prior: float = PRIOR, generalise: float = GENERALISE, remove: float = REMOVE
+    docs: DataFrame, found: DataFrame, beside: DataFrame, *, prior: float = PRIOR, generalise: float = GENERALISE, remove: float = REMOVE
 ) -> DataFrame:
     """entity, term, disclosure, action of every pair beyond the thresholds.
 
-    Counts cover every word of the corpus; pairs are counted first, so that only their terms meet the word counts.
+    Counts cover every word of the corpus, words glued to a span included; pairs are counted first, so that only their terms
+    meet the word counts.
     """
     pairs = beside.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("together"))
     entities = beside.groupBy("entity").agg(F.count(F.lit(1)).alias("places"))
     candidates = cut_lineage(pairs.join(entities, "entity"))
     # a word that belongs to no candidate still counts into the total, under the empty term
+    # what stands in texts with spans is counted between the spans, instead of word by word
+    spanned = found.filter("body IS NOT NULL")
+    each = [
+        docs.select(F.explode(words_of(F.col("text"))).alias("word"), F.lit(1).alias("n")),
+        spanned.select(F.explode(words_of(F.col("body"))).alias("word"), F.lit(-1).alias("n")),
+        spanned.select(F.explode(words_of(masked(spanned))).alias("word"), F.lit(1).alias("n")),
+    ]
     counted = (
-        docs.select(F.explode(words_of(F.col("text"))).alias("word"))
+        each[0].union(each[1]).union(each[2])
         .groupBy("word")
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(F.sum("n").alias("n"))
         .groupBy(plain(F.col("word")).alias("term"))
         .agg(F.sum("n").alias("uses"))
     )
@@ -181,7 +234,8 @@ def disclosures(
     shrunk = (F.col("together") + F.lit(prior) * share) / (F.greatest("uses", "together") + F.lit(prior))
     pmi = F.log2(shrunk / share)
     return (
-        candidates.join(uses, "term")
+        candidates.join(uses, "term", "left")
+        .withColumn("uses", F.coalesce("uses", "together"))
         .withColumn("disclosure", F.when(information > 0, pmi / information).otherwise(0.0))
         .filter(F.col("disclosure") >= generalise)
         .select("entity", "term", "disclosure", F.when(F.col("disclosure") >= remove, "removed").otherwise("general").alias("action"))
@@ -192,9 +246,10 @@ def detect(docs: DataFrame, **limits: float) -> DataFrame:
     """doc_id, key, base, extra: the spans of each row of ``docs``; extra ones are struct(start, end, kind)."""
     found = cut_lineage(find_spans(docs))
     beside = cut_lineage(contexts(found, CONTEXT))
-    pairs = cut_lineage(disclosures(docs, beside, **limits))
+    pairs = cut_lineage(disclosures(docs, found, beside, **limits))
+    near = beside.join(pairs.select("entity", "term", "action"), ["entity", "term"]).select("doc_id", "key", "start", "end", "action")
     extra = cut_lineage(
-        beside.join(pairs.select("entity", "term", "action"), ["entity", "term"])
+        near.union(places_of(found, pairs))
         .groupBy("doc_id", "key", "start", "end")
         .agg(F.max("action").alias("kind"))
         .groupBy(F.col("doc_id").alias("_id"), F.col("key").alias("_key"))

@@ -313,3 +313,20 @@ def test_pii_terms_of_rare_entities(spark):
         named = [s.split(":") for s in found[i].split(",")]
         gone = {text[int(a) : int(b)] for kind, a, b in named if kind in ("removed", "general")}
         assert any(w.startswith("zebra") for w in gone) and not gone & {"common", "writes", "about"}
+
+
+def test_pii_terms_at_all_their_places(spark):
+    rng = random.Random(6)
+    far = words(rng, 20)
+    rows = [(i, f"zebra writes from name{i}:boss@corp.example.com about common {far} zebra and 1.2.3.999 {far}") for i in range(4)]
+    rows += [(50, f"{far} quagga 999.1.1.1 from 10.20.30.40"), (51, f"{far} zebra {far}")]
+    rows += [(100 + i, words(rng, 50) + f" common writes from about and {far}") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: r.spans for r in pii.pii(docs).collect()}
+    text = dict(rows)
+    for i in (0, 1, 2, 3, 50):
+        named = [s.split(":") for s in found[i].split(",")]
+        gone = [text[i][int(a) : int(b)] for kind, a, b in named if kind in ("removed", "general")]
+        assert gone.count("quagga" if i == 50 else "zebra") == (1 if i == 50 else 2), gone
+        assert i == 50 or f"name{i}:" in gone
+    assert not found[51]

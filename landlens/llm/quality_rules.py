@@ -59,6 +59,7 @@ def features(docs: DataFrame) -> DataFrame:
         rows.withColumn("word_chars", F.length(F.array_join("_words", "")).cast("long"))
         .withColumn("n_symbols", F.regexp_count(F.col("_text"), F.lit(r"[#*$%&|<>]")).cast("long"))
         .withColumn("_lines", lines)
+        .withColumn("n_lines", F.size("_lines").cast("long"))
         .withColumn("n_dup_lines", (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"))
         .withColumn("_hashes", hashes)
         .drop("_text", "_words", "_lines")
@@ -75,7 +76,7 @@ def rule_failures() -> dict[str, Column]:
         "short": F.col("n_words") < MIN_WORDS,
         "repeats": 100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words"),
         "symbols": 2 * F.col("n_symbols") > F.col("n_words"),
-        "dup_lines": 100 * F.col("n_dup_lines") > 30 * F.col("n_words"),
+        "dup_lines": 100 * F.col("n_dup_lines") > 30 * F.col("n_lines"),
     }
 
 

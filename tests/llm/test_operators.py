@@ -330,3 +330,12 @@ def test_pii_terms_at_all_their_places(spark):
         assert gone.count("quagga" if i == 50 else "zebra") == (1 if i == 50 else 2), gone
         assert i == 50 or f"name{i}:" in gone
     assert not found[51]
+
+
+def test_hosts_of_repeated_lines(spark):
+    line = "the same seven words on a line"
+    rows = [(i, "\n".join([line] * 3 + [f"{a} other words number {i} on line {a}" for a in range(3)]), "lines") for i in range(200)]
+    rows += [(1000 + i, "\n".join(f"{a} other words number {i} on line {a}" for a in range(6)), f"h{i % 20}") for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {(r.host, r.host_failed, r.kept) for r in quality_rules.quality_rules(docs).collect()}
+    assert got == {("lines", True, False)} | {(f"h{i}", False, True) for i in range(20)}

@@ -101,6 +101,8 @@ class Windows:
     unit: str
     window: int
     gram: int
+    #: Windows per group where an anchor is split. With one, all strings of a group are equal and travel once per chunk.
+    group: int = GROUP
 
     @property
     def width(self) -> int:
@@ -271,15 +273,15 @@ def runs_to_send(all_blocks: list[Block], asked: Asked, kinds: np.ndarray, how:
         if len(hot):
             starts = ranges(b.start[hot], b.count[hot])
             of = np.repeat(hot, b.count[hot])
-            group = (b.anchor[of] - starts) // GROUP
+            group = (b.anchor[of] - starts) // how.group
             edge = np.concatenate([[True], (group[1:] != group[:-1]) | (of[1:] != of[:-1])])
             heads = np.flatnonzero(edge)
             sizes = np.diff(np.append(heads, len(starts)))
             owner, g = of[heads], group[heads]
-            lo = b.anchor[owner] - GROUP * g
+            lo = b.anchor[owner] - how.group * g
             # what every window of the group holds, whether or not all of them exist in this document
             with np.errstate(over="ignore"):
-                core = stretch(b.sums, lo, lo - GROUP + 1 + how.window) + b.key[owner] + g.astype(np.uint64)
+                core = stretch(b.sums, lo, lo - how.group + 1 + how.window) + b.key[owner] + g.astype(np.uint64)
             start, count = np.concatenate([start, starts[heads]]), np.concatenate([count, sizes])
             anchor, key = np.concatenate([anchor, b.anchor[owner]]), np.concatenate([key, mixed(core)])
         with np.errstate(over="ignore"):

@@ -57,13 +57,22 @@ def index_shard(table: pa.Table) -> list[tuple[bytes, bytes]]:
         owner.append(mine)
     result: list[np.ndarray] = [np.zeros(0, bool)] * len(strings)
     order = np.argsort(np.array(keys, np.uint64), kind="stable")
+    ranked = np.array(keys, np.uint64)[order]
+    edge = np.concatenate([[True], ranked[1:] != ranked[:-1], [True]])
+    rest = []
+    for i, alone in zip(order.tolist(), edge[1:] & edge[:-1], strict=False):
+        # a window that has its key for itself occurs as often as it was sent
+        if alone and strings[i].count(b" ") + 1 == WINDOW:
+            result[i] = np.array([times[i] > 1])
+        else:
+            rest.append(i)
     batch: list[int] = []
     words = 0
-    for k, i in enumerate(order):
-        batch.append(int(i))
+    for k, i in enumerate(rest):
+        batch.append(i)
         words += strings[i].count(b" ") + 1
-        closing = k + 1 == len(order) or keys[order[k + 1]] != keys[i]
-        if closing and (words >= INDEX_WORDS or k + 1 == len(order)):
+        closing = k + 1 == len(rest) or keys[rest[k + 1]] != keys[i]
+        if closing and (words >= INDEX_WORDS or k + 1 == len(rest)):
             split = [strings[j].split(b" ") for j in batch]
             for j, bits in zip(batch, repeated_windows(split, np.array([times[j] for j in batch]), WINDOW), strict=True):
                 result[j] = bits
@@ -131,7 +140,7 @@ def substring_dedup(docs: DataFrame, scale: Scale = Scale()) -> DataFrame:
     Returns doc_id, n_words, n_removed, removed (word numbers: start, end, start, end, ...), kept (text).
     """
     return judge(
-        docs, Windows("word", WINDOW, GRAM), occurrences, index_shard, cut_words,
+        docs, Windows("word", WINDOW, GRAM, 1), occurrences, index_shard, cut_words,
         "doc_id long, n_words long, n_removed long, removed array<long>, kept string",
         scale,
     )

@@ -339,3 +339,29 @@ def test_hosts_of_repeated_lines(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     got = {(r.host, r.host_failed, r.kept) for r in quality_rules.quality_rules(docs).collect()}
     assert got == {("lines", True, False)} | {(f"h{i}", False, True) for i in range(20)}
+
+
+def test_hot_anchors_send_equal_strings():
+    import numpy as np
+
+    from landlens.llm import anchors
+
+    rng = random.Random(8)
+    passage = words(rng, 60)
+    texts = [f"{words(rng, 50)} {passage} {words(rng, 50)}".encode() for _ in range(300)]
+    sent = []
+
+    def take(docs, how, *rest):
+        found = list(anchors.blocks(texts, how, True))
+        asked = anchors.ask(found, 1)
+        kinds = np.where(asked.counts >= 200, 2, np.minimum(asked.counts - 1, 1)).astype(np.uint8)
+        sent.append((anchors.runs_to_send(found, asked, kinds, how, 1, True), how))
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(substring_dedup, "judge", take)
+        substring_dedup.substring_dedup(None)
+    runs, how = sent[0]
+    assert how.window == 35 and np.unique(runs.key, return_counts=True)[1].max() < 200
+    times = np.bincount(runs.which)
+    inside = sum(t.decode() in passage for t in runs.text)
+    assert inside == 60 - 35 + 1 and sorted(times)[-inside] == 300

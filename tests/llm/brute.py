@@ -157,3 +157,16 @@ def vectors(rows: list[tuple], cosine: float = 0.95) -> list[tuple]:
         d = rows[i][0]
         first[r] = d if first.get(r) is None else min(first[r], d) if d is not None else first[r]
     return [(d, degree[i], first[roots[i]]) for i, (d, _) in enumerate(rows)]
+
+
+def near_texts(texts: list, width: int = 5, tenths: int = 8) -> tuple[list[tuple[int, int]], int]:
+    """Pairs of places whose sets of word shingles have a Jaccard similarity of tenths / 10, and how many of unequal sets."""
+    sets = []
+    for t in texts:
+        w = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "").split()
+        sets.append({tuple(w[i : i + width]) for i in range(len(w) - width + 1)} or ({tuple(w)} if w else set()))
+    near = [
+        (i, j) for i in range(len(sets)) for j in range(i)
+        if sets[i] == sets[j] or 10 * len(sets[i] & sets[j]) >= tenths * len(sets[i] | sets[j]) > 0
+    ]
+    return near, sum(sets[i] != sets[j] for i, j in near)

@@ -275,15 +275,8 @@ def test_keep_one_against_brute_jaccard(spark):
     texts += ["", None, " \n"]
     ids = list(range(len(texts)))
     rng.shuffle(ids)
-    sets = []
-    for t in texts:
-        w = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "").split()
-        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set()))
-    near = [
-        (i, j) for i in range(len(sets)) for j in range(i)
-        if sets[i] == sets[j] or 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j]) > 0
-    ]
-    assert sum(sets[i] != sets[j] for i, j in near) > 50
+    near, unequal = brute.near_texts(texts)
+    assert unequal > 50
     groups = {}
     for i, root in brute.find(near, range(len(texts))).items():
         groups.setdefault(root, []).append(ids[i])

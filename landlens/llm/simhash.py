@@ -209,7 +209,9 @@ def prefix_of(hashes: np.ndarray, common: np.ndarray) -> np.ndarray:
 
     Any order does; with common shingles at its end few sets meet by what is in many documents.
     """
-    late = np.isin(hashes, common, kind="sort") if len(common) else np.zeros(len(hashes), bool)
+    late = np.zeros(len(hashes), bool)
+    if len(common):  # sorted
+        late = common[np.minimum(np.searchsorted(common, hashes), len(common) - 1)] == hashes
     n = len(hashes)
     return np.concatenate([hashes[~late], hashes[late]])[: n + (-STAGE_TENTHS * n // 10) + 1]
 

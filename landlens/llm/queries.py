@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from landlens.llm import (
-    classifier, mixing, near_vectors, packing, pii, quality_rules, simhash, substring_dedup, suffix_dedup, url_lists,
+    classifier, hard_negatives, mixing, near_vectors, packing, pii, quality_rules, simhash, substring_dedup, suffix_dedup, toxicity,
+    url_lists, whitening,
 )
 from landlens.llm.common import table
 
@@ -64,12 +65,25 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select(*toxicity.QUERY_COLUMNS)
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = hard_negatives.moved_labels(table(spark, sf_dir, "embeddings"))
+    return hard_negatives.hard_negatives(moved).select(*hard_negatives.QUERY_COLUMNS)
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings")).select(*whitening.QUERY_COLUMNS)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_substring_dedup, op2_pii, op3_quality_rules, op4_best_fit_packing, op5_url_lists, op6_suffix_dedup, op7_mixing,
-        op8_near_vectors, op9_simhash_dedup, op10_quality_classifier,
+        op8_near_vectors, op9_simhash_dedup, op10_quality_classifier, op11_toxicity, op12_hard_negatives, op13_whitening,
     )
 }
 
-ORACLES: dict[str, str] = {"op5_url_lists": url_lists.SQL, "op7_mixing": mixing.SQL}
+ORACLES: dict[str, str] = {"op5_url_lists": url_lists.SQL, "op7_mixing": mixing.SQL, "op12_hard_negatives": hard_negatives.SQL}

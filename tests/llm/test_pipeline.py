@@ -36,7 +36,7 @@ def test_stages(spark, tmp_path):
 
 def test_oracles(spark):
     con = duckdb.connect()
-    for name in ("documents", "pages"):
+    for name in ("documents", "pages", "embeddings"):
         con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{os.path.join(SF, name)}.parquet'")
     for name, sql in queries.ORACLES.items():
         got = queries.QUERIES[name](spark, SF)

@@ -170,7 +170,7 @@ def chosen_rows(labels: DataFrame, labelled: int) -> DataFrame:
 def learn_lexicon(docs: DataFrame, chosen: DataFrame, entries: int = ENTRIES) -> dict[str, float]:
     """Words and stems by their log odds ratio between toxic and clean documents, less some of its standard errors."""
     words = F.filter(F.transform(words_of(F.lower("text")), lambda w: F.btrim(w, F.lit(MARKS))), lambda w: w != "")
-    fit = docs.join(F.broadcast(chosen.filter(F.col("fold") != CALIBRATION)), F.col("doc_id") == F.col("_id"))
+    fit = docs.select("doc_id", "text").join(F.broadcast(chosen.filter(F.col("fold") != CALIBRATION)), F.col("doc_id") == F.col("_id"))
     fit = fit.select("toxic", F.array_distinct(words).alias("words"))
     stems = [
         F.transform(F.filter("words", lambda w: F.length(w) > k), lambda w: F.concat(F.substring(w, 1, k), F.lit("*")))  # noqa: B023

@@ -266,9 +266,11 @@ def sites(spark, sf_dir):
     f"""{GRID} SELECT site_id, CAST(scale AS INTEGER) AS scale, {rq.rounded("high", "low", "ordinary")} FROM wide""",
 )
 def grid_crossings(spark, sf_dir):
-    surfaces = grid_terrain.terrain_surfaces(dem(spark, sf_dir), MPP)
-    axes = grid_terrain.line_axes(surfaces, grid_terrain.axis_samples(sites(spark, sf_dir), CENTRE, ZOOM, ORIGIN))
-    return rounded(grid_terrain.axis_crossings(axes), "high", "low", "ordinary")
+    terrain = grid_terrain.site_terrain(
+        dem(spark, sf_dir), sites(spark, sf_dir), centre=CENTRE, zoom=ZOOM, origin=ORIGIN, mpp=MPP
+    )
+    out = grid_terrain.axis_crossings(grid_terrain.line_axes(terrain)).drop("tpi", "cov", "slope")
+    return rounded(out, "high", "low", "ordinary")
 
 
 @query(

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from typing import NamedTuple
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -98,6 +99,28 @@ def world_pixel(lat: Column, lng: Column, zoom: int) -> tuple[Column, Column]:
     return (lng + F.lit(180.0)) / F.lit(360.0) * F.lit(size), _mercator_y(lat) * F.lit(size)
 
 
+def global_pixel(lat: Column, lng: Column, zoom: int) -> tuple[Column, Column]:
+    """Whole global pixel (row, col): one compact key for tile and pixel together (tile * 256 + pixel)."""
+    x, y = world_pixel(lat, lng, zoom)
+    return F.floor(y).cast("int"), F.floor(x).cast("int")
+
+
+def pixel_positions(lat: np.ndarray, lng: np.ndarray, zoom: int) -> tuple[np.ndarray, np.ndarray]:
+    """Fractional global pixels (row, col) of arrays, for work on raster windows."""
+    size = float(2**zoom * 256)
+    safe = np.clip(lat, -MERCATOR_LIMIT, MERCATOR_LIMIT)
+    return (1.0 - np.arcsinh(np.tan(np.radians(safe))) / math.pi) / 2.0 * size, (lng + 180.0) / 360.0 * size
+
+
+def pixel_reach(lat: Column, lng: Column, metres: float, zoom: int) -> tuple[Column, Column, Column, Column]:
+    """First and last row, first and last column of the pixels that moves of so many metres can end in."""
+    away = F.lit(metres / METERS_PER_DEGREE)
+    narrow = F.greatest(F.lit(0.2), F.least(*[F.cos(F.radians(lat + sign * away)) for sign in (-1, 0, 1)]))
+    top, left = global_pixel(lat + away, lng - away / narrow, zoom)
+    bottom, right = global_pixel(lat - away, lng + away / narrow, zoom)
+    return top - 1, bottom + 1, left - 1, right + 1
+
+
 def meters_per_pixel(lat: float, zoom: int) -> float:
     return EQUATOR_METERS_PER_PIXEL * math.cos(math.radians(lat)) / 2**zoom
 

@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from landlens.functions.geo import local_offsets, offset_coordinates, rough_scope
+from landlens.functions.geo import METERS_PER_DEGREE, local_offsets, offset_coordinates, pixel_positions, rough_scope
 from landlens.functions.labels import CANDIDATE, grid_label_code
 from landlens.functions.numeric import clamp, half_even, half_up, let
 from landlens.operators import raster as rs
+from landlens.operators import windows as win
 from landlens.session import cut_lineage, spread
 
 # Calibration of the grid builder.
@@ -36,89 +39,111 @@ def make_grid(regions: DataFrame, step_m: float = STEP_M) -> DataFrame:
     )
 
 
-def terrain_surfaces(dem: DataFrame, mpp: float, scales=SCALES, **extent) -> DataFrame:
-    """All surfaces the grid needs from one elevation raster in two shuffles: per scale the relative elevation
-    ``tpi_<scale>`` and known share ``cov_<scale>``, and ``smooth`` for the slope."""
-    surfaces = [rs.Surface("smooth", max(0.8, SLOPE_SIGMA_M / mpp))]
-    for scale, _, _ in scales:
-        inner, outer = rs.tpi_sigmas(scale, mpp)
-        surfaces += [
-            rs.Surface(f"inner_{scale}", inner),
-            rs.Surface(f"outer_{scale}", outer),
-            rs.Surface(f"cov_{scale}", max(1.0, scale / mpp / 4.0), weight_only=True),
-        ]
-    out = rs.gaussian_surfaces(dem, surfaces, **extent)
-    return out.select(
-        "row",
-        "col",
-        "smooth",
-        *[(F.col(f"inner_{s}") - F.col(f"outer_{s}")).alias(f"tpi_{s}") for s, _, _ in scales],
-        *[f"cov_{s}" for s, _, _ in scales],
-    )
+def scale_surfaces(scale: float, mpp: float) -> list[rs.Surface]:
+    """The smoothed surfaces of one scale: relative elevation is fine less coarse, and the known share."""
+    inner, outer = rs.tpi_sigmas(scale, mpp)
+    return [
+        rs.Surface(f"inner_{scale}", inner),
+        rs.Surface(f"outer_{scale}", outer),
+        rs.Surface(f"cov_{scale}", max(1.0, scale / mpp / 4.0), weight_only=True),
+    ]
 
 
-def axis_samples(
-    sites: DataFrame, centre: tuple[float, float], zoom: int, origin: tuple[int, int], scales=SCALES
+def site_terrain(
+    dem: DataFrame,
+    sites: DataFrame,
+    *,
+    centre: tuple[float, float],
+    zoom: int,
+    origin: tuple[int, int],
+    mpp: float,
+    rows: int | Column | None = None,
+    cols: int | Column | None = None,
+    scales=SCALES,
 ) -> DataFrame:
-    """Sample positions of every site: scale x axis x factor, as raster coordinates (scale, axis, factor, r, c)."""
-    offsets = F.array(
-        *[
-            F.struct(
-                F.lit(scale).alias("scale"),
-                F.lit(i).alias("axis"),
-                F.lit(k).alias("slot"),
-                F.lit(f * scale * math.sin(math.radians(a))).alias("de"),
-                F.lit(f * scale * math.cos(math.radians(a))).alias("dn"),
-            )
-            for scale, _, _ in scales
-            for i, a in enumerate(AXES)
-            for k, f in enumerate(FACTORS)
-        ]
-    )
-    rows = sites.select("site_id", "east", "north", F.explode(offsets).alias("o"))
-    at = offset_coordinates(F.col("east") + F.col("o.de"), F.col("north") + F.col("o.dn"), centre)
-    r, c = rs.raster_position(at.lat, at.lng, zoom, origin)
-    return rows.select("site_id", "o.scale", "o.axis", "o.slot", r.alias("r"), c.alias("c"))
+    """One row per site and scale: ``samples`` (relative elevation at 8 axes x 4 factors, NULL unknown), ``tpi`` and ``cov`` at
+    the site, and ``slope`` there with the first scale.
 
+    ``sites``: site_id, east, north (metres from ``centre``, at most two degrees away); ``dem``: row, col, value. The first
+    smoothing pass of all scales is written once. Per scale the second pass holds a square of the smoothed raster with the
+    margin of the axes and evaluates their constant offsets for the sites of the square there.
+    """
+    slope_surface = rs.Surface("smooth", max(0.8, SLOPE_SIGMA_M / mpp))
+    wanted = {scale: scale_surfaces(scale, mpp) + ([slope_surface] if i == 0 else []) for i, (scale, _, _) in enumerate(scales)}
+    across, pairs = rs.first_pass(dem, [x for s in wanted.values() for x in s], rows, cols)
+    across = cut_lineage(across)
+    at = offset_coordinates(F.col("east"), F.col("north"), centre)
+    r, c = rs.raster_position(at.lat, at.lng, zoom, origin)
+    extent = [rs.extent_of(dem, rows, "row").cast("bigint").alias("_rows"), rs.extent_of(dem, cols, "col").cast("bigint").alias("_cols")]
+    placed = cut_lineage(sites.select("site_id", "east", "north", r.alias("r"), c.alias("c"), *extent))
+    kind = sites.schema["site_id"].dataType.simpleString()
+    schema = f"site_id {kind}, scale int, samples array<double>, tpi double, cov double, slope double"
+    finest = METERS_PER_DEGREE * 360.0 / (256 * 2**zoom) * math.cos(math.radians(min(89.0, abs(centre[0]) + 2.0)))
+    out = None
+    for scale, surfaces in wanted.items():
+        names = {f"_{kind_}_{s.name}" for s in surfaces for kind_ in ("v", "w")}
+        part = rs.smoothed_at(
+            across, [p for p in pairs if p[1] in names], surfaces, placed, math.ceil(max(FACTORS) * scale / finest) + 2,
+            _site_samples(scale, centre, zoom, origin, mpp), schema,
+        )
+        out = part if out is None else out.union(part)
+    return out
 
-def line_axes(surfaces: DataFrame, samples: DataFrame, scales=SCALES) -> DataFrame:
-    """High and low line strength per site, scale and axis; NULL as soon as one of the four samples is unknown.
 
-    The corner rows are dealt by site, so the three groupings that follow (sample, axis, scale) need no shuffle.
-    """
-    corners = rs.bilinear_corners(samples)
-    tpi = F
-    for scale, _, _ in scales:
-        tpi = tpi.when(F.col("scale") == scale, F.col(f"tpi_{scale}"))
-    values = surfaces.select("row", "col", *[f"tpi_{s}" for s, _, _ in scales])
-    joined = corners.join(values, ["row", "col"], "left").select(
-        "site_id", "scale", "axis", "slot", "w", tpi.alias("v")
-    )
-    sampled = (
-        spread(joined, "site_id")
-        .groupBy("site_id", "scale", "axis", "slot")
-        .agg(F.when(F.count("v") == 4, F.sum(F.col("w") * F.col("v"))).alias("v"))
-    )
+def _site_samples(scale: float, centre: tuple[float, float], zoom: int, origin: tuple[int, int], mpp: float):
+    """What :func:`site_terrain` reads from the window of a square for its sites."""
+    turns = np.array([(f * scale * math.sin(math.radians(a)), f * scale * math.cos(math.radians(a))) for a in AXES for f in FACTORS])
+    east_m = METERS_PER_DEGREE * math.cos(math.radians(centre[0]))
+
+    def position(east: np.ndarray, north: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        row, col = pixel_positions(centre[0] + north / METERS_PER_DEGREE, centre[1] + east / east_m, zoom)
+        return row - origin[0], col - origin[1]
+
+    def compute(window: win.Window, asked: pa.Table, extent: tuple[int, int]) -> pa.Table:
+        layers = {"tpi": window.layers[f"inner_{scale}"] - window.layers[f"outer_{scale}"], "cov": window.layers[f"cov_{scale}"]}
+        if "smooth" in window.layers:
+            height, width = window.layers["smooth"].shape
+            rows, cols = np.meshgrid(np.arange(height) + window.top, np.arange(width) + window.left, indexing="ij")
+            layers["slope"] = rs.slope_of(window, "smooth", rows, cols, mpp, extent)
+        seen = win.Window(window.top, window.left, layers)
+        east, north = win.numbers(asked, "east"), win.numbers(asked, "north")
+        here = position(east, north)
+        samples = seen.bilinear("tpi", *position(east[:, None] + turns[:, 0], north[:, None] + turns[:, 1])).ravel()
+        unknown = np.full(len(asked), np.nan)
+        at_site = {n: seen.bilinear(n, *here) if n in layers else unknown for n in ("tpi", "cov", "slope")}
+        ends = np.arange(len(asked) + 1, dtype=np.int32) * len(turns)
+        return pa.table(
+            {
+                "site_id": asked.column("site_id"), "scale": pa.array(np.full(len(asked), scale, np.int32)),
+                "samples": pa.ListArray.from_arrays(ends, pa.array(samples, mask=np.isnan(samples))),
+                **{n: pa.array(v, mask=np.isnan(v)) for n, v in at_site.items()},
+            }
+        )
+
+    return compute
+
+
+def line_axes(terrain: DataFrame, scales=SCALES) -> DataFrame:
+    """Rows of :func:`site_terrain` with ``axes``: high and low line strength per axis, NULL as soon as one of the four samples
+    is unknown."""
     threshold = F
     for scale, t, _ in scales:
         threshold = threshold.when(F.col("scale") == scale, t)
-    level = lambda sign: clamp(
-        (sign * F.col("v") - F.lit(0.18) * threshold) / (F.lit(1.55) * threshold), 0.0, 1.0
-    )
-    slot = lambda name, k: F.max(F.when(F.col("slot") == k, F.col(name))).alias(f"{name}{k}")
-    wide = (
-        sampled.select("site_id", "scale", "axis", "slot", level(1).alias("h"), level(-1).alias("l"))
-        .groupBy("site_id", "scale", "axis")
-        .agg(*[slot(n, k) for n in ("h", "l") for k in range(4)])
-    )
 
-    def strength(n: str) -> Column:
-        v = [F.col(f"{n}{k}") for k in range(4)]
-        back, ahead = v[1] * 0.62 + v[0] * 0.38, v[2] * 0.62 + v[3] * 0.38
-        continuity = (v[0] + v[1] + v[2] + v[3]) / 4.0
-        return clamp(F.sqrt(back * ahead) * (F.lit(0.68) + continuity * 0.32), 0.0, 1.0)
+    def strength(axis: Column, sign: int) -> Column:
+        level = lambda k: clamp(
+            (sign * F.get("samples", axis * len(FACTORS) + k) - F.lit(0.18) * threshold) / (F.lit(1.55) * threshold), 0.0, 1.0
+        )
 
-    return wide.select("site_id", "scale", "axis", strength("h").alias("high"), strength("l").alias("low"))
+        def along(v: Column) -> Column:
+            back, ahead = v[1] * 0.62 + v[0] * 0.38, v[2] * 0.62 + v[3] * 0.38
+            continuity = (v[0] + v[1] + v[2] + v[3]) / 4.0
+            return clamp(F.sqrt(back * ahead) * (F.lit(0.68) + continuity * 0.32), 0.0, 1.0)
+
+        return let(F.array(*[level(k) for k in range(len(FACTORS))]), along)
+
+    axis = lambda i: F.struct(i.alias("axis"), strength(i, 1).alias("high"), strength(i, -1).alias("low"))
+    return terrain.withColumn("axes", F.transform(F.sequence(F.lit(0), F.lit(len(AXES) - 1)), axis)).drop("samples")
 
 
 def _pair_quality(pairs: list[tuple[int, int]]) -> list[tuple[int, int, float]]:
@@ -141,9 +166,6 @@ def _top_two(strengths: Column, second_share: float) -> Column:
 
 def axis_crossings(axes: DataFrame) -> DataFrame:
     """High x high, low x low and high x low crossing per site and scale; unknown anywhere counts as 0."""
-    by_axis = axes.groupBy("site_id", "scale").agg(
-        F.sort_array(F.collect_list(F.struct("axis", "high", "low"))).alias("a")
-    )
     n = len(AXES)
     same = _pair_quality([(i, j) for i in range(n) for j in range(i + 1, n)])
     cross = _pair_quality([(i, j) for i in range(n) for j in range(n)])
@@ -152,14 +174,13 @@ def axis_crossings(axes: DataFrame) -> DataFrame:
     )
 
     def strengths(table, first: str, second: str) -> Column:
-        a = F.col("a")
+        a = F.col("axes")
         return F.transform(pairs(table), lambda p: F.sqrt(F.get(a, p["i"])[first] * F.get(a, p["j"])[second]) * p["q"])
 
-    known = F.size(F.filter("a", lambda x: x["high"].isNull())) == 0
+    known = F.size(F.filter("axes", lambda x: x["high"].isNull())) == 0
     value = lambda v: F.when(known, v).otherwise(0.0)
-    return by_axis.select(
-        "site_id",
-        "scale",
+    return axes.select(
+        *[x for x in axes.columns if x != "axes"],
         value(_top_two(strengths(same, "high", "high"), 0.45)).alias("high"),
         value(_top_two(strengths(same, "low", "low"), 0.45)).alias("low"),
         value(_top_two(strengths(cross, "high", "low"), 0.35)).alias("ordinary"),
@@ -175,16 +196,19 @@ def weight_of(scales=SCALES) -> Column:
 
 def combine_scales(crossings: DataFrame, scales=SCALES) -> DataFrame:
     """Per site: weighted mean and peak over scales for the three evidences, with the per-scale values kept as an
-    array for the confidence."""
+    array for the confidence, and the terrain at the site (``tpi_<scale>``, ``cov_<scale>``, ``slope``)."""
     total = sum(w for _, _, w in scales)
 
     def blend(name: str) -> Column:
         mean = F.sum(weight_of(scales) * F.col(name)) / F.lit(total)
         return clamp(mean * 0.62 + F.max(name) * 0.38, 0.0, 1.0).alias(name)
 
+    at = [F.max(F.when(F.col("scale") == s, F.col(n))).alias(f"{n}_{s}") for n in ("tpi", "cov") for s, _, _ in scales]
     return crossings.groupBy("site_id").agg(
         *[blend(n) for n in ("high", "low", "ordinary")],
         F.collect_list(F.struct("high", "low", "ordinary")).alias("by_scale"),
+        *at,
+        F.max("slope").alias("slope"),
     )
 
 
@@ -194,14 +218,9 @@ def _winner(high: Column, low: Column, ordinary: Column) -> Column:
     return F.when(high == best, 0).when(low == best, 1).otherwise(2)
 
 
-def grid_scores(
-    combined: DataFrame, centre_samples: DataFrame, scales=SCALES
-) -> DataFrame:
-    """Original, auxiliary and detail score, confidence and label per site.
-
-    ``centre_samples``: site_id, ``tpi_<scale>``, ``cov_<scale>``, ``slope`` at the site itself.
-    """
-    df = combined.join(centre_samples, "site_id")
+def grid_scores(combined: DataFrame, scales=SCALES) -> DataFrame:
+    """Original, auxiliary and detail score, confidence and label per site from :func:`combine_scales`."""
+    df = combined
     total = sum(w for _, _, w in scales)
     index, coverage = F.lit(0.0), F.lit(0.0)
     for scale, t, w in scales:
@@ -245,39 +264,14 @@ def grid_scores(
     )
 
 
-def centre_samples(
-    surfaces: DataFrame, slope: DataFrame, sites: DataFrame, centre, zoom: int, origin, scales=SCALES
-) -> DataFrame:
-    """Relative elevation, coverage and slope at each site in one bilinear lookup."""
-    at = offset_coordinates(F.col("east"), F.col("north"), centre)
-    r, c = rs.raster_position(at.lat, at.lng, zoom, origin)
-    values = [f"tpi_{s}" for s, _, _ in scales] + [f"cov_{s}" for s, _, _ in scales] + ["slope"]
-    table = surfaces.join(slope.withColumnRenamed("value", "slope"), ["row", "col"], "left")
-    return rs.bilinear_sample(table, sites.select("site_id", r.alias("r"), c.alias("c")), ["site_id"], values)
-
-
-def score_sites(
-    dem: DataFrame,
-    sites: DataFrame,
-    *,
-    centre: tuple[float, float],
-    zoom: int,
-    origin: tuple[int, int],
-    mpp: float,
-    rows: int | Column,
-    cols: int | Column,
-    scales=SCALES,
-) -> DataFrame:
+def score_sites(dem: DataFrame, sites: DataFrame, *, scales=SCALES, **place) -> DataFrame:
     """Whole grid scoring for sites (site_id, east, north) over one elevation raster (row, col, value).
 
-    ``rows`` and ``cols`` are the extent of the raster: missing pixels inside it count as unknown, wherever they lie.
-    The smoothed surfaces feed the slope, the axes and the sites, so they are written out once.
+    ``place``: centre, zoom, origin, mpp, rows and cols as in :func:`site_terrain`; ``rows`` and ``cols`` are the extent of
+    the raster: missing pixels inside it count as unknown, wherever they lie.
     """
-    surfaces = cut_lineage(terrain_surfaces(dem, mpp, scales, rows=rows, cols=cols))
-    slope = rs.gradient_slope(surfaces.select("row", "col", F.col("smooth").alias("value")), mpp, rows=rows, cols=cols)
-    axes = line_axes(surfaces, axis_samples(sites, centre, zoom, origin, scales), scales)
-    combined = combine_scales(axis_crossings(axes), scales)
-    return grid_scores(combined, centre_samples(surfaces, slope, sites, centre, zoom, origin, scales), scales)
+    terrain = site_terrain(dem, sites, scales=scales, **place)
+    return grid_scores(combine_scales(axis_crossings(line_axes(terrain, scales)), scales), scales)
 
 
 def neighborhood_score(cells: DataFrame, *, rows: int | Column, cols: int | Column) -> DataFrame:

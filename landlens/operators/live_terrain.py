@@ -1,21 +1,24 @@
 """Per-point terrain analysis: ring samples, lines along twelve axes, crossings and the final scores.
 
-Rows multiply up to 2,499 times per distinct place, so places are made distinct and spread over all tasks first, poor
-scales stop before the axes are sampled, and every grouping is a fixed-width hash aggregate keyed by the place. When
-Spark can broadcast the elevation table the groupings reuse the first partitioning and need no shuffle.
+A place has up to 2,499 samples. They are read inside one task, from the window of elevation blocks around the places of a
+square of the map, and summarised there per position; what leaves the task is one row per place and scale. Places are
+made distinct first, poor scales stop before the axes are sampled, and all that follows works within the row.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from landlens.functions.geo import METERS_PER_DEGREE, offset_point, world_pixel
+from landlens.functions.geo import METERS_PER_DEGREE, pixel_positions, pixel_reach
 from landlens.functions.labels import live_label_code
-from landlens.functions.numeric import array_mad, axis_angle, clamp, half_up, let, union_prob
-from landlens.session import lookup_join, spread
+from landlens.functions.numeric import axis_angle, clamp, half_up, let, union_prob
+from landlens.operators import windows as win
+from landlens.session import lookup_join
 
 # Calibration of the per-point analysis.
 SCALES = ((300, 2.0, 0.45), (1_000, 5.0, 0.35), (3_000, 10.0, 0.20))  # metres, threshold, weight
@@ -73,133 +76,146 @@ def ring_samples(positions: DataFrame) -> DataFrame:
     )
 
 
-def global_pixel(lat: Column, lng: Column, zoom: int) -> tuple[Column, Column]:
-    """Whole global pixel (row, col): one compact key for tile and pixel together (tile * 256 + pixel)."""
-    x, y = world_pixel(lat, lng, zoom)
-    return F.floor(y).cast("int"), F.floor(x).cast("int")
-
-
-def sample_elevations(samples: DataFrame, dem: DataFrame, zoom: int) -> DataFrame:
-    """Elevation of each sample's pixel. ``dem``: gy, gx, elevation, one row per pixel.
-
-    Equal sample positions fall on equal pixels; the pixel key is what is looked up, so nothing finer is needed.
-    """
-    gy, gx = global_pixel(F.col("s_lat"), F.col("s_lng"), zoom)
-    keyed = samples.withColumn("gy", gy).withColumn("gx", gx).drop("s_lat", "s_lng")
-    return keyed.join(dem.select("gy", "gx", "elevation"), ["gy", "gx"], "left").drop("gy", "gx")
-
-
 def dedupe_samples(samples: DataFrame) -> DataFrame:
     """Distinct sample positions at six decimals."""
     six = lambda c: half_up(F.col(c), 6)
     return samples.select(six("s_lat").alias("s_lat"), six("s_lng").alias("s_lng")).distinct()
 
 
-def local_terrain(sampled: DataFrame, keys: list[str]) -> DataFrame:
-    """tpi, mad, relief and coverage per position from its (slot, elevation) rows.
+def local_terrain(v: np.ndarray) -> dict[str, np.ndarray]:
+    """tpi, mad, relief and coverage of positions from their samples (last axis: slots 0 to 16, NaN unknown).
 
     Without a centre or with fewer than five values on a ring: tpi is unknown, mad and relief are 0.
     """
-    v, slot = F.col("elevation"), F.col("slot")
-    is_inner, is_outer = slot.between(1, 8), slot >= 9
-    grouped = sampled.groupBy(*keys).agg(
-        F.max(F.when(slot == 0, v)).alias("centre"),
-        F.sum(F.when(is_inner, v)).alias("inner_sum"),
-        F.count(F.when(is_inner, v)).alias("inner_n"),
-        F.sum(F.when(is_outer, v)).alias("outer_sum"),
-        F.count(F.when(is_outer, v)).alias("outer_n"),
-        F.count(v).alias("n"),
-        (F.max(v) - F.min(v)).alias("span"),
-        *[F.max(F.when(slot == 9 + i, v)).alias(f"o{i}") for i in range(8)],
-    )
-    usable = F.col("centre").isNotNull() & (F.col("inner_n") >= MIN_RING) & (F.col("outer_n") >= MIN_RING)
-    ring = F.filter(F.array(*[F.col(f"o{i}") for i in range(8)]), lambda x: x.isNotNull())
-    tpi = (F.col("centre") + F.col("inner_sum") / F.col("inner_n")) / 2.0 - F.col("outer_sum") / F.col("outer_n")
-    return grouped.select(
-        *keys,
-        F.when(usable, tpi).alias("tpi"),
-        F.when(usable, array_mad(ring)).otherwise(0.0).alias("mad"),
-        F.when(usable, F.col("span")).otherwise(0.0).alias("relief"),
-        (F.col("n") / F.lit(float(SAMPLES))).alias("coverage"),
-    )
+    known = ~np.isnan(v)
+    inner, outer = v[..., 1:9], v[..., 9:]
+    n_inner, n_outer = known[..., 1:9].sum(axis=-1), known[..., 9:].sum(axis=-1)
+    usable = known[..., 0] & (n_inner >= MIN_RING) & (n_outer >= MIN_RING)
 
+    def median(values: np.ndarray) -> np.ndarray:
+        """Over the known ones, which sorting puts first."""
+        ordered = np.sort(values, axis=-1)
+        pick = lambda at: np.take_along_axis(ordered, np.maximum(at, 0)[..., None], axis=-1)[..., 0]
+        return (pick((n_outer - 1) >> 1) + pick(np.minimum(n_outer >> 1, outer.shape[-1] - 1))) / 2.0
 
-def centre_terrain(places: DataFrame, dem: DataFrame, zoom: int, scales=SCALES) -> DataFrame:
-    """Terrain of each distinct place at every scale."""
-    levels = F.array(*[F.lit(s) for s, _, _ in scales])
-    positions = places.select(*PLACE, F.col("lat").alias("at_lat"), F.col("lng").alias("at_lng"),
-                              F.explode(levels).alias("scale"))
-    return local_terrain(sample_elevations(ring_samples(positions), dem, zoom), [*PLACE, "scale"])
+    with np.errstate(invalid="ignore", divide="ignore"):
+        near, far = np.nansum(inner, axis=-1) / n_inner, np.nansum(outer, axis=-1) / n_outer
+        tpi = (v[..., 0] + near) / 2.0 - far
+        mad = median(np.abs(outer - median(outer)[..., None]))
+        span = np.where(known, v, -np.inf).max(axis=-1) - np.where(known, v, np.inf).min(axis=-1)
+    return {
+        "tpi": np.where(usable, tpi, np.nan), "mad": np.where(usable, mad, 0.0), "relief": np.where(usable, span, 0.0),
+        "coverage": known.sum(axis=-1) / float(SAMPLES),
+    }
 
 
-def scale_gate() -> Column:
-    """A scale is worth analysing; otherwise all its evidence is 0."""
-    return F.col("tpi").isNotNull() & (F.col("relief") >= 3.0) & (F.col("coverage") >= 0.7)
+#: Shares of one metre (east, north) and the ring of each sample slot, and of each anchor in scales: 4 * axis + offset position.
+SLOT_TABLE = np.array([(r, e, n) for _, r, e, n in SLOTS])
+ANCHOR_TABLE = np.array([(o * _units(a)[0], o * _units(a)[1]) for a in AXES for o in OFFSETS])
 
 
-def anchors(places: DataFrame) -> DataFrame:
-    """Four anchors along each of twelve axes, for rows (lat, lng, scale); ``anchor`` = 4 * axis + offset position."""
-    slots = F.array(
-        *[
-            F.struct(
-                F.lit(len(OFFSETS) * i + k).alias("anchor"),
-                F.lit(_units(a)[0] * o).alias("east"),
-                F.lit(_units(a)[1] * o).alias("north"),
-            )
-            for i, a in enumerate(AXES)
-            for k, o in enumerate(OFFSETS)
-        ]
-    )
-    rows = places.select(*PLACE, "scale", F.explode(slots).alias("o"))
-    at = offset_point(F.col("lat"), F.col("lng"), F.col("o.east") * F.col("scale"), F.col("o.north") * F.col("scale"))
-    return rows.select(
-        *PLACE, "scale", F.col("o.anchor").alias("anchor"), at.lat.alias("at_lat"), at.lng.alias("at_lng")
-    )
+def _cosine(lat: np.ndarray) -> np.ndarray:
+    return np.maximum(0.2, np.cos(np.radians(lat)))
+
+
+def _sampled(window: win.Window, lat: np.ndarray, lng: np.ndarray, scale: float, zoom: int) -> dict[str, np.ndarray]:
+    """Terrain of positions at one scale from the elevations of their samples."""
+    ring, east, north = SLOT_TABLE.T
+    distance = np.where(ring == 2, scale / 2.0, max(35.0, scale / 6.0))
+    s_lat = lat[..., None] + north * distance / METERS_PER_DEGREE
+    s_lng = lng[..., None] + east * distance / (METERS_PER_DEGREE * _cosine(lat))[..., None]
+    row, col = pixel_positions(s_lat, s_lng, zoom)
+    return local_terrain(window.at("elevation", np.floor(row).astype(np.int64), np.floor(col).astype(np.int64)))
 
 
-def anchor_axis(anchor: Column) -> tuple[Column, Column]:
-    """(axis angle in degrees, offset position 0..3)."""
-    n = len(OFFSETS)
-    return F.floor(anchor / F.lit(n)) * F.lit(AXES[1] - AXES[0]), F.pmod(anchor, F.lit(n))
+def _nullable(values: np.ndarray) -> pa.Array:
+    return pa.array(values, mask=np.isnan(values))
 
 
-def line_quality(anchor_terrain: DataFrame, scales=SCALES) -> DataFrame:
-    """Quality of the high and the low line on each axis, NULL where there is no line."""
+TERRAIN = ("tpi", "mad", "relief", "coverage")
+TERRAIN_SCHEMA = "lat double, lng double, scale int, " + ", ".join(
+    [*(f"{n} double" for n in TERRAIN), *(f"anchor_{n} array<double>" for n in TERRAIN)]
+)
+
+
+def place_terrain(places: DataFrame, dem: DataFrame, zoom: int, scales=SCALES, *, anchors: bool = True) -> DataFrame:
+    """Terrain of each distinct place at every scale and, where the scale is worth it, of its 48 anchors (``anchor_*`` arrays).
+
+    ``dem``: gy, gx, elevation, one row per pixel. Where the gate fails, or without ``anchors``, the arrays are NULL.
+    """
+    metres = max(1.5 * s + max(s / 2.0, 35.0) for s, _, _ in scales)
+    levels = [s for s, _, _ in scales]
+
+    def compute(window: win.Window, asked: pa.Table) -> pa.Table:
+        parts = []
+        for at in range(0, len(asked), 256):
+            lat, lng = (win.numbers(asked.slice(at, 256), c) for c in PLACE)
+            for scale in levels:
+                centre = _sampled(window, lat, lng, scale, zoom)
+                data = {"lat": pa.array(lat), "lng": pa.array(lng), "scale": pa.array(np.full(len(lat), scale, np.int32))}
+                data |= {n: _nullable(centre[n]) for n in TERRAIN}
+                good = ~np.isnan(centre["tpi"]) & (centre["relief"] >= 3.0) & (centre["coverage"] >= 0.7) & anchors
+                east, north = (ANCHOR_TABLE * scale).T
+                a_lat = lat[good][:, None] + north / METERS_PER_DEGREE
+                a_lng = lng[good][:, None] + east / (METERS_PER_DEGREE * _cosine(lat[good]))[:, None]
+                found = _sampled(window, a_lat, a_lng, scale, zoom)
+                ends = np.concatenate([[0], np.cumsum(good) * len(ANCHOR_TABLE)]).astype(np.int32)
+                for n in TERRAIN:
+                    offsets = pa.array(ends, mask=np.append(~good, False))
+                    data[f"anchor_{n}"] = pa.ListArray.from_arrays(offsets, _nullable(found[n].ravel()))
+                parts.append(pa.table(data))
+        return pa.concat_tables(parts) if parts else win.empty(TERRAIN_SCHEMA)
+
+    reach = pixel_reach(F.col("lat"), F.col("lng"), metres, zoom)
+    distinct = places.select(*PLACE).distinct()
+    return win.at_places(distinct, dem, reach, compute, TERRAIN_SCHEMA, row="gy", col="gx", values=("elevation",))
+
+
+def centre_terrain(places: DataFrame, dem: DataFrame, zoom: int, scales=SCALES) -> DataFrame:
+    """Terrain of each distinct place at every scale."""
+    return place_terrain(places, dem, zoom, scales, anchors=False).select(*PLACE, "scale", *TERRAIN)
+
+
+def anchor_marks(scales=SCALES) -> Column:
+    """Per anchor: high (stands out upwards), low, and by how much, from the ``anchor_*`` arrays of a row."""
     floor = F
     for scale, threshold, _ in scales:
         floor = floor.when(F.col("scale") == scale, threshold * 0.35)
-    threshold = F.greatest(floor, F.greatest(F.lit(0.5), F.col("mad")) * 0.15)
-    good = F.col("tpi").isNotNull() & (F.col("relief") >= 3.0) & (F.col("coverage") >= 0.65)
-    angle, offset = anchor_axis(F.col("anchor"))
-    rows = anchor_terrain.withColumn("_t", threshold).select(
-        *PLACE, "scale", angle.alias("angle"), offset.alias("offset"),
-        (good & (F.col("tpi") >= F.col("_t"))).alias("high"),
-        (good & (F.col("tpi") <= -F.col("_t"))).alias("low"),
-        clamp(F.abs("tpi") / (F.col("_t") * 2.0), 0.0, 1.0).alias("prominence"),
-    )
-    aggregates = []
-    for kind in ("high", "low"):
-        at = lambda cond: F.max(F.when(F.col(kind) & cond, 1).otherwise(0))  # noqa: B023, E731
-        aggregates += [
-            F.count(F.when(F.col(kind), 1)).alias(f"{kind}_n"),
-            F.sum(F.when(F.col(kind), F.col("prominence"))).alias(f"{kind}_p"),
-            (at(F.col("offset") < 2) * at(F.col("offset") >= 2)).alias(f"{kind}_both"),
-            (at(F.col("offset") == 0) * at(F.col("offset") == 3)).alias(f"{kind}_full"),
-        ]
-    grouped = rows.groupBy(*PLACE, "scale", "angle").agg(*aggregates)
 
-    def quality(kind: str) -> Column:
-        n = F.col(f"{kind}_n")
+    def mark(a: Column) -> Column:
+        threshold = F.greatest(floor, F.greatest(F.lit(0.5), a["anchor_mad"]) * 0.15)
+        tpi = a["anchor_tpi"]
+        good = tpi.isNotNull() & (a["anchor_relief"] >= 3.0) & (a["anchor_coverage"] >= 0.65)
+        return F.struct(
+            (good & (tpi >= threshold)).alias("high"),
+            (good & (tpi <= -threshold)).alias("low"),
+            clamp(F.abs(tpi) / (threshold * 2.0), 0.0, 1.0).alias("prominence"),
+        )
+
+    return F.transform(F.arrays_zip(*[f"anchor_{n}" for n in TERRAIN]), mark)
+
+
+def line_quality(marks: Column) -> Column:
+    """Per axis: angle and the quality of the high and of the low line, NULL where there is no line."""
+
+    def quality(at: list[Column], kind: str) -> Column:
+        on = [F.coalesce(a[kind], F.lit(False)) for a in at]
+        n = sum((o.cast("int") for o in on), F.lit(0))
+        p = sum((F.when(o, a["prominence"]).otherwise(0.0) for o, a in zip(on, at)), F.lit(0.0))
         value = (
             n / F.lit(4.0) * 0.25
             + 0.3
-            + F.when(F.col(f"{kind}_full") == 1, 1.0).otherwise(0.75) * 0.2
-            + F.try_divide(F.col(f"{kind}_p"), n) * 0.25
+            + F.when(on[0] & on[3], 1.0).otherwise(0.75) * 0.2
+            + F.try_divide(p, n) * 0.25
         )
-        line = (n >= 3) & (F.col(f"{kind}_both") == 1) & (value >= 0.55)
-        return F.when(line, clamp(value, 0.0, 1.0)).alias(f"{kind}_quality")
+        line = (n >= 3) & (on[0] | on[1]) & (on[2] | on[3]) & (value >= 0.55)
+        return F.when(line, clamp(value, 0.0, 1.0)).alias(kind)
 
-    return grouped.select(*PLACE, "scale", "angle", quality("high"), quality("low"))
+    def axis(i: Column) -> Column:
+        at = [F.get(marks, i * len(OFFSETS) + k) for k in range(len(OFFSETS))]
+        return F.struct((i * F.lit(AXES[1])).alias("angle"), quality(at, "high"), quality(at, "low"))
+
+    return F.transform(F.sequence(F.lit(0), F.lit(len(AXES) - 1)), axis)
 
 
 def merge_lines(lines: Column) -> Column:
@@ -257,51 +273,33 @@ def crossing_between(high: Column, low: Column) -> Column:
     return _evidence(pairs)
 
 
-def scale_crossings(lines: DataFrame) -> DataFrame:
-    """Evidences and line counts per place and scale from :func:`line_quality` rows (at most 12 per group)."""
-    line = lambda kind: F.collect_list(
-        F.when(
-            F.col(f"{kind}_quality").isNotNull(),
-            F.struct(F.col("angle"), F.col(f"{kind}_quality").alias("quality")),
-        )
-    ).alias(kind)
-    found = lines.filter(F.col("high_quality").isNotNull() | F.col("low_quality").isNotNull())
-    merged = (
-        found.groupBy(*PLACE, "scale")
-        .agg(line("high"), line("low"))
-        .withColumn("high_merged", merge_lines(F.col("high")))
-        .withColumn("low_merged", merge_lines(F.col("low")))
+def scale_crossings(terrain: DataFrame, scales=SCALES) -> DataFrame:
+    """Rows of :func:`place_terrain` with the evidences and line counts of their scale; without anchors all are 0."""
+    lines = lambda kind: F.transform(
+        F.filter("_axes", lambda a: a[kind].isNotNull()),
+        lambda a: F.struct(a["angle"].alias("angle"), a[kind].alias("quality")),
     )
+    marked = terrain.withColumn("_marks", anchor_marks(scales)).withColumn("_axes", line_quality(F.col("_marks")))
+    found = marked.withColumns({"_high": lines("high"), "_low": lines("low")})
+    merged = found.withColumns({"_high_merged": merge_lines(F.col("_high")), "_low_merged": merge_lines(F.col("_low"))})
+    known = F.col("_marks").isNotNull()
+    value = lambda v: F.when(known, v).otherwise(0.0)
     return merged.select(
         *PLACE,
         "scale",
-        crossing(F.col("high_merged")).alias("high_cross"),
-        crossing(F.col("low_merged")).alias("low_cross"),
-        crossing_between(F.col("high"), F.col("low")).alias("ordinary_cross"),
-        F.size("high_merged").alias("high_lines"),
-        F.size("low_merged").alias("low_lines"),
+        value(crossing(F.col("_high_merged"))).alias("high_cross"),
+        value(crossing(F.col("_low_merged"))).alias("low_cross"),
+        value(crossing_between(F.col("_high"), F.col("_low"))).alias("ordinary_cross"),
+        *[F.when(known, F.size(f"_{k}_merged")).otherwise(0).alias(f"{k}_lines") for k in ("high", "low")],
+        F.col("tpi").alias("centre_tpi"),
+        "relief",
+        "coverage",
     )
 
 
 def scale_evidence(points: DataFrame, dem: DataFrame, zoom: int = 13, scales=SCALES) -> DataFrame:
     """One row per distinct place and scale: evidences, line counts, centre tpi, relief and coverage."""
-    places = spread(points.select(*PLACE).distinct(), *PLACE)
-    centre = centre_terrain(places, dem, zoom, scales)
-    good = centre.filter(scale_gate()).select(*PLACE, "scale")
-    terrain = local_terrain(
-        sample_elevations(ring_samples(anchors(good)), dem, zoom), [*PLACE, "scale", "anchor"]
-    )
-    crossings = scale_crossings(line_quality(terrain, scales))
-    names = ("high_cross", "low_cross", "ordinary_cross")
-    return centre.join(crossings, [*PLACE, "scale"], "left").select(
-        *PLACE,
-        "scale",
-        *[F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in names],
-        *[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in ("high_lines", "low_lines")],
-        F.col("tpi").alias("centre_tpi"),
-        "relief",
-        "coverage",
-    )
+    return scale_crossings(place_terrain(points, dem, zoom, scales), scales)
 
 
 def theory_score(evidence: DataFrame, scales=SCALES) -> DataFrame:

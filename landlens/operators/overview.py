@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from landlens.functions.numeric import clamp, half_even, let, union_prob
 from landlens.operators import raster as rs
+from landlens.operators import windows as win
 
 # Calibration of the overview.
 SCALES = ((300, 0.7), (1_000, 1.75), (3_000, 3.5))  # metres, threshold
@@ -31,40 +33,23 @@ def _neighbours(distance_px: float) -> list[tuple[int, int]]:
 def overview_evidence(dem: DataFrame, mpp: float, scales=SCALES, *, rows=None, cols=None) -> DataFrame:
     """High, low and coverage per pixel and scale as columns ``high_<s>``, ``low_<s>``, ``cov_<s>``.
 
-    Each known pixel is handed to the positions that look at it; those few rows per pixel are combined before and
-    after one shuffle by position. High is how far the centre stands above both ends of an axis; the second
-    strongest axis counts, damped where the surroundings are flat.
+    The second smoothing pass holds a square of pixels with the margin its neighbours lie in, so each pixel reads them there
+    and no pixel is sent to those that look at it. High is how far the centre stands above both ends of an axis;
+    the second strongest axis counts, damped where the surroundings are flat.
     """
     surfaces = [
         rs.Surface(f"s_{m}", max(0.8, _steps(m / mpp)[0] * 0.1), 0.45) for m, _ in scales
     ]
-    smooth = rs.gaussian_surfaces(dem, surfaces, rows=rows, cols=cols, min_sigma=0.0)
-    slots = []
-    for m, _ in scales:
-        for k, (dr, dc) in enumerate([(0, 0), *_neighbours(m / mpp)]):
-            slots.append(
-                F.struct(
-                    (F.col("row") + dr).alias("row"),
-                    (F.col("col") + dc).alias("col"),
-                    F.lit(f"{m}_{k}").alias("k"),
-                    F.col(f"s_{m}").alias("v"),
-                )
-            )
-    last_row = F.lit(rows - 1) if isinstance(rows, int) else dem.agg(F.max("row")).scalar()
-    last_col = F.lit(cols - 1) if isinstance(cols, int) else dem.agg(F.max("col")).scalar()
-    seen = (
-        smooth.select(F.explode(F.array(*slots)).alias("x"))
-        .select("x.*")
-        .filter(F.col("v").isNotNull() & F.col("row").between(0, last_row) & F.col("col").between(0, last_col))
-        .groupBy("row", "col")
-        .agg(
-            *[
-                F.max(F.when(F.col("k") == f"{m}_{k}", F.col("v"))).alias(f"v_{m}_{k}")
-                for m, _ in scales
-                for k in range(9)
-            ]
-        )
-    )
+    views = {f"v_{m}_{k}": (f"s_{m}", dr, dc) for m, _ in scales for k, (dr, dc) in enumerate([(0, 0), *_neighbours(m / mpp)])}
+    reach = max(max(abs(dr), abs(dc)) for _, dr, dc in views.values())
+
+    def compute(window, at_rows, at_cols, extent):
+        seen = {name: window.at(layer, at_rows - dr, at_cols - dc) for name, (layer, dr, dc) in views.items()}
+        known = ~np.all([np.isnan(v) for v in seen.values()], axis=0)
+        return win.as_table(at_rows, at_cols, seen, known)
+
+    schema = "row bigint, col bigint, " + ", ".join(f"{name} double" for name in views)
+    seen = rs.smoothed_stencil(dem, surfaces, reach, compute, schema, rows=rows, cols=cols, min_sigma=0.0)
     columns = []
     for m, threshold in scales:
         columns += _crossing(m, threshold)

@@ -8,13 +8,17 @@ nor a large kernel ever ends up in one task.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from landlens.operators import windows as win
+
 #: Kernel cut-off in standard deviations.
 TRUNCATE = 4.0
 #: Lines handled together by one Python call.
@@ -100,6 +104,117 @@ def _pass(df: DataFrame, along: str, across: str, size: str, keys: list[str], pa
     return blocks.groupBy(*keys, "_band", "_part").applyInPandas(smooth, schema)
 
 
+def extent_of(raster: DataFrame, given: int | Column | None, axis: str) -> Column:
+    return raster.agg(F.max(axis) + 1).scalar() if given is None else F.lit(given)
+
+
+def first_pass(
+    raster: DataFrame, surfaces: list[Surface], rows: int | Column | None = None, cols: int | Column | None = None,
+    min_sigma: float = 0.6, within: tuple[str, ...] = (),
+) -> tuple[DataFrame, list[tuple[str, str, float]]]:
+    """First pass: known values and known shares smoothed along the rows, and (input, output, sigma) of each."""
+    sources = sorted({s.source for s in surfaces})
+    base = raster.select(
+        *within,
+        extent_of(raster, rows, "row").cast("bigint").alias("_rows"),
+        extent_of(raster, cols, "col").cast("bigint").alias("_cols"),
+        F.col("row").cast("bigint").alias("row"),
+        F.col("col").cast("bigint").alias("col"),
+        *[F.coalesce(F.col(n).cast("double"), F.lit(0.0)).alias(f"v_{n}") for n in sources],
+        *[F.when(F.col(n).isNotNull(), 1.0).otherwise(0.0).alias(f"w_{n}") for n in sources],
+    )
+    pairs = []
+    for s in surfaces:
+        sigma = max(min_sigma, s.sigma)
+        if not s.weight_only:
+            pairs.append((f"v_{s.source}", f"_v_{s.name}", sigma))
+        pairs.append((f"w_{s.source}", f"_w_{s.name}", sigma))
+    return _pass(base, "col", "row", "_cols", [*within, "_rows", "_cols"], pairs), pairs
+
+
+def _window(
+    table: pa.Table, zone: tuple[int, int], extent: tuple[int, int], reach: int, surfaces: list[Surface], pairs: list
+) -> win.Window:
+    """Second pass inside one task: the smoothed surfaces of a square and its margin, from rows smoothed by the first."""
+    (top, bottom), (left, right) = (win.bounds_of(z, reach, n) for z, n in zip(zone, extent, strict=True))
+    shape = max(0, bottom - top), max(0, right - left)
+    if 0 in shape:
+        return win.Window(0, 0, {s.name: np.zeros((0, 0)) for s in surfaces})
+    taps = {name: kernel(sigma) for _, name, sigma in pairs}
+    margin = max(len(t) // 2 for t in taps.values())
+    first, last = max(0, top - margin), min(extent[0], bottom + margin)
+    row, col = win.numbers(table, "row"), win.numbers(table, "col")
+    known = (row >= first) & (row < last) & (col >= left) & (col < right)
+    place = (row[known].astype(np.int64) - first, col[known].astype(np.int64) - left)
+
+    def smoothed(name: str) -> np.ndarray:
+        block = np.zeros((last - first, shape[1]))
+        block[place] = win.numbers(table, name)[known]
+        radius = len(taps[name]) // 2
+        spread = np.clip(np.arange(top - radius, bottom + radius), 0, extent[0] - 1) - first
+        block = block[spread]
+        out = np.zeros(shape)
+        for k, weight in enumerate(taps[name]):
+            out += weight * block[k : k + shape[0]]
+        return out
+
+    layers = {}
+    for s in surfaces:
+        weight = smoothed(f"_w_{s.name}")
+        if s.weight_only:
+            layers[s.name] = weight
+        else:
+            with np.errstate(divide="ignore", invalid="ignore"):
+                layers[s.name] = np.where(weight > s.min_weight, smoothed(f"_v_{s.name}") / weight, np.nan)
+    return win.Window(top, left, layers)
+
+
+def smoothed_stencil(
+    raster: DataFrame, surfaces: list[Surface], reach: int, compute: Callable, schema: str, *,
+    rows: int | Column | None = None, cols: int | Column | None = None, min_sigma: float = 0.6,
+) -> DataFrame:
+    """``compute(window, rows, cols, extent)`` on every square of the smoothed surfaces, with a margin of ``reach`` pixels.
+
+    The second smoothing pass and the neighbours share one shuffle: no pixel is handed to those that look at it.
+    """
+    across, pairs = first_pass(raster, surfaces, rows, cols, min_sigma)
+    margin = max(len(kernel(sigma)) // 2 for _, _, sigma in pairs)
+    sent = across.withColumn("_zr", F.explode(win.zones("row", reach + margin, F.col("_rows"))))
+    sent = sent.withColumn("_zc", F.explode(win.zones("col", reach, F.col("_cols"))))
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        zone = tuple(k.as_py() for k in key)
+        extent = int(table.column("_rows")[0].as_py()), int(table.column("_cols")[0].as_py())
+        return compute(_window(table, zone, extent, reach, surfaces, pairs), *win.inner(*zone, extent), extent)
+
+    return sent.groupBy("_zr", "_zc").applyInArrow(run, schema)
+
+
+def smoothed_at(
+    across: DataFrame, pairs: list, surfaces: list[Surface], places: DataFrame, reach: int, compute: Callable, schema: str
+) -> DataFrame:
+    """``compute(window, places, extent)`` on the places of every square of the smoothed surfaces.
+
+    ``across`` and ``pairs`` come from the first pass; ``places`` carry r and c (positions on the raster), ``_rows`` and
+    ``_cols``. Squares without places are not computed; places without a position see an empty window.
+    """
+    margin = max(len(kernel(sigma)) // 2 for _, _, sigma in pairs)
+    key = ["_zr", "_zc", "_part"]
+    dealt = win.dealt_places(places, F.col("r"), F.col("c"))
+    tasks = dealt.select(*[F.col(k).alias(k[1:]) for k in key]).distinct()
+    sent = across.select("row", "col", *[name for _, name, _ in pairs])
+    sent = sent.withColumn("zr", F.explode(win.zones("row", reach + margin))).withColumn("zc", F.explode(win.zones("col", reach)))
+    sent = sent.join(tasks, ["zr", "zc"])
+
+    def run(group: tuple, table: pa.Table, asked: pa.Table) -> pa.Table:
+        if len(asked) == 0:
+            return compute(win.Window(0, 0, {s.name: np.zeros((0, 0)) for s in surfaces}), asked, (0, 0))
+        extent = int(asked.column("_rows")[0].as_py()), int(asked.column("_cols")[0].as_py())
+        return compute(_window(table, tuple(k.as_py() for k in group[:2]), extent, reach, surfaces, pairs), asked, extent)
+
+    return sent.groupBy("zr", "zc", "part").cogroup(dealt.groupBy(*key)).applyInArrow(run, schema)
+
+
 def gaussian_surfaces(
     raster: DataFrame,
     surfaces: list[Surface],
@@ -116,25 +231,8 @@ def gaussian_surfaces(
     and come out again; they are never NULL. ``rows``/``cols`` give the extent, as numbers or columns that are constant
     within a region; without them it is the largest index in the whole data. Copies of a pixel must be removed beforehand.
     """
-    whole = lambda given, axis: raster.agg(F.max(axis) + 1).scalar() if given is None else F.lit(given)
     keys = [*within, "_rows", "_cols"]
-    sources = sorted({s.source for s in surfaces})
-    base = raster.select(
-        *within,
-        whole(rows, "row").cast("bigint").alias("_rows"),
-        whole(cols, "col").cast("bigint").alias("_cols"),
-        F.col("row").cast("bigint").alias("row"),
-        F.col("col").cast("bigint").alias("col"),
-        *[F.coalesce(F.col(n).cast("double"), F.lit(0.0)).alias(f"v_{n}") for n in sources],
-        *[F.when(F.col(n).isNotNull(), 1.0).otherwise(0.0).alias(f"w_{n}") for n in sources],
-    )
-    pairs = []
-    for s in surfaces:
-        sigma = max(min_sigma, s.sigma)
-        if not s.weight_only:
-            pairs.append((f"v_{s.source}", f"_v_{s.name}", sigma))
-        pairs.append((f"w_{s.source}", f"_w_{s.name}", sigma))
-    across = _pass(base, "col", "row", "_cols", keys, pairs)
+    across, pairs = first_pass(raster, surfaces, rows, cols, min_sigma, within)
     both = _pass(across, "row", "col", "_rows", keys, [(name, name, sigma) for _, name, sigma in pairs])
     outputs = []
     for s in surfaces:
@@ -193,37 +291,30 @@ def bilinear_sample(raster: DataFrame, samples: DataFrame, keys: list[str], valu
     )
 
 
+def slope_of(window: win.Window, layer: str, rows: np.ndarray, cols: np.ndarray, mpp: float, extent: tuple[int, int]) -> np.ndarray:
+    """Slope in degrees at whole pixels: central differences, one-sided at the raster's border, NaN beside missing pixels."""
+    middle = window.at(layer, rows, cols)
+
+    def gradient(index: np.ndarray, last: int, dr: int, dc: int) -> np.ndarray:
+        before, after = window.at(layer, rows - dr, cols - dc), window.at(layer, rows + dr, cols + dc)
+        central = (after - before) / (2.0 * mpp)
+        return np.where(index == 0, (after - middle) / mpp, np.where(index == last, (middle - before) / mpp, central))
+
+    return np.degrees(np.arctan(np.hypot(gradient(rows, extent[0] - 1, 1, 0), gradient(cols, extent[1] - 1, 0, 1))))
+
+
 def gradient_slope(raster: DataFrame, mpp: float, *, rows=None, cols=None) -> DataFrame:
-    """Slope in degrees: central differences inside, one-sided at the border, NULL beside missing pixels.
+    """Slope in degrees of a raster (row, col, value), pixels beside missing ones left out.
 
-    Every pixel is handed to its four neighbours and collected by position: five short rows per pixel, combined
-    before the shuffle, with no ordering of whole raster lines.
+    Squares of pixels with a margin of one pixel are sent once; the neighbours are read inside the task.
     """
-    last_row = raster.agg(F.max("row")).scalar() if rows is None else F.lit(rows) - 1
-    last_col = raster.agg(F.max("col")).scalar() if cols is None else F.lit(cols) - 1
-    known = raster.filter(F.col("value").isNotNull())
-    sides = [("mid", 0, 0), ("up", 1, 0), ("down", -1, 0), ("left", 0, 1), ("right", 0, -1)]
-    slots = F.array(
-        *[
-            F.struct((F.col("row") + dr).alias("row"), (F.col("col") + dc).alias("col"), F.lit(n).alias("n"))
-            for n, dr, dc in sides
-        ]
-    )
-    spread = known.select("value", F.explode(slots).alias("s")).select("s.*", "value")
-    pick = lambda n: F.max(F.when(F.col("n") == n, F.col("value"))).alias(n)
-    around = spread.groupBy("row", "col").agg(*[pick(n) for n, _, _ in sides])
-
-    def gradient(index: str, last: Column, before: str, after: str) -> Column:
-        return (
-            F.when(F.col(index) == 0, (F.col(after) - F.col("mid")) / F.lit(mpp))
-            .when(F.col(index) == last, (F.col("mid") - F.col(before)) / F.lit(mpp))
-            .otherwise((F.col(after) - F.col(before)) / F.lit(2.0 * mpp))
-        )
-
-    gy, gx = gradient("row", last_row, "up", "down"), gradient("col", last_col, "left", "right")
-    inside = F.col("row").between(0, last_row) & F.col("col").between(0, last_col)
-    slope = F.degrees(F.atan(F.hypot(gx, gy)))
-    return around.filter(inside).select("row", "col", slope.alias("value")).filter("value IS NOT NULL")
+
+    def compute(window: win.Window, at_rows: np.ndarray, at_cols: np.ndarray, extent: tuple[int, int]) -> pa.Table:
+        slope = slope_of(window, "value", at_rows, at_cols, mpp, extent)
+        return win.as_table(at_rows, at_cols, {"value": slope}, ~np.isnan(slope))
+
+    sizes = {"rows": extent_of(raster, rows, "row"), "cols": extent_of(raster, cols, "col")}
+    return win.stencil(raster, 1, compute, "row bigint, col bigint, value double", **sizes)
 
 
 def raster_position(lat: Column, lng: Column, zoom: int, origin: tuple[int, int]) -> tuple[Column, Column]:

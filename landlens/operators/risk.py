@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from landlens.functions.geo import offset_point
+from landlens.functions.geo import METERS_PER_DEGREE, global_pixel, pixel_positions, pixel_reach
 from landlens.functions.labels import INSUFFICIENT, combined_label, risk_label, slope_score
 from landlens.functions.numeric import clamp, half_up
-from landlens.operators.live_terrain import global_pixel
+from landlens.operators import windows as win
 from landlens.operators.lookups import ground_lookup
 from landlens.session import lookup_join
 from landlens.sources.pixels import color_distance
@@ -108,21 +110,24 @@ def zone_item(key: str, pixel: str) -> Column:
 
 
 def slope_degrees(places: DataFrame, dem: DataFrame, zoom: int = 14) -> DataFrame:
-    """Slope at distinct places (lat, lng) from four samples 35 m away; NULL if any is unknown."""
-    d = F.lit(SLOPE_STEP_M)
-    zero = F.lit(0.0)
-    moves = {"n": (zero, d), "s": (zero, -d), "e": (d, zero), "w": (-d, zero)}
-    structs = []
-    for name, (east, north) in moves.items():
-        at = offset_point(F.col("lat"), F.col("lng"), east, north)
-        gy, gx = global_pixel(at.lat, at.lng, zoom)
-        structs.append(F.struct(F.lit(name).alias("k"), gy.alias("gy"), gx.alias("gx")))
-    samples = places.select("lat", "lng", F.explode(F.array(*structs)).alias("s")).select("lat", "lng", "s.*")
-    values = samples.join(dem.select("gy", "gx", "elevation"), ["gy", "gx"], "left")
-    z = lambda k: F.max(F.when(F.col("k") == k, F.col("elevation")))
-    run = 2.0 * SLOPE_STEP_M
-    dx, dy = (z("e") - z("w")) / F.lit(run), (z("n") - z("s")) / F.lit(run)
-    return values.groupBy("lat", "lng").agg(F.degrees(F.atan(F.sqrt(dx * dx + dy * dy))).alias("slope_deg"))
+    """Slope at distinct places (lat, lng) from four samples 35 m away, read inside a task; NULL if any is unknown."""
+    schema = "lat double, lng double, slope_deg double"
+
+    def compute(window: win.Window, asked: pa.Table) -> pa.Table:
+        lat, lng = win.numbers(asked, "lat"), win.numbers(asked, "lng")
+        narrow = METERS_PER_DEGREE * np.maximum(0.2, np.cos(np.radians(lat)))
+
+        def at(east: float, north: float) -> np.ndarray:
+            row, col = pixel_positions(lat + north / METERS_PER_DEGREE, lng + east / narrow, zoom)
+            return window.at("elevation", np.floor(row).astype(np.int64), np.floor(col).astype(np.int64))
+
+        d, run = SLOPE_STEP_M, 2.0 * SLOPE_STEP_M
+        dx, dy = (at(d, 0.0) - at(-d, 0.0)) / run, (at(0.0, d) - at(0.0, -d)) / run
+        slope = np.degrees(np.arctan(np.sqrt(dx * dx + dy * dy)))
+        return pa.table({"lat": pa.array(lat), "lng": pa.array(lng), "slope_deg": pa.array(slope, mask=np.isnan(slope))})
+
+    reach = pixel_reach(F.col("lat"), F.col("lng"), SLOPE_STEP_M, zoom)
+    return win.at_places(places.select("lat", "lng"), dem, reach, compute, schema, row="gy", col="gx", values=("elevation",))
 
 
 def slope_item(degrees: str = "slope_deg") -> Column:

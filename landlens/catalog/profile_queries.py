@@ -4,13 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from landlens.catalog.base import View, query
+from landlens.catalog.base import View, query, up
 from landlens.catalog.cell_queries import (
     CATALOG_SQL, ENVIRONMENT_SQL, MOISTURE_SQL, SPARSE_SQL, catalog, environment, moisture, sparse_index,
 )
 from landlens.catalog.geo_queries import CELL_SQL
-from landlens.catalog.inputs import FEATURES, GEOMETRIES, LINKS, PROFILE_POINTS
+from landlens.catalog.inputs import FEATURES, GEOMETRIES, LINKS, LIVE_POINTS, PROFILE_POINTS, ZOOM
+from landlens.catalog.inputs import POINTS as SCOPED_POINTS
+from landlens.catalog.risk_queries import LAND_SQL, WEIGHT
+from landlens.catalog.risk_queries import inputs as risk_inputs
+from landlens.catalog.spatial_queries import CODES_SQL, SCOPE_SQL, municipality_codes
+from landlens.catalog.terrain_queries import THEORY
 from landlens.operators import filters, lookups, profile, quality
+from landlens.plans.diagnose import diagnose_requests
 from landlens.plans.profile import build_profile
 
 VISIBLE = "lower(trim(public_eligible)) IN ('true', 'yes', '1')"
@@ -238,7 +244,7 @@ STAGED_VALUES = ", ".join(
 (VALUES {STAGED_VALUES}) s(layer_id, project, availability, warning, coverage_status, integration_state)""",
 )
 def staged_layers(spark, sf_dir):
-    return profile.staged_layers(points(spark, sf_dir), STAGED).drop("dataset_version")
+    return profile.staged_layers(points(spark, sf_dir), STAGED).drop("dataset_version", "warnings")
 
 
 @query(
@@ -251,46 +257,178 @@ def query_anchor(spark, sf_dir):
     return profile.query_anchor(PROFILE_POINTS.frame(spark, sf_dir)).drop("lat", "lng")
 
 
-COUNTED = ("confirmed", "review", "context", "conflict", "unknown")
-BUCKETS_SQL = """count(*) FILTER ({status} = 'confirmed') AS confirmed, count(*) FILTER ({status} IN ('source_backed_review', 'candidate')) AS review,
-  count(*) FILTER ({status} IN ('context', 'excluded')) AS context, count(*) FILTER ({status} = 'conflict') AS conflict,
-  count(*) FILTER ({status} NOT IN ('confirmed', 'source_backed_review', 'candidate', 'context', 'excluded', 'conflict', 'not_scanned')) AS unknown"""
+#: Metadata of links: one entry for all, one for some, one whose name depends on the link; values may be NULL.
+def metadata_of():
+    entry = lambda k, v: F.create_map(k, v)
+    some = F.length("intake_id") % 3 != 0
+    nothing = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
+    return F.map_concat(
+        entry(F.lit("lane"), F.col("index_lane")),
+        F.when(some, entry(F.lit("evidence"), F.col("evidence_status"))).otherwise(nothing),
+        entry(F.concat(F.lit("query_"), F.col("source_project")), F.col("query_status")),
+    )
 
 
 @query(
-    "location_profile",
-    f"""WITH l AS (
-  SELECT point_id, 'environment' AS layer_id, availability, coverage_status, finding_status FROM {ENV_LAYER_SQL}
-  UNION ALL SELECT point_id, 'moisture', availability, coverage_status, finding_status FROM {MOISTURE_LAYER_SQL}
-  UNION ALL SELECT point_id, 'catalog', availability, coverage_status, finding_status FROM {CATALOG_LAYER_SQL}
-  UNION ALL SELECT point_id, 'places', 'partial', 'partial_known_sources', NULL FROM {PLACE_SQL}
-  UNION ALL SELECT point_id, s.layer_id, s.availability, s.coverage_status, NULL FROM {PROFILE_POINTS.sql}, (VALUES {STAGED_VALUES}) s(layer_id, project, availability, warning, coverage_status, integration_state)),
-a AS (SELECT point_id, string_agg(concat(layer_id, '=', availability, '/', coverage_status), '|' ORDER BY layer_id) AS layers,
-  {BUCKETS_SQL.format(status="finding_status")} FROM l GROUP BY 1),
-f AS (SELECT cell_id, {BUCKETS_SQL.format(status="status")} FROM {FINDINGS_SQL} GROUP BY 1)
-SELECT p.point_id, p.cell_id, a.layers, {", ".join(f"a.{b} + coalesce(f.{b}, 0) AS {b}" for b in COUNTED)}, k.cell_closure_status, k.finding_count, 'PARTIAL_KNOWN_SOURCES' AS source_coverage_ceiling
-FROM {POINTS_SQL} p JOIN a USING (point_id) JOIN {PLACE_SQL} k USING (point_id) LEFT JOIN f ON f.cell_id = p.cell_id""",
+    "finding_metadata",
+    f"""WITH l AS (SELECT *, {KEY} AS finding_key FROM {LINKS.sql} WHERE coalesce({VISIBLE}, false)),
+e AS (SELECT cell_id, finding_key, link_order, 'lane' AS name, index_lane AS value FROM l
+  UNION ALL SELECT cell_id, finding_key, link_order, 'evidence', evidence_status FROM l WHERE length(intake_id) % 3 <> 0
+  UNION ALL SELECT cell_id, finding_key, link_order, concat('query_', source_project), query_status FROM l)
+SELECT cell_id, finding_key, name, value FROM (SELECT *, row_number() OVER (PARTITION BY cell_id, finding_key, name ORDER BY link_order DESC) AS k FROM e) WHERE k = 1""",
 )
-def location_profile(spark, sf_dir):
-    """Whole profile plan: cell, four connected layers, staged layers, facts and coverage per point."""
+def finding_metadata(spark, sf_dir):
+    """Metadata of merged findings: the maps of all links laid over each other."""
+    links = LINKS.frame(spark, sf_dir).withColumn("metadata", metadata_of())
+    out = profile.place_findings(links, "public", [])
+    return out.select("cell_id", "finding_key", F.explode("metadata").alias("name", "value"))
+
+
+CELLS_SQL = f"(SELECT DISTINCT cell_id FROM {POINTS_SQL})"
+PLACE_RECORDS_SQL = f"""(SELECT cell_id, finding_key, 'places' AS layer_id, concat('places:', finding_key) AS finding_id,
+  CAST(row_number() OVER (PARTITION BY cell_id ORDER BY distance_m NULLS LAST, lower(title), finding_key) AS INTEGER) AS position, 'PLACES' AS project, intake_id AS local_pointer,
+  title, category, status, maturity, geometry_role, relation, distance_m, CAST(NULL AS DOUBLE) AS uncertainty_m, location_precision AS public_precision, independence_group, CAST(NULL AS VARCHAR) AS source_identity,
+  CASE WHEN query_status = 'FEATURE_LINK_QUERYABLE' THEN '{profile.INDEXED_RELATION}' ELSE '{profile.CANDIDATE_RELATION}' END AS explanation
+ FROM (SELECT n.*, coalesce(f.canonical_name, n.source_title, n.intake_id) AS title, coalesce(f.feature_type, n.index_lane) AS category, g.geometry_role, g.location_precision FROM (
+   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cell_id, finding_key ORDER BY coalesce(distance_m, 'inf'::DOUBLE), link_order) AS k
+     FROM (SELECT *, {KEY} AS finding_key, {CLASSES} FROM {LINKS.sql} WHERE coalesce({VISIBLE}, false) AND cell_id IN (SELECT cell_id FROM {CELLS_SQL}))) WHERE k = 1) n
+  LEFT JOIN {FEATURES.sql} f ON n.global_feature_id = f.feature_id LEFT JOIN (SELECT feature_id, arg_min(geometry_role, seq) AS geometry_role, arg_min(location_precision, seq) AS location_precision
+   FROM {GEOMETRIES.sql} GROUP BY 1) g ON f.feature_id = g.feature_id))"""
+
+
+def _cell_findings_sql(layer: str, project: str, source: str, title: str, status: str, explanation: str, group: str, category: str) -> str:
+    return f"""SELECT c.cell_id, CAST(NULL AS VARCHAR) AS finding_key, '{layer}' AS layer_id, concat('{project}-CELL-', substr(c.cell_id, 2)) AS finding_id, 1 AS position, '{project}' AS project,
+  concat('{source}:', c.cell_id) AS local_pointer, {title} AS title, '{category}' AS category, {status} AS status, 'context_only' AS maturity, 'canonical_100m_cell' AS geometry_role,
+  'cell_context' AS relation, 0e0 AS distance_m, 100e0 AS uncertainty_m, '100m_cell' AS public_precision, '{group}' AS independence_group, concat('{project}:current:', c.cell_id) AS source_identity, {explanation} AS explanation"""
+
+
+ALL_FINDINGS_SQL = f"""(SELECT * FROM {PLACE_RECORDS_SQL}
+UNION ALL BY NAME {_cell_findings_sql("environment", "ENVIRONMENT", "environment-cells", f"concat('ENVIRONMENT環境・住宅候補: ', {text_case(profile.STATE_TEXT, 'aggregate_state')})",
+  "CASE WHEN robust_residential OR robust_candidate THEN 'candidate' ELSE 'context' END", "l.explanation", "ENVIRONMENT_CELLS", "environmental_and_residential_candidate_context")}
+ FROM {CELLS_SQL} c JOIN {ENVIRONMENT_SQL} e ON c.cell_id = e.cell_id JOIN (SELECT p.cell_id, any_value(explanation) AS explanation FROM {ENV_LAYER_SQL} JOIN {POINTS_SQL} p USING (point_id) GROUP BY 1) l ON l.cell_id = c.cell_id
+UNION ALL BY NAME {_cell_findings_sql("moisture", "MOISTURE", "moisture-cells", f"concat('MOISTURE 水・湿気カード: ', {text_case(profile.ATTENTION_TEXT, 'attention_class')})", "'context'", "l.explanation", "MOISTURE_CELLS", "underground_water_moisture_context")}
+ FROM {CELLS_SQL} c JOIN {MOISTURE_SQL} m ON c.cell_id = m.cell_id JOIN (SELECT p.cell_id, any_value(explanation) AS explanation FROM {MOISTURE_LAYER_SQL} JOIN {POINTS_SQL} p USING (point_id) GROUP BY 1) l ON l.cell_id = c.cell_id
+UNION ALL BY NAME {_cell_findings_sql("catalog", "CATALOG", "catalog-cells", "l.title", "'context'", "l.explanation", "FROZEN_CATALOG", "terrain_hypothesis_context")}
+ FROM {CELLS_SQL} c JOIN (SELECT p.cell_id, any_value(explanation) AS explanation, any_value(title) AS title FROM {CATALOG_LAYER_SQL} JOIN {POINTS_SQL} p USING (point_id) WHERE finding_id IS NOT NULL GROUP BY 1) l ON l.cell_id = c.cell_id)"""
+
+#: Sources that callers name themselves; some are the links' own and give way to them.
+EXPLICIT_SOURCES = "cell_id, concat('P', CAST(total_links % 4 AS STRING)) AS project, concat('src:', CAST(total_links AS STRING)) AS pointer, CAST(NULL AS STRING) AS version, 'explicit' AS title, 0 AS ord"
+FIXED_SOURCES = ", ".join(
+    f"('{n.layer_id}', '{n.project}', '{p}', '{t}', {'NULL' if v is None else repr(v)}, {i})"
+    for n in (profile.CATALOG, profile.MOISTURE, profile.ENVIRONMENT)
+    for i, (p, t, v) in enumerate(n.sources)
+)
+ALL_SOURCES_SQL = f"""(WITH a AS MATERIALIZED (SELECT * FROM {ALL_FINDINGS_SQL}),
+linked AS (SELECT cell_id, {KEY} AS finding_key, source_project AS project, source_pointer AS pointer, arg_max(source_title, link_order) AS title
+  FROM {LINKS.sql} WHERE coalesce(source_pointer, '') <> '' AND coalesce({VISIBLE}, false) GROUP BY 1, 2, 3, 4),
+s AS (SELECT {EXPLICIT_SOURCES.replace("STRING", "VARCHAR")}, 0 AS side, 0 AS place FROM {SPARSE_SQL} WHERE cell_id IN (SELECT cell_id FROM {CELLS_SQL})
+  UNION ALL BY NAME SELECT a.cell_id, f.project, f.pointer, f.version, f.title, f.i AS ord, 1 AS side, 1 AS place FROM a JOIN (VALUES {FIXED_SOURCES}) f(layer_id, project, pointer, title, version, i) ON a.layer_id = f.layer_id
+  UNION ALL BY NAME SELECT l.cell_id, l.project, l.pointer, NULL AS version, l.title, 0 AS ord, 1 AS side, a.position AS place FROM linked l JOIN a ON a.layer_id = 'places' AND a.cell_id = l.cell_id AND a.finding_key = l.finding_key)
+SELECT cell_id, project, pointer, version, title, concat_ws('::', project, pointer, coalesce(version, '')) AS source_key FROM (
+  SELECT *, row_number() OVER (PARTITION BY cell_id, project, pointer, version ORDER BY side DESC, place DESC, ord DESC) AS k FROM s) WHERE k = 1)"""
+
+
+def whole_profile(spark, sf_dir, **more):
     cells = catalog(spark, sf_dir)
-    out = build_profile(
+    index = sparse_index(spark, sf_dir)
+    return build_profile(
         PROFILE_POINTS.frame(spark, sf_dir),
         environment=environment(spark, sf_dir),
         moisture=moisture(spark, sf_dir),
         catalog=cells,
         catalog_rows=cells.agg(F.max("grid_row") + 1).scalar(),
-        index=sparse_index(spark, sf_dir),
+        index=index,
         links=LINKS.frame(spark, sf_dir),
+        features=FEATURES.frame(spark, sf_dir),
+        geometries=GEOMETRIES.frame(spark, sf_dir),
         staged=STAGED,
         audience="public",
+        explicit_sources=index.selectExpr(*_split(EXPLICIT_SOURCES)),
+        **more,
+    )
+
+
+def _split(columns: str) -> list[str]:
+    """The columns of a select list whose expressions hold no commas outside parentheses."""
+    out, depth, start = [], 0, 0
+    for i, c in enumerate(columns + ","):
+        depth += (c == "(") - (c == ")")
+        if c == "," and depth == 0:
+            out.append(columns[start:i].strip())
+            start = i + 1
+    return out
+
+
+FINDING_SHOWN = (
+    "cell_id", "layer_id", "finding_id", "position", "project", "local_pointer", "title", "category", "status", "maturity",
+    "geometry_role", "relation", "distance_m", "uncertainty_m", "public_precision", "independence_group", "source_identity",
+    "explanation",
+)
+
+
+@query("profile_findings", f"SELECT {', '.join(FINDING_SHOWN)} FROM {ALL_FINDINGS_SQL}")
+def profile_findings(spark, sf_dir):
+    """Every finding of every layer of the points' cells: places with feature, geometry and title, and cell records."""
+    return whole_profile(spark, sf_dir).findings.select(*FINDING_SHOWN)
+
+
+@query("profile_sources", f"SELECT * FROM {ALL_SOURCES_SQL}")
+def profile_sources(spark, sf_dir):
+    """Distinct sources of each cell, explicit ones and those of all findings."""
+    return whole_profile(spark, sf_dir).sources
+
+
+COUNTED = ("confirmed", "review", "context", "conflict", "unknown")
+BUCKETS_SQL = """count(*) FILTER ({status} = 'confirmed') AS confirmed, count(*) FILTER ({status} IN ('source_backed_review', 'candidate')) AS review,
+  count(*) FILTER ({status} IN ('context', 'excluded')) AS context, count(*) FILTER ({status} = 'conflict') AS conflict,
+  count(*) FILTER ({status} NOT IN ('confirmed', 'source_backed_review', 'candidate', 'context', 'excluded', 'conflict', 'not_scanned')) AS unknown"""
+PROFILE_CODES_SQL = CODES_SQL.replace(SCOPED_POINTS.sql, PROFILE_POINTS.sql)
+PROFILE_SCOPE_SQL = f"""(SELECT point_id, lat, lng, CASE WHEN NOT inside THEN false WHEN NOT hit THEN true
+    ELSE c5 BETWEEN '13101' AND '13123' OR c5 BETWEEN '14100' AND '14118' OR c5 BETWEEN '14130' AND '14137' END AS supported,
+  CASE WHEN hit THEN c5 END AS municipality_code, CASE WHEN hit THEN address END AS address FROM (
+  SELECT p.*, c.admin_code, c.address, coalesce(NOT c.failed, false) AND inside AS hit, substring(c.admin_code, 1, 5) AS c5 FROM (SELECT *, ({SCOPE_SQL}) AS inside FROM {POINTS_SQL}) p
+  LEFT JOIN {PROFILE_CODES_SQL} c ON p.inside AND p.cell_id = c.cell_id))"""
+DIAGNOSED_SQL = f"(SELECT point_id, lat, lng FROM {PROFILE_SCOPE_SQL} WHERE supported)"
+PROFILE_THEORY = THEORY.replace(f"SELECT DISTINCT lat, lng FROM {LIVE_POINTS.sql}", f"SELECT DISTINCT lat, lng FROM {DIAGNOSED_SQL}")
+PROFILE_LAND_SQL = LAND_SQL.replace(LIVE_POINTS.sql, DIAGNOSED_SQL)
+
+
+@query(
+    "location_profile",
+    f"""{PROFILE_THEORY}, l AS (
+  SELECT point_id, 'environment' AS layer_id, availability, coverage_status FROM {ENV_LAYER_SQL}
+  UNION ALL SELECT point_id, 'moisture', availability, coverage_status FROM {MOISTURE_LAYER_SQL}
+  UNION ALL SELECT point_id, 'catalog', availability, coverage_status FROM {CATALOG_LAYER_SQL}
+  UNION ALL SELECT point_id, 'places', 'partial', 'partial_known_sources' FROM {PLACE_SQL}
+  UNION ALL SELECT point_id, s.layer_id, s.availability, s.coverage_status FROM {PROFILE_POINTS.sql}, (VALUES {STAGED_VALUES}) s(layer_id, project, availability, warning, coverage_status, integration_state)),
+la AS (SELECT point_id, string_agg(concat(layer_id, '=', availability, '/', coverage_status), '|' ORDER BY layer_id) AS layers FROM l GROUP BY 1),
+fa AS MATERIALIZED (SELECT * FROM {ALL_FINDINGS_SQL}),
+fc AS (SELECT cell_id, {BUCKETS_SQL.format(status="status")} FROM fa GROUP BY 1),
+sc AS (SELECT cell_id, count(*) AS source_count FROM {ALL_SOURCES_SQL} GROUP BY 1),
+dg AS (SELECT point_id, t.detail_score AS score, m.modern_score, {WEIGHT} AS wt, coalesce(m.water_risk, 0) >= 80 OR coalesce(m.slope_risk, 0) >= 80 AS capped
+  FROM {DIAGNOSED_SQL} p JOIN theory t USING (lat, lng) JOIN (SELECT * EXCLUDE (point_id), point_id AS pid FROM {PROFILE_LAND_SQL}) m ON p.point_id = m.pid),
+ds AS (SELECT *, {up("least(CASE WHEN capped THEN 39e0 ELSE 100e0 END, wt * score + (1e0 - wt) * modern_score)")} AS combined_score FROM dg)
+SELECT p.point_id, p.cell_id, la.layers, {", ".join(f"coalesce(fc.{b}, 0) AS {b}" for b in COUNTED)}, k.cell_closure_status, k.finding_count, coalesce(sc.source_count, 0) AS source_count,
+  'PARTIAL_KNOWN_SOURCES' AS source_coverage_ceiling, o.supported, o.municipality_code, o.address, ds.score, ds.modern_score, ds.combined_score, ds.capped
+FROM {POINTS_SQL} p JOIN la USING (point_id) JOIN {PLACE_SQL} k USING (point_id) JOIN {PROFILE_SCOPE_SQL} o USING (point_id)
+LEFT JOIN fc ON fc.cell_id = p.cell_id LEFT JOIN sc ON sc.cell_id = p.cell_id LEFT JOIN ds ON ds.point_id = p.point_id""",
+)
+def location_profile(spark, sf_dir):
+    """Whole profile plan: cell, four connected layers, staged layers, facts, sources, coverage, scope and diagnosis per point."""
+    points_ = PROFILE_POINTS.frame(spark, sf_dir)
+    codes = municipality_codes(points_.select("point_id", "lat", "lng"))
+    hazards, pixels, mesh = risk_inputs(spark, sf_dir)
+    found = diagnose_requests(
+        points_.select("point_id", "lat", "lng"), codes, pixels, hazards, mesh, dem_zoom=ZOOM, slope_zoom=ZOOM, hazard_zoom=ZOOM
     )
+    out = whole_profile(spark, sf_dir, cell_codes=codes, diagnosis=found.diagnoses).points
     brief = F.transform(
         "layers", lambda x: F.concat(x["layer_id"], F.lit("="), x["availability"], F.lit("/"), x["coverage_status"])
     )
     return out.select(
         "point_id", "cell_id", F.array_join(brief, "|").alias("layers"), *COUNTED, "cell_closure_status",
-        "finding_count", "source_coverage_ceiling",
+        "finding_count", "source_count", "source_coverage_ceiling", "supported", "municipality_code", "address", "score",
+        "modern_score", "combined_score", "capped",
     )
 
 

@@ -254,6 +254,9 @@ raw AS (SELECT *, CAST(round_even(least(100e0, greatest(0e0, 50e0 + 50e0 * (high
 
 
 GRID = _grid_sql()
+GRID_LABEL = """CASE WHEN greatest(high, low, ordinary) < 0.11e0 THEN 0 WHEN high >= 0.19e0 AND high >= low + 0.045e0 AND high >= ordinary - 0.015e0 THEN 1
+    WHEN low >= 0.19e0 AND low >= high + 0.045e0 AND low >= ordinary - 0.015e0 THEN 2 WHEN ordinary >= 0.18e0 AND ordinary >= greatest(high, low) - 0.025e0 THEN 3
+    WHEN high >= 0.15e0 AND low >= 0.15e0 AND abs(high - low) < 0.055e0 THEN 4 ELSE 5 END"""
 
 
 def sites(spark, sf_dir):
@@ -277,9 +280,7 @@ def grid_crossings(spark, sf_dir):
     "grid_scores",
     f"""{GRID} SELECT site_id, {rq.rounded("high", "low", "ordinary")}, original_score, original_fit, auxiliary_score,
   CAST(round_even(0.8e0 * original_score + 0.2e0 * auxiliary_score, 0) AS INTEGER) AS detail_score, confidence,
-  CASE WHEN greatest(high, low, ordinary) < 0.11e0 THEN 0 WHEN high >= 0.19e0 AND high >= low + 0.045e0 AND high >= ordinary - 0.015e0 THEN 1
-    WHEN low >= 0.19e0 AND low >= high + 0.045e0 AND low >= ordinary - 0.015e0 THEN 2 WHEN ordinary >= 0.18e0 AND ordinary >= greatest(high, low) - 0.025e0 THEN 3
-    WHEN high >= 0.15e0 AND low >= 0.15e0 AND abs(high - low) < 0.055e0 THEN 4 ELSE 5 END AS label_code FROM raw""",
+  {GRID_LABEL} AS label_code FROM raw""",
 )
 def grid_scores(spark, sf_dir):
     pixels = dem(spark, sf_dir)

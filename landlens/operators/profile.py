@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from landlens.functions.geo import canonical_cell, format_coordinate
@@ -16,6 +16,8 @@ from landlens.functions.labels import terrain_label
 from landlens.functions.numeric import half_up
 from landlens.functions.text import bool_like
 from landlens.operators.filters import hidden_counts, visible_links
+from landlens.operators.lookups import feature_join
+from landlens.operators.ranking import ordered_rank
 from landlens.session import lookup_join
 
 # Availability, coverage and default status.
@@ -84,17 +86,37 @@ MATURITIES = ("S7", "S6", "S5", "S4", "S3", "S2", "S1", "S0")
 
 
 class LayerNames(NamedTuple):
-    """Identifiers of one layer in the output."""
+    """What one layer is called in the output, and what its findings and warnings say of themselves.
+
+    ``sources``: (pointer, title, version) of each finding; ``warnings``: of every record; ``outside``: of a cell without one.
+    """
 
     layer_id: str
     project: str
     dataset_version: str | None = None
-
-
-ENVIRONMENT = LayerNames("environment", "ENVIRONMENT")
-MOISTURE = LayerNames("moisture", "MOISTURE")
-CATALOG = LayerNames("catalog", "CATALOG")
+    category: str | None = None
+    independence_group: str | None = None
+    sources: tuple[tuple[str, str, str | None], ...] = ()
+    warnings: tuple[str, ...] = ()
+    outside: str | None = None
+
+
+NOT_A_VERDICT = "A record shows context of its 100 m cell. Neither it nor its absence proves safety or danger."
+NO_RECORD = "This position has no record here. Unknown is not turned into safe or unsafe."
+ENVIRONMENT = LayerNames(
+    "environment", "ENVIRONMENT", None, "environmental_and_residential_candidate_context", "ENVIRONMENT_CELLS",
+    (("environment-cells", "Environment cells", None),), (NOT_A_VERDICT,), NO_RECORD,
+)
+MOISTURE = LayerNames(
+    "moisture", "MOISTURE", None, "underground_water_moisture_context", "MOISTURE_CELLS",
+    (("moisture-cells", "Moisture cells", None), ("moisture-registry", "Moisture source registry", "v1")), (NOT_A_VERDICT,), NO_RECORD,
+)
+CATALOG = LayerNames(
+    "catalog", "CATALOG", None, "terrain_hypothesis_context", "FROZEN_CATALOG",
+    (("catalog-cells", "Frozen grid catalog", None),), (NOT_A_VERDICT,), "The query falls outside the frozen grid.",
+)
 PLACES = LayerNames("places", "PLACES")
+NOT_A_TARGET = "This grid position is not a valid target cell; no safety or absence inference is allowed."
 
 
 def named(table: dict[str, str], key: Column) -> Column:
@@ -107,6 +129,10 @@ def percent(value: Column) -> Column:
     return F.concat(half_up(value * 100.0).cast("string"), F.lit("%"))
 
 
+def _texts(values: tuple[str, ...]) -> Column:
+    return F.array(*[F.lit(v) for v in values]).cast("array<string>")
+
+
 def _layer(names: LayerNames, availability: Column, coverage: Column) -> list[Column]:
     return [
         F.lit(names.layer_id).alias("layer_id"),
@@ -118,6 +144,12 @@ def _layer(names: LayerNames, availability: Column, coverage: Column) -> list[Co
     ]
 
 
+def _warnings(names: LayerNames, known: Column, *more: Column) -> Column:
+    """Warnings of a record, with those of ``more`` that hold, or the one of a cell without a record."""
+    missing = _texts(() if names.outside is None else (names.outside,))
+    return F.when(known, F.concat(_texts(names.warnings), F.array_compact(F.array(*more).cast("array<string>")))).otherwise(missing).alias("warnings")
+
+
 def _finding_id(names: LayerNames) -> Column:
     return F.concat(F.lit(f"{names.project}-CELL-"), F.regexp_replace("cell_id", "^g", ""))
 
@@ -176,6 +208,7 @@ def environment_layer(points: DataFrame, cells: DataFrame, names: LayerNames = E
             F.concat(F.lit(f"{names.project}環境・住宅候補: "), named(STATE_TEXT, F.col("aggregate_state"))),
         ).alias("title"),
         F.when(known, explanation).alias("explanation"),
+        _warnings(names, known),
     )
 
 
@@ -215,6 +248,7 @@ def moisture_layer(points: DataFrame, cells: DataFrame, names: LayerNames = MOIS
         ).alias("title"),
         F.when(known, explanation).alias("explanation"),
         F.when(known & (F.col("public_evidence_status") != "materialized"), PENDING_NOTE).alias("warning"),
+        _warnings(names, known, F.when(F.col("public_evidence_status") != "materialized", PENDING_NOTE)),
     )
 
 
@@ -249,6 +283,7 @@ def catalog_layer(
         F.when(known, F.lit("context")).alias("finding_status"),
         F.when(known, F.concat(F.lit(f"{names.project}凍結セル判定: "), label)).alias("title"),
         F.when(known, explanation).alias("explanation"),
+        F.when(inside & ~known, _texts((NOT_A_TARGET,))).otherwise(_warnings(names, known)).alias("warnings"),
     )
 
 
@@ -308,25 +343,39 @@ def finding_key() -> Column:
     return F.coalesce(*[F.nullif(F.col(c), F.lit("")) for c in names])
 
 
+def overlay_metadata(links: DataFrame, order: str = "link_order") -> DataFrame:
+    """cell_id, finding_key and ``metadata``: the maps of all links of a finding laid over each other, the last link wins per key.
+
+    Entries are combined by key before the shuffle, so no finding gathers the maps of its links. A NULL value that is last wins
+    like any other; links without a map, or with an empty one, add nothing.
+    """
+    entries = links.withColumn("finding_key", finding_key()).select("cell_id", "finding_key", order, F.explode("metadata").alias("_k", "_v"))
+    last = entries.groupBy("cell_id", "finding_key", "_k").agg(F.max_by("_v", order).alias("_v"))
+    laid = F.map_from_entries(F.sort_array(F.collect_list(F.struct("_k", "_v"))))
+    return last.groupBy("cell_id", "finding_key").agg(laid.alias("metadata"))
+
+
 def merge_findings(links: DataFrame, payload: list[str], order: str = "link_order") -> DataFrame:
     """One finding per cell and key: the nearest link's columns (unknown distance is infinitely far, the first of
-    equals wins), the last link's metadata and the number of merged links.
+    equals wins), the overlay of all links' metadata and the number of merged links.
 
     Only algebraic aggregates, so a key that holds a large part of all links is combined before the shuffle.
     Sources are a table of their own, see :func:`finding_sources`.
     """
     far = F.coalesce(F.col("distance_m"), F.lit(float("inf")))
-    return (
+    merged = (
         links.withColumn("finding_key", finding_key())
         .groupBy("cell_id", "finding_key")
         .agg(
             F.min_by(F.struct("distance_m", *payload), F.struct(far, F.col(order))).alias("_n"),
             F.count(F.lit(1)).alias("merged_links"),
-            *([F.max_by("metadata", order).alias("metadata")] if "metadata" in links.columns else []),
         )
         .select("*", "_n.*")
         .drop("_n")
     )
+    if "metadata" not in links.columns:
+        return merged
+    return merged.join(overlay_metadata(links, order), ["cell_id", "finding_key"], "left")
 
 
 def finding_sources(links: DataFrame, order: str = "link_order") -> DataFrame:
@@ -348,32 +397,140 @@ def place_findings(links: DataFrame, audience: str, payload: list[str], order: s
 
 
 def rank_findings(findings: DataFrame) -> DataFrame:
-    """Position of each finding in its cell: by distance (unknown last), then by title in Japanese order."""
-    order = Window.partitionBy("cell_id").orderBy(
-        F.asc_nulls_last("distance_m"), F.collate(F.col("title"), "ja"), "finding_key"
+    """Position of each finding in its cell: by distance (unknown last), then by title in Japanese order.
+
+    A cell may hold a large part of all findings: its rows are split by the order itself, see :func:`ordered_rank`.
+    """
+    keyed = findings.withColumn("_t", F.collate(F.col("title"), "ja"))
+    order = [F.asc_nulls_last("distance_m"), F.asc("_t"), F.asc("finding_key")]
+    return ordered_rank(keyed, ["cell_id"], order, "position").drop("_t")
+
+
+QUERYABLE = "FEATURE_LINK_QUERYABLE"
+INDEXED_RELATION = (
+    "An indexed relation exists for this cell. Feature evidence and geometry maturity remain source-owned and time-scoped."
+)
+CANDIDATE_RELATION = "Kept as candidate or context. It is not a confirmed local historical positive."
+
+#: Columns of a link that a finding shows; a link table may lack some.
+LINK_COLUMNS = (
+    "intake_id", "global_feature_id", "external_local_id", "source_title", "feature_class", "index_lane", "geometry_role",
+    "uncertainty_m", "location_precision", "independence_group", "canonical_source_identity", "query_status",
+)
+FINDING_COLUMNS = (
+    "cell_id", "layer_id", "finding_id", "position", "project", "global_feature_id", "local_pointer", "title", "category", "status",
+    "maturity", "geometry_role", "relation", "distance_m", "uncertainty_m", "valid_from", "valid_to", "public_precision",
+    "independence_group", "source_identity", "explanation",
+)
+
+
+def with_columns(frame: DataFrame, names: tuple[str, ...], kind: str = "string") -> DataFrame:
+    """The frame with those of the columns that it lacks, as NULLs."""
+    return frame.withColumns({n: F.lit(None).cast(kind) for n in names if n not in frame.columns})
+
+
+def place_records(
+    links: DataFrame, features: DataFrame, geometries: DataFrame, audience: str, names: LayerNames = PLACES
+) -> DataFrame:
+    """Place findings of each cell in the reference's form and order: the nearest link of a finding with its feature and the
+    feature's first geometry.
+
+    The title is the feature's name, else the link's source title, local id or intake id. ``finding_key`` comes along.
+    """
+    known = with_columns(links, LINK_COLUMNS)
+    merged = place_findings(known, audience, list(LINK_COLUMNS))
+    wide = with_columns(geometries, ("geometry_role", "location_precision", "valid_from", "valid_to"))
+    joined = feature_join(merged, features, wide.select("feature_id", "seq", "geometry_role", "location_precision", "valid_from", "valid_to"))
+    shape = lambda c: F.col(f"geometry.{c}")
+    records = joined.select(
+        "cell_id", "finding_key", F.lit(names.layer_id).alias("layer_id"),
+        F.concat(F.lit(f"{names.layer_id}:"), "finding_key").alias("finding_id"), F.lit(names.project).alias("project"),
+        "global_feature_id", F.coalesce("external_local_id", "intake_id").alias("local_pointer"),
+        F.coalesce("canonical_name", "source_title", "external_local_id", "intake_id").alias("title"),
+        F.coalesce("feature_type", "feature_class", "index_lane").alias("category"), "status", "maturity",
+        F.coalesce(shape("geometry_role"), "geometry_role").alias("geometry_role"), "relation", "distance_m",
+        F.col("uncertainty_m").cast("double").alias("uncertainty_m"), shape("valid_from").alias("valid_from"),
+        shape("valid_to").alias("valid_to"), F.coalesce(shape("location_precision"), "location_precision").alias("public_precision"),
+        "independence_group", F.col("canonical_source_identity").alias("source_identity"),
+        F.when(F.col("query_status") == QUERYABLE, INDEXED_RELATION).otherwise(CANDIDATE_RELATION).alias("explanation"),
+    )
+    return rank_findings(records).select("finding_key", *FINDING_COLUMNS)
+
+
+def cell_findings(layers: DataFrame, names: tuple[LayerNames, ...]) -> DataFrame:
+    """The findings of cell layers (rows of :func:`layer_rows` keyed by cell) in the same form as those of places."""
+    by_layer = lambda value, kind="string": F.coalesce(
+        *[F.when(F.col("layer_id") == n.layer_id, F.lit(value(n)).cast(kind)) for n in names]
     )
-    return findings.withColumn("position", F.row_number().over(order))
+    text = lambda value: F.lit(value).cast("string")
+    pointer = by_layer(lambda n: n.sources[0][0] if n.sources else n.layer_id)
+    version = F.coalesce("dataset_version", F.lit("current"))
+    rows = layers.filter(F.col("finding_id").isNotNull())
+    return rows.select(
+        "cell_id", "layer_id", "finding_id", F.lit(1).alias("position"), "project", text(None).alias("global_feature_id"),
+        F.concat(pointer, F.lit(":"), "cell_id").alias("local_pointer"), "title", by_layer(lambda n: n.category).alias("category"),
+        F.col("finding_status").alias("status"), text("context_only").alias("maturity"), text("canonical_100m_cell").alias("geometry_role"),
+        text("cell_context").alias("relation"), F.lit(0.0).alias("distance_m"), F.lit(100.0).alias("uncertainty_m"),
+        text(None).alias("valid_from"), text(None).alias("valid_to"), text("100m_cell").alias("public_precision"),
+        by_layer(lambda n: n.independence_group).alias("independence_group"),
+        F.concat("project", F.lit(":"), version, F.lit(":"), "cell_id").alias("source_identity"), "explanation",
+    )
+
+
+def profile_sources(
+    findings: DataFrame, links: DataFrame, audience: str, names: tuple[LayerNames, ...], explicit: DataFrame | None = None,
+    places: LayerNames = PLACES,
+) -> DataFrame:
+    """Distinct sources of each cell: explicit ones, then those of its findings in the order of layers and positions; of copies
+    (project, pointer, version) the last title stays.
+
+    ``findings``: rows with FINDING_COLUMNS and, for places, ``finding_key``; ``names``: the layers in order.
+    """
+    order = {n.layer_id: i for i, n in enumerate(names)}
+    place = lambda layer: F.coalesce(*[F.when(F.col("layer_id") == k, i) for k, i in order.items()], F.lit(len(order)))
+    ord_ = lambda at: F.struct(place("layer_id").alias("layer"), F.col("position").cast("long").alias("position"), at.cast("long").alias("at"))
+    text = lambda value: F.lit(value).cast("string")
+    own = F.array(
+        *[
+            F.struct(F.lit(n.layer_id).alias("layer"), F.lit(i).alias("at"), text(p).alias("pointer"), text(t).alias("title"), text(v).alias("version"))
+            for n in names
+            for i, (p, t, v) in enumerate(n.sources)
+        ]
+    )
+    cells = findings.filter(F.col("layer_id") != places.layer_id).withColumn("s", F.explode(own)).filter(F.col("s.layer") == F.col("layer_id"))
+    fixed = cells.select("cell_id", "project", "s.pointer", "s.version", "s.title", ord_(F.col("s.at")).alias("ord"))
+    linked = finding_sources(visible_links(links, audience))
+    spots = findings.filter(F.col("layer_id") == places.layer_id).select("cell_id", "finding_key", "layer_id", "position")
+    found = linked.join(spots, ["cell_id", "finding_key"]).select(
+        "cell_id", F.col("source_project").alias("project"), F.col("source_pointer").alias("pointer"), text(None).alias("version"),
+        F.col("source_title").alias("title"), ord_(F.lit(0)).alias("ord"),
+    )
+    every = fixed.unionByName(found)
+    if explicit is None:
+        explicit = every.limit(0)
+    else:
+        explicit = explicit.withColumn("ord", F.struct(F.lit(0).alias("layer"), F.lit(0).cast("long").alias("position"), F.col("ord").cast("long").alias("at")))
+    return dedupe_sources(explicit, every, key="cell_id")
 
 
 def place_layer(
-    points: DataFrame, index: DataFrame, links: DataFrame, audience: str, names: LayerNames = PLACES
-) -> DataFrame:
+    points: DataFrame, index: DataFrame, links: DataFrame, audience: str, names: LayerNames = PLACES, *,
+    findings: DataFrame | None = None,
+) -> DataFrame:
     """Place record per point (point_id, cell_id): link and finding counts, withheld count, closure status.
 
-    Findings are counted in all and by fact bucket (``place_<bucket>``), each by the status of its nearest link. Cells
-    absent from the sparse index keep a row with the default status; nothing there proves absence.
+    ``findings``: the place findings of the cells, where they are at hand already. Cells absent from the sparse index keep a row
+    with the default status; nothing there proves absence.
     """
     counts = hidden_counts(links, audience)
-    bucket = fact_bucket(F.col("status"))
-    merged = place_findings(links, audience, []).groupBy("cell_id").agg(
-        F.count(F.lit(1)).alias("finding_count"), *[F.count(F.when(bucket == b, 1)).alias(f"place_{b}") for b in FACT_BUCKETS]
-    )
+    findings = place_findings(links, audience, []) if findings is None else findings
+    merged = findings.groupBy("cell_id").agg(F.count(F.lit(1)).alias("finding_count"))
     per_cell = (
         points.select("cell_id").distinct()
         .join(index.select("cell_id", "index_status", "total_links"), "cell_id", "left")
         .join(counts, "cell_id", "left")
         .join(merged, "cell_id", "left")
-        .fillna(0, ["raw_link_count", "hidden_count", "finding_count", *PLACE_BUCKETS])
+        .fillna(0, ["raw_link_count", "hidden_count", "finding_count"])
     )
     joined = lookup_join(points.select("point_id", "cell_id"), per_cell, ["cell_id"])
     missing = F.col("index_status").isNull()
@@ -401,9 +558,9 @@ def place_layer(
         "raw_link_count",
         "hidden_count",
         "finding_count",
-        *[F.coalesce(b, F.lit(0)).alias(b) for b in PLACE_BUCKETS],
         F.coalesce("total_links", F.lit(0)).alias("indexed_links"),
         F.array_join(notes, " ").alias("warning"),
+        notes.alias("warnings"),
     )
 
 
@@ -419,6 +576,7 @@ def staged_layers(points: DataFrame, staged: list[tuple[str, str, str, str]]) ->
                 F.lit(NO_EFFECT).alias("scoring_effect"),
                 F.lit(None).cast("string").alias("dataset_version"),
                 F.lit(note).alias("warning"),
+                _texts((note,)).alias("warnings"),
                 F.lit("ADAPTER_STAGED" if state == PARTIAL else "FORMAL_RELEASE_PENDING").alias("integration_state"),
             )
             for layer, project, state, note in staged
@@ -448,7 +606,6 @@ def query_anchor(points: DataFrame) -> DataFrame:
 
 
 FACT_BUCKETS = ("confirmed", "review", "context", "conflict", "unknown", "not_scanned")
-PLACE_BUCKETS = tuple(f"place_{b}" for b in FACT_BUCKETS)
 
 
 def fact_bucket(status: Column) -> Column:
@@ -489,38 +646,32 @@ def dedupe_sources(explicit: DataFrame, found: DataFrame, key: str = "point_id")
 
 LAYER_COLUMNS = (
     "layer_id", "project", "availability", "coverage_status", "scoring_effect", "dataset_version", "finding_id",
-    "finding_status", "title", "explanation", "warning",
+    "finding_status", "title", "explanation", "warning", "warnings",
 )
 
 
-def layer_rows(*layers: DataFrame) -> DataFrame:
-    """All layers of all points in long form with common columns."""
+def layer_rows(*layers: DataFrame, key: str = "point_id") -> DataFrame:
+    """All layers of all points (or cells) in long form with common columns."""
     rows = None
     for layer in layers:
-        columns = [
-            F.col(c) if c in layer.columns else F.lit(None).cast("string").alias(c) for c in LAYER_COLUMNS
-        ]
-        part = layer.select("point_id", *columns)
+        kind = lambda c: "array<string>" if c == "warnings" else "string"
+        columns = [F.col(c) if c in layer.columns else F.lit(None).cast(kind(c)).alias(c) for c in LAYER_COLUMNS]
+        part = layer.select(key, *columns)
         rows = part if rows is None else rows.unionByName(part)
     return rows
 
 
-def compose_profile(points: DataFrame, layers: DataFrame, place: DataFrame) -> DataFrame:
-    """One row per point: anchor, cell, an array of its layers (a fixed handful), coverage and fact counts.
+def compose_cells(layers: DataFrame, place: DataFrame, findings: DataFrame, sources: DataFrame) -> DataFrame:
+    """One row per cell: its layers (a fixed handful), coverage, fact counts and the number of findings and sources.
 
-    ``points`` come from :func:`with_cell`; ``layers`` from :func:`layer_rows`; ``place`` from :func:`place_layer`, whose
-    findings count as facts like those of the other layers.
+    ``layers`` (a cell's rows of :func:`layer_rows`), ``place`` (:func:`place_layer`), ``findings`` and ``sources`` are all keyed
+    by cell_id. Every finding of every layer counts as a fact, and so does every layer that was not scanned.
     """
-    finding = F.when(F.col("finding_status").isNotNull(), fact_bucket(F.col("finding_status")))
-    bucket = lambda b: F.count(F.when(finding == b, 1))
-    not_scanned = bucket("not_scanned") + F.count(F.when(F.col("coverage_status") == "not_scanned", 1))
-    per_point = layers.groupBy("point_id").agg(
+    per_cell = layers.groupBy("cell_id").agg(
         F.sort_array(F.collect_list(F.struct(*LAYER_COLUMNS))).alias("layers"),
-        *[(not_scanned if b == "not_scanned" else bucket(b)).alias(b) for b in FACT_BUCKETS],
-    )
-    coverage = place.select(
-        "point_id", "cell_closure_status", "absence_claim_allowed", "hidden_count", "finding_count", *PLACE_BUCKETS
     )
-    both = points.join(per_point, "point_id", "left").join(coverage, "point_id", "left")
-    facts = {b: F.coalesce(b, F.lit(0)) + F.coalesce(f"place_{b}", F.lit(0)) for b in FACT_BUCKETS}
-    return both.withColumns(facts).drop(*PLACE_BUCKETS).withColumn("source_coverage_ceiling", F.lit("PARTIAL_KNOWN_SOURCES"))
+    facts = fact_summary(findings, layers, key="cell_id")
+    counted = sources.groupBy("cell_id").agg(F.count(F.lit(1)).alias("source_count"))
+    coverage = place.select("cell_id", "cell_closure_status", "absence_claim_allowed", "raw_link_count", "hidden_count", "finding_count")
+    both = per_cell.join(facts, "cell_id", "left").join(coverage, "cell_id", "left").join(counted, "cell_id", "left")
+    return both.fillna(0, [*FACT_BUCKETS, "source_count"]).withColumn("source_coverage_ceiling", F.lit("PARTIAL_KNOWN_SOURCES"))

@@ -80,15 +80,6 @@ def diagnose(
     return combine_scores(both).withColumn("coordinate", format_coordinate(F.col("lat"), F.col("lng")))
 
 
-def diagnose_viewports(views: DataFrame, columns: Column, rows: Column, view_key: str, *tables: DataFrame, **options) -> DataFrame:
-    """Diagnosis of the equal cells of each viewport; ``tables`` and ``options`` go to :func:`diagnose`.
-
-    Cells outside the rough scope are left out.
-    """
-    cells = viewport_grid(views, columns, rows).withColumn("point_id", F.concat_ws("-", view_key, "cell"))
-    return diagnose(cells, *tables, **options)
-
-
 def split_requests(points: DataFrame, cell_codes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(supported points with their scope, rejected points with an error code)."""
     checked = points.withColumn("error_code", coordinate_error(F.col("lat"), F.col("lng")))
@@ -96,3 +87,58 @@ def split_requests(points: DataFrame, cell_codes: DataFrame) -> tuple[DataFrame,
     scoped = municipality_of(valid, cell_codes)
     outside = scoped.filter(~F.col("supported")).select(*points.columns, F.lit("out_of_scope").alias("error_code"))
     return scoped.filter("supported"), invalid.unionByName(outside)
+
+
+class Diagnoses(NamedTuple):
+    """``diagnoses``: one row per supported point with its scope; ``rejected``: the other points with an ``error_code``."""
+
+    diagnoses: DataFrame
+    rejected: DataFrame
+
+
+def diagnose_requests(points: DataFrame, cell_codes: DataFrame, *tables: DataFrame, **options) -> Diagnoses:
+    """Diagnosis behind the scope gate: points with bad coordinates or out of scope are rejected before anything is sampled.
+
+    ``points`` (point_id, lat, lng) may be any; ``cell_codes`` as in :func:`municipality_of`; the rest goes to :func:`diagnose`.
+    """
+    supported, rejected = split_requests(points, cell_codes)
+    supported = cut_lineage(supported)
+    scope = ("scope_name", "municipality_code", "address", "scope_source")
+    found = diagnose(supported.select(*points.columns), *tables, **options)
+    return Diagnoses(lookup_join(found, supported.select("point_id", *scope), ["point_id"]), rejected)
+
+
+#: Widest viewport in degrees (longitude, latitude).
+MAX_VIEW = (0.25, 0.2)
+
+
+class Viewports(NamedTuple):
+    """``cells``: diagnosed cells; ``failures``: cells without a diagnosis, with ``error_code``; ``rejected``: refused viewports."""
+
+    cells: DataFrame
+    failures: DataFrame
+    rejected: DataFrame
+
+
+def diagnose_viewports(
+    views: DataFrame, columns: Column, rows: Column, view_key: str, cell_codes: DataFrame, *tables: DataFrame, **options
+) -> Viewports:
+    """Diagnosis of the equal cells of all viewports (west, south, east, north) in one plan.
+
+    A viewport without finite, rising bounds or wider than ``MAX_VIEW`` is refused as a whole. Cells outside the rough
+    scope are left out, as the map shows none there; a cell that the scope gate refuses is a failure row of its own.
+    """
+    bounds = [F.col(c) for c in ("west", "south", "east", "north")]
+    finite = [b.isNotNull() & ~F.isnan(b) & (F.abs(b) < float("inf")) for b in bounds]
+    west, south, east, north = bounds
+    good = (east > west) & (north > south) & (east - west <= MAX_VIEW[0]) & (north - south <= MAX_VIEW[1])
+    for f in reversed(finite):
+        good = f & good
+    checked = views.withColumn("_good", F.coalesce(good, F.lit(False)))
+    cells = viewport_grid(checked.filter("_good").drop("_good"), columns, rows)
+    cells = cut_lineage(cells.withColumn("point_id", F.concat_ws("-", view_key, "cell")))
+    found = diagnose_requests(cells.select("point_id", "lat", "lng"), cell_codes, *tables, **options)
+    shape = [c for c in cells.columns if c not in {"lat", "lng"}]
+    place = lambda frame: lookup_join(frame, cells.select(*shape), ["point_id"])
+    rejected = checked.filter(~F.col("_good")).drop("_good").withColumn("error_code", F.lit("invalid_bounds"))
+    return Viewports(place(found.diagnoses), place(found.rejected), rejected)

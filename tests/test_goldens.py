@@ -157,9 +157,12 @@ def test_viewport_diagnosis(spark):
     )
     asked = views, F.col("cols"), F.col("rows_asked")
     assert viewport_grid(*asked).groupBy("view_id").count().collect() == [("in", 9)]
+    codes = spark.createDataFrame([], "cell_id string, admin_code string, address string, failed boolean")
     out = diagnose_viewports(
-        *asked, "view_id", DEM_PIXELS.frame(spark, sf_dir), HAZARDS.frame(spark, sf_dir), MESH.frame(spark, sf_dir),
+        *asked, "view_id", codes, DEM_PIXELS.frame(spark, sf_dir), HAZARDS.frame(spark, sf_dir), MESH.frame(spark, sf_dir),
         dem_zoom=ZOOM, slope_zoom=ZOOM, hazard_zoom=ZOOM,
-    ).collect()
-    assert sorted(r.point_id for r in out) == [f"in-{i}" for i in range(9)]
-    assert all(r.combined_score == r.modern_score or r.capped for r in out)
+    )
+    cells = out.cells.collect()
+    assert sorted(r.point_id for r in cells) == [f"in-{i}" for i in range(9)]
+    assert all(r.combined_score == r.modern_score or r.capped for r in cells)
+    assert out.failures.count() == 0 and out.rejected.count() == 0

@@ -15,21 +15,33 @@ import numpy as np
 LENGTH_BITS = 9
 
 
+#: Least values are kept for stretches of up to 2 ** this many places; longer ones go through blocks of that many.
+LEVELS = 6
+
+
 def least_between(common: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     """min(common[low .. high]) for each pair."""
     if not len(low):
         return np.zeros(0, common.dtype)
     span = high - low + 1
-    power = np.frexp(span.astype(np.float64))[1] - 1
+    block = 1 << LEVELS
+    # the largest power of two in each span; spans of two blocks and more look at their two ends and the blocks between
+    power = np.minimum(np.frexp(span.astype(np.float64))[1] - 1, LEVELS + 1)
+    order = np.argsort(power.astype(np.uint8), kind="stable")
+    edges = np.searchsorted(power[order], np.arange(LEVELS + 3))
     out = np.empty(len(low), common.dtype)
     row = common
     for p in range(int(power.max()) + 1):
-        if p:
+        if 0 < p <= LEVELS:
             half = 1 << (p - 1)
             row = np.minimum(row[:-half], row[half:])
-        mine = np.flatnonzero(power == p)
+        mine = order[edges[p] : edges[p + 1]]
         if len(mine):
-            out[mine] = np.minimum(row[low[mine]], row[high[mine] - (1 << p) + 1])
+            width = min(1 << p, block)
+            out[mine] = np.minimum(row[low[mine]], row[high[mine] - width + 1])
+            if p > LEVELS:
+                between = least_between(row[::block], -(-low[mine] // block), (high[mine] + 1) // block - 1)
+                out[mine] = np.minimum(out[mine], between)
     return out
 
 
@@ -56,16 +68,16 @@ def collection_bwt(flat: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.n
         here = order[put]
         symbol = before[here]
 
-        def joined(first: np.ndarray, second: np.ndarray, ok: np.ndarray) -> np.ndarray:
-            out = np.zeros(len(ok), common.dtype)
-            out[ok] = 1 + least_between(common, first[ok] + 1, second[ok])  # noqa: B023
-            return out
-
         previous = order[np.maximum(put - 1, 0)]
-        own = joined(previous, here, (put > 0) & (before[previous] == symbol))
+        follows = (put > 0) & (before[previous] == symbol)
         end = put + 1 == len(order)
         following = order[np.minimum(put + 1, len(order) - 1)]
-        after = joined(here, following, ~end & (before[following] == symbol))
+        leads = ~end & (before[following] == symbol)
+        least = 1 + least_between(
+            common, np.concatenate([previous[follows], here[leads]]) + 1, np.concatenate([here[follows], following[leads]])
+        )
+        own, after = np.zeros(len(put), common.dtype), np.zeros(len(put), common.dtype)
+        own[follows], after[leads] = least[: follows.sum()], least[follows.sum() :]
 
         string = marks[here] >> LENGTH_BITS
         target = n + put
@@ -74,11 +86,10 @@ def collection_bwt(flat: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.n
         at = last[string] - t - 1
         ahead = np.where(size[string] > t + 1, flat[np.maximum(at, 0)], 0).astype(flat.dtype)
         # everything between two insertions moves by as many places as came before it
-        moved = np.flatnonzero(old)
         rewritten = []
         for now, fresh in ((before, ahead), (common, own), (marks, marks[here] + 1)):
             file = np.empty(len(old), now.dtype)
-            file[moved], file[target] = now, fresh
+            file[old], file[target] = now, fresh
             rewritten.append(file)
         before, common, marks = rewritten
         inner = ~end

@@ -62,27 +62,33 @@ def build_shard(table: pa.Table) -> list[tuple[bytes, bytes]]:
     strings: list[bytes] = []
     left, keys, docs, owner = [], [], [], []
     numbers: dict[tuple[int, int, bytes], int] = {}
-    for row in table.select(["data", "windows", "left", "keys", "extra"]).to_pylist():
+    rows = table.select(["data", "windows", "left", "keys", "extra"]).to_pylist()
+    windows, leads, names, firsts = (
+        [np.frombuffer(r[column], kind).astype(np.int64 if kind == np.uint16 else kind) for r in rows]
+        for column, kind in (("windows", np.uint16), ("left", np.uint16), ("keys", np.uint64), ("extra", np.int64))
+    )
+    # a string that has its key to itself shares no window: all its windows are its own
+    _, which, times = np.unique(np.concatenate(names), return_inverse=True, return_counts=True)
+    shared = np.split(times[which] > 1, np.cumsum([len(n) for n in names])[:-1])
+    for row, size, lead, name, first, again in zip(rows, windows, leads, names, firsts, shared, strict=True):
         data, mine = row["data"], []
-        sizes = np.frombuffer(row["windows"], np.uint16).astype(np.int64) + WINDOW - 1
-        ends = np.cumsum(sizes).tolist()
-        for end, n, lead, key, doc in zip(
-            ends, sizes.tolist(), np.frombuffer(row["left"], np.uint16).tolist(), np.frombuffer(row["keys"], np.uint64).tolist(),
-            np.frombuffer(row["extra"], np.int64).tolist(), strict=True,
-        ):
-            name = (key, lead, data[end - n : end])
-            at = numbers.setdefault(name, len(strings))
+        some = np.flatnonzero(again)
+        ends = np.cumsum(size + WINDOW - 1)[some]
+        starts = ends - size[some] - WINDOW + 1
+        for start, end, before, key, doc in zip(*(x.tolist() for x in (starts, ends, lead[some], name[some], first[some])), strict=True):
+            known = (key, before, data[start:end])
+            at = numbers.setdefault(known, len(strings))
             if at == len(strings):
-                strings.append(name[2]), left.append(lead), keys.append(key), docs.append(doc)
+                strings.append(known[2]), left.append(before), keys.append(key), docs.append(doc)
             elif doc < docs[at]:
                 docs[at] = doc
             mine.append(at)
-        owner.append(mine)
+        owner.append((some, mine))
     del numbers
     result: list[np.ndarray] = [np.zeros(0, np.int64)] * len(strings)
     lead, doc, name = np.array(left, np.int64), np.array(docs, np.int64), np.array(keys, np.uint64)
     order = np.argsort(name, kind="stable")
-    # a string that has its key to itself shares no window: all its windows are its own
+    # and so does one that only met copies of itself
     single = np.ones(len(order), bool)
     single[1:] &= name[order][1:] != name[order][:-1]
     single[:-1] &= name[order][1:] != name[order][:-1]
@@ -90,22 +96,24 @@ def build_shard(table: pa.Table) -> list[tuple[bytes, bytes]]:
         result[i] = np.full(len(strings[i]) - WINDOW + 1, docs[i])
     order = order[~single].tolist()
     batch: list[int] = []
-    names: dict[bytes, int] = {}
+    anchors: dict[bytes, int] = {}
     symbols = 0
     for k, i in enumerate(order):
         batch.append(i)
-        names.setdefault(strings[i][left[i] : left[i] + GRAM], len(names))
+        anchors.setdefault(strings[i][left[i] : left[i] + GRAM], len(anchors))
         symbols += len(strings[i]) - GRAM + 1
         closing = k + 1 == len(order) or keys[order[k + 1]] != keys[i]
-        if closing and (symbols >= COLLECTION or len(names) >= ANCHORS - 1 or k + 1 == len(order)):
+        if closing and (symbols >= COLLECTION or len(anchors) >= ANCHORS - 1 or k + 1 == len(order)):
             some = [strings[j] for j in batch]
-            anchor = np.array([names[s[a : a + GRAM]] for s, a in zip(some, lead[batch].tolist(), strict=True)], np.int64)
+            anchor = np.array([anchors[s[a : a + GRAM]] for s, a in zip(some, lead[batch].tolist(), strict=True)], np.int64)
             for j, best in zip(batch, first_docs(some, lead[batch], anchor, doc[batch]), strict=True):
                 result[j] = best
-            batch, names, symbols = [], {}, 0
+            batch, anchors, symbols = [], {}, 0
     out = []
-    for mine in owner:
-        values = np.concatenate([result[i] for i in mine])
+    for size, first, (some, mine) in zip(windows, firsts, owner, strict=True):
+        values = np.repeat(first, size)
+        for at, n, i in zip((np.cumsum(size) - size)[some].tolist(), size[some].tolist(), mine, strict=True):
+            values[at : at + n] = result[i]
         heads = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
         out.append((values[heads].tobytes(), np.diff(np.append(heads, len(values))).astype(np.uint32).tobytes()))
     return out

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from landlens.session import cut_lineage
+
 COMPONENTS = 32
 #: A component c becomes the whole number floor(SCALE c) + SHIFT.
 SCALE = 64
@@ -33,51 +35,57 @@ ROUNDS = 40
 EPS = float(np.finfo(float).eps)
 
 
-def whole_vectors(vectors: DataFrame, scale: int = SCALE, shift: int = SHIFT) -> DataFrame:
-    """vec_id and x (whole numbers) of the usable vectors: not null, not empty, every entry present and finite."""
-    v = F.col("embedding").cast("array<double>")
-    good = (F.size(v) > 0) & F.forall(v, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < LIMIT))
-    return vectors.filter(good).select("vec_id", F.transform(v, lambda c: F.floor(c * F.lit(float(scale))) + F.lit(shift)).alias("x"))
-
+def vector_rows(vectors: DataFrame) -> DataFrame:
+    """The vectors as single or double precision numbers and their vec_id."""
+    kind = vectors.schema["embedding"].dataType.simpleString()
+    v = F.col("embedding") if kind == "array<float>" else F.col("embedding").cast("array<double>")
+    return vectors.select(v.alias("v"), "vec_id").filter("v IS NOT NULL")
 
-def blocks(lists: pa.ListArray, rows: int = 2_048) -> Iterator[tuple[slice, np.ndarray]]:
-    """Matrices of at most ``rows`` vectors of one length, with their places; vectors of other lengths are not expected."""
-    sizes = np.diff(lists.offsets.to_numpy())
-    flat = lists.flatten().to_numpy()
-    for at in range(0, len(sizes), rows):
-        part = slice(at, min(at + rows, len(sizes)))
-        width = int(sizes[at])
-        yield part, flat[at * width : part.stop * width].reshape(-1, width)
 
+def blocks(lists: pa.ListArray, d: int, scale: int, shift: int, rows: int = 2_048) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(places in the batch, whole numbers as a matrix) of the usable vectors of length ``d``, some at a time.
 
-def added(rows: DataFrame, run: Callable, keys: str) -> dict[tuple, int]:
-    """What the tasks found, added up exactly: ``run`` yields (keys, whole numbers as text), one small table per task."""
-    names = [k.split()[0] for k in keys.split(", ")]
-    parts = rows.mapInArrow(run, f"{keys}, values array<string>")
+    Usable: not empty, every entry present, finite and below the limit.
+    """
+    sizes = np.diff(lists.offsets.to_numpy())
+    flat = lists.flatten().to_numpy(zero_copy_only=False).astype(float)
+    ends = np.cumsum(sizes)
+    bad = np.concatenate([[0], np.cumsum(~(np.abs(flat) < LIMIT))])
+    good = np.flatnonzero((sizes == d) & (bad[ends] == bad[ends - sizes]))
+    for at in range(0, len(good), rows):
+        some = good[at : at + rows]
+        values = flat[(ends[some] - d)[:, None] + np.arange(d)]
+        yield some, np.floor(values * scale).astype(np.int64) + shift
+
+
+def added(parts: DataFrame, *names: str) -> dict[tuple, int]:
+    """What the tasks found (``values``: whole numbers as text), added up exactly by the named keys and the place in the list."""
     each = parts.select(*names, F.posexplode("values").alias("at", "value"))
     total = each.groupBy(*names, "at").agg(F.sum(F.col("value").cast("decimal(38,0)")).alias("total"))
     return {tuple(r)[:-1]: int(r.total) for r in total.collect()}
 
 
-def length_of(rows: DataFrame) -> int:
-    """The length that most vectors have (the larger one of equally frequent lengths); 0 without vectors."""
-    most = rows.groupBy(F.size("x").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), F.desc("d")).first()
-    return most.d if most else 0
-
-
-def sums(rows: DataFrame, d: int) -> tuple[int, list[int]]:
-    """The number of vectors and their exact sums per dimension."""
+def sums(rows: DataFrame, scale: int, shift: int) -> tuple[int, list[int]]:
+    """The number of usable vectors and their exact sums per dimension, for the length that most vectors have (the larger one of
+    equally frequent lengths)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, total = 0, np.zeros(d, dtype=object)
+        found: dict[int, list] = {}
         for batch in batches:
-            for _, x in blocks(batch.column(0)):
-                n += len(x)
-                total = total + x.sum(axis=0).astype(object)
-        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([[str(v) for v in (n, *total)]])], ["part", "values"])
-
-    got = added(rows.select("x"), run, "part int")
-    return got.get((0, 0), 0), [got.get((0, i + 1), 0) for i in range(d)]
+            for d in np.unique(np.diff(batch.column(0).offsets.to_numpy())):
+                for _, x in blocks(batch.column(0), int(d), scale, shift) if d else ():
+                    mine = found.setdefault(int(d), [0, np.zeros(d, dtype=object)])
+                    mine[0] += len(x)
+                    mine[1] = mine[1] + x.sum(axis=0).astype(object)
+        for d, (n, total) in found.items():
+            yield pa.RecordBatch.from_arrays([pa.array([d], pa.int32()), pa.array([n]), pa.array([[str(v) for v in total]])], ["d", "n", "values"])
+
+    parts = cut_lineage(rows.select("v").mapInArrow(run, "d int, n long, values array<string>"))
+    most = parts.groupBy("d").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), F.desc("d")).first()
+    if most is None:
+        return 0, []
+    got = added(parts.filter(F.col("d") == most.d).select("values"))
+    return most.n, [got[(i,)] for i in range(most.d)]
 
 
 def exact_gram(y: np.ndarray) -> np.ndarray:
@@ -94,20 +102,20 @@ def exact_gram(y: np.ndarray) -> np.ndarray:
     return out
 
 
-def covariance(rows: DataFrame, n: int, total: list[int], origin: np.ndarray) -> np.ndarray:
+def covariance(rows: DataFrame, n: int, total: list[int], origin: np.ndarray, scale: int, shift: int) -> np.ndarray:
     """Covariance (divisor n), each entry rounded once: exact products around the origin, corrected by the mean's distance."""
     d = len(total)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gram = np.zeros((d, d), dtype=object)
         for batch in batches:
-            for _, x in blocks(batch.column(0)):
+            for _, x in blocks(batch.column(0), d, scale, shift):
                 gram = gram + exact_gram(x - origin)
         yield pa.RecordBatch.from_arrays(
             [pa.array(range(d), pa.int32()), pa.array([[str(v) for v in gram[i, : i + 1]] for i in range(d)])], ["i", "values"]
         )
 
-    got = added(rows.select("x"), run, "i int")
+    got = added(rows.select("v").mapInArrow(run, "i int, values array<string>"), "i")
     rest = [s - n * int(o) for s, o in zip(total, origin, strict=True)]
     v = np.zeros((d, d))
     for i in range(d):
@@ -225,20 +233,19 @@ def principal(spark: SparkSession, v: np.ndarray, wanted: int) -> tuple[np.ndarr
     return values[order], vectors * signs
 
 
-def identity_error(rows: DataFrame, project: Callable[[np.ndarray], np.ndarray], n: int, k: int) -> float:
+def identity_error(rows: DataFrame, whitened: Callable, n: int, k: int) -> float:
     """Largest absolute entry of the whitened vectors' covariance minus the identity, measured over all of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, second = np.zeros(k), np.zeros((k, k))
         for batch in batches:
-            for _, x in blocks(batch.column(0)):
-                w = project(x)
+            for _, _, w in whitened(batch.column(0)):
                 first += w.sum(axis=0)
                 second += w.T @ w
         values = pa.array([first.tolist(), *second.tolist()], pa.list_(pa.float64()))
         yield pa.RecordBatch.from_arrays([pa.array(range(k + 1), pa.int32()), values], ["i", "values"])
 
-    parts = rows.select("x").mapInArrow(run, "i int, values array<double>").select("i", F.posexplode("values").alias("at", "value"))
+    parts = rows.select("v").mapInArrow(run, "i int, values array<double>").select("i", F.posexplode("values").alias("at", "value"))
     got = {(r.i, r["at"]): r.total for r in parts.groupBy("i", "at").agg(F.sum("value").alias("total")).collect()}
     mean = np.array([got[0, j] for j in range(k)]) / n  # the vectors are centred already; what is left is rounding
     second = np.array([[got[i + 1, j] for j in range(k)] for i in range(k)]) / n
@@ -269,16 +276,15 @@ def whiten(vectors: DataFrame, *, components: int = COMPONENTS, scale: int = SCA
     """
     spark = vectors.sparkSession
     kind = vectors.schema["vec_id"].dataType.simpleString()
-    usable = whole_vectors(vectors, scale, shift)
     empty = spark.createDataFrame([], f"vec_id {kind}, {SCHEMA}")
-    d = length_of(usable)
-    rows = usable.filter(F.size("x") == d)
-    n, total = sums(rows, d) if d else (0, [])
+    rows = vector_rows(vectors)
+    n, total = sums(rows, scale, shift)
     if n == 0:
         return empty
+    d = len(total)
     origin = np.array([(2 * s + n) // (2 * n) for s in total], dtype=np.int64)
     rest = np.array([s - n * int(o) for s, o in zip(total, origin, strict=True)], dtype=object)
-    v = covariance(rows, n, total, origin)
+    v = covariance(rows, n, total, origin, scale, shift)
     values, directions = principal(spark, v, components)
     k = len(values)
     if k == 0:
@@ -287,22 +293,23 @@ def whiten(vectors: DataFrame, *, components: int = COMPONENTS, scale: int = SCA
     turn = directions / np.sqrt(values)
     explained = values / math.fsum(np.diag(v))
 
-    def project(x: np.ndarray) -> np.ndarray:
-        return ((x - origin).astype(float) - offset) @ turn
+    def whitened(lists: pa.ListArray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Places, whole numbers around the origin and whitened vectors."""
+        for places, x in blocks(lists, d, scale, shift):
+            yield places, x - origin, ((x - origin).astype(float) - offset) @ turn
 
-    error = identity_error(rows, project, n, k)
+    error = identity_error(rows, whitened, n, k)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, x in blocks(batch.column(1)):
-                size = len(x)
-                far = np.repeat(deviations(x - origin, n, rest), k)
-                ids = batch.column(0).slice(part.start, size).take(pa.array(np.repeat(np.arange(size), k)))
+            for places, y, w in whitened(batch.column(0)):
+                size = len(places)
+                far = np.repeat(deviations(y, n, rest), k)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        ids, pa.array(np.tile(np.arange(1, k + 1, dtype=np.int32), size)), pa.array(np.full(size * k, n)),
-                        pa.array(far, mask=far < 0), pa.array(project(x).ravel()), pa.array(np.tile(explained, size)),
-                        pa.array(np.full(size * k, error)),
+                        batch.column(1).take(pa.array(np.repeat(places, k))), pa.array(np.tile(np.arange(1, k + 1, dtype=np.int32), size)),
+                        pa.array(np.full(size * k, n)), pa.array(far, mask=far < 0), pa.array(w.ravel()),
+                        pa.array(np.tile(explained, size)), pa.array(np.full(size * k, error)),
                     ],
                     ["vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error"],
                 )

@@ -9,6 +9,7 @@ from landlens.catalog.inputs import CATALOG_RAW, ENVIRONMENT_RAW, GRID_CELLS, LI
 from landlens.functions.numeric import half_up
 from landlens.operators import discovery, filters, lookups, quality
 from landlens.operators.profile import NO_INDEX
+from landlens.plans import discovery as plan
 from landlens.session import cut_lineage
 from landlens.sources import packed
 
@@ -290,6 +291,82 @@ def queue_reasons(spark, sf_dir):
     return out.select("sample_id", F.array_join("reasons", "|").alias("reasons"))
 
 
+FRAME_NAMES = (
+    "samples", "municipalities", "eligible", "controls", "catalog_available", "moisture_available", "environment_available",
+    "places_indexed", "places_not_indexed",
+)
+
+
+def _summary_sql() -> str:
+    """All parts of the summary in long form: part, group, name, value."""
+    text = lambda v: f"CAST({v} AS VARCHAR)"
+    lens = f"ls AS MATERIALIZED (SELECT * FROM {LENS_SQL})"
+    frame = f"""fr AS (SELECT count(*) AS samples, count(DISTINCT municipality) AS municipalities, count(lens_score) AS eligible, count(*) - count(lens_score) AS controls,
+  count(catalog_title) AS catalog_available, count(*) FILTER (moisture_class <> 'UNKNOWN') AS moisture_available, count(*) FILTER (environment_state <> 'UNKNOWN') AS environment_available,
+  count(*) FILTER (place_links > 0) AS places_indexed, count(*) FILTER (place_links <= 0) AS places_not_indexed FROM ls)"""
+    parts = [f"SELECT 'frame' AS part, 'all' AS grouping, '{n}' AS name, {text(n)} AS value FROM fr" for n in FRAME_NAMES]
+    parts += [
+        f"SELECT 'strata', stratum, '{name}', {text(value)} FROM ls GROUP BY stratum"
+        for name, value in (("samples", "count(*)"), ("robust_count", "count(*) FILTER (environment_robust)"), ("indexed_count", "count(*) FILTER (place_links > 0)"))
+    ]
+    parts += [
+        f"SELECT 'histograms', concat(stratum, '/{c}'), coalesce(nullif(trim({c}), ''), 'UNKNOWN'), {text('count(*)')} FROM ls GROUP BY stratum, 3"
+        for c in discovery.HISTOGRAMS
+    ]
+    parts += [
+        f"SELECT 'correlations', 'all', '{c}', {text('count(*)')} FROM ls WHERE lens_score IS NOT NULL AND {c} IS NOT NULL" for c in ("catalog_detail", "share_300m")
+    ]
+    queues = QUEUE_SQL.replace(LENS_SQL, "ls")
+    parts.append(
+        f"""SELECT 'queues', queue, {text("sample_id")}, {text("position")} FROM (SELECT queue, sample_id, row_number() OVER (PARTITION BY queue ORDER BY sample_id) AS position FROM {queues})
+  WHERE position <= CASE queue WHEN 'uncertainty' THEN 60 ELSE 30 END"""
+    )
+    return f"WITH {lens}, {frame} " + " UNION ALL ".join(parts)
+
+
+@query("discovery_summary", _summary_sql())
+def discovery_summary(spark, sf_dir):
+    """The whole summary plan, its parts stacked in long form."""
+    parts = plan.discovery_summary(
+        SAMPLES.frame(spark, sf_dir), catalog(spark, sf_dir), moisture(spark, sf_dir), environment(spark, sf_dir), sparse_index(spark, sf_dir)
+    )
+    text = lambda c: F.col(c).cast("string")
+
+    def long(frame, part, group, names_):
+        pairs = F.array(*[F.struct(F.lit(n).alias("name"), text(n).alias("value")) for n in names_])
+        return frame.select(F.lit(part).alias("part"), group.alias("grouping"), F.explode(pairs).alias("p")).select("part", "grouping", "p.*")
+
+    row = lambda frame, part, group, name, value: frame.select(
+        F.lit(part).alias("part"), group.alias("grouping"), name.alias("name"), value.alias("value")
+    )
+    out = long(parts["frame"], "frame", F.lit("all"), FRAME_NAMES)
+    out = out.union(long(parts["strata"], "strata", F.col("stratum"), ("samples", "robust_count", "indexed_count")))
+    out = out.union(row(parts["histograms"], "histograms", F.concat_ws("/", "stratum", "lens"), F.col("class"), text("n")))
+    out = out.union(row(parts["correlations"], "correlations", F.lit("all"), F.col("y"), text("n")))
+    return out.union(row(parts["queues"], "queues", F.col("queue"), text("sample_id"), text("position")))
+
+
+@query(
+    "discovery_page",
+    f"""WITH p AS (SELECT sample_id FROM {SAMPLES.sql} ORDER BY sample_id LIMIT 20 OFFSET 40), n AS (SELECT count(*) AS filtered FROM {SAMPLES.sql})
+SELECT sample_id, catalog_class, moisture_class, environment_state, place_status, concat_ws('|', CASE WHEN NOT exact_water_closed THEN '{discovery.REASON_WATER}' END,
+  CASE WHEN split_risk = '{discovery.SPLIT_RISK}' THEN '{discovery.REASON_SPLIT}' END, CASE WHEN catalog_title IS NULL THEN '{discovery.REASON_CATALOG}' END,
+  CASE WHEN moisture_class = 'UNKNOWN' THEN '{discovery.REASON_MOISTURE}' END, CASE WHEN environment_state = 'UNKNOWN' THEN '{discovery.REASON_ENVIRONMENT}' END,
+  CASE WHEN place_status = '{NO_INDEX}' THEN '{discovery.REASON_PLACES}' END, '{discovery.REASON_STAGED}') AS reasons, filtered, CASE WHEN filtered > 60 THEN CAST(60 AS BIGINT) END AS next_offset
+FROM {LENS_SQL} JOIN p USING (sample_id), n""",
+)
+def discovery_page(spark, sf_dir):
+    """The page plan: the page is cut first and enriched then."""
+    out = plan.discovery_page(
+        SAMPLES.frame(spark, sf_dir), catalog(spark, sf_dir), moisture(spark, sf_dir), environment(spark, sf_dir),
+        sparse_index(spark, sf_dir), 40, 20,
+    )
+    return out.select(
+        "sample_id", "catalog_class", "moisture_class", "environment_state", "place_status", F.array_join("reasons", "|").alias("reasons"),
+        "filtered", "next_offset",
+    )
+
+
 @query(
     "sample_page",
     f"""WITH f AS (SELECT sample_id, municipality, stratum FROM {SAMPLES.sql} WHERE stratum = 'B_UPPER_QUARTILE')
@@ -301,9 +378,28 @@ def sample_page(spark, sf_dir):
     return discovery.page(samples.select("sample_id", "municipality", "stratum"), "sample_id", 40, 20)
 
 
-@query("distinct_values", f"SELECT DISTINCT municipality FROM {SAMPLES.sql}")
+@query(
+    "distinct_values",
+    f"""SELECT DISTINCT 'municipality' AS filter, municipality AS value FROM {SAMPLES.sql}
+UNION ALL SELECT DISTINCT 'stratum', stratum FROM {SAMPLES.sql}""",
+)
 def distinct_values(spark, sf_dir):
-    return discovery.distinct_values(SAMPLES.frame(spark, sf_dir))[0]
+    """Both filters of the sample list."""
+    towns, strata = discovery.distinct_values(SAMPLES.frame(spark, sf_dir))
+    named = lambda frame, name: frame.select(F.lit(name).alias("filter"), F.col(name).alias("value"))
+    return named(towns, "municipality").union(named(strata, "stratum"))
+
+
+@query(
+    "sample_page_after",
+    f"""WITH f AS (SELECT sample_id, municipality, stratum FROM {SAMPLES.sql} WHERE stratum = 'B_UPPER_QUARTILE' AND sample_id > 60),
+p AS (SELECT * FROM f ORDER BY sample_id LIMIT 20)
+SELECT *, CASE WHEN (SELECT count(*) FROM f) > 20 THEN (SELECT max(sample_id) FROM p) END AS next_after FROM p""",
+)
+def sample_page_after(spark, sf_dir):
+    """The page behind a cursor."""
+    samples = filters.sample_filter(SAMPLES.frame(spark, sf_dir), stratum="B_UPPER_QUARTILE")
+    return discovery.page_after(samples.select("sample_id", "municipality", "stratum"), "sample_id", 60, 20)
 
 
 #: Zones: one per order, grouped by the customer's nation; the score has many ties.

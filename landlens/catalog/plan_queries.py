@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from landlens.catalog import raster_sql as rq
@@ -15,8 +17,11 @@ from landlens.catalog.spatial_queries import (
 )
 from landlens.catalog.terrain_queries import CENTRE, GRID, GRID_LABEL, MPP, THEORY
 from landlens.operators.grid_terrain import viewport_grid
+from landlens.operators.lookups import theory_from_cell
+from landlens.operators.spatial import nearest_cell
 from landlens.plans.diagnose import Precomputed, diagnose, diagnose_viewports, resolve_theory
-from landlens.plans.grid_build import build_cells
+from landlens.plans.grid_build import build_cells, load_grid, save_grid
+from landlens.session import cut_lineage, shared_folder
 
 LIVE_PLACES = f"SELECT DISTINCT lat, lng FROM {LIVE_POINTS.sql}"
 MISSES = f"(SELECT point_id, lat, lng FROM {NEAREST_SQL} WHERE cell_index IS NULL)"
@@ -195,3 +200,27 @@ def grid_build(spark, sf_dir):
 def grid_build_hotspots(spark, sf_dir):
     """The hotspots of the same lattice, with the scores of their cells."""
     return built(spark, sf_dir)[1].drop("lat", "lng")
+
+
+@query(
+    "grid_round_trip",
+    f"""{BUILT_SQL} SELECT b.site_id, b.site_id AS cell_index, b.detail_score AS score, b.label_code, b.original_score, b.confidence, 'precomputed-100m' AS source_mode FROM built b""",
+)
+def grid_round_trip(spark, sf_dir):
+    """A built grid is written, read back and answers for points a few metres off its cells."""
+    cells, hotspots = built(spark, sf_dir)
+    cells = cut_lineage(cells)
+    path = f"{shared_folder(spark)}/grid-{uuid.uuid4().hex}"
+    regions = cells.select("region_id").distinct().select("region_id", F.lit(0).alias("region_order"), F.concat(F.lit("R"), "region_id").alias("region_name"))
+    save_grid(cells, hotspots, regions, path)
+    grid = load_grid(spark, path)
+    points = cells.select(F.col("site_id").alias("point_id"), (F.col("lat") + 1e-5).alias("lat"), (F.col("lng") - 1e-5).alias("lng"))
+    near = nearest_cell(
+        points, grid.cells.select("region_id", "cell_index", "lat", "lng"), grid.regions, max_step_m=grid.max_step_m, max_lat=LATITUDE
+    )
+    near = cut_lineage(near)
+    found = theory_from_cell(near, grid.cells, grid.hotspots, grid.regions)
+    at = near.select("point_id", "cell_index")
+    return found.join(at, "point_id").select(
+        F.col("point_id").alias("site_id"), "cell_index", "score", "label_code", "original_score", "confidence", "source_mode"
+    )

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from landlens.functions.labels import CANDIDATE, CAUTION, terrain_label
 from landlens.operators.profile import NO_INDEX
-from landlens.session import lookup_join
+from landlens.operators.ranking import ordered_rank, ordered_slice
+from landlens.session import cut_lineage, lookup_join
 
 UNKNOWN = "UNKNOWN"
 QUEUES = ("convergence", "contradiction", "counterexample", "uncertainty")
@@ -240,45 +241,58 @@ def distinct_values(samples: DataFrame) -> tuple[DataFrame, DataFrame]:
 def page(df: DataFrame, order: str, offset: int = 0, limit: int = DEFAULT_PAGE) -> DataFrame:
     """One page with ``filtered`` (all rows) and ``next_offset`` (NULL on the last page).
 
-    Paging happens before any lens is joined: pass the samples first and enrich the page.
+    The rows are split into ranges of the order; the range sizes tell which of them hold the page, and only those are
+    sorted, however deep the page lies. Paging happens before any lens is joined: pass the samples first and enrich the page.
     """
     if not 0 <= offset:
         raise ValueError("offset must not be negative")
-    if not 1 <= limit <= MAX_PAGE:
-        raise ValueError(f"limit must be 1..{MAX_PAGE}")
-    total = df.agg(F.count(F.lit(1))).scalar()
-    rows = df.orderBy(order).offset(offset).limit(limit)
+    _check_limit(limit)
+    rows, total = ordered_slice(df, [F.asc(order)], offset, offset + limit)
     shown = F.least(F.lit(offset + limit).cast("bigint"), F.col("filtered"))
     return rows.withColumn("filtered", total).withColumn(
         "next_offset", F.when(shown < F.col("filtered"), shown)
     )
 
 
-def group_ranks(df: DataFrame, group: str, score: str, tie: str, bucket: Column) -> DataFrame:
+def _check_limit(limit: int) -> None:
+    if not 1 <= limit <= MAX_PAGE:
+        raise ValueError(f"limit must be 1..{MAX_PAGE}")
+
+
+def page_after(df: DataFrame, order: str, after=None, limit: int = DEFAULT_PAGE) -> DataFrame:
+    """The page behind a cursor (the last ``order`` value seen, None: the first page), with ``next_after`` for the next one.
+
+    The comparison reaches the scan, so files and row groups that lie before the cursor are not read, and each task keeps
+    ``limit + 1`` rows at most. ``next_after`` is NULL on the last page. ``order`` must be unique and not NULL.
+    """
+    _check_limit(limit)
+    behind = df.filter(F.col(order).isNotNull() if after is None else F.col(order) > F.lit(after))
+    rows = cut_lineage(behind.orderBy(order).limit(limit + 1))
+    place = rows.withColumn("_at", F.row_number().over(Window.orderBy(order)))
+    last = rows.agg(F.when(F.count(F.lit(1)) > limit, F.lit(True)).otherwise(F.lit(False))).scalar()
+    shown = place.filter(F.col("_at") <= limit)
+    cursor = F.when(last, F.max(order).over(Window.partitionBy()))
+    return shown.withColumn("next_after", cursor).drop("_at")
+
+
+def group_ranks(df: DataFrame, group: str, score: str, tie: str) -> DataFrame:
     """Rank (0-based, highest score first, then smallest ``tie``) and group size without sorting a group in one task.
 
-    ``bucket`` must fall as rank grows (any coarse version of the score). Each bucket is ranked on its own and shifted
-    by the sizes of the better buckets, which is a small table.
+    Rows are split by (group, score, tie), so neither a group nor a score that most rows have ends up in one task.
     """
-    cut = df.withColumn("_b", bucket)
-    sizes = cut.groupBy(group, "_b").agg(F.count(F.lit(1)).alias("_n"))
-    better = Window.partitionBy(group).orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(better), F.lit(0))).drop("_n")
-    totals = sizes.groupBy(group).agg(F.sum("_n").alias("group_size"))
-    local = Window.partitionBy(group, "_b").orderBy(F.desc(score), tie)
-    ranked = cut.withColumn("_r", F.row_number().over(local) - 1).join(offsets, [group, "_b"]).join(totals, group)
-    return ranked.withColumn("rank", F.col("_r") + F.col("_before")).drop("_r", "_before", "_b")
+    totals = df.groupBy(group).agg(F.count(F.lit(1)).alias("group_size"))
+    ranked = ordered_rank(df, [group], [F.desc(score), F.asc(tie)], "rank")
+    return lookup_join(ranked.withColumn("rank", F.col("rank") - 1), totals, [group])
 
 
-def stratified_pick(zones: DataFrame, bucket: Column | None = None) -> DataFrame:
+def stratified_pick(zones: DataFrame) -> DataFrame:
     """Per municipality five zones: top, upper quartile, median, bottom by score, and the most uncertain one.
 
     ``zones``: municipality, zone_id, score, uncertainty. Positions are floor(n/4) and floor(n/2) in rank order; the
     uncertain pick is the highest uncertainty (ties: smallest id) and may repeat a ranked one. Small municipalities
     can fill several strata with one zone.
     """
-    bucket = F.floor(F.col("score") * 10) if bucket is None else bucket
-    ranked = group_ranks(zones, "municipality", "score", "zone_id", bucket)
+    ranked = group_ranks(zones, "municipality", "score", "zone_id")
     n, r = F.col("group_size"), F.col("rank")
     strata = F.array_compact(
         F.array(

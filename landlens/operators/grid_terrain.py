@@ -14,7 +14,8 @@ from landlens.functions.labels import CANDIDATE, grid_label_code
 from landlens.functions.numeric import clamp, half_even, half_up, let
 from landlens.operators import raster as rs
 from landlens.operators import windows as win
-from landlens.session import cut_lineage, spread
+from landlens.operators.ranking import ordered_rank
+from landlens.session import cut_lineage, discard, spread
 
 # Calibration of the grid builder.
 SCALES = ((300, 0.499, 0.45), (1_000, 1.20, 0.35), (3_000, 2.80, 0.20))  # metres, locked threshold, weight
@@ -335,8 +336,8 @@ def suppress(
     distinct = candidates.groupBy(*place).agg(F.max("detail_score").alias("detail_score"))
     order = Window.partitionBy("region_id").orderBy(F.desc("detail_score"), F.desc("grid_row"), F.desc("grid_col"))
     if keep is None:
-        kept = suppress_all(distinct, near)
-        return kept.withColumn("hotspot_index", F.row_number().over(order) - 1)
+        ranked = ordered_rank(suppress_all(distinct, near), ["region_id"], [F.desc("detail_score"), F.desc("grid_row"), F.desc("grid_col")], "_rank")
+        return ranked.withColumn("hotspot_index", F.col("_rank") - 1).drop("_rank")
     first = distinct.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= keep * len(near)).drop("_n")
     cell = F.struct("detail_score", "grid_row", "grid_col")
     ranked = first.groupBy("region_id").agg(F.sort_array(F.collect_list(cell), asc=False).alias("_all"))
@@ -361,38 +362,62 @@ def _within(radius_m: float, step_m: float) -> list[tuple[int, int]]:
     return [(i, j) for i in steps for j in steps if math.hypot(i, j) * step_m < radius_m]
 
 
-def suppress_all(candidates: DataFrame, near: list[tuple[int, int]]) -> DataFrame:
-    """All survivors of the greedy suppression, in rounds.
+#: Lattice cells per side of the squares in which suppression without a limit is settled.
+SQUARE = 256
 
-    Each round keeps every candidate that no remaining better one lies near, then removes what lies near the kept ones;
-    that gives the greedy result. Rounds grow with the longest chain of ever worse neighbours and are written out.
-    Neighbours are found by lattice offsets, a fixed number per candidate, and reduced before the shuffle.
+
+def suppress_all(candidates: DataFrame, near: list[tuple[int, int]], square: int = SQUARE) -> DataFrame:
+    """All survivors of the greedy suppression, settled square by square.
+
+    A task holds a square with the margin that the radius reaches and walks through its candidates in order: one with a kept
+    cell near is dropped, one whose better neighbours are all dropped is kept, and one that still has an undecided better
+    neighbour waits. Only chains of ever worse neighbours that cross squares wait, for the next round: rounds grow with the
+    squares along such a chain, not with its cells. Each round is written.
     """
-    place = ["region_id", "grid_row", "grid_col"]
-    shifts = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in near])
-    rank = F.struct("detail_score", "grid_row", "grid_col")
-
-    def around(df: DataFrame) -> DataFrame:
-        """Best rank within reach of every position."""
-        return (
-            df.select("region_id", "grid_row", "grid_col", rank.alias("_rank"), F.explode(shifts).alias("s"))
-            .groupBy(
-                "region_id",
-                (F.col("grid_row") + F.col("s.i")).alias("grid_row"),
-                (F.col("grid_col") + F.col("s.j")).alias("grid_col"),
-            )
-            .agg(F.max("_rank").alias("_near"))
+    reach = max(max(abs(i), abs(j)) for i, j in near)
+    disk = np.zeros((2 * reach + 1, 2 * reach + 1), bool)
+    for i, j in near:
+        disk[i + reach, j + reach] = True
+    kind = candidates.schema["region_id"].dataType.simpleString()
+    score_kind = candidates.schema["detail_score"].dataType.simpleString()
+    zone = lambda c, move: F.floor((F.col(c) + move) / square).cast("int")
+    around = lambda c: F.sequence(zone(c, -reach), zone(c, reach))
+
+    def settle(key: tuple, table: pa.Table) -> pa.Table:
+        zone_row, zone_col = (k.as_py() for k in key[1:])
+        row, col = (win.numbers(table, c).astype(np.int64) for c in ("grid_row", "grid_col"))
+        score, kept = win.numbers(table, "detail_score"), win.numbers(table, "kept").astype(bool)
+        top, left = zone_row * square - 2 * reach, zone_col * square - 2 * reach
+        side = square + 4 * reach
+        order = np.lexsort((-col, -row, -score))
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        rank = np.full((side, side), len(order), np.int64)
+        state = np.zeros((side, side), np.int8)  # 0 none or dropped, 1 undecided, 2 kept
+        r, c = row - top, col - left
+        rank[r, c], state[r, c] = place, np.where(kept, 2, 1)
+        own = (row // square == zone_row) & (col // square == zone_col)
+        for k in order[(own & ~kept)[order]]:
+            around_k = (slice(r[k] - reach, r[k] + reach + 1), slice(c[k] - reach, c[k] + reach + 1))
+            better = state[around_k][disk & (rank[around_k] < place[k])]
+            if (better == 2).any():
+                state[r[k], c[k]] = 0
+            elif not (better == 1).any():
+                state[r[k], c[k]] = 2
+        found = state[r, c]
+        left_over = np.flatnonzero(own & (found > 0))
+        return table.select(["region_id", "grid_row", "grid_col", "detail_score"]).take(left_over).append_column(
+            "kept", pa.array(found[left_over] == 2)
         )
 
-    remaining = cut_lineage(candidates)
-    kept: DataFrame | None = None
-    while not remaining.isEmpty():
-        best = cut_lineage(
-            remaining.join(around(remaining), place).filter(rank == F.col("_near")).drop("_near")
-        )
-        kept = best if kept is None else kept.unionByName(best)
-        remaining = cut_lineage(remaining.join(around(best).select(*place), place, "left_anti"))
-    return remaining if kept is None else kept
+    schema = f"region_id {kind}, grid_row int, grid_col int, detail_score {score_kind}, kept boolean"
+    place = ["region_id", F.col("grid_row").cast("int").alias("grid_row"), F.col("grid_col").cast("int").alias("grid_col"), "detail_score"]
+    state = cut_lineage(candidates.select(*place, F.lit(False).alias("kept")))
+    while not state.filter(~F.col("kept")).isEmpty():
+        sent = state.withColumn("_zr", F.explode(around("grid_row"))).withColumn("_zc", F.explode(around("grid_col")))
+        before, state = state, cut_lineage(sent.groupBy("region_id", "_zr", "_zc").applyInArrow(settle, schema))
+        discard(before)
+    return state.drop("kept")
 
 
 def viewport_grid(views: DataFrame, columns: Column, rows: Column) -> DataFrame:

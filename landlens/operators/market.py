@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from landlens.functions.labels import comparison_label
 from landlens.functions.text import normalize_town, trimmed
+from landlens.operators.ranking import null_safe, ordered_parts
 from landlens.session import cut_lineage, lookup_join, spread
 
 # Policy limits and sample-quality limits.
@@ -166,29 +167,38 @@ def value_counts(df: DataFrame, keys: list[str], numbers: list[str], identities:
 def quantiles_of(counted: DataFrame, keys: list[str], probs: dict[str, tuple[str, float]]) -> DataFrame:
     """Linear-interpolated quantiles from :func:`value_counts`; ``probs``: output name to (metric, probability).
 
-    The ordered pass sees one row per distinct value and keeps running counts only, so a group that holds much of the
-    data is never gathered in memory.
+    The distinct values of all groups are split into ranges by (group, value), which also splits a group that holds
+    most of the data. A small table of range sizes tells which ranges hold a wanted rank; only those are looked into.
     """
-    numeric = counted.filter(F.col("number").isNotNull())
-    ordered = Window.partitionBy(*keys, "metric").orderBy("number")
-    running = numeric.withColumn("_end", F.sum("n").over(ordered)).withColumn("_start", F.col("_end") - F.col("n"))
-    totals = numeric.groupBy(*keys, "metric").agg(F.sum("n").alias("_total"))
-    ranked = running.join(totals, [*keys, "metric"])
-    picks, out = [], []
-    for name, (metric, p) in probs.items():
-        position = (F.col("_total") - 1) * F.lit(p)
-        at = lambda i: F.max(
-            F.when((F.col("metric") == metric) & (F.col("_start") <= i) & (i < F.col("_end")), F.col("number"))  # noqa: B023
-        )
-        share = F.max(F.when(F.col("metric") == metric, position - F.floor(position)))
-        picks += [
-            at(F.floor(position)).alias(f"_lo_{name}"),
-            at(F.ceil(position)).alias(f"_hi_{name}"),
-            share.alias(f"_s_{name}"),
-        ]
-        low, high = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
-        out.append((low + (high - low) * F.col(f"_s_{name}")).alias(name))
-    return ranked.groupBy(*keys).agg(*picks).select(*keys, *out)
+    numeric = counted.filter(F.col("number").isNotNull()).select(*keys, "metric", "number", "n")
+    groups = [*keys, "metric"]
+    dealt, before = ordered_parts(numeric, groups, [F.asc("number")], F.col("n"))
+    before = cut_lineage(before)
+    total = before.groupBy(*groups).agg(F.sum("_n").alias("_total"))
+    asked = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(m).alias("of"), F.lit(p).alias("p")) for n, (m, p) in probs.items()])
+    picks = total.withColumn("_q", F.explode(asked)).filter(F.col("_q.of") == F.col("metric"))
+    position = (F.col("_total") - 1) * F.col("_q.p")
+    share = position - F.floor(position)
+    sides = F.array(
+        F.struct(F.floor(position).alias("rank"), (F.lit(1.0) - share).alias("share")),
+        F.struct(F.ceil(position).alias("rank"), share.alias("share")),
+    )
+    ranks = picks.select(*groups, F.col("_q.name").alias("_name"), F.explode(sides).alias("_s")).select(*groups, "_name", "_s.*")
+    held = null_safe(ranks, before, groups).filter((F.col("_before") <= F.col("rank")) & (F.col("rank") < F.col("_before") + F.col("_n")))
+    held = cut_lineage(held.drop("_n"))
+    parts = held.select(*groups, "_part", "_before").distinct()
+    within = Window.partitionBy(*groups, "_part").orderBy("number")
+    rows = null_safe(dealt, parts, [*groups, "_part"])
+    running = rows.withColumn("_end", F.sum("n").over(within) + F.col("_before")).withColumn("_start", F.col("_end") - F.col("n"))
+    found = null_safe(running.drop("_before"), held.drop("_before"), [*groups, "_part"])
+    found = found.filter((F.col("_start") <= F.col("rank")) & (F.col("rank") < F.col("_end")))
+    low_high = lambda name, f: f(F.when(F.col("_name") == name, F.col("number")))
+    high_share = lambda name: F.max(F.when((F.col("_name") == name), F.struct("rank", "share")))["share"]
+    out = []
+    for name in probs:
+        low, high = low_high(name, F.min), low_high(name, F.max)
+        out.append((low + (high - low) * high_share(name)).alias(name))
+    return found.groupBy(*keys).agg(*out)
 
 
 def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float]) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from landlens.functions.geo import METERS_PER_DEGREE, planar_distance
 from landlens.functions.numeric import half_even
-from landlens.session import lookup_join, widen
+from landlens.session import cut_lineage, lookup_join, widen
 
 #: Latitude up to which bucket widths are exact; the cosine floor of the distance makes 0.2 always safe.
 MAX_LATITUDE = 78.0
@@ -157,6 +157,11 @@ def nearest_station(points: DataFrame, stations: list[tuple[str, float, float]])
     )
 
 
+#: Edges that a band of a polygon holds on average at most, and edges of one array.
+BAND_EDGES = 64
+CHUNK_EDGES = 512
+
+
 def polygon_mask(
     points: DataFrame,
     vertices: DataFrame,
@@ -164,49 +169,60 @@ def polygon_mask(
     point_key: str = "point_id",
     cell_deg: float = 0.02,
 ) -> DataFrame:
-    """Points with ``inside``: even-odd rule per polygon (holes are inner rings), any polygon counts.
+    """Points with ``inside``: even-odd rule per polygon (closed rings; holes are inner rings), any polygon counts.
 
-    Space is cut into square cells. A polygon's edges are filed under each cell whose latitude band they cross and
-    that lies at or left of them within the polygon's box, because a ray to the east only meets edges there. A point
-    reads the edge lists of its own cell only (copies of a polygon count once); crossing parity is computed inside
-    the row.
+    A polygon is cut into as many bands of latitude as its number of edges asks for, so a coast of a million vertices has
+    thousands of thin bands and a square has one. A band's edges form arrays of bounded size; where a band holds more,
+    its arrays are rows of their own, whose crossings add up. Points meet the polygons whose box holds them through
+    square cells, and then the arrays of their band only: a ray to the east meets edges of no other band.
     """
     from pyspark.sql import Window
 
     ring = Window.partitionBy("polygon_id", "ring_id").orderBy("seq")
     edges = (
-        vertices.withColumn("_lng2", F.lead("lng").over(ring))
-        .withColumn("_lat2", F.lead("lat").over(ring))
-        .filter(F.col("_lng2").isNotNull() & (F.col("lat") != F.col("_lat2")))
-        .select(
-            "polygon_id",
-            F.struct(
-                F.col("lng").alias("x1"), F.col("lat").alias("y1"),
-                F.col("_lng2").alias("x2"), F.col("_lat2").alias("y2"),
-            ).alias("e"),
-        )
+        vertices.withColumn("x2", F.lead("lng").over(ring))
+        .withColumn("y2", F.lead("lat").over(ring))
+        .filter(F.col("x2").isNotNull() & (F.col("lat") != F.col("y2")))
+        .select("polygon_id", F.col("lng").alias("x1"), F.col("lat").alias("y1"), "x2", "y2")
+    )
+    ends = lambda f, g, c: f(g(f"{c}1", f"{c}2"))
+    boxes = edges.groupBy("polygon_id").agg(
+        ends(F.min, F.least, "x").alias("_west"), ends(F.max, F.greatest, "x").alias("_east"),
+        ends(F.min, F.least, "y").alias("_south"), ends(F.max, F.greatest, "y").alias("_north"),
+        F.ceil(F.count(F.lit(1)) / BAND_EDGES).cast("bigint").alias("_bands"),
     )
-    west = vertices.groupBy("polygon_id").agg(F.min("lng").alias("_west"))
+    boxes = cut_lineage(boxes)
+
+    def band(y: Column) -> Column:
+        """Rises with the latitude, so an edge is in the bands from that of its lower to that of its upper end."""
+        at = F.floor((y - F.col("_south")) / (F.col("_north") - F.col("_south")) * F.col("_bands"))
+        return F.greatest(F.lit(0), F.least(F.col("_bands") - 1, at))
+
+    filed = edges.join(boxes, "polygon_id").select(
+        "polygon_id", "x1", "y1", "x2", "y2", F.explode(F.sequence(band(F.least("y1", "y2")), band(F.greatest("y1", "y2")))).alias("_band")
+    )
+    held = filed.groupBy("polygon_id", "_band").agg(F.ceil(F.count(F.lit(1)) / CHUNK_EDGES).alias("_chunks"))
+    chunk = F.pmod(F.xxhash64("x1", "y1", "x2", "y2"), F.col("_chunks"))
+    arrays = (
+        filed.join(held, ["polygon_id", "_band"])
+        .groupBy("polygon_id", "_band", chunk.alias("_chunk"))
+        .agg(F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("_edges"))
+    )
     index = lambda v: F.floor(v / F.lit(cell_deg)).cast("bigint")
-    filed = (
-        edges.join(west, "polygon_id")
-        .withColumn("_r", F.explode(F.sequence(index(F.least("e.y1", "e.y2")), index(F.greatest("e.y1", "e.y2")))))
-        .withColumn("_c", F.explode(F.sequence(index(F.col("_west")), index(F.greatest("e.x1", "e.x2")))))
-    )
-    by_cell = (
-        filed.groupBy("_r", "_c", "polygon_id")
-        .agg(F.sort_array(F.collect_list("e")).alias("edges"))
-        .groupBy("_r", "_c")
-        .agg(F.collect_set("edges").alias("_polygons"))
-    )
-    placed = points.withColumn("_r", index(F.col("lat"))).withColumn("_c", index(F.col("lng")))
-    joined = lookup_join(placed, by_cell, ["_r", "_c"])
+    squares = boxes.withColumn("_r", F.explode(F.sequence(index(F.col("_south")), index(F.col("_north")))))
+    squares = squares.withColumn("_c", F.explode(F.sequence(index(F.col("_west")), index(F.col("_east")))))
     px, py = F.col("lng"), F.col("lat")
+    placed = points.select(point_key, "lat", "lng").withColumns({"_r": index(py), "_c": index(px)})
+    near = placed.join(squares, ["_r", "_c"]).filter(py.between(F.col("_south"), F.col("_north")) & px.between(F.col("_west"), F.col("_east")))
 
     def crosses(e: Column) -> Column:
         spans = (e["y1"] > py) != (e["y2"] > py)
         at = e["x1"] + F.try_divide((e["x2"] - e["x1"]) * (py - e["y1"]), e["y2"] - e["y1"])
         return spans & (px < at)
 
-    inside = F.exists(F.col("_polygons"), lambda p: F.size(F.filter(p, crosses)) % 2 == 1)
-    return joined.withColumn("inside", F.coalesce(inside, F.lit(False))).drop("_polygons", "_r", "_c")
+    met = near.select(point_key, "lat", "lng", "polygon_id", band(py).alias("_band")).join(arrays, ["polygon_id", "_band"])
+    place = [point_key, "lat", "lng"]
+    crossings = met.select(*place, "polygon_id", F.size(F.filter("_edges", crosses)).alias("_n"))
+    odd = crossings.groupBy(*place, "polygon_id").agg((F.sum("_n") % 2).alias("_odd"))
+    inside = odd.groupBy(*place).agg((F.max("_odd") == 1).alias("inside"))
+    return lookup_join(points, inside, place).withColumn("inside", F.coalesce("inside", F.lit(False)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from landlens.functions.geo import METERS_PER_DEGREE, meters_per_pixel, offset_coordinates
@@ -15,8 +15,9 @@ from landlens.operators import grid_terrain as gt
 from landlens.operators.filters import circle_mask, corridor_mask
 from landlens.operators.raster import mosaic_origin
 from landlens.operators.spatial import nearby_best, nearest_station
+from landlens.plans.diagnose import Precomputed
 from landlens.session import cut_lineage
-from landlens.sources.grids import write_cells
+from landlens.sources.grids import grid_cells, grid_hotspots, grid_regions, read_cells, write_cells
 
 #: Raster margin around a region, in metres.
 MARGIN_M = 4_800.0
@@ -149,7 +150,43 @@ def build_grid(spark, dem_pixels: DataFrame, region: Region, zoom: int = 14) ->
     return gt.cell_bounds(cells, region.centre), hotspots
 
 
-def save_grid(cells: DataFrame, hotspots: DataFrame, path: str) -> None:
-    """Write cells and hotspots as datasets partitioned by region, with the engine's description."""
-    write_cells(cells, f"{path}/cells", engine=ENGINE)
-    write_cells(hotspots, f"{path}/hotspots", engine=ENGINE)
+def region_header(regions: DataFrame, cells: DataFrame, step_m: float = gt.STEP_M) -> DataFrame:
+    """Headers of regions (region_id, region_order, region_name): the step and the box of their cells, half a step around."""
+    half = F.lit(step_m / 2.0 / METERS_PER_DEGREE)
+    narrow = half / F.cos(F.radians(F.greatest(F.abs("_s"), F.abs("_n"))))
+    box = cells.groupBy("region_id").agg(
+        F.min("lat").alias("_s"), F.min("lng").alias("_w"), F.max("lat").alias("_n"), F.max("lng").alias("_e"), F.count(F.lit(1)).alias("cell_count")
+    )
+    return regions.join(box, "region_id").select(
+        *regions.columns, F.lit(float(step_m)).alias("step_m"), (F.col("_s") - half).alias("south"), (F.col("_w") - narrow).alias("west"),
+        (F.col("_n") + half).alias("north"), (F.col("_e") + narrow).alias("east"), "cell_count",
+    )
+
+
+def save_grid(cells: DataFrame, hotspots: DataFrame, regions: DataFrame, path: str) -> None:
+    """Write cells as a dataset partitioned by region, hotspots and region headers as small tables, with the engine's description.
+
+    ``cells`` need a cell_index (or site_id, which becomes it); ``regions`` (region_id, region_order, region_name) are completed
+    by :func:`region_header`.
+    """
+    if "cell_index" not in cells.columns:
+        cells = cells.withColumnRenamed("site_id", "cell_index")
+    write_cells(cells.drop("east", "north"), f"{path}/cells", engine=ENGINE)
+    engine = {f"engine_{name}": F.lit(value) for name, value in ENGINE.items()}
+    for name, table in (("hotspots", hotspots), ("regions", region_header(regions, cells))):
+        table.withColumns(engine).write.mode("overwrite").parquet(f"{path}/{name}")
+
+
+def load_grid(spark: SparkSession, path: str) -> Precomputed:
+    """The tables of :func:`save_grid` as a diagnosis reads them."""
+    cells, hotspots, regions = (read_cells(spark, f"{path}/{name}") for name in ("cells", "hotspots", "regions"))
+    plain = lambda frame: frame.select(*[c for c in frame.columns if not c.startswith("engine_")])
+    widest = regions.agg(F.max("step_m")).first()[0]
+    return Precomputed(plain(cells), plain(hotspots), plain(regions), max_step_m=widest or gt.STEP_M)
+
+
+def precomputed_of(docs: DataFrame) -> Precomputed:
+    """Grid documents (:func:`landlens.sources.grids.read_grids`) as a diagnosis reads them."""
+    regions = grid_regions(docs)
+    widest = regions.agg(F.max("step_m")).first()[0]
+    return Precomputed(grid_cells(docs), grid_hotspots(docs), regions, max_step_m=widest or gt.STEP_M)

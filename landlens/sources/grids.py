@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -70,8 +70,16 @@ def _corner(bounds, i: int, j: int):
 
 
 def read_grids(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """One row per grid document, plus ``region_id``; a document that is not valid JSON fails the read."""
-    docs = spark.read.schema(GRID_SCHEMA).json(path, multiLine=True, mode="FAILFAST")
+    """One row per grid document, plus ``region_id`` and ``document``; a document that is not valid JSON fails the read.
+
+    ``document`` orders the documents: by the given paths, and by file name within one.
+    """
+    paths = [path] if isinstance(path, str) else path
+    docs = None
+    for i, one in enumerate(paths):
+        part = spark.read.schema(GRID_SCHEMA).json(one, multiLine=True, mode="FAILFAST")
+        part = part.withColumn("document", F.struct(F.lit(i).alias("path"), F.input_file_name().alias("file")))
+        docs = part if docs is None else docs.union(part)
     return docs.withColumn("region_id", F.coalesce("region.id", "center.name"))
 
 
@@ -95,9 +103,10 @@ def grid_hotspots(docs: DataFrame) -> DataFrame:
 
 
 def grid_regions(docs: DataFrame) -> DataFrame:
-    """Region header: id, name, centre, extent, step."""
+    """Region header: id, order of the documents, name, centre, extent, step. There is one per document, so few."""
     return docs.select(
         "region_id",
+        (F.dense_rank().over(Window.orderBy("document")) - 1).alias("region_order"),
         F.coalesce("region.name", "center.name").alias("region_name"),
         F.col("center.lat").alias("center_lat"),
         F.col("center.lng").alias("center_lng"),
@@ -124,6 +133,11 @@ def write_cells(df: DataFrame, path: str, *, engine: dict[str, str] | None = Non
     df.write.mode("overwrite").partitionBy("region_id").format(fmt).save(path)
 
 
+def read_cells(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
+    """A dataset of :func:`write_cells`; the region's id comes back as text, whatever it looks like."""
+    return spark.read.format(fmt).load(path).withColumn("region_id", F.col("region_id").cast("string"))
+
+
 def read_boundary_features(spark: SparkSession, path: str) -> DataFrame:
     """GeoJSON feature collection to (feature_id, admin_code, polygon_id, ring_id, seq, lng, lat) vertices.
 

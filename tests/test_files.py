@@ -6,7 +6,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from landlens.plans.grid_build import ENGINE, Region, region_lattice
+from landlens.operators.spatial import nearest_cell
+from landlens.plans.grid_build import ENGINE, Region, build_grid, load_grid, precomputed_of, region_lattice, save_grid
 from landlens.plans.listings import town_table
 from landlens.sources import grids, packed
 from landlens.streaming.listings import assess_stream, write_assessments
@@ -32,6 +33,13 @@ def test_grid_documents(spark, tmp_path):
     assert grids.grid_hotspots(docs).count() == 2
     meta = {r.region_id: (r.region_name, r.cell_count, r.radius_m) for r in grids.region_meta(cells, regions).collect()}
     assert meta == {"one": ("ONE", 3, 4500.0), "two": ("TWO", 0, 4500.0)}
+    assert {r.region_id: r.region_order for r in regions.collect()} == {"one": 0, "two": 1}
+    turned = grids.grid_regions(grids.read_grids(spark, [str(tmp_path / "two.json"), str(tmp_path / "one.json")]))
+    assert {r.region_id: r.region_order for r in turned.collect()} == {"two": 0, "one": 1}
+    points = spark.createDataFrame([(1, 35.6001, 139.7), (2, 35.9, 139.7)], "point_id int, lat double, lng double")
+    grid = precomputed_of(docs)
+    near = nearest_cell(points, grid.cells.select("region_id", "cell_index", "lat", "lng"), grid.regions, max_step_m=grid.max_step_m)
+    assert {r.point_id: (r.region_id, r.cell_index) for r in near.collect()} == {1: ("one", 0), 2: (None, None)}
     grids.write_cells(cells, str(tmp_path / "out"), engine=ENGINE)
     back = spark.read.parquet(str(tmp_path / "out"))
     assert back.count() == 3 and back.first().engine_name == ENGINE["name"]
@@ -82,6 +90,34 @@ def test_lattice_sizes(spark):
     assert region_lattice(spark, corridor).count() == 2109
 
 
+def test_built_grid_feeds_a_diagnosis(spark, tmp_path):
+    """build_grid, save_grid, load_grid and diagnose in one chain, over a hilly raster at a coarse zoom."""
+    from landlens.functions.geo import METERS_PER_DEGREE
+    from landlens.operators.raster import mosaic_origin
+    from landlens.plans.diagnose import resolve_theory
+
+    region = Region("7", "Seven", (35.6, 139.7), extent_m=600.0, radius_m=600.0)
+    row0, col0 = mosaic_origin(35.6 + 0.06, 139.7 - 0.08, 11)
+    dem = spark.range(512 * 768).select(
+        (F.floor(F.col("id") / 768) + row0).cast("int").alias("gy"), (F.col("id") % 768 + col0).cast("int").alias("gx")
+    )
+    dem = dem.withColumn("elevation", 30 + 20 * F.sin(F.col("gy") / 9.0) + 14 * F.cos(F.col("gx") / 6.0))
+    cells, hotspots = build_grid(spark, dem, region, zoom=11)
+    header = spark.createDataFrame([("7", 0, "Seven")], "region_id string, region_order int, region_name string")
+    save_grid(cells, hotspots, header, str(tmp_path / "grid"))
+    grid = load_grid(spark, str(tmp_path / "grid"))
+    assert dict(grid.cells.dtypes)["region_id"] == "string" and grid.regions.first().cell_count == grid.cells.count() > 100
+    on_cell = grid.cells.orderBy("cell_index").limit(3).select(F.col("cell_index").cast("int").alias("point_id"), "lat", "lng")
+    outside = spark.createDataFrame([(-1, 35.6 + 900 / METERS_PER_DEGREE, 139.7)], "point_id int, lat double, lng double")
+    got = {r.point_id: r for r in resolve_theory(on_cell.union(outside), dem, grid, 11).collect()}
+    want = {r.cell_index: r for r in grid.cells.collect()}
+    assert got[-1].source_mode == "live-analysis"
+    for i, r in got.items():
+        if i >= 0:
+            assert (r.source_mode, r.detail_score, r.confidence) == ("precomputed-100m", want[i].detail_score, want[i].confidence)
+            assert r.reasons[-1].startswith("Seven")
+
+
 def test_stream_matches_batch(spark, tmp_path):
     rows = [(i, i % 3, f"町{i % 4}", 60000.0 + 5000 * i, 20.0, float(i % 5), "confirmed", "exact") for i in range(40)]
     listings = spark.createDataFrame(

@@ -4,12 +4,15 @@ import math
 import random
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from landlens import session
 from landlens.functions import text
 from landlens.operators import discovery, grid_terrain, lookups, market, raster, risk, spatial
+from landlens.session import cut_lineage
 from landlens.sources import packed
 
 
@@ -80,6 +83,107 @@ def test_suppress_ramp_and_regions(spark):
         assert [r.hotspot_index for r in got] == list(range(7))
 
 
+def test_suppress_all_settles_a_ramp_by_squares(spark):
+    """One chain of ever worse neighbours over the whole lattice: rounds follow the squares it crosses, not its cells."""
+    rows = [(1, r, c, 10_000 - 40 * r - c) for r in range(60) for c in range(40)]
+    df = spark.createDataFrame(rows, "region_id int, grid_row int, grid_col int, detail_score int")
+    near = grid_terrain._within(350.0, 100.0)
+    want = set(nms_brute([(s, r, c) for _, r, c, s in rows], 350.0, 100.0))
+    for square in (16, 256):
+        written = []
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(grid_terrain, "cut_lineage", lambda f: written.append(1) or cut_lineage(f))  # noqa: B023
+            got = {(r.detail_score, r.grid_row, r.grid_col) for r in grid_terrain.suppress_all(df, near, square).collect()}
+        assert got == want
+        assert len(written) <= (2 if square == 256 else 40)
+
+
+def test_ranks_of_one_hot_group(spark):
+    """A group with nine tenths of the rows, most of them with one score, and a group without a name."""
+    from landlens.operators.discovery import group_ranks, page, page_after
+    from landlens.operators.market import exact_quantiles
+    from landlens.operators.ranking import ordered_rank
+
+    rng = random.Random(2)
+    rows = [("hot", 5.0 if rng.random() < 0.8 else float(rng.randrange(100)), i) for i in range(3000)]
+    rows += [("cold", float(i % 7), 4000 + i) for i in range(50)] + [(None, 1.0, 9000 + i) for i in range(5)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "g string, score double, id int")
+    want = {}
+    for g in ("hot", "cold", None):
+        for k, (_, _, i) in enumerate(sorted((r for r in rows if r[0] == g), key=lambda r: (-r[1], r[2]))):
+            want[i] = k
+    ranked = ordered_rank(df, ["g"], [F.desc("score"), F.asc("id")], "rank").collect()
+    assert {r.id: r["rank"] - 1 for r in ranked} == want
+    named = group_ranks(df.filter("g IS NOT NULL"), "g", "score", "id").collect()
+    assert {r.id: (r["rank"], r.group_size) for r in named} == {i: (want[i], 3000 if i < 4000 else 50) for i in want if i < 9000}
+    got = {r.g: (r.a, r.b, r.c) for r in exact_quantiles(df, ["g"], "score", {"a": 0.0, "b": 0.25, "c": 0.97}).collect()}
+    for g in ("hot", "cold", None):
+        assert got[g] == pytest.approx(tuple(np.quantile([r[1] for r in rows if r[0] == g], q) for q in (0.0, 0.25, 0.97)))
+    ids = sorted(r[2] for r in rows)
+    deep = page(df, "id", 3020, 20).collect()
+    assert sorted(r.id for r in deep) == ids[3020:3040] and {(r.filtered, r.next_offset) for r in deep} == {(3055, 3040)}
+    assert {r.next_offset for r in page(df, "id", 3040, 20).collect()} == {None}
+    seen, cursor = [], None
+    for _ in range(4):
+        part = sorted(page_after(df.filter("id < 130"), "id", cursor, 50).collect(), key=lambda r: r.id)
+        if not part:
+            break
+        seen += [r.id for r in part]
+        cursor = part[0].next_after
+        if cursor is None:
+            break
+    assert seen == [i for i in ids if i < 130]
+
+
+def test_polygon_of_many_vertices(spark):
+    """A coast of 200,000 vertices: arrays stay bounded and the masks agree with the rule."""
+    rng = np.random.default_rng(5)
+    n = 200_000
+    angle = np.linspace(0, 2 * math.pi, n, endpoint=False)
+    radius = 0.3 + 0.02 * np.sin(40 * angle) + 0.004 * rng.random(n)
+    x, y = 139.7 + radius * np.cos(angle), 35.6 + radius * np.sin(angle)
+    x, y = np.append(x, x[0]), np.append(y, y[0])
+    ring = pd.DataFrame({"polygon_id": 1, "ring_id": 0, "seq": np.arange(n + 1), "lng": x, "lat": y})
+    square = pd.DataFrame({"polygon_id": 2, "ring_id": 0, "seq": range(5), "lng": [139.0, 139.1, 139.1, 139.0, 139.0], "lat": [35.0, 35.0, 35.1, 35.1, 35.0]})
+    at = np.column_stack([rng.uniform(35.2, 36.0, 300), rng.uniform(139.3, 140.1, 300)])
+    at[:20] = np.column_stack([rng.uniform(34.9, 35.2, 20), rng.uniform(138.9, 139.2, 20)])
+    points = spark.createDataFrame(pd.DataFrame({"point_id": range(300), "lat": at[:, 0], "lng": at[:, 1]}))
+    got = {r.point_id: r.inside for r in spatial.polygon_mask(points, spark.createDataFrame(pd.concat([ring, square]))).collect()}
+    for i, (lat, lng) in enumerate(at):
+        spans = (y[:-1] > lat) != (y[1:] > lat)
+        cut = x[:-1][spans] + (x[1:] - x[:-1])[spans] * (lat - y[:-1][spans]) / (y[1:] - y[:-1])[spans]
+        inside = (lng < cut).sum() % 2 == 1 or (35.0 < lat < 35.1 and 139.0 < lng < 139.1)
+        assert got[i] == inside, i
+    assert 30 < sum(got.values()) < 270
+
+
+def test_windows_across_squares(spark):
+    """Stencils and places read the same pixels whatever the square they fall in."""
+    from landlens.operators import windows as win
+
+    rng = np.random.default_rng(3)
+    values = rng.normal(size=(300, 600))
+    values[rng.random(values.shape) < 0.05] = np.nan
+    r, c = np.nonzero(~np.isnan(values))
+    pixels = spark.createDataFrame(pd.DataFrame({"row": r, "col": c, "value": values[r, c]}))
+    at = pd.DataFrame({"id": range(400), "r": rng.integers(-20, 320, 400), "c": rng.integers(-20, 620, 400)})
+    places = spark.createDataFrame(at)
+
+    def compute(window, asked):
+        rows, cols = win.numbers(asked, "r").astype(int), win.numbers(asked, "c").astype(int)
+        seen = window.at("value", rows + 7, cols - 9) + window.at("value", rows - 3, cols)
+        return pa.table({"id": asked.column("id"), "v": pa.array(seen, from_pandas=True)})
+
+    reach = (F.col("r") - 3, F.col("r") + 7, F.col("c") - 9, F.col("c") + 0)
+    out = win.at_places(places, pixels, reach, compute, "id bigint, v double").collect()
+    look = lambda i, j: values[i, j] if 0 <= i < 300 and 0 <= j < 600 else np.nan
+    for row in out:
+        want = look(at.r[row.id] + 7, at.c[row.id] - 9) + look(at.r[row.id] - 3, at.c[row.id])
+        assert (row.v is None and np.isnan(want)) or row.v == want
+    assert len(out) == 400
+
+
 def test_neighborhood_keeps_regions_apart(spark):
     """Constant scores of two regions on the same positions stay what they are; the stated extent counts as unknown."""
     rows = [(g, r, c, 10 if g == "a" else 90) for g in "ab" for r in range(12) for c in range(9)]
@@ -239,7 +343,7 @@ def test_group_ranks_with_one_hot_group(spark):
     rng = random.Random(6)
     rows = [("hot" if i % 3 else f"g{i % 7}", i, float(rng.randint(0, 30)) / 10, i % 5) for i in range(400)]
     df = spark.createDataFrame(rows, "municipality string, zone_id int, score double, uncertainty int")
-    got = discovery.group_ranks(df, "municipality", "score", "zone_id", F.floor(F.col("score")))
+    got = discovery.group_ranks(df, "municipality", "score", "zone_id")
     groups = {}
     for m, z, s, _ in rows:
         groups.setdefault(m, []).append((-s, z))

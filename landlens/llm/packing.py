@@ -13,15 +13,19 @@ import math
 import os
 import re
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import compress, repeat
+from operator import is_
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import ByteLevel
 
 from landlens.session import cut_lineage
 
@@ -104,14 +108,21 @@ def plan(counts: dict[int, int], limits: Limits) -> np.ndarray:
     return np.array(steps, dtype=np.int64).reshape(-1, 6)
 
 
-#: Distinct units a task remembers the ids of; beyond that it starts anew, which costs time, not results.
-UNITS = 500_000
+#: Distinct units whose ids a task remembers, about; beyond that it starts anew, which costs time, not results. Characters at a time.
+UNITS = 1_200_000
+GROUP = 1 << 19
 #: No pre-token spans a single space between two other characters, except as its first character: there a text may be cut.
 UNIT = re.compile(r"(?<=\S)(?= \S)")
+# Marks that no pre-token joins with letters before them (an apostrophe is one that some do).
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: The vocabulary's byte alphabet: printable bytes stand for themselves, the others for the letters from 256 on, in order.
+PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+ALPHABET = {b: chr(b) for b in PRINTABLE} | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in PRINTABLE)}
+BREAK = ALPHABET[10]
 
 
 class Encoder:
-    """Ids of texts by a tokenizers file; each distinct unit of a batch (about a word with its space) is encoded once.
+    """Ids of texts by a tokenizers file; each distinct unit (about a word with its space) is encoded once.
 
     The strings of special tokens are ordinary text, as nothing in a document is a special token.
     """
@@ -121,17 +132,115 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
-
-    def encode(self, text: str) -> np.ndarray:
-        units = UNIT.split(text)
-        if len(self.known) > UNITS:
-            self.known.clear()
-        new = [u for u in dict.fromkeys(units) if u not in self.known]
+        self.line_break = self.tokenizer.token_to_id(BREAK)
+        # without a normalizer, letters after a space are one pre-token of the byte alphabet: the model can have it at once
+        whole = self.tokenizer.normalizer is None and isinstance(self.tokenizer.pre_tokenizer, ByteLevel)
+        self.model = self.tokenizer.model if whole else None
+        #: Ids of units that follow a space, without it (None: not a unit, as white space touches it), and of other units.
+        self.after_space: dict[str, bytes | None] = {}
+        self.plain: dict[str, bytes] = {}
+
+    def batch(self, units: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast(units, add_special_tokens=False)
+        return [np.array(x.ids, "<u4").tobytes() for x in found]
+
+    def letters(self, words: list[str], before: str) -> list[bytes]:
+        """Ids of words of letters, after a space each or without one (``before``)."""
+        if self.model is None:
+            return self.lines(words) if before else self.batch(words)
+        tokenize, space = self.model.tokenize, ALPHABET[32] if before else ""
+        return [array("I", [t.id for t in tokenize(space + w.encode().decode("latin-1").translate(ALPHABET))]).tobytes() for w in words]
+
+    def lines(self, words: list[str]) -> list[bytes]:
+        """Ids of words without white space after a space each, all in one text: a line break is a token of its own there."""
+        text = " " + "\n ".join(words)
+        ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+        cuts = np.flatnonzero(ids == self.line_break) * ids.itemsize
+        data = ids.tobytes()
+        if len(cuts) != len(words) - 1:
+            return self.batch([" " + w for w in words])
+        return [data[a:b] for a, b in zip([0, *(cuts + ids.itemsize).tolist()], [*cuts.tolist(), len(data)], strict=True)]
+
+    def learn(self, known: dict[str, bytes | None], units: Iterable[str], before: str) -> None:
+        """Ids of units after a space, or without one.
+
+        A word and the marks behind it are never in one pre-token, nor is a lone line break in one with what stands around
+        it, so a word is encoded once whatever marks and lines follow it.
+        """
+        letters, words, marked, lined, mixed = set(), [], [], [], []
+        for u in units:
+            if u.isalpha():
+                letters.add(u)
+            elif before and (not u or u[0].isspace() or u[-1].isspace()):
+                known[u] = None
+            elif (word := u.rstrip(MARKS)).isalpha():
+                letters.add(word)
+                marked.append((u, word, u[len(word) :]))
+            elif before and len(u.split()) == 1:
+                words.append(u)
+            elif before and "\n" in u and not any(len(x.split()) != 1 or x != x.strip() for x in u.split("\n")):
+                lined.append((u, *u.split("\n")))
+            else:
+                mixed.append(u)
+        letters = [w for w in letters if w not in known]
+        known.update(zip(letters, self.letters(letters, before), strict=True))
+        if words:
+            known.update(zip(words, self.lines(words), strict=True))
+        if mixed:
+            known.update(zip(mixed, self.batch([before + u for u in mixed]), strict=True))
+        self.learn_plain({marks for _, _, marks in marked if marks not in self.plain})
+        for u, word, marks in marked:
+            known[u] = known[word] + self.plain[marks]
+        if lined:
+            first = {x[1] for x in lined if x[1] not in known}
+            self.learn(known, first, before)
+            self.learn_plain({"\n", *(w for x in lined for w in x[2:])})
+            for u, head, *rest in lined:
+                known[u] = known[head] + b"".join(self.plain["\n"] + self.plain[w] for w in rest)
+
+    def learn_plain(self, units: set[str]) -> None:
+        new = units.difference(self.plain)
+        if new:
+            self.learn(self.plain, new, "")
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text."""
+        for known in (self.plain, self.after_space):
+            if len(known) > UNITS:
+                known.clear()
+        split = [text.split(" ") for text in texts]
+        self.learn_plain({s[0] for s in split})
+        units = list(set().union(*(s[1:] for s in split)))
+        found = list(map(self.after_space.get, units))
+        new = [u for u in compress(units, map(is_, found, repeat(None))) if u not in self.after_space]
         if new:
-            found = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-            self.known.update(zip(new, (np.array(x.ids, "<u4").tobytes() for x in found), strict=True))
-        return np.frombuffer(b"".join(map(self.known.__getitem__, units)), "<u4")
+            self.learn(self.after_space, new, " ")
+            found = list(map(self.after_space.get, units))
+        # the units of these texts in a table of their own, which is small enough to be looked up fast
+        near = dict(zip(units, found, strict=True)).__getitem__
+        odd = set(compress(units, map(is_, found, repeat(None))))
+        out = []
+        for text, (first, *rest) in zip(texts, split, strict=True):
+            if first[-1:].isspace() or (not first and rest) or (odd and not odd.isdisjoint(rest)):
+                care = UNIT.split(text)  # white space touches a space: cut with care
+                self.learn_plain(set(care))
+                out.append(np.frombuffer(b"".join(map(self.plain.__getitem__, care)), "<u4"))
+            else:
+                out.append(np.frombuffer(self.plain[first] + b"".join(map(near, rest)), "<u4"))
+        return out
+
+
+def groups(texts: list[str]) -> Iterator[list[str]]:
+    """Texts in groups of bounded size, in order."""
+    group, size = [], 0
+    for text in texts:
+        if group and size + len(text) > GROUP:
+            yield group
+            group, size = [], 0
+        group.append(text)
+        size += len(text)
+    if group:
+        yield group
 
 
 @lru_cache(maxsize=4)
@@ -146,8 +255,9 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> DataFr
         encode = encoder(vocabulary).encode
         for batch in batches:
             rows, out = [], ([], [], [], [])
-            for row, text in enumerate(batch.column(1).cast(pa.large_string()).to_pylist()):
-                ids = np.append(encode(text or ""), np.array([END], "<u4"))
+            texts = [t or "" for t in batch.column(1).cast(pa.large_string()).to_pylist()]
+            for row, found in enumerate(x for group in groups(texts) for x in encode(group)):
+                ids = np.append(found, np.array([END], "<u4"))
                 first = len(ids) % capacity or capacity
                 for piece, at in enumerate([0, *range(first, len(ids), capacity)]):
                     part = ids[at : first if piece == 0 else at + capacity]

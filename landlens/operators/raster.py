@@ -23,6 +23,8 @@ from landlens.operators import windows as win
 TRUNCATE = 4.0
 #: Lines handled together by one Python call.
 BAND = 64
+#: Sites that one smoothed window is made for.
+SITES = 4_096
 
 
 class Surface(NamedTuple):
@@ -187,7 +189,7 @@ def smoothed_stencil(
         extent = int(table.column("_rows")[0].as_py()), int(table.column("_cols")[0].as_py())
         return compute(_window(table, zone, extent, reach, surfaces, pairs), *win.inner(*zone, extent), extent)
 
-    return sent.groupBy("_zr", "_zc").applyInArrow(run, schema)
+    return win.keyed(sent, "_zr", "_zc").groupBy("_zr", "_zc").applyInArrow(run, schema)
 
 
 def smoothed_at(
@@ -200,7 +202,7 @@ def smoothed_at(
     """
     margin = max(len(kernel(sigma)) // 2 for _, _, sigma in pairs)
     key = ["_zr", "_zc", "_part"]
-    dealt = win.dealt_places(places, F.col("r"), F.col("c"))
+    dealt = win.dealt_places(places, F.col("r"), F.col("c"), SITES)
     tasks = dealt.select(*[F.col(k).alias(k[1:]) for k in key]).distinct()
     sent = across.select("row", "col", *[name for _, name, _ in pairs])
     sent = sent.withColumn("zr", F.explode(win.zones("row", reach + margin))).withColumn("zc", F.explode(win.zones("col", reach)))
@@ -212,6 +214,7 @@ def smoothed_at(
         extent = int(asked.column("_rows")[0].as_py()), int(asked.column("_cols")[0].as_py())
         return compute(_window(table, tuple(k.as_py() for k in group[:2]), extent, reach, surfaces, pairs), asked, extent)
 
+    sent, dealt = win.keyed(sent, "zr", "zc", "part"), win.keyed(dealt, *key)
     return sent.groupBy("zr", "zc", "part").cogroup(dealt.groupBy(*key)).applyInArrow(run, schema)
 
 

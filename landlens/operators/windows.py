@@ -15,12 +15,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from landlens.session import cut_lineage
+from landlens.session import cut_lineage, parallelism
 
-#: Pixels per side of a stored block, of a task's square, and places per task.
+#: Pixels per side of a stored block and of a task's square, and places that one window is made for.
 BLOCK = 64
 ZONE = 256
-PLACES = 4_096
+PLACES = 512
 NOWHERE = -(1 << 31)
 
 
@@ -98,11 +98,16 @@ def empty(schema: str) -> pa.Table:
     return pa.table({n: pa.array([], kinds[k]) for n, k in columns})
 
 
-def dealt_places(places: DataFrame, row: Column, col: Column) -> DataFrame:
+def keyed(df: DataFrame, *keys: str) -> DataFrame:
+    """Dealt by the keys over all tasks: adaptive execution would pack the few bytes before costly work into one task."""
+    return df.repartition(parallelism(df.sparkSession), *keys)
+
+
+def dealt_places(places: DataFrame, row: Column, col: Column, per_task: int = PLACES) -> DataFrame:
     """Places with their square and, where it holds very many, the number of the task within it; unplaced ones share a square."""
     zone = lambda c: F.coalesce(F.floor(c / ZONE).cast("int"), F.lit(NOWHERE))
     zoned = places.withColumns({"_zr": zone(row), "_zc": zone(col)})
-    crowd = zoned.groupBy("_zr", "_zc").agg(F.ceil(F.count(F.lit(1)) / PLACES).cast("int").alias("_tasks"))
+    crowd = zoned.groupBy("_zr", "_zc").agg(F.ceil(F.count(F.lit(1)) / per_task).cast("int").alias("_tasks"))
     part = F.pmod(F.xxhash64(*places.columns), F.col("_tasks")).cast("int")
     return zoned.join(crowd, ["_zr", "_zc"]).withColumn("_part", part)
 
@@ -150,6 +155,7 @@ def at_places(
             window = _assembled(found, (bounds[0].min(), bounds[1].max(), bounds[2].min(), bounds[3].max()), values)
         return compute(window, asked.select(kept))
 
+    sent, dealt = keyed(sent, "zr", "zc", "part"), keyed(dealt, *key)
     return sent.groupBy("zr", "zc", "part").cogroup(dealt.groupBy(*key)).applyInArrow(run, schema)
 
 
@@ -210,4 +216,4 @@ def stencil(
         window = Window(top, left, layers)
         return compute(window, *inner(zone_row, zone_col, extent), extent)
 
-    return sent.groupBy("_zr", "_zc").applyInArrow(run, schema)
+    return keyed(sent, "_zr", "_zc").groupBy("_zr", "_zc").applyInArrow(run, schema)

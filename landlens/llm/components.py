@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from landlens.session import cut_lineage
+from landlens.session import cut_lineage, discard
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -18,7 +18,7 @@ def components(links: DataFrame) -> DataFrame:
     pairs = cut_lineage(
         links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     )
-    seen = None
+    size = pairs.count()
     while True:
         both = pairs.union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -28,11 +28,12 @@ def components(links: DataFrame) -> DataFrame:
         stars = small.union(low.select("u", F.col("m").alias("v"))).select(
             F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")
         )
-        pairs = cut_lineage(stars.distinct())
-        now = pairs.agg(F.count(F.lit(1)), F.sum(F.hash("u", "v").cast("long")), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if now == seen:
+        before, pairs = pairs, cut_lineage(stars.distinct())
+        last, size = size, pairs.count()
+        settled = size == last and pairs.join(before, ["u", "v"], "left_anti").isEmpty()
+        discard(before)
+        if settled:
             break
-        seen = now
     return pairs.select(F.col("u").alias("node"), F.col("v").alias("root")).union(
         pairs.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     )

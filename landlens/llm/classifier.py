@@ -214,16 +214,16 @@ def co_train(both: tuple[Rows, Rows], labels: np.ndarray, fold: np.ndarray, roun
         sure = []
         for view, model in zip(both, models, strict=True):
             p = sigmoid(model.margins(view))
-            sure.append(((p >= CONFIDENT) | (p <= 1 - CONFIDENT), p > 0.5))
+            sure.append((np.abs(p - 0.5), p > 0.5))
         changed = False
         for mine, other in ((0, 1), (1, 0)):
-            confident, said = sure[other]
-            new = confident & ~known & ~uses[mine]
+            confidence, said = sure[other]
+            new = (confidence >= CONFIDENT - 0.5) & ~known & ~uses[mine]
             # no more of a class than its share among the labels, so that the easy class does not flood the view
             for value in (0, 1):
                 some = np.flatnonzero(new & (said == value))
                 room = int(np.ceil(0.1 * (labels[known & ~fold] == value).sum()))
-                some = some[:room]
+                some = some[np.argsort(-confidence[some], kind="stable")][:room]  # the surest first
                 targets[mine][some], uses[mine][some] = value, True
                 changed |= bool(len(some))
         if not changed:

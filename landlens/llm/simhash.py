@@ -14,7 +14,7 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from landlens.llm.components import components
@@ -189,8 +189,6 @@ STAGE_WORDS = 5
 STAGE_TENTHS = 8
 #: Places within a set that a posting tells apart; later ones count as the last of these, which can only add candidates.
 PLACES = 1 << 24
-#: Leaders that each document meets before what is left is compared pair by pair.
-LEADERS = 4
 #: Documents whose shingles are counted to find common ones, and how many common ones are set behind the others.
 SAMPLE_DOCS = 20_000
 COMMON = 200_000
@@ -262,28 +260,14 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     )
 
 
-def joined(members: DataFrame | None, links: DataFrame) -> DataFrame:
-    """(node, root) of the components that ``members`` and the new links (a, b) make together; the links are drawn between roots."""
-    if members is None:
-        return cut_lineage(components(links))
-    at = lambda c: members.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
-    drawn = links.join(at("a"), "a", "left").join(at("b"), "b", "left")
-    drawn = drawn.select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b")).filter("a <> b").distinct()
-    grown = cut_lineage(components(drawn).distinct())
-    to = grown.select(F.col("node").alias("root"), F.col("root").alias("_to"))
-    moved = members.join(to, "root", "left").select("node", F.coalesce("_to", "root").alias("root"))
-    fresh = grown.join(members.select("node"), "node", "left_anti")
-    return cut_lineage(moved.union(fresh.select("node", "root")))
-
-
-def near_members(texts: DataFrame) -> DataFrame:
-    """(node, root): the components of all set keys under links of a Jaccard similarity of 0.8 or more, of keys with a link.
-
-    ``texts``: key and text, one row per key. Candidates share a shingle of their prefixes and can still reach the similarity by
-    their sizes and by what follows that shingle. First a key is compared, by its whole set, with a few leaders of the keys that
-    share a shingle with it (drawn by hash), which already connects most of a group of near copies. Shingles whose keys are all in one
-    component drop out, and what is left is compared exactly: all candidate pairs between different components. So the
-    leaders only save work, and no link between components is missed.
+def jaccard_links(texts: DataFrame) -> DataFrame:
+    """Links (a, b) between set keys whose shingle sets have a Jaccard similarity of 0.8 or more, enough of them to connect all
+    that are linked by chains.
+
+    ``texts``: key and text, one row per key. Candidates share a shingle of their prefixes and can still reach the similarity
+    by their sizes and by what follows that shingle. Each key is compared by its whole set with its first candidate; then
+    all candidate pairs that these links do not connect yet are. So most pairs within a large group of near copies
+    need no comparison.
     """
     common = common_shingles(texts)
 
@@ -291,41 +275,37 @@ def near_members(texts: DataFrame) -> DataFrame:
         return len(hashes), prefix_of(hashes, common).view(np.int64)
 
     each = mapped(texts, ["key"], posting, "n long, prefix array<long>").select("key", "n", F.posexplode("prefix").alias("at", "h"))
-    # size and place travel as one number; shingles that occur once fall away where they meet, in the shuffle that finds leaders
+    # size and place travel as one number; shingles that occur once fall away where they meet, in the same shuffle
     each = each.select("key", "h", (F.col("n") * PLACES + F.least("at", F.lit(PLACES - 1))).alias("where"))
-    by = Window.partitionBy("h")
-    turn = lambda r: F.struct(F.xxhash64("key", F.lit(r)).alias("turn"), F.col("key").alias("leader"), F.col("where").alias("to"))
-    ends = {f"_{r}": F.min(turn(r)).over(by) for r in range(LEADERS)}
-    met = cut_lineage(each.withColumn("_n", F.count(F.lit(1)).over(by)).filter("_n > 1").drop("_n"))
-    sets = cut_lineage(mapped(texts.join(met.select("key").distinct(), "key", "left_semi"), ["key"], lambda h: (h.view(np.int64),), "h array<long>"))
-    size, place = (lambda c: F.expr(f"{c} div {PLACES}")), (lambda c: F.expr(f"{c} % {PLACES}"))
-
-    def may(a: str, b: str) -> Column:
-        """J >= t/10 where the sets share s of their n_a + n_b hashes: 10 s >= t (n_a + n_b - s)."""
-        shared = F.least(size(a) - place(a), size(b) - place(b))
-        return (10 + STAGE_TENTHS) * shared >= STAGE_TENTHS * (size(a) + size(b))
-
-    first = lambda r: F.min(F.when((F.col("key") != F.col(f"_{r}.leader")) & may("where", f"_{r}.to"), F.col(f"_{r}.leader")))
-    led = met.withColumns(ends).groupBy("key").agg(F.array_distinct(F.array_compact(F.array(*[first(r) for r in range(LEADERS)]))).alias("leaders"))
-    led = led.select("key", F.explode("leaders").alias("leader"))
-    pairs = cut_lineage(led.select(F.least("key", "leader").alias("key_a"), F.greatest("key", "leader").alias("key_b")).distinct())
-    links = cut_lineage(verified(pairs, sets))
-    members = joined(None, links)
-    discard(pairs, links)
-    state = met.select("key", "h", "where").join(members.select(F.col("node").alias("key"), "root"), "key", "left")
-    state = state.withColumn("root", F.coalesce("root", "key"))
-    mixed = state.withColumns({"_low": F.min("root").over(by), "_high": F.max("root").over(by)}).filter("_low <> _high")
-    before, met = met, cut_lineage(mixed.select("key", "h", "where", "root"))
-    discard(before)
-    a, b = (met.select(*[F.col(c).alias(f"{c}_{x}") for c in ("h", "key", "where", "root")]) for x in "ab")
-    rest = a.join(b, (F.col("h_a") == F.col("h_b")) & (F.col("key_a") < F.col("key_b")) & (F.col("root_a") != F.col("root_b")) & may("where_a", "where_b"))
-    rest = cut_lineage(rest.select("key_a", "key_b").distinct())
+    again = F.count(F.lit(1)).over(Window.partitionBy("h"))
+    met = cut_lineage(each.withColumn("_n", again).filter("_n > 1").drop("_n"))
+    a, b = (
+        met.select("h", F.col("key").alias(f"key_{x}"), F.expr(f"where div {PLACES}").alias(f"n_{x}"), F.expr(f"where % {PLACES}").alias(f"at_{x}"))
+        for x in "ab"
+    )
+    shared = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
+    both = F.col("n_a") + F.col("n_b")
+    # J >= t/10 where the sets share s of their n_a + n_b hashes: 10 s >= t (n_a + n_b - s)
+    pairs = cut_lineage(
+        a.join(b, "h")
+        .filter((F.col("key_a") < F.col("key_b")) & ((10 + STAGE_TENTHS) * shared >= STAGE_TENTHS * both))
+        .select("key_a", "key_b")
+        .distinct()
+    )
+    ends = pairs.select(F.col("key_a").alias("key")).union(pairs.select(F.col("key_b").alias("key"))).distinct()
+    sets = cut_lineage(mapped(texts.join(ends, "key", "left_semi"), ["key"], lambda h: (h.view(np.int64),), "h array<long>"))
     discard(met)
+    nearest = pairs.groupBy("key_b").agg(F.min("key_a").alias("key_a"))
+    first = cut_lineage(verified(nearest, sets))
+    member = cut_lineage(components(first))
+    root_a, root_b = (member.select(F.col("node").alias(f"key_{x}"), F.col("root").alias(f"root_{x}")) for x in "ab")
+    apart = F.coalesce("root_a", "key_a") != F.coalesce("root_b", "key_b")
+    rest = pairs.join(root_a, "key_a", "left").join(root_b, "key_b", "left").filter(apart).select("key_a", "key_b")
+    rest = cut_lineage(rest.join(nearest, ["key_a", "key_b"], "left_anti"))
     asked = rest.select(F.col("key_a").alias("key")).union(rest.select(F.col("key_b").alias("key"))).distinct()
-    links = cut_lineage(verified(rest, sets.join(asked, "key", "left_semi")))
-    old, members = members, joined(members, links)
-    discard(sets, rest, links, old)
-    return members
+    second = cut_lineage(verified(rest, sets.join(asked, "key", "left_semi")))
+    discard(pairs, sets, member, rest)
+    return first.union(second)
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
@@ -341,13 +321,13 @@ def keep_one(docs: DataFrame) -> DataFrame:
     rows = cut_lineage(keyed.distinct())
     firsts = rows.groupBy("key").agg(F.min("text_key").alias("text_key"))
     texts = cut_lineage(hashed.select("text_key", "text").join(firsts, "text_key").dropDuplicates(["key"]).select("key", "text"))
-    member = near_members(texts)
+    member = components(jaccard_links(texts))
     grouped = rows.join(member.select(F.col("node").alias("key"), "root"), "key", "left")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_key")).alias("least")
     chosen = cut_lineage(grouped.groupBy(F.coalesce("root", "key").alias("group")).agg(least)).select(
         F.col("least.doc_id").alias("_id"), F.col("least.text_key").alias("_chosen")
     )
-    discard(rows, texts, member)
+    discard(rows, texts)
     mine = docs.withColumn("_text_key", F.xxhash64(F.coalesce("text", F.lit(""))))
     kept = mine.join(chosen, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_chosen")), "left_semi")
     return kept.dropDuplicates(["doc_id", "_text_key"]).drop("_text_key")

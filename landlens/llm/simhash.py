@@ -48,13 +48,13 @@ def fingerprint(text: bytes, width: int = 3) -> int:
     return int.from_bytes(np.packbits(counts * 2 > len(hashes), bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
+def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
     """doc_id and its fingerprint as a signed long; one row per input row, null text like the empty text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).cast(pa.large_binary()).to_pylist()
-            prints = np.fromiter((fingerprint(t or b"") for t in texts), np.uint64, len(texts))
+            prints = np.fromiter((fingerprint(t or b"", width) for t in texts), np.uint64, len(texts))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], ["doc_id", "fp"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -187,6 +187,8 @@ def simhash_dedup(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 #: The stage on documents: words per shingle, and the Jaccard similarity from which sets of shingles are near, in tenths.
 STAGE_WORDS = 5
 STAGE_TENTHS = 8
+#: Bits by which the stage's fingerprints, of the same shingles, may differ for their texts to be compared first.
+STAGE_RADIUS = 3
 #: Places within a set that a posting tells apart; later ones count as the last of these, which can only add candidates.
 PLACES = 1 << 24
 #: Documents whose shingles are counted to find common ones, and how many common ones are set behind the others.
@@ -260,27 +262,58 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     )
 
 
+def sets_of(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """key and whole shingle set (h) of the texts that stand in a pair (key_a, key_b)."""
+    ends = pairs.select(F.col("key_a").alias("key")).union(pairs.select(F.col("key_b").alias("key"))).distinct()
+    return cut_lineage(mapped(texts.join(ends, "key", "left_semi"), ["key"], lambda h: (h.view(np.int64),), "h array<long>"))
+
+
+def simhash_links(texts: DataFrame, radius: int = STAGE_RADIUS) -> DataFrame:
+    """Links (a, b) between set keys that their fingerprints bring together and their whole sets confirm.
+
+    ``texts``: key and text, one row per key. Distinct fingerprints are compared in tiles (:func:`near_links`), texts of one
+    fingerprint meet the first of them; pairs grow with the texts, not with the square of a group.
+    """
+    prints = cut_lineage(fingerprints(texts.select(F.col("key").alias("doc_id"), "text"), STAGE_WORDS))
+    firsts = cut_lineage(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    near = near_links(firsts.select("fp"), radius)
+    end_a, end_b = (firsts.select(F.col("fp").alias(x), F.col("first").alias(f"key_{x}")) for x in "ab")
+    across = near.join(end_a, "a").join(end_b, "b").select("key_a", "key_b")
+    equal = prints.join(firsts, "fp").filter("doc_id <> first").select(F.col("first").alias("key_a"), F.col("doc_id").alias("key_b"))
+    pairs = cut_lineage(across.union(equal).distinct())
+    sets = sets_of(texts, pairs)
+    links = cut_lineage(verified(pairs, sets))
+    discard(prints, firsts, pairs, sets)
+    return links
+
+
 def jaccard_links(texts: DataFrame) -> DataFrame:
     """Links (a, b) between set keys whose shingle sets have a Jaccard similarity of 0.8 or more, enough of them to connect all
     that are linked by chains.
 
-    ``texts``: key and text, one row per key. Candidates share a shingle of their prefixes and can still reach the similarity
-    by their sizes and by what follows that shingle. Each key is compared by its whole set with its first candidate; then
-    all candidate pairs that these links do not connect yet are. So most pairs within a large group of near copies
-    need no comparison.
+    ``texts``: key and text, one row per key. SimHash links come first; as no radius covers the similarity, the texts that
+    they leave apart are then linked without misses. Candidates share a shingle of their prefixes and can still reach the
+    similarity by their sizes and by what follows that shingle. Each key is compared by its whole set with its first
+    candidate; then all candidate pairs that no link connects yet are. So most pairs within a large group of near copies need no
+    comparison, and a shingle that only one SimHash class holds makes none.
     """
+    close = simhash_links(texts)
+    known = cut_lineage(components(close).select(F.col("node").alias("key"), "root"))
+    texts = texts.join(known, "key", "left").select("key", "root", "text")
     common = common_shingles(texts)
 
     def posting(hashes: np.ndarray) -> tuple:
         return len(hashes), prefix_of(hashes, common).view(np.int64)
 
-    each = mapped(texts, ["key"], posting, "n long, prefix array<long>").select("key", "n", F.posexplode("prefix").alias("at", "h"))
-    # size and place travel as one number; shingles that occur once fall away where they meet, in the same shuffle
-    each = each.select("key", "h", (F.col("n") * PLACES + F.least("at", F.lit(PLACES - 1))).alias("where"))
-    again = F.count(F.lit(1)).over(Window.partitionBy("h"))
-    met = cut_lineage(each.withColumn("_n", again).filter("_n > 1").drop("_n"))
+    each = mapped(texts, ["key", "root"], posting, "n long, prefix array<long>")
+    each = each.select("key", "root", "n", F.posexplode("prefix").alias("at", "h"))
+    # size and place travel as one number; shingles of one text or class fall away where they meet, in the same shuffle
+    each = each.select("key", "root", "h", (F.col("n") * PLACES + F.least("at", F.lit(PLACES - 1))).alias("where"))
+    group, held = F.coalesce("root", "key"), Window.partitionBy("h")
+    met = each.withColumns({"_least": F.min(group).over(held), "_most": F.max(group).over(held)})
+    met = cut_lineage(met.filter("_least < _most").drop("_least", "_most"))
     a, b = (
-        met.select("h", F.col("key").alias(f"key_{x}"), F.expr(f"where div {PLACES}").alias(f"n_{x}"), F.expr(f"where % {PLACES}").alias(f"at_{x}"))
+        met.select("h", F.col("key").alias(f"key_{x}"), group.alias(f"group_{x}"), F.expr(f"where div {PLACES}").alias(f"n_{x}"), F.expr(f"where % {PLACES}").alias(f"at_{x}"))
         for x in "ab"
     )
     shared = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
@@ -288,15 +321,14 @@ def jaccard_links(texts: DataFrame) -> DataFrame:
     # J >= t/10 where the sets share s of their n_a + n_b hashes: 10 s >= t (n_a + n_b - s)
     pairs = cut_lineage(
         a.join(b, "h")
-        .filter((F.col("key_a") < F.col("key_b")) & ((10 + STAGE_TENTHS) * shared >= STAGE_TENTHS * both))
+        .filter((F.col("key_a") < F.col("key_b")) & (F.col("group_a") != F.col("group_b")) & ((10 + STAGE_TENTHS) * shared >= STAGE_TENTHS * both))
         .select("key_a", "key_b")
         .distinct()
     )
-    ends = pairs.select(F.col("key_a").alias("key")).union(pairs.select(F.col("key_b").alias("key"))).distinct()
-    sets = cut_lineage(mapped(texts.join(ends, "key", "left_semi"), ["key"], lambda h: (h.view(np.int64),), "h array<long>"))
+    sets = sets_of(texts, pairs)
     discard(met)
     nearest = pairs.groupBy("key_b").agg(F.min("key_a").alias("key_a"))
-    first = cut_lineage(verified(nearest, sets))
+    first = cut_lineage(close.union(verified(nearest, sets)))
     member = cut_lineage(components(first))
     root_a, root_b = (member.select(F.col("node").alias(f"key_{x}"), F.col("root").alias(f"root_{x}")) for x in "ab")
     apart = F.coalesce("root_a", "key_a") != F.coalesce("root_b", "key_b")
@@ -304,7 +336,7 @@ def jaccard_links(texts: DataFrame) -> DataFrame:
     rest = cut_lineage(rest.join(nearest, ["key_a", "key_b"], "left_anti"))
     asked = rest.select(F.col("key_a").alias("key")).union(rest.select(F.col("key_b").alias("key"))).distinct()
     second = cut_lineage(verified(rest, sets.join(asked, "key", "left_semi")))
-    discard(pairs, sets, member, rest)
+    discard(close, known, pairs, sets, member, rest)
     return first.union(second)
 
 
@@ -314,7 +346,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     Near copies: sets of five-word shingles (ASCII letters in lower case) with a Jaccard similarity of 0.8 or more, chains
     included. Texts without words are copies of each other. A document is a doc_id with a text: of texts under one doc_id that
     are not near copies each stays, rows that agree in both stay once. A row without doc_id stays only where no document of
-    its group has one, and then one of them. Unlike op9 no fingerprint is compared: no radius covers this similarity.
+    its group has one, and then one of them. Fingerprints are compared as in op9, over five-word shingles, and whole sets
+    confirm what they link; no radius covers this similarity, so the exact search completes it (:func:`jaccard_links`).
     """
     hashed = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), "text")
     keyed = mapped(hashed, ["doc_id", "text_key"], lambda h: (set_key(h),), "key long")

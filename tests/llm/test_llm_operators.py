@@ -381,3 +381,21 @@ def test_hot_anchors_send_equal_strings():
     times = np.bincount(runs.which)
     inside = sum(t.decode() in passage for t in runs.text)
     assert inside == 60 - 35 + 1 and sorted(times)[-inside] == 300
+
+
+def test_keep_one_compares_fingerprints(spark, monkeypatch):
+    rng = random.Random(13)
+    base = words(rng, 400).split(" ")
+    texts = [" ".join(base)]
+    for i in range(40):
+        copy = list(base)
+        copy[rng.randrange(400)] = f"changed{i}"
+        texts.append(" ".join(copy))
+    texts += [words(rng, 300) for _ in range(20)] + ["", "one two"]
+    keyed = spark.createDataFrame(list(enumerate(texts)), "key long, text string")
+    links = {frozenset((r.a, r.b)) for r in simhash.simhash_links(keyed).collect()}
+    assert len(links) > 13 and links <= {frozenset(p) for p in brute.near_texts(texts)[0]}
+    met, near_links = [], simhash.near_links
+    monkeypatch.setattr(simhash, "near_links", lambda prints, radius: met.append(radius) or near_links(prints, radius))
+    kept = simhash.keep_one(keyed.withColumnRenamed("key", "doc_id")).select("doc_id").collect()
+    assert met == [simhash.STAGE_RADIUS] and sorted(r.doc_id for r in kept) == [0, *range(41, 63)]

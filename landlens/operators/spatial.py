@@ -103,8 +103,9 @@ def nearby_best(
 
     Both sides carry region_id and local metres ``east``/``north``; ``key`` identifies a cell. Cells with no hotspot get
     index -1 and a NULL distance. Copies at one place are reduced to their best first and hotspots are spaced apart, so
-    a bucket's array stays small whatever the number of cells. A cell's candidates are compared inside the task that
-    holds the cell: only its best one is shuffled.
+    a bucket's array stays small whatever the number of cells. Spots that are below one in reach of the
+    whole bucket are left out of it. A cell's candidates, sorted by score, are compared within its row: only its best one is
+    shuffled.
     """
     bucket = lambda c: F.floor(F.col(c) / F.lit(radius_m)).cast("bigint")
     distinct = (
@@ -116,17 +117,25 @@ def nearby_best(
         distinct.withColumn("_br", bucket("north")).withColumn("_bc", bucket("east")), "_br", "_bc"
     )
     by_bucket = spots.groupBy("region_id", "_br", "_bc").agg(
-        F.collect_list(F.struct("detail_score", "hotspot_index", "east", "north")).alias("_near")
-    )
+        F.sort_array(F.collect_list(F.struct("detail_score", "hotspot_index", "east", "north")), asc=False).alias("_near")
+    )
+    # a spot in reach of the bucket's farthest corner is in reach of all its cells: they need no lower score
+    far = lambda v, b: F.greatest(v - F.col(b) * radius_m, (F.col(b) + 1) * radius_m - v)
+    from_corner = lambda h: far(h["east"], "_bc") * far(h["east"], "_bc") + far(h["north"], "_br") * far(h["north"], "_br")
+    everywhere = F.filter("_near", lambda h: from_corner(h) <= radius_m * radius_m * (1 - 1e-9))
+    by_bucket = by_bucket.withColumn("_least", F.get(everywhere, F.lit(0))["detail_score"])
+    by_bucket = by_bucket.withColumn("_near", F.filter("_near", lambda h: F.col("_least").isNull() | (h["detail_score"] >= F.col("_least")))).drop("_least")
     placed = widen(cells.select(*{*key, "region_id", "east", "north"}))
     placed = placed.withColumn("_br", bucket("north")).withColumn("_bc", bucket("east"))
     joined = lookup_join(placed, by_bucket, ["region_id", "_br", "_bc"])
-    de, dn = F.col("east") - F.col("h.east"), F.col("north") - F.col("h.north")
-    inside = joined.select(*key, "east", "north", F.explode("_near").alias("h")).select(
-        *key, "h.detail_score", "h.hotspot_index", (de * de + dn * dn).alias("_d2")
-    )
-    rank = F.struct("detail_score", (-F.sqrt("_d2")).alias("closeness"), "hotspot_index")
-    best = inside.filter(F.col("_d2") <= radius_m * radius_m).groupBy(*key).agg(F.max(rank).alias("_best"))
+    away = lambda h: (F.col("east") - h["east"]) * (F.col("east") - h["east"]) + (F.col("north") - h["north"]) * (F.col("north") - h["north"])
+    rank = lambda h: F.struct(
+        h["detail_score"].alias("detail_score"), (-F.sqrt(away(h))).alias("closeness"), h["hotspot_index"].alias("hotspot_index")
+    )
+    inside = joined.select(*{*key, "east", "north"}, F.filter("_near", lambda h: away(h) <= radius_m * radius_m).alias("_inside"))
+    top = F.get("_inside", F.lit(0))["detail_score"]
+    first = F.array_max(F.transform(F.filter("_inside", lambda h: h["detail_score"].eqNullSafe(top)), rank))
+    best = inside.select(*key, first.alias("_best")).groupBy(*key).agg(F.max("_best").alias("_best"))
     return lookup_join(cells, best, list(key)).select(
         *cells.columns,
         F.coalesce(F.col("_best.hotspot_index"), F.lit(-1)).alias("nearby_best_index"),

@@ -280,6 +280,31 @@ def test_polygon_mask_brute(spark):
     assert 0 < sum(got.values()) < 600
 
 
+def test_nearby_best_leaves_out_lower_spots(spark):
+    rng = random.Random(3)
+    spots = [(r, i, rng.choice([None, 1, 2, 3, 50]), rng.uniform(0, 3000), rng.uniform(0, 3000)) for i in range(400) for r in [i % 2]]
+    spots += [(0, 900 + i, None, 9000.0 + i, 9000.0) for i in range(3)]
+    cells = [(i % 2, i // 2, rng.uniform(-900, 3900), rng.uniform(-900, 3900)) for i in range(600)]
+    cells += [(0, 1000, 9500.0, 9500.0), (0, None, 1500.0, 1500.0), (1, 1001, None, 5.0), cells[0]]
+
+    def best(region, east, north):
+        near = [
+            (-1 if s is None else s, -math.sqrt((east - e) ** 2 + (north - n) ** 2), i)
+            for r, i, s, e, n in spots
+            if r == region and (east - e) * (east - e) + (north - n) * (north - n) <= 1e6
+        ]
+        return (max(near)[2], round(-max(near)[1])) if near else (-1, None)
+
+    out = spatial.nearby_best(
+        spark.createDataFrame(cells, "region_id int, cell_index int, east double, north double"),
+        spark.createDataFrame(spots, "region_id int, hotspot_index int, detail_score int, east double, north double"),
+    )
+    got = {(r.region_id, r.cell_index): (r.nearby_best_index, r.nearby_best_distance) for r in out.collect()}
+    assert got == {(r, i): best(r, e, n) if None not in (i, e) else (-1, None) for r, i, e, n in cells}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "_least" in plan and "explode(_near" not in plan
+
+
 def test_nearest_cell_ties_and_copies(spark):
     regions = spark.createDataFrame(
         [("b", 1, 100.0, 35.0, 139.0, 36.0, 140.0), ("a", 0, 100.0, 35.0, 139.0, 36.0, 140.0)],

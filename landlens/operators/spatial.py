@@ -8,12 +8,14 @@ the task that compares them.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from landlens.functions.geo import METERS_PER_DEGREE, planar_distance
 from landlens.functions.numeric import half_even
-from landlens.session import cut_lineage, lookup_join, widen
+from landlens.session import cut_lineage, discard, lookup_join, widen
 
 #: Latitude up to which bucket widths are exact; the cosine floor of the distance makes 0.2 always safe.
 MAX_LATITUDE = 78.0
@@ -169,6 +171,12 @@ def nearest_station(points: DataFrame, stations: list[tuple[str, float, float]])
 #: Edges that a band of a polygon holds on average at most, and edges of one array.
 BAND_EDGES = 64
 CHUNK_EDGES = 512
+#: Pairs of a place and a polygon, for each place, up to which cells stay as they are; how often cells are halved otherwise.
+PLACE_PAIRS = 16
+HALVINGS = 6
+#: Degrees by which a cell is widened before an edge is said to miss it; coordinates up to which rounding stays far below.
+CELL_MARGIN = 1e-9
+COORDINATES = 1e4
 
 
 def polygon_mask(
@@ -184,6 +192,10 @@ def polygon_mask(
     thousands of thin bands and a square has one. A band's edges form arrays of bounded size; where a band holds more,
     its arrays are rows of their own, whose crossings add up. Points meet the polygons whose box holds them through
     square cells, and then the arrays of their band only: a ray to the east meets edges of no other band.
+
+    Where many polygons lie over each other, the cells that hold points are halved first, step by step. A cell that no edge of a
+    polygon touches is inside or outside as a whole: if inside, its points are settled, if outside, they never meet the
+    polygon. So points are compared one by one only with polygons whose outline passes by.
     """
     from pyspark.sql import Window
 
@@ -191,47 +203,113 @@ def polygon_mask(
     edges = (
         vertices.withColumn("x2", F.lead("lng").over(ring))
         .withColumn("y2", F.lead("lat").over(ring))
-        .filter(F.col("x2").isNotNull() & (F.col("lat") != F.col("y2")))
+        .filter(F.col("x2").isNotNull() & F.col("y2").isNotNull())
         .select("polygon_id", F.col("lng").alias("x1"), F.col("lat").alias("y1"), "x2", "y2")
     )
-    ends = lambda f, g, c: f(g(f"{c}1", f"{c}2"))
+    slanted = lambda c: F.when(F.col("y1") != F.col("y2"), c)
+    ends = lambda f, g, c: f(slanted(g(f"{c}1", f"{c}2")))
+    # every corner begins as many edges as it ends: then the inside changes nowhere but at edges
+    corners = [F.bit_xor(F.xxhash64(x, y)) for x, y in (("x1", "y1"), ("x2", "y2"))]
+    sound = F.coalesce(F.greatest(*[F.abs(c) for c in ("x1", "y1", "x2", "y2")]) < COORDINATES, F.lit(False))
+    known = F.col("x1").isNotNull() & F.col("y1").isNotNull()
     boxes = edges.groupBy("polygon_id").agg(
         ends(F.min, F.least, "x").alias("_west"), ends(F.max, F.greatest, "x").alias("_east"),
         ends(F.min, F.least, "y").alias("_south"), ends(F.max, F.greatest, "y").alias("_north"),
-        F.ceil(F.count(F.lit(1)) / BAND_EDGES).cast("bigint").alias("_bands"),
+        F.ceil(F.count(slanted(F.lit(1))) / BAND_EDGES).cast("bigint").alias("_bands"),
+        ((corners[0] == corners[1]) & F.bool_and(sound & known)).alias("_closed"),
     )
-    boxes = cut_lineage(boxes)
+    boxes = cut_lineage(boxes.filter("_bands > 0"))
 
     def band(y: Column) -> Column:
         """Rises with the latitude, so an edge is in the bands from that of its lower to that of its upper end."""
         at = F.floor((y - F.col("_south")) / (F.col("_north") - F.col("_south")) * F.col("_bands"))
         return F.greatest(F.lit(0), F.least(F.col("_bands") - 1, at))
 
-    filed = edges.join(boxes, "polygon_id").select(
+    filed = edges.filter(F.col("y1").isNotNull()).join(boxes, "polygon_id").select(
         "polygon_id", "x1", "y1", "x2", "y2", F.explode(F.sequence(band(F.least("y1", "y2")), band(F.greatest("y1", "y2")))).alias("_band")
     )
     held = filed.groupBy("polygon_id", "_band").agg(F.ceil(F.count(F.lit(1)) / CHUNK_EDGES).alias("_chunks"))
     chunk = F.pmod(F.xxhash64("x1", "y1", "x2", "y2"), F.col("_chunks"))
-    arrays = (
+    arrays = cut_lineage(
         filed.join(held, ["polygon_id", "_band"])
         .groupBy("polygon_id", "_band", chunk.alias("_chunk"))
         .agg(F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("_edges"))
     )
-    index = lambda v: F.floor(v / F.lit(cell_deg)).cast("bigint")
-    squares = boxes.withColumn("_r", F.explode(F.sequence(index(F.col("_south")), index(F.col("_north")))))
-    squares = squares.withColumn("_c", F.explode(F.sequence(index(F.col("_west")), index(F.col("_east")))))
-    px, py = F.col("lng"), F.col("lat")
-    placed = points.select(point_key, "lat", "lng").withColumns({"_r": index(py), "_c": index(px)})
-    near = placed.join(squares, ["_r", "_c"]).filter(py.between(F.col("_south"), F.col("_north")) & px.between(F.col("_west"), F.col("_east")))
+    py, px = F.col("lat"), F.col("lng")
 
     def crosses(e: Column) -> Column:
         spans = (e["y1"] > py) != (e["y2"] > py)
         at = e["x1"] + F.try_divide((e["x2"] - e["x1"]) * (py - e["y1"]), e["y2"] - e["y1"])
         return spans & (px < at)
 
-    met = near.select(point_key, "lat", "lng", "polygon_id", band(py).alias("_band")).join(arrays, ["polygon_id", "_band"])
-    place = [point_key, "lat", "lng"]
+    place = ["lat", "lng"]
+    cell = ["_r", "_c"]
+    index = lambda v, side: F.floor(v / F.lit(side)).cast("bigint")
+    at_side = lambda frame, side: frame.withColumns({"_r": index(py, side), "_c": index(px, side)})
+    side = cell_deg
+    squares = boxes.withColumn("_r", F.explode(F.sequence(index(F.col("_south"), side), index(F.col("_north"), side))))
+    squares = squares.withColumn("_c", F.explode(F.sequence(index(F.col("_west"), side), index(F.col("_east"), side))))
+    places = cut_lineage(points.filter(F.col(point_key).isNotNull()).select(*place).distinct())
+    pairs = cut_lineage(squares.join(at_side(places, side).select(*cell).distinct(), cell, "left_semi"))
+    settled = []
+    for _ in range(HALVINGS):
+        counts = at_side(places, side).groupBy(*cell).agg(F.count(F.lit(1)).alias("_n"))
+        met = pairs.groupBy(*cell).agg(F.count(F.lit(1)).alias("_m")).join(counts, cell).agg(F.sum(F.col("_m") * F.col("_n"))).first()[0]
+        if (met or 0) <= PLACE_PAIRS * places.count():
+            break
+        side /= 2
+        smaller = at_side(places, side).select(*cell).distinct().withColumns({f"_up{x}": F.shiftright(x, 1) for x in cell})
+        inner = _touched(smaller.join(pairs.withColumnsRenamed({x: f"_up{x}" for x in cell}), [f"_up{x}" for x in cell]), arrays, side, band, crosses)
+        judged = cut_lineage(inner)
+        covered = judged.filter("_closed AND NOT _touched AND _odd").select(*cell).distinct()
+        here = at_side(places, side)
+        settled.append(cut_lineage(here.join(covered, cell, "left_semi").select(*place)))
+        left = judged.filter("_touched OR NOT _closed").join(covered, cell, "left_anti")
+        before, gone = places, pairs
+        places = cut_lineage(here.join(covered, cell, "left_anti").select(*place))
+        pairs = cut_lineage(left.select(*cell, "polygon_id").join(boxes, "polygon_id"))
+        discard(before, gone, judged)
+    near = at_side(places, side).join(pairs, cell).filter(py.between(F.col("_south"), F.col("_north")) & px.between(F.col("_west"), F.col("_east")))
+    met = near.select(*place, "polygon_id", band(py).alias("_band")).join(arrays, ["polygon_id", "_band"])
     crossings = met.select(*place, "polygon_id", F.size(F.filter("_edges", crosses)).alias("_n"))
     odd = crossings.groupBy(*place, "polygon_id").agg((F.sum("_n") % 2).alias("_odd"))
     inside = odd.groupBy(*place).agg((F.max("_odd") == 1).alias("inside"))
-    return lookup_join(points, inside, place).withColumn("inside", F.coalesce("inside", F.lit(False)))
+    for more in settled:
+        inside = inside.union(more.withColumn("inside", F.lit(True)))
+    # crossings of a row that occurs an even number of times add up to an even number
+    named = points.groupBy(point_key, *place).agg(F.count(F.lit(1)).alias("_n")).filter("_n % 2 = 1").drop("_n").join(inside, place)
+    found = lookup_join(points, named, [point_key, *place]).withColumn("inside", F.coalesce("inside", F.lit(False)))
+    return found.select(*points.columns, "inside")
+
+
+def _touched(
+    pairs: DataFrame, arrays: DataFrame, side: float, band: Callable[[Column], Column], crosses: Callable[[Column], Column]
+) -> DataFrame:
+    """Pairs of a cell (_r, _c) and a polygon with the polygon's box: whether an edge touches the cell, whether its centre is inside.
+
+    Boxes that miss the cell drop their pairs. A cell meets the arrays of all bands that it reaches into; crossings are counted
+    in the band of its centre.
+    """
+    half = side / 2 + CELL_MARGIN
+    lat, lng = ((F.col(x) + 0.5) * side for x in ("_r", "_c"))
+    cells = pairs.withColumns({"lat": lat, "lng": lng}).filter(
+        F.col("lat").between(F.col("_south") - half, F.col("_north") + half) & F.col("lng").between(F.col("_west") - half, F.col("_east") + half)
+    )
+
+    def touches(e: Column) -> Column:
+        """The edge's box meets the cell and the corners of the cell are not all on one side of its line."""
+        dx, dy = e["x2"] - e["x1"], e["y2"] - e["y1"]
+        boxes = (
+            (F.abs(F.col("lng") * 2 - e["x1"] - e["x2"]) <= F.abs(dx) + 2 * half) & (F.abs(F.col("lat") * 2 - e["y1"] - e["y2"]) <= F.abs(dy) + 2 * half)
+        )
+        return boxes & (F.abs((F.col("lng") - e["x1"]) * dy - (F.col("lat") - e["y1"]) * dx) <= half * (F.abs(dx) + F.abs(dy)))
+
+    reach = F.explode(F.sequence(band(F.col("lat") - half), band(F.col("lat") + half)))
+    rows = cells.select("_r", "_c", "lat", "lng", "polygon_id", "_closed", band(F.col("lat")).alias("_home"), reach.alias("_band"))
+    met = rows.join(arrays, ["polygon_id", "_band"], "left")
+    crossed = F.when(F.col("_band") == F.col("_home"), F.size(F.filter("_edges", crosses))).otherwise(0)
+    return (
+        met.select("_r", "_c", "polygon_id", "_closed", F.coalesce(F.exists("_edges", touches), F.lit(False)).alias("_t"), crossed.alias("_n"))
+        .groupBy("_r", "_c", "polygon_id", "_closed")
+        .agg(F.max("_t").alias("_touched"), (F.sum(F.coalesce("_n", F.lit(0))) % 2 == 1).alias("_odd"))
+    )

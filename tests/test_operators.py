@@ -280,6 +280,50 @@ def test_polygon_mask_brute(spark):
     assert 0 < sum(got.values()) < 600
 
 
+def test_polygon_mask_in_halved_cells(spark, monkeypatch):
+    rng = random.Random(12)
+    vertices = []
+    for p in range(60):  # boxes with a hole, triangles, and a few rings that do not close
+        x, y, w, h = 139.5 + rng.uniform(0, 0.1), 35.5 + rng.uniform(0, 0.1), rng.uniform(0.01, 0.06), rng.uniform(0.01, 0.06)
+        rings = [[(x, y), (x + w, y), (x + w, y + h), (x, y + h), (x, y)], [(x + w / 3, y + h / 3), (x + w / 2, y + h / 3), (x + w / 2, y + h / 2), (x + w / 3, y + h / 3)]]
+        rings = [[(x, y), (x + w, y + h / 4), (x, y + h), (x, y)]] if p % 3 == 0 else [rings[0][:4]] if p % 7 == 0 else rings
+        vertices += [(p, k, i, a, b) for k, ring in enumerate(rings) for i, (a, b) in enumerate(ring)]
+    points = [(i, 35.48 + rng.uniform(0, 0.2), 139.48 + rng.uniform(0, 0.2)) for i in range(1500)]
+    points += [points[0], points[1], points[1], (None, *points[2][1:]), (5000, *points[3][1:]), (5001, None, 139.5)]
+
+    boxes = {}
+    level = {(p, k, i): b for p, k, i, _, b in vertices}
+    slanted = [v for v in vertices if any(level.get((v[0], v[1], v[2] + d), v[4]) != v[4] for d in (-1, 1))]
+    for p, _, _, a, b in slanted:
+        w, s, e, n = boxes.get(p, (a, b, a, b))
+        boxes[p] = min(w, a), min(s, b), max(e, a), max(n, b)
+
+    def inside(lat, lng):
+        crossings = {}
+        for (p, k, i, x1, y1), (q, m, j, x2, y2) in zip(vertices, vertices[1:]):
+            west, south, east, north = boxes[p]
+            if not (west <= lng <= east and south <= lat <= north):  # a ring that does not close still has its box
+                continue
+            if (p, k) == (q, m) and (y1 > lat) != (y2 > lat) and lng < x1 + (x2 - x1) * (lat - y1) / (y2 - y1):
+                crossings[p] = crossings.get(p, 0) + 1
+        return any(n % 2 for n in crossings.values())
+
+    frames = (
+        spark.createDataFrame(points, "point_id int, lat double, lng double"),
+        spark.createDataFrame(vertices, "polygon_id int, ring_id int, seq int, lng double, lat double"),
+    )
+    plain = sorted(spatial.polygon_mask(*frames).collect(), key=str)
+    monkeypatch.setattr(spatial, "PLACE_PAIRS", 0)
+    touched, asked = spatial._touched, []
+    monkeypatch.setattr(spatial, "_touched", lambda pairs, *rest: asked.append(pairs.count()) or touched(pairs, *rest))
+    halved = sorted(spatial.polygon_mask(*frames).collect(), key=str)
+    assert halved == plain and len(asked) == spatial.HALVINGS
+    copies = {row: points.count(row) for row in points}
+    assert {tuple(r)[:3]: r.inside for r in halved} == {
+        row: row[0] is not None and row[1] is not None and n % 2 == 1 and inside(*row[1:]) for row, n in copies.items()
+    }
+
+
 def test_nearby_best_leaves_out_lower_spots(spark):
     rng = random.Random(3)
     spots = [(r, i, rng.choice([None, 1, 2, 3, 50]), rng.uniform(0, 3000), rng.uniform(0, 3000)) for i in range(400) for r in [i % 2]]

@@ -22,6 +22,7 @@ from operator import is_
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -108,9 +109,9 @@ def plan(counts: dict[int, int], limits: Limits) -> np.ndarray:
     return np.array(steps, dtype=np.int64).reshape(-1, 6)
 
 
-#: Distinct units whose ids a task remembers, about; beyond that it starts anew, which costs time, not results. Characters at a time.
+#: Distinct units whose ids a task remembers, about; beyond that it starts anew, which costs time, not results. Bytes at a time.
 UNITS = 1_200_000
-GROUP = 1 << 19
+GROUP = 1 << 22
 #: No pre-token spans a single space between two other characters, except as its first character: there a text may be cut.
 UNIT = re.compile(r"(?<=\S)(?= \S)")
 # Marks that no pre-token joins with letters before them (an apostrophe is one that some do).
@@ -149,7 +150,9 @@ class Encoder:
         if self.model is None:
             return self.lines(words) if before else self.batch(words)
         tokenize, space = self.model.tokenize, ALPHABET[32] if before else ""
-        return [array("I", [t.id for t in tokenize(space + w.encode().decode("latin-1").translate(ALPHABET))]).tobytes() for w in words]
+        # letters of ASCII stand for themselves
+        spelt = (space + (w if w.isascii() else w.encode().decode("latin-1").translate(ALPHABET)) for w in words)
+        return [array("I", [t.id for t in tokenize(x)]).tobytes() for x in spelt]
 
     def lines(self, words: list[str]) -> list[bytes]:
         """Ids of words without white space after a space each, all in one text: a line break is a token of its own there."""
@@ -203,44 +206,53 @@ class Encoder:
         if new:
             self.learn(self.plain, new, "")
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text."""
+    def encode(self, texts: pa.Array | list[str]) -> list[np.ndarray]:
+        """Ids of each text. Units are split, told apart and laid out as columns; Python sees each distinct one of a call once."""
         for known in (self.plain, self.after_space):
             if len(known) > UNITS:
                 known.clear()
-        split = [text.split(" ") for text in texts]
-        self.learn_plain({s[0] for s in split})
-        units = list(set().union(*(s[1:] for s in split)))
-        found = list(map(self.after_space.get, units))
-        new = [u for u in compress(units, map(is_, found, repeat(None))) if u not in self.after_space]
+        texts = pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts.cast(pa.large_string())
+        split = pa.compute.split_pattern(texts, " ")
+        bounds, units = split.offsets.to_numpy(), split.values
+        behind = np.ones(len(units), bool)
+        behind[bounds[:-1]] = False
+        firsts = units.take(pa.array(bounds[:-1])).to_pylist()
+        self.learn_plain(set(firsts))
+        coded = units.filter(pa.array(behind)).dictionary_encode()
+        # joined and split again, which is much faster than one value at a time; units hold no spaces
+        whole = pa.compute.binary_join(pa.ListArray.from_arrays(pa.array([0, len(coded.dictionary)], pa.int32()), coded.dictionary), pa.scalar(" ", pa.large_string()))
+        distinct = whole[0].as_py().split(" ") if len(coded.dictionary) else []
+        found = list(map(self.after_space.get, distinct))
+        new = [u for u in compress(distinct, map(is_, found, repeat(None))) if u not in self.after_space]
         if new:
             self.learn(self.after_space, new, " ")
-            found = list(map(self.after_space.get, units))
-        # the units of these texts in a table of their own, which is small enough to be looked up fast
-        near = dict(zip(units, found, strict=True)).__getitem__
-        odd = set(compress(units, map(is_, found, repeat(None))))
+            found = list(map(self.after_space.get, distinct))
+        laid = pa.array(found, pa.large_binary()).take(coded.indices)
+        at = np.frombuffer(laid.buffers()[1], np.int64)[: len(laid) + 1]
+        ids = np.frombuffer(laid.buffers()[2] or b"", "<u4")
+        odd = np.concatenate([[0], np.cumsum(laid.is_null().to_numpy(zero_copy_only=False))])
+        # the units behind the first one of text i are from bounds[i] - i on, as each text before has one first unit
+        ends = bounds - np.arange(len(bounds))
         out = []
-        for text, (first, *rest) in zip(texts, split, strict=True):
-            if first[-1:].isspace() or (not first and rest) or (odd and not odd.isdisjoint(rest)):
-                care = UNIT.split(text)  # white space touches a space: cut with care
+        for i, (first, a, b) in enumerate(zip(firsts, ends[:-1].tolist(), ends[1:].tolist(), strict=True)):
+            if first[-1:].isspace() or (not first and b > a) or odd[b] > odd[a]:
+                care = UNIT.split(texts[i].as_py())  # white space touches a space: cut with care
                 self.learn_plain(set(care))
                 out.append(np.frombuffer(b"".join(map(self.plain.__getitem__, care)), "<u4"))
             else:
-                out.append(np.frombuffer(self.plain[first] + b"".join(map(near, rest)), "<u4"))
+                out.append(np.concatenate([np.frombuffer(self.plain[first], "<u4"), ids[at[a] // 4 : at[b] // 4]]))
         return out
 
 
-def groups(texts: list[str]) -> Iterator[list[str]]:
-    """Texts in groups of bounded size, in order."""
-    group, size = [], 0
-    for text in texts:
-        if group and size + len(text) > GROUP:
-            yield group
-            group, size = [], 0
-        group.append(text)
-        size += len(text)
-    if group:
-        yield group
+def groups(texts: pa.Array) -> Iterator[pa.Array]:
+    """Texts in groups of bounded size, in order; a longer text is a group of its own."""
+    ends = np.cumsum(pa.compute.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < len(texts):
+        before = ends[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(ends, before + GROUP, side="right")))
+        yield texts.slice(start, end - start)
+        start = end
 
 
 @lru_cache(maxsize=4)
@@ -255,7 +267,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> DataFr
         encode = encoder(vocabulary).encode
         for batch in batches:
             rows, out = [], ([], [], [], [])
-            texts = [t or "" for t in batch.column(1).cast(pa.large_string()).to_pylist()]
+            texts = pa.compute.fill_null(batch.column(1).cast(pa.large_string()), "")
             for row, found in enumerate(x for group in groups(texts) for x in encode(group)):
                 ids = np.append(found, np.array([END], "<u4"))
                 first = len(ids) % capacity or capacity

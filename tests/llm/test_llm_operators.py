@@ -201,6 +201,24 @@ def test_packing_ids_at_unit_edges():
         assert np.array_equal(encoder.encode([text])[0], np.array(tok.encode(text, add_special_tokens=False).ids, dtype="<u4")), text
 
 
+def test_packing_ids_of_columns():
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(vocabulary())
+    tok.encode_special_tokens = True
+    rng = random.Random(5)
+    parts = [" ", " ", " ", "  ", "\n", "a", "Bc", "don't", ".", "é", "\u3000", "漢字", "\0", "<|endoftext|>"]
+    texts = ["", "abc", " ", *("".join(rng.choice(parts) for _ in range(rng.randrange(30))) for _ in range(500)), "x y " * 2_000_000, "", "last one"]
+    column, encoder = pa.array(texts), packing.Encoder(vocabulary())
+    found = list(packing.groups(column))
+    assert [len(x) for x in found] == [503, 1, 2] and pa.concat_arrays(found).equals(column)
+    for group in (column.slice(0, 1), column.slice(1, 1), column.slice(2, 300), column.slice(302, 201), column.slice(504, 2)):
+        for text, ids in zip(group.to_pylist(), encoder.encode(group), strict=True):
+            assert ids.tolist() == tok.encode(text, add_special_tokens=False).ids, text
+    assert len(encoder.encode(found[1])[0]) - 1 == (len(encoder.encode(["x y " * 2_000])[0]) - 1) * 1000
+
+
 def test_near_vectors(spark):
     rng = random.Random(1)
     gauss = lambda n: [rng.gauss(0, 1) for _ in range(n)]

@@ -8,6 +8,7 @@ then score every document of the corpus, whole texts included.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,6 +17,7 @@ import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from landlens.llm.anchors import BYTE_HASH, mixed, prefix, stretch
 
@@ -257,8 +259,8 @@ def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         at = end
 
 
-def sample(docs: DataFrame, labels: DataFrame, labelled: int, pool: int) -> pa.Table:
-    """At most ``labelled`` documents with labels and ``pool`` without, as features of both views: bounded, for the driver."""
+def sample(docs: DataFrame, labels: DataFrame, labelled: int, pool: int) -> DataFrame:
+    """At most ``labelled`` documents with labels and ``pool`` without, as features of both views: a row each."""
     one = labels.filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_id")).agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
     order = F.xxhash64("doc_id")
     ids = docs.select("doc_id").filter("doc_id IS NOT NULL").distinct()
@@ -286,13 +288,11 @@ def sample(docs: DataFrame, labels: DataFrame, labelled: int, pool: int) -> pa.T
         .select("doc_id", "quality", "toxic", "t.text", "t.source", "t.lang")
     )
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = picked.mapInArrow(run, f"doc_id {kind}, quality int, toxic int, content array<long>, page array<long>")
-    return rows.orderBy("doc_id").toArrow()
+    return picked.mapInArrow(run, f"doc_id {kind}, quality int, toxic int, content array<long>, page array<long>")
 
 
-def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL) -> tuple[Question, Question]:
-    """(good writing, toxic), from bounded samples of labelled and unlabelled documents."""
-    got = sample(docs, labels, labelled, pool)
+def learned(got: pa.Table) -> tuple[Question, Question]:
+    """(good writing, toxic), from the rows of a sample in order of their ids."""
     both = []
     for name in ("content", "page"):
         lists = got.column(name).combine_chunks()
@@ -303,6 +303,22 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: in
     return tuple(co_train(tuple(both), np.where(column(n) > 0, 1, column(n)), fold) for n in ("quality", "toxic"))
 
 
+def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL) -> tuple[Question, Question]:
+    """(good writing, toxic), from bounded samples of labelled and unlabelled documents.
+
+    One task learns from the bounded samples, so that only the models reach the driver.
+    """
+    rows = sample(docs, labels, labelled, pool)
+    schema = to_arrow_schema(rows.schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = pa.Table.from_batches([b.cast(schema) for b in batches], schema)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(learned(got))], pa.binary())], ["models"])
+
+    found = rows.repartition(1).sortWithinPartitions("doc_id").mapInArrow(run, "models binary").collect()
+    return pickle.loads(found[0].models) if found else learned(schema.empty_table())
+
+
 def classify(docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHOLD, labelled: int = LABELLED, pool: int = POOL) -> DataFrame:
     """doc_id, p_good, p_toxic, score = p_good * (1 - p_toxic), kept = score >= threshold; one row per input row.
 

@@ -277,6 +277,27 @@ def test_classifier_edges(docs, nothing, spark):
     assert classifier.classify(docs, labels.limit(0)).count() == docs.count()
 
 
+def test_classifier_learns_in_a_task(spark, monkeypatch):
+    words = [("calm", "green", "river"), ("spam", "win", "cash")]
+    docs = spark.createDataFrame(
+        [(i, " ".join(words[i % 2]) + f" number{i % 7}", f"s{i % 2}", "en") for i in range(200)], "doc_id long, text string, source string, lang string"
+    )
+    labels = spark.createDataFrame([(i, 1 - i % 2, i % 2) for i in range(0, 200, 3)] + [(0, None, None), (1, 0, 0)], "doc_id long, quality int, toxic int")
+    rows = classifier.sample(docs, labels, 50, 20)
+    want = classifier.learned(rows.orderBy("doc_id").toArrow())
+
+    def refuse(*_):
+        raise AssertionError("the sample reached the driver")
+
+    monkeypatch.setattr(type(docs), "toArrow", refuse)
+    got = classifier.train(docs, labels, 50, 20)
+    for a, b in zip(got, want, strict=True):
+        assert a.weights.tolist() == b.weights.tolist()
+        for m, n in zip(a.models, b.models, strict=True):
+            assert len(m.features) and m.features.tolist() == n.features.tolist() and m.weights.tolist() == n.weights.tolist() and m.bias == n.bias
+    assert classifier.classify(docs, labels).filter("kept = (doc_id % 2 = 0)").count() == 200
+
+
 def test_keep_one_against_brute_jaccard(spark):
     rng = random.Random(11)
     texts = []

@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from landlens.functions.geo import METERS_PER_DEGREE, local_offsets, offset_coordinates, pixel_positions, rough_scope
 from landlens.functions.labels import CANDIDATE, grid_label_code
-from landlens.functions.numeric import clamp, half_even, half_up, let
+from landlens.functions.numeric import clamp, half_even, half_up
 from landlens.operators import raster as rs
 from landlens.operators import windows as win
 from landlens.operators.ranking import ordered_rank
@@ -124,27 +127,58 @@ def _site_samples(scale: float, centre: tuple[float, float], zoom: int, origin:
     return compute
 
 
+def _wide(column: pa.ListArray, values: pa.Array, width: int) -> np.ndarray:
+    """Elements of each list (``values``, one after another) as rows of ``width`` numbers; unknown or missing ones are masked."""
+    sizes = pa.compute.list_value_length(column).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    at = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    out = np.ma.masked_all((len(sizes), width))
+    kept = (at < width) & values.is_valid().to_numpy(zero_copy_only=False)
+    out[row[kept], at[kept]] = values.to_numpy(zero_copy_only=False)[kept]
+    return out
+
+
+def _share(x: np.ndarray) -> np.ndarray:
+    """Limits to 0..1 as :func:`clamp` does, to which NaN is the largest number."""
+    return np.where(np.isnan(x), 1.0, np.clip(x, 0.0, 1.0))
+
+
+def _with_columns(df: DataFrame, used: str, added: str, compute) -> DataFrame:
+    """``df`` with column ``used`` replaced by the arrays that ``compute`` makes of a batch, behind the others."""
+    kept = [f for f in df.schema.fields if f.name != used]
+    schema = StructType([*kept, *StructType.fromDDL(added).fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), *compute(batch)], names=schema.names)
+
+    return df.mapInArrow(run, schema)
+
+
 def line_axes(terrain: DataFrame, scales=SCALES) -> DataFrame:
     """Rows of :func:`site_terrain` with ``axes``: high and low line strength per axis, NULL as soon as one of the four samples
     is unknown."""
-    threshold = F
-    for scale, t, _ in scales:
-        threshold = threshold.when(F.col("scale") == scale, t)
+    limits = {scale: float(t) for scale, t, _ in scales}
 
-    def strength(axis: Column, sign: int) -> Column:
-        level = lambda k: clamp(
-            (sign * F.get("samples", axis * len(FACTORS) + k) - F.lit(0.18) * threshold) / (F.lit(1.55) * threshold), 0.0, 1.0
-        )
+    def compute(batch: pa.RecordBatch) -> list[pa.Array]:
+        column = batch.column("samples")
+        samples = _wide(column, column.flatten(), len(AXES) * len(FACTORS))
+        limit = np.array([limits.get(x, np.nan) for x in batch.column("scale").to_pylist()])
+        known = ~np.ma.getmaskarray(samples).reshape(-1, len(AXES), len(FACTORS)).any(axis=2) & ~np.isnan(limit)[:, None]
+        values, threshold = samples.filled(0.0).reshape(-1, len(AXES), len(FACTORS)), limit[:, None, None]
 
-        def along(v: Column) -> Column:
-            back, ahead = v[1] * 0.62 + v[0] * 0.38, v[2] * 0.62 + v[3] * 0.38
-            continuity = (v[0] + v[1] + v[2] + v[3]) / 4.0
-            return clamp(F.sqrt(back * ahead) * (F.lit(0.68) + continuity * 0.32), 0.0, 1.0)
+        def strength(sign: int) -> pa.Array:
+            v = _share((sign * values - 0.18 * threshold) / (1.55 * threshold))
+            back, ahead = v[..., 1] * 0.62 + v[..., 0] * 0.38, v[..., 2] * 0.62 + v[..., 3] * 0.38
+            continuity = (v[..., 0] + v[..., 1] + v[..., 2] + v[..., 3]) / 4.0
+            along = _share(np.sqrt(back * ahead) * (0.68 + continuity * 0.32))
+            return pa.array(along.ravel(), mask=~known.ravel())
 
-        return let(F.array(*[level(k) for k in range(len(FACTORS))]), along)
+        axis = pa.array(np.tile(np.arange(len(AXES), dtype=np.int32), len(batch)))
+        each = pa.StructArray.from_arrays([axis, strength(1), strength(-1)], ["axis", "high", "low"])
+        return [pa.ListArray.from_arrays(np.arange(len(batch) + 1, dtype=np.int32) * len(AXES), each)]
 
-    axis = lambda i: F.struct(i.alias("axis"), strength(i, 1).alias("high"), strength(i, -1).alias("low"))
-    return terrain.withColumn("axes", F.transform(F.sequence(F.lit(0), F.lit(len(AXES) - 1)), axis)).drop("samples")
+    return _with_columns(terrain, "samples", "axes array<struct<axis: int, high: double, low: double>>", compute)
 
 
 def _pair_quality(pairs: list[tuple[int, int]]) -> list[tuple[int, int, float]]:
@@ -157,12 +191,11 @@ def _pair_quality(pairs: list[tuple[int, int]]) -> list[tuple[int, int, float]]:
     return out
 
 
-def _top_two(strengths: Column, second_share: float) -> Column:
-    def blend(ordered: Column) -> Column:
-        first, second = F.get(ordered, F.lit(0)), F.get(ordered, F.lit(1))
-        return F.lit(1.0) - (F.lit(1.0) - first) * (F.lit(1.0) - second * second_share)
-
-    return let(let(F.sort_array(strengths, asc=False), blend), lambda v: clamp(v, 0.0, 1.0))
+def _top_two(strengths: np.ndarray, second_share: float) -> np.ma.MaskedArray:
+    """The two strongest of each row blended; unknown without two known ones."""
+    ordered = np.sort(strengths.filled(-np.inf), axis=1)
+    first, second = ordered[:, -1], ordered[:, -2]
+    return np.ma.array(_share(1.0 - (1.0 - first) * (1.0 - second * second_share)), mask=np.isneginf(second))
 
 
 def axis_crossings(axes: DataFrame) -> DataFrame:
@@ -170,22 +203,27 @@ def axis_crossings(axes: DataFrame) -> DataFrame:
     n = len(AXES)
     same = _pair_quality([(i, j) for i in range(n) for j in range(i + 1, n)])
     cross = _pair_quality([(i, j) for i in range(n) for j in range(n)])
-    pairs = lambda table: F.array(
-        *[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(q).alias("q")) for i, j, q in table]
-    )
 
-    def strengths(table, first: str, second: str) -> Column:
-        a = F.col("axes")
-        return F.transform(pairs(table), lambda p: F.sqrt(F.get(a, p["i"])[first] * F.get(a, p["j"])[second]) * p["q"])
-
-    known = F.size(F.filter("axes", lambda x: x["high"].isNull())) == 0
-    value = lambda v: F.when(known, v).otherwise(0.0)
-    return axes.select(
-        *[x for x in axes.columns if x != "axes"],
-        value(_top_two(strengths(same, "high", "high"), 0.45)).alias("high"),
-        value(_top_two(strengths(same, "low", "low"), 0.45)).alias("low"),
-        value(_top_two(strengths(cross, "high", "low"), 0.35)).alias("ordinary"),
-    )
+    def compute(batch: pa.RecordBatch) -> list[pa.Array]:
+        column = batch.column("axes")
+        each = column.flatten()
+        sides = dict(zip((f.name for f in each.type), each.flatten(), strict=True))
+        high, low = (_wide(column, sides[name], n) for name in ("high", "low"))
+        row = np.repeat(np.arange(len(batch)), pa.compute.list_value_length(column).fill_null(0).to_numpy(zero_copy_only=False))
+        unknown = np.bincount(row[sides["high"].is_null().to_numpy(zero_copy_only=False)], minlength=len(batch)) > 0
+        unknown |= column.is_null().to_numpy(zero_copy_only=False)
+
+        def crossing(table, first, second, share: float) -> pa.Array:
+            i, j, q = (np.array(x) for x in zip(*table))
+            with np.errstate(invalid="ignore"):
+                product = first[:, i].filled(0.0) * second[:, j].filled(0.0)
+                strengths = np.ma.array(np.sqrt(product) * q, mask=np.ma.getmaskarray(first)[:, i] | np.ma.getmaskarray(second)[:, j])
+            value = _top_two(strengths, share)
+            return pa.array(np.where(unknown, 0.0, value.data), mask=~unknown & np.ma.getmaskarray(value))
+
+        return [crossing(same, high, high, 0.45), crossing(same, low, low, 0.45), crossing(cross, high, low, 0.35)]
+
+    return _with_columns(axes, "axes", "high double, low double, ordinary double", compute)
 
 
 def weight_of(scales=SCALES) -> Column:

@@ -433,3 +433,54 @@ def test_queue_without_a_limit_is_an_error(spark):
     assert {(r.sample_id, r.queue_count) for r in discovery.queue_items(queued, limits=None).collect()} == {(1, 2), (2, 2), (3, 1)}
     with pytest.raises(Exception, match="no limit for the queue b"):
         discovery.queue_items(queued, limits={"a": 1}).collect()
+
+
+def test_axes_and_crossings_run_on_batches(spark, capsys):
+    """No expression per axis pair is evaluated row by row; values follow the written rule, unknown ones included."""
+    import math
+    import random
+
+    from landlens.operators import grid_terrain as gt
+
+    rng = random.Random(4)
+    rows = [(i, (300, 1000, 3000)[i % 3], [rng.uniform(-4, 12) for _ in range(32)]) for i in range(60)]
+    rows += [(60, 300, [None, *[5.0] * 31]), (61, 300, None), (62, 300, [9.0] * 30), (63, 77, [9.0] * 32), (64, None, [9.0] * 32), (65, 300, [0.0] * 32)]
+    terrain = spark.createDataFrame(rows, "site_id long, scale int, samples array<double>")
+    axes = gt.line_axes(terrain)
+    crossed = gt.axis_crossings(axes)
+    crossed.explain()
+    plan = capsys.readouterr().out
+    assert plan.count("MapInArrow") == 2 and "transform(" not in plan
+    assert axes.columns == ["site_id", "scale", "axes"] and crossed.columns == ["site_id", "scale", "high", "low", "ordinary"]
+
+    def side(samples, threshold, sign):
+        if threshold is None or samples is None or len(samples) < 4 or None in samples:
+            return None
+        v = [min(1.0, max(0.0, (sign * x - 0.18 * threshold) / (1.55 * threshold))) for x in samples]
+        ends = (v[1] * 0.62 + v[0] * 0.38) * (v[2] * 0.62 + v[3] * 0.38)
+        return min(1.0, max(0.0, math.sqrt(ends) * (0.68 + sum(v) / 4.0 * 0.32)))
+
+    limits = {s: t for s, t, _ in gt.SCALES}
+    got = {r.site_id: r.axes for r in axes.collect()}
+    want = {}
+    for i, scale, samples in rows:
+        four = [samples and samples[4 * k : 4 * k + 4] for k in range(8)]
+        want[i] = [(k, side(x, limits.get(scale), 1), side(x, limits.get(scale), -1)) for k, x in enumerate(four)]
+        for x, y in zip(got[i], want[i], strict=True):
+            assert tuple(x)[0] == y[0] and all((a is None) == (b is None) and (a is None or abs(a - b) < 1e-12) for a, b in zip(x[1:], y[1:], strict=True))
+
+    def best(pairs, a, b, share):
+        first, second = sorted((math.sqrt(a[i] * b[j]) * q for i, j, q in pairs), reverse=True)[:2]
+        return 1 - (1 - first) * (1 - second * share)
+
+    same = gt._pair_quality([(i, j) for i in range(8) for j in range(i + 1, 8)])
+    cross = gt._pair_quality([(i, j) for i in range(8) for j in range(8)])
+    for r in crossed.collect():
+        high, low = ([x[k] for x in want[r.site_id]] for k in (1, 2))
+        expected = (0, 0, 0) if None in high else (best(same, high, high, 0.45), best(same, low, low, 0.45), best(cross, high, low, 0.35))
+        assert all(abs(a - b) < 1e-12 for a, b in zip((r.high, r.low, r.ordinary), expected, strict=True)), r
+    kind = "site_id long, axes array<struct<axis: int, high: double, low: double>>"
+    odd = [(1, None), (2, [None] + [(k, 0.5, 0.5) for k in range(1, 8)]), (3, [(0, 0.5, 0.5)]), (4, []), (5, [(k, 0.5, None) for k in range(8)])]
+    found = {r.site_id: (r.high, r.low, r.ordinary) for r in gt.axis_crossings(spark.createDataFrame(odd, kind)).collect()}
+    assert found[1] == found[2] == (0, 0, 0) and found[3] == found[4] == (None, None, None)
+    assert found[5][0] is not None and found[5][1:] == (None, None)

@@ -14,7 +14,7 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from landlens.llm.components import components
@@ -189,8 +189,6 @@ STAGE_WORDS = 5
 STAGE_TENTHS = 8
 #: Bits by which the stage's fingerprints, of the same shingles, may differ for their texts to be compared first.
 STAGE_RADIUS = 3
-#: Places within a set that a posting tells apart; later ones count as the last of these, which can only add candidates.
-PLACES = 1 << 24
 #: Documents whose shingles are counted to find common ones, and how many common ones are set behind the others.
 SAMPLE_DOCS = 20_000
 COMMON = 200_000
@@ -206,16 +204,19 @@ def shingle_set(text: bytes, width: int = STAGE_WORDS) -> np.ndarray:
     return np.unique(np.fromiter(map(xxh64, map(b" ".join, zip(*[words[i:] for i in range(width)], strict=False))), np.uint64))
 
 
-def prefix_of(hashes: np.ndarray, common: np.ndarray) -> np.ndarray:
-    """The shingles of which sets of the stage's similarity share one at least: the first n - ceil(J n) + 1 in one order of all.
+def prefix_of(hashes: np.ndarray, common: np.ndarray) -> tuple[int, np.ndarray]:
+    """How many shingles of the prefix a near set's prefix holds too at least, and the prefix.
 
-    Any order does; with common shingles at its end few sets meet by what is in many documents.
+    Sets of the stage's similarity share at least m = ceil(J n) of the n shingles of each. In one order of all shingles the
+    first n - m + l of one then hold l, a tenth of n, that the other's prefix holds as well; of sets of two sizes, m - l does
+    not fall with n. Any order does; with common shingles at its end few sets meet by what is in many documents.
     """
     late = np.zeros(len(hashes), bool)
     if len(common):  # sorted
         late = common[np.minimum(np.searchsorted(common, hashes), len(common) - 1)] == hashes
     n = len(hashes)
-    return np.concatenate([hashes[~late], hashes[late]])[: n + (-STAGE_TENTHS * n // 10) + 1]
+    least = -(-n // 10)
+    return least, np.concatenate([hashes[~late], hashes[late]])[: n + (-STAGE_TENTHS * n // 10) + least]
 
 
 ARROW = {"long": pa.int64(), "array<long>": pa.list_(pa.int64())}
@@ -287,56 +288,97 @@ def simhash_links(texts: DataFrame, radius: int = STAGE_RADIUS) -> DataFrame:
     return links
 
 
+def crowded(texts: DataFrame) -> DataFrame:
+    """The keys of ``texts`` (key, group, text) that can be near a text of another group: only these are compared.
+
+    Each has as many shingles in its prefix that prefixes of other groups hold too as :func:`prefix_of` asks for.
+    """
+    common = common_shingles(texts)
+
+    def posting(hashes: np.ndarray) -> tuple:
+        least, prefix = prefix_of(hashes, common)
+        return least, prefix.view(np.int64)
+
+    each = mapped(texts, ["key", "group"], posting, "least long, prefix array<long>")
+    each = each.select("key", "group", "least", F.explode("prefix").alias("h"))
+    met = several_groups(each)
+    return met.groupBy("key", "least").agg(F.count(F.lit(1)).alias("met")).filter("met >= least").select("key")
+
+
+def several_groups(rows: DataFrame) -> DataFrame:
+    """``rows`` of the shingles (h) that more than one group holds, and how many rows hold them (times)."""
+    held = Window.partitionBy("h")
+    met = rows.withColumns({"times": F.count(F.lit(1)).over(held), "_least": F.min("group").over(held), "_most": F.max("group").over(held)})
+    return met.filter("_least < _most").drop("_least", "_most")
+
+
+def rare_first(shared: DataFrame) -> DataFrame:
+    """Postings (key, group, n, alone, at, h): the prefixes of the sets in the order by the number of sets that hold a shingle.
+
+    ``shared``: key, group, n (size of the whole set), h and times, one row per shingle that several groups hold. The others,
+    ``alone`` of a set's shingles, come first in this order and meet nothing, so that a set with many of its own has a short
+    prefix left, or none. Postings stand at place ``at`` of their set.
+    """
+    lists = shared.groupBy("key", "group", "n").agg(F.sort_array(F.collect_list(F.struct("times", "h"))).alias("order"))
+    lists = lists.withColumn("alone", F.col("n") - F.size("order"))
+    room = F.expr(f"n - ({STAGE_TENTHS} * n + 9) div 10 + 1 - alone").cast("int")
+    lists = lists.withColumn("room", room).filter("room > 0")
+    each = lists.select("key", "group", "n", "alone", F.posexplode(F.slice("order", F.lit(1), F.col("room"))).alias("at", "x"))
+    return each.select("key", "group", "n", "alone", (F.col("at") + F.col("alone")).alias("at"), "x.h")
+
+
+def can_reach(n_a: Column, at_a: Column, n_b: Column, at_b: Column) -> Column:
+    """Whether sets of these sizes whose first common shingle stands at these places can have the similarity.
+
+    J >= t/10 where the sets share s of their n_a + n_b shingles: 10 s >= t (n_a + n_b - s).
+    """
+    return (10 + STAGE_TENTHS) * F.least(n_a - at_a, n_b - at_b) >= STAGE_TENTHS * (n_a + n_b)
+
+
+def leaders(posts: DataFrame) -> DataFrame:
+    """For each key one candidate of another group, as pairs (key_a < key_b): the one that it meets in most postings.
+
+    A shingle's leader is the set with the least share of shingles of its own, an original rather than one of its copies.
+    """
+    far = F.expr("alone * 1000 div n").alias("far")
+    best = posts.groupBy("h").agg(F.min(F.struct(far, "key", "group", "n", "at")).alias("x"))
+    met = posts.join(best, "h").filter((F.col("group") != F.col("x.group")) & can_reach(F.col("n"), F.col("at"), F.col("x.n"), F.col("x.at")))
+    met = met.groupBy("key", F.col("x.key").alias("lead")).agg(F.count(F.lit(1)).alias("times"))
+    each = met.groupBy("key").agg(F.max(F.struct("times", "lead")).alias("x"))
+    return each.select(F.least("key", "x.lead").alias("key_a"), F.greatest("key", "x.lead").alias("key_b")).distinct()
+
+
 def jaccard_links(texts: DataFrame) -> DataFrame:
     """Links (a, b) between set keys whose shingle sets have a Jaccard similarity of 0.8 or more, enough of them to connect all
     that are linked by chains.
 
     ``texts``: key and text, one row per key. SimHash links come first; as no radius covers the similarity, the texts that
-    they leave apart are then linked without misses. Candidates share a shingle of their prefixes and can still reach the
-    similarity by their sizes and by what follows that shingle. Each key is compared by its whole set with its first
-    candidate; then all candidate pairs that no link connects yet are. So most pairs within a large group of near copies need no
-    comparison, and a shingle that only one SimHash class holds makes none.
+    they leave apart are then linked without misses. Of those that can be near another group at all (:func:`crowded`) candidates
+    share a shingle of their prefixes, rare shingles first, and can still reach the similarity by their sizes and by what
+    follows that shingle. Each is compared by its whole set with one leader; only candidates that no link connects then are made
+    into pairs, in an order in which the shingles of one linked group count as its own. So copies of one text that are linked, or
+    that have too many words of their own to be near each other, make no pairs, however many they are.
     """
     close = simhash_links(texts)
     known = cut_lineage(components(close).select(F.col("node").alias("key"), "root"))
-    texts = texts.join(known, "key", "left").select("key", "root", "text")
-    common = common_shingles(texts)
-
-    def posting(hashes: np.ndarray) -> tuple:
-        return len(hashes), prefix_of(hashes, common).view(np.int64)
-
-    each = mapped(texts, ["key", "root"], posting, "n long, prefix array<long>")
-    each = each.select("key", "root", "n", F.posexplode("prefix").alias("at", "h"))
-    # size and place travel as one number; shingles of one text or class fall away where they meet, in the same shuffle
-    each = each.select("key", "root", "h", (F.col("n") * PLACES + F.least("at", F.lit(PLACES - 1))).alias("where"))
-    group, held = F.coalesce("root", "key"), Window.partitionBy("h")
-    met = each.withColumns({"_least": F.min(group).over(held), "_most": F.max(group).over(held)})
-    met = cut_lineage(met.filter("_least < _most").drop("_least", "_most"))
-    a, b = (
-        met.select("h", F.col("key").alias(f"key_{x}"), group.alias(f"group_{x}"), F.expr(f"where div {PLACES}").alias(f"n_{x}"), F.expr(f"where % {PLACES}").alias(f"at_{x}"))
-        for x in "ab"
-    )
-    shared = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
-    both = F.col("n_a") + F.col("n_b")
-    # J >= t/10 where the sets share s of their n_a + n_b hashes: 10 s >= t (n_a + n_b - s)
-    pairs = cut_lineage(
-        a.join(b, "h")
-        .filter((F.col("key_a") < F.col("key_b")) & (F.col("group_a") != F.col("group_b")) & ((10 + STAGE_TENTHS) * shared >= STAGE_TENTHS * both))
-        .select("key_a", "key_b")
-        .distinct()
-    )
-    sets = sets_of(texts, pairs)
-    discard(met)
-    nearest = pairs.groupBy("key_b").agg(F.min("key_a").alias("key_a"))
+    texts = texts.join(known, "key", "left").select("key", F.coalesce("root", "key").alias("group"), "text")
+    busy = cut_lineage(crowded(texts))
+    sets = cut_lineage(mapped(texts.join(busy, "key", "left_semi"), ["key", "group"], lambda h: (h.view(np.int64),), "h array<long>"))
+    each = sets.select("key", "group", F.size("h").cast("long").alias("n"), F.explode("h").alias("h"))
+    shared = cut_lineage(several_groups(each))
+    posts = cut_lineage(rare_first(shared))
+    nearest = cut_lineage(leaders(posts))
     first = cut_lineage(close.union(verified(nearest, sets)))
-    member = cut_lineage(components(first))
-    root_a, root_b = (member.select(F.col("node").alias(f"key_{x}"), F.col("root").alias(f"root_{x}")) for x in "ab")
-    apart = F.coalesce("root_a", "key_a") != F.coalesce("root_b", "key_b")
-    rest = pairs.join(root_a, "key_a", "left").join(root_b, "key_b", "left").filter(apart).select("key_a", "key_b")
-    rest = cut_lineage(rest.join(nearest, ["key_a", "key_b"], "left_anti"))
-    asked = rest.select(F.col("key_a").alias("key")).union(rest.select(F.col("key_b").alias("key"))).distinct()
-    second = cut_lineage(verified(rest, sets.join(asked, "key", "left_semi")))
-    discard(close, known, pairs, sets, member, rest)
+    member = cut_lineage(components(first).select(F.col("node").alias("key"), F.col("root").alias("now")))
+    regrouped = shared.drop("times").join(member, "key", "left").withColumn("group", F.coalesce("now", "group")).drop("now")
+    left = cut_lineage(rare_first(several_groups(regrouped)))
+    discard(shared, posts, busy)
+    a, b = (left.select("h", *[F.col(c).alias(f"{c}_{x}") for c in ("key", "group", "n", "at")]) for x in "ab")
+    reach = can_reach(*[F.col(c) for c in ("n_a", "at_a", "n_b", "at_b")])
+    pairs = a.join(b, "h").filter((F.col("key_a") < F.col("key_b")) & (F.col("group_a") != F.col("group_b")) & reach)
+    rest = cut_lineage(pairs.select("key_a", "key_b").distinct().join(nearest, ["key_a", "key_b"], "left_anti"))
+    second = cut_lineage(verified(rest, sets))
+    discard(close, known, sets, nearest, member, left, rest)
     return first.union(second)
 
 

@@ -3,6 +3,7 @@
 import random
 
 import brute
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -438,3 +439,35 @@ def test_keep_one_compares_fingerprints(spark, monkeypatch):
     monkeypatch.setattr(simhash, "near_links", lambda prints, radius: met.append(radius) or near_links(prints, radius))
     kept = simhash.keep_one(keyed.withColumnRenamed("key", "doc_id")).select("doc_id").collect()
     assert met == [simhash.STAGE_RADIUS] and sorted(r.doc_id for r in kept) == [0, *range(41, 63)]
+
+
+def test_keep_one_large_group_makes_few_pairs(spark, monkeypatch):
+    rng = random.Random(14)
+    base = words(rng, 150).split(" ")
+    texts = [" ".join(base)]
+    for changes in [2] * 60 + [4] * 60 + [8] * 100:
+        copy = list(base)
+        for at in rng.sample(range(150), changes):
+            copy[at] = "changed" + str(rng.randrange(10**6))
+        texts.append(" ".join(copy))
+    texts += [" ".join(base[:size]) for size in range(100, 150, 3)]
+    groups = set(brute.find(brute.near_texts(texts)[0], range(len(texts))).values())
+    made, verified = [], simhash.verified
+    monkeypatch.setattr(simhash, "verified", lambda pairs, sets: made.append(pairs.count()) or verified(pairs, sets))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == sorted(groups)
+    assert 100 < len(groups) and sum(made) < 4 * len(texts)
+
+
+def test_crowded_prefixes_of_near_sets():
+    rng = np.random.default_rng(15)
+    for size in [*range(1, 40), 95, 200, 401]:
+        for smaller in {size, -(-8 * size // 10)}:
+            both = rng.permutation(np.unique(rng.integers(0, 1 << 63, 2 * size + 40, dtype=np.uint64)))
+            same = -(-8 * (size + smaller) // 18)
+            if same > smaller:
+                continue
+            a, b = np.sort(both[:size]), np.sort(np.r_[both[:same], both[size : size + smaller - same]])
+            common = np.sort(both[: same // 2])
+            (least_a, mine), (least_b, other) = simhash.prefix_of(a, common), simhash.prefix_of(b, common)
+            assert len(np.intersect1d(mine, other)) >= max(least_a, least_b)

@@ -225,8 +225,8 @@ def ask(all_blocks: list[Block], buckets: int) -> Asked:
 
 def by_group(group: np.ndarray) -> Iterator[tuple[int, slice]]:
     """Stretches of equal values of a sorted array."""
-    edges = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else []
-    for a, b in zip(edges, [*edges[1:], len(group)], strict=True):
+    edges = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1], [True]])) if len(group) else [0]
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
         yield int(group[a]), slice(int(a), int(b))
 
 

@@ -11,6 +11,7 @@ windows have equal anchors, so
 An anchor met by very many different runs is split: its windows are grouped by the place of the anchor in the window and
 sharded by what all windows of such a group contain. Chunks, hash buckets and shards follow the size of the input, and
 the 32-bit anchor prints within a bucket can only add candidates, which the shards then compare by content.
+``suffix_dedup`` takes anchors and runs from here and has steps of its own.
 """
 
 from __future__ import annotations
